@@ -9,11 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.llm.exact_dedup import exact_groups
+from strandmill.llm.language import language_of_documents
 from strandmill.llm.mixing import mix_sources
 from strandmill.llm.packing import pack_documents
+from strandmill.llm.quality import score_quality
 from strandmill.llm.sharding import shard_documents
+from strandmill.llm.url_filter import judge_pages, parse_rules
 from strandmill.sources.tables import table
 
+URL_RULES = ["block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/"]
+
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     """Where the public vocabulary file lies."""
@@ -36,11 +41,23 @@ def op4_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_of_documents(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op6_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_pages(table(spark, sf_dir, "pages"), parse_rules(URL_RULES))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op3_pack_documents, op4_shard_documents, op9_exact_dedup)}
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op3_pack_documents, op4_shard_documents, op5_language_mixture, op6_url_link_graph, op9_exact_dedup, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {
     "op9_exact_dedup": """
