@@ -3,8 +3,8 @@
 A rule fits its host and all its subdomains where the path starts with the rule's path; the longest
 one decides. Pages without a rule get their host's verdict: trust is a personalised PageRank from
 hosts with explicitly allowed pages along host edges, distrust one from hosts with explicitly
-blocked pages along the reversed edges. A host is blocked where distrust makes up more than
-``threshold`` of both. Host edges are the pages' absolute links, and parent-child domain pairs of
+blocked pages along the reversed edges. A host's pages without a rule count as neutral mass that
+stays where it is. A host is blocked where distrust makes up more than ``threshold`` of all three. Host edges are the pages' absolute links, and parent-child domain pairs of
 which both are hosts of the crawl. Pages are aggregated to hosts first; ranks live in DataFrames.
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule and is
@@ -106,13 +106,14 @@ def judge_pages(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", ur
         rule, verdict = F.when(fits, F.lit(r.name)).otherwise(rule), F.when(fits, F.lit(r.verdict)).otherwise(verdict)
     ruled = placed.withColumns({"rule": rule, "by_rule": verdict})
 
-    seeds = ruled.where("by_rule is not null").groupBy(F.when(F.col("by_rule") == "allow", "trust").otherwise("distrust").alias("kind"), "host").agg(F.count("*").cast("double").alias("mass"))
+    kind = F.when(F.col("by_rule") == "allow", "trust").when(F.col("by_rule") == "block", "distrust").otherwise("neutral")
+    seeds = ruled.groupBy(kind.alias("kind"), "host").agg(F.count("*").cast("double").alias("mass"))
     seeds = written(seeds, "host-seeds")
     edges = written(host_edges(pages, url_col, html_col), "host-edges")
     forward = edges.select(F.lit("trust").alias("kind"), "src", "dst", "weight")
     backward = edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
     ranks = spread(forward.unionByName(backward), seeds)
-    sums = ranks.groupBy("host").agg(F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(0.0)).alias("distrust"), F.sum("rank").alias("both"))
-    blocked = written(sums.where(F.round(F.col("distrust") - threshold * F.col("both"), 9) > 0).select("host", F.lit("block").alias("by_method")), "blocked-hosts")
+    sums = ranks.groupBy("host").agg(F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(0.0)).alias("distrust"), F.sum("rank").alias("all"))
+    blocked = written(sums.where(F.round(F.col("distrust") - threshold * F.col("all"), 9) > 0).select("host", F.lit("block").alias("by_method")), "blocked-hosts")
     judged = ruled.join(blocked, "host", "left")
     return judged.select(id_col, "host", "path", "rule", F.coalesce("by_rule", "by_method", F.lit("allow")).alias("verdict"))
