@@ -15,6 +15,7 @@ from strandmill.llm.packing import pack_documents
 from strandmill.llm.quality import score_quality
 from strandmill.llm.sharding import shard_documents
 from strandmill.llm.url_filter import judge_pages, parse_rules
+from strandmill.llm.warc import archive_and_read
 from strandmill.sources.tables import table
 
 URL_RULES = ["block com/en/", "allow example.com/en/7", "allow net/de/", "block example.net/de/8", "block org/es/"]
@@ -33,6 +34,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(F.broadcast(known), rows.members.eqNullSafe(known.members)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_and_read(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), 1024)
 
@@ -57,9 +62,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op3_pack_documents, op4_shard_documents, op5_language_mixture, op6_url_link_graph, op9_exact_dedup, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_warc_index, op3_pack_documents, op4_shard_documents, op5_language_mixture, op6_url_link_graph, op9_exact_dedup, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc_index": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+             q AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+             f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM q)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM f
+    """,
     "op9_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
              g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)
