@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.llm.exact_dedup import exact_groups
+from strandmill.llm.jaccard import link_components
 from strandmill.llm.language import language_of_documents
 from strandmill.llm.mixing import mix_sources
 from strandmill.llm.packing import pack_documents
@@ -54,6 +55,10 @@ def op6_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_pages(table(spark, sf_dir, "pages"), parse_rules(URL_RULES))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_components(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -62,7 +67,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_warc_index, op3_pack_documents, op4_shard_documents, op5_language_mixture, op6_url_link_graph, op9_exact_dedup, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_warc_index, op3_pack_documents, op4_shard_documents, op5_language_mixture, op6_url_link_graph, op7_jaccard_join, op9_exact_dedup, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_index": """
