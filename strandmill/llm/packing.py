@@ -16,8 +16,9 @@ rows are packed each; ids of any type, nulls included, are passed through; other
 
 from __future__ import annotations
 
+import functools
+import json
 import os
-import re
 import zlib
 
 import numpy as np
@@ -31,40 +32,46 @@ END_TOKEN = 0
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
 
 
-class ChunkTokenizer:
-    """Token ids of whole texts, remembering the ids of space-separated chunks.
+#: Fixed value: how byte-level BPE vocabularies of this kind split text before merging.
+WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    The vocabulary's pre-tokenizer never joins a space that stands between two non-space characters
-    to what precedes it, so a text may be cut before such spaces without changing its ids.
-    """
 
-    SPLIT = re.compile(r"(?<=\S) (?=\S)")
-    ODD = re.compile(r"\s |^ | \s| $")
+class TextTokenizer:
+    """Token ids of whole texts.
+
+    tiktoken merges by the ranks in the given vocabulary file, which yields the ids of tokenizers at
+    several times its speed. Texts that contain a special token's string go to tokenizers itself,
+    which reads it as that token.
+    """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        chunked = []
-        for text in texts:
-            words = self.SPLIT.split(text) if self.ODD.search(text) else text.split(" ")
-            # All but the first chunk begin with the space that was split at.
-            chunked.append((words[0], words[1:]))
-        missing = set().union(*(rest for _, rest in chunked)) - self.known.keys() if chunked else set()
-        if len(self.known) + len(missing) > self.most:
-            self.known = {}
-            missing = set().union(*(rest for _, rest in chunked))
-        words = list(missing)
-        encoded = self.tokenizer.encode_batch_fast([" " + w for w in words] + [first for first, _ in chunked], add_special_tokens=False)
-        ids = [np.asarray(e.ids, dtype="<u4").tobytes() for e in encoded]
-        self.known.update(zip(words, ids))
-        heads = ids[len(words) :]
-        known = self.known
-        return [head + b"".join([known[w] for w in rest]) for head, (_, rest) in zip(heads, chunked)]
+        self.slow = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+        special = self.slow.get_added_tokens_decoder()
+        self.specials = [token.content for token in special.values()]
+        ranks = {bytes(byte_of[c] for c in token): rank for token, rank in vocabulary.items() if rank not in special}
+        self.fast = tiktoken.Encoding("texts", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+
+    def text_ids(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if any(s in text for s in self.specials):
+            ids = self.slow.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self.fast.encode_to_numpy(text, disallowed_special=())
+        return np.asarray(ids, dtype="<u4").tobytes()
+
+
+@functools.lru_cache(maxsize=2)
+def tokenizer(path: str) -> TextTokenizer:
+    """One tokenizer per worker process and vocabulary."""
+    return TextTokenizer(path)
 
 
 def assign(lengths: np.ndarray, room: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -125,7 +132,7 @@ def pack_documents(
         fields.append(T.StructField("ids", T.ArrayType(T.LongType())))
 
     def pack(batches):
-        tokenise, base, end = ChunkTokenizer(tokenizer_path), TaskContext.get().partitionId() << 36, np.array([end_token], dtype="<u4").tobytes()
+        tokenise, base, end = tokenizer(tokenizer_path).text_ids, TaskContext.get().partitionId() << 36, np.array([end_token], dtype="<u4").tobytes()
         keys, ids, held = [], [], 0
 
         def block():
@@ -144,7 +151,7 @@ def pack_documents(
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
-                found = [x + end for x in tokenise(part.column(1).to_pylist())]
+                found = [tokenise(x) + end for x in part.column(1).to_pylist()]
                 keys.append(part.column(0))
                 ids += found
                 held += sum(map(len, found)) // 4
