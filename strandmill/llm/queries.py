@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandmill.llm.embeddings import near_duplicates
 from strandmill.llm.exact_dedup import exact_groups
 from strandmill.llm.jaccard import link_components
 from strandmill.llm.language import language_of_documents
@@ -59,6 +60,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -67,7 +72,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_warc_index, op3_pack_documents, op4_shard_documents, op5_language_mixture, op6_url_link_graph, op7_jaccard_join, op9_exact_dedup, op10_quality_rules)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_warc_index, op3_pack_documents, op4_shard_documents, op5_language_mixture, op6_url_link_graph, op7_jaccard_join, op8_embedding_near_dups, op9_exact_dedup, op10_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_index": """
