@@ -127,6 +127,14 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
     return source.mapInArrow(label, schema)
 
 
+def documents_with_language(docs: DataFrame, least_share: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the documents that have no language: undetermined ones, and those of which no language explains ``least_share``."""
+    names = docs.columns
+    whole = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in names]))
+    found = language_of_documents(whole, id_col, text_col, keep=["_row", id_col])
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_share)).select("_row.*")
+
+
 def id_remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null ids count as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(modulus))

@@ -153,7 +153,7 @@ def mix_sources(
     seed: int = 29,
     max_patterns: int = 20_000,
 ) -> tuple[DataFrame, dict, dict]:
-    """(rows, targets, flows): rows have id, members (array of source names), size and taken (words, repeats counted).
+    """(rows, targets, flows): rows have id, members (array of source names), size, taken (words, repeats counted), key (seeded order), passes and part (words of the last pass).
 
     ``membership`` is an array of source names (default: the one ``source``), ``weights`` maps the
     list of sources to their weights, ``total_share`` is the part of all words to mix.
@@ -162,12 +162,12 @@ def mix_sources(
     rows = written(
         docs.select(
             F.col(id_col).alias("id"),
-            F.array_sort(F.array_distinct(F.array(F.col("source")) if membership is None else membership)).alias("members"),
+            _members(membership).alias("members"),
             (word_count("text") if size is None else size).alias("size"),
             F.monotonically_increasing_id().alias("rid"),
         ),
         "mix-rows",
-    ).withColumns({"key": F.xxhash64("id", F.lit(seed))})
+    ).withColumn("key", seeded_key(F.col("id"), seed))
     rows = rows.withColumn("bucket", F.pmod(F.shiftrightunsigned("key", 32), F.lit(BUCKETS)).cast("int"))
     patterns = rows.groupBy("members").agg(F.sum("size").alias("words")).limit(max_patterns + 1).collect()
     if len(patterns) > max_patterns:
@@ -192,5 +192,36 @@ def mix_sources(
     whole = joined.where("room is null or room = 0 or room = in_bucket").withColumn("part", F.when((F.col("room") > 0), F.col("size")).otherwise(F.lit(0)))
     running = Window.partitionBy("members", "bucket").orderBy("key", "id", "rid").rowsBetween(Window.unboundedPreceding, -1)
     cut = joined.where("room > 0 and room < in_bucket").withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("room") - F.coalesce(F.sum("size").over(running), F.lit(0)))))
-    taken = whole.unionByName(cut).select(F.col("id").alias(id_col), "members", "size", (F.coalesce(F.col("passes"), F.lit(0)) * F.col("size") + F.col("part")).cast("long").alias("taken"))
+    passes = F.coalesce(F.col("passes"), F.lit(0))
+    taken = whole.unionByName(cut).select(F.col("id").alias(id_col), "members", "size", (passes * F.col("size") + F.col("part")).cast("long").alias("taken"), "key", passes.alias("passes"), "part")
     return taken, targets, flows
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", membership: Column | None = None, seed: int = 29, **options) -> DataFrame:
+    """The mix as documents, columns unchanged: a document that is taken several times is repeated, one taken in part is whole.
+
+    In seeded order the last pass takes all documents up to one key per pattern, so each row decides
+    for itself once those keys (at most ``max_patterns``) are broadcast; texts are not shuffled.
+    Documents without words are left out.
+    """
+    rows, _, _ = mix_sources(docs, id_col, word_count(text_col), membership, seed=seed, **options)
+    ends = written(rows.groupBy("members").agg(F.max("passes").alias("passes"), F.max(F.when(F.col("part") > 0, _order(F.col("key")))).alias("last")), "mix-ends")
+    names = docs.columns
+    whole = docs.where(F.col(text_col).rlike(WORD)).select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), _members(membership).alias("members"), _order(seeded_key(F.col(id_col), seed)).alias("place"))
+    placed = whole.join(F.broadcast(ends), whole.members.eqNullSafe(ends.members))
+    times = (F.col("passes") + F.when(F.col("place") <= F.col("last"), 1).otherwise(0)).cast("int")
+    return placed.select("row", F.explode(F.array_repeat(F.lit(1), times))).select("row.*")
+
+
+def seeded_key(id_: Column, seed: int) -> Column:
+    return F.xxhash64(id_, F.lit(seed))
+
+
+def _order(key: Column) -> Column:
+    """Place of a key in the order of the last pass: bucket, then key."""
+    return F.struct(F.pmod(F.shiftrightunsigned(key, 32), F.lit(BUCKETS)).cast("int").alias("bucket"), key.alias("key"))
+
+
+def _members(membership: Column | None) -> Column:
+    given = F.array(F.col("source")) if membership is None else F.coalesce(membership, F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(given))
