@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = None
+from strandmill.plans import corpus, decisions, evaluation, keyed, scalars, streams  # noqa: F401  registered on import
+from strandmill.plans.book import ORACLE_SQL, QUERIES
+
+FLAGSHIP = evaluation.flagship
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
