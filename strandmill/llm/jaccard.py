@@ -30,6 +30,8 @@ read. No candidate is dropped, at any group size.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -46,14 +48,29 @@ LOW = np.uint64(0xFFFFFFFF)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
+#: One 64-bit number per byte; A-Z have those of a-z.
+BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
+BYTES[65:91] = BYTES[97:123]
+#: An odd base (5 modulo 8) and its inverse modulo 2^64.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+class Powers:
+    """Powers of BASE and INVERSE modulo 2^64, as far as they have been needed."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def to(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(cls.up) < n:
+            m = len(cls.up)
+            with np.errstate(over="ignore"):
+                cls.up = np.concatenate([cls.up, cls.up * np.uint64(pow(BASE, m, 1 << 64))])
+                cls.down = np.concatenate([cls.down, cls.down * np.uint64(pow(INVERSE, m, 1 << 64))])
+        return cls.up, cls.down
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -61,21 +78,62 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingles(text: str | None, k: int, known: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's k-word shingles; A-Z count as a-z."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    if len(w) < k:
-        h = np.array([len(w)], np.uint64)
-        for x in w:
-            h = mixed(h ^ x)
-        return h
-    h = w[: len(w) - k + 1].copy()
+def distinct(h: np.ndarray) -> np.ndarray:
+    h.sort()
+    return h[np.r_[True, h[1:] != h[:-1]]] if len(h) else h
+
+
+def shingle_sets(texts: pa.Array, k: int, most_bytes: int = 1 << 19) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its k-word shingles; A-Z count as a-z.
+
+    Words of about ``most_bytes`` of text at a time (at least one text) are hashed together: a word's
+    polynomial hash is a difference of running sums over the bytes.
+    """
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = texts.fill_null("").cast(pa.large_binary())
+    if not len(texts):
+        return
+    _, at, data = texts.buffers()
+    at = np.frombuffer(at, np.int64, len(texts) + 1, 8 * texts.offset)
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(at, at[first] + most_bytes, "right")) - 1)
+        yield from _hashed(data[at[first] : at[last]], at[first : last + 1] - at[first], k)
+        first = last
+
+
+def _hashed(data: np.ndarray, at: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    up, down = Powers.to(len(data) + 1)
+    inside = ~SPACE[data]
+    apart = np.ones(len(data) + 1, bool)  # whether a word may begin here
+    apart[1:-1] = ~inside[:-1]
+    apart[at[at < len(data)]] = True
+    start = np.flatnonzero(inside & apart[:-1])
+    ends_after = np.ones(len(data), bool)
+    ends_after[:-1] = ~inside[1:]
+    cuts = at[(at > 0) & (at <= len(data))] - 1
+    ends_after[cuts] = True
+    end = np.flatnonzero(inside & ends_after)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTES[data] * up[: len(data)], out=sums[1:])
+    words = mixed((sums[end + 1] - sums[start]) * down[start])
+    cut = np.searchsorted(start, at)
+    joined = words[: max(0, len(words) - k + 1)].copy()
     for i in range(1, k):
-        h = mixed(h) + w[i : len(w) - k + 1 + i]
-    return np.unique(mixed(h))
+        joined = mixed(joined) + words[i : len(joined) + i]
+    joined = mixed(joined)
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        if b - a >= k:
+            yield distinct(joined[a : b - k + 1])
+        elif b > a:
+            h = np.array([b - a], np.uint64)
+            for x in words[a:b]:
+                h = mixed(h ^ x)
+            yield h
+        else:
+            yield words[:0]
 
 
 def set_digest(tokens: np.ndarray) -> int:
@@ -86,10 +144,9 @@ def sets_of(docs: DataFrame, k: int) -> DataFrame:
     """Stored (id, node, n) per row; node is the set's digest, null for empty sets."""
 
     def run(batches):
-        known = WordHashes()
         for batch in batches:
-            found = [shingles(t, k, known) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_digest(s) if len(s) else None for s in found], pa.int64()), pa.array([len(s) for s in found], pa.int64())], names=["id", "node", "n"])
+            found = [(set_digest(s) if len(s) else None, len(s)) for s in shingle_sets(batch.column(1), k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], names=["id", "node", "n"])
 
     schema = f"id {docs.schema['id'].dataType.simpleString()}, node long, n long"
     return written(docs.mapInArrow(run, schema), "jaccard-sets")
@@ -109,7 +166,7 @@ def frequent_tokens(docs: DataFrame, k: int, tokens: int, least: int = 16, per_p
     parts = int(min(1 << 20, max(8, tokens // per_part)))
 
     def local(batches):
-        known, held, size = WordHashes(), [], 0
+        held, size = [], 0
 
         def packed():
             short, n = np.unique(short_tokens(np.concatenate(held), parts), return_counts=True)
@@ -119,9 +176,9 @@ def frequent_tokens(docs: DataFrame, k: int, tokens: int, least: int = 16, per_p
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["part", "ones", "many", "counts"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(shingles(text, k, known))
-                size += len(held[-1])
+            for own in shingle_sets(batch.column(0), k):
+                held.append(own)
+                size += len(own)
                 if size > 4_000_000:
                     yield packed()
                     held, size = [], 0
@@ -204,17 +261,16 @@ def signatures(docs: DataFrame, k: int, signer: Signer) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(signer)
 
     def run(batches):
-        known, sign = WordHashes(), shared.value
+        sign = shared.value
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for at in range(0, len(texts), 500):
+            for at in range(0, len(batch), 500):
                 sig, node, size, hot = [], [], [], []
-                for text in texts[at : at + 500]:
-                    s = shingles(text, k, known)
+                for s in shingle_sets(batch.column(0).slice(at, 500), k):
                     if len(s):
+                        digest = set_digest(s)
                         for part, is_hot in zip(sign(s), (False, True)):
                             sig.append(part)
-                            node.append(np.full(len(part), set_digest(s), np.int64))
+                            node.append(np.full(len(part), digest, np.int64))
                             size.append(np.full(len(part), len(s), np.int32))
                             hot.append(np.full(len(part), is_hot))
                 if sig:
@@ -288,11 +344,10 @@ def texts_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame, k: int) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
 
     def run(batches):
-        own, known = np.unpackbits(shared.value).astype(bool), WordHashes()
+        own = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             texts = batch.column(0).filter(pa.array(own[batch.column(1).to_numpy(zero_copy_only=False)]))
-            found = [shingles(t, k, known) for t in texts.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) if len(s) else None for s in found], pa.int64()), texts], names=["node", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) if len(s) else None for s in shingle_sets(texts, k)], pa.int64()), texts], names=["node", "text"])
 
     passed = docs.where("text is not null").select("text", bucket.alias("bucket")).mapInArrow(run, "node long, text string")
     return written(passed.join(chosen.select("node"), "node", "left_semi").dropDuplicates(["node"]), "jaccard-texts")
@@ -304,17 +359,18 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     both = left.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").select("a", "b", "a_text", "b_text")
 
     def run(batches):
-        known, last, own = WordHashes(), None, None
-        for batch in batches:
-            rows = []
-            for a, b, a_text, b_text in zip(*(c.to_pylist() for c in batch.columns)):
-                if a != last:
-                    last, own = a, shingles(a_text, k, known)
-                other = shingles(b_text, k, known)
-                common = len(np.intersect1d(own, other, assume_unique=True))
-                rows.append((a, b, common, len(own) + len(other) - common))
-            x = np.array(rows, dtype=np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T.copy()), pa.array(100 * x[:, 2] >= percent * x[:, 3])], names=["a", "b", "common", "joint", "linked"])
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                batch = whole.slice(at, 256)
+                a = batch.column(0).to_numpy()
+                new = np.r_[True, a[1:] != a[:-1]]  # rows come in runs of a
+                left = list(shingle_sets(batch.column(2).filter(pa.array(new)), k))
+                rows = []
+                for i, other in zip(np.cumsum(new) - 1, shingle_sets(batch.column(3), k)):
+                    common = len(np.intersect1d(left[i], other, assume_unique=True))
+                    rows.append((common, len(left[i]) + len(other) - common))
+                x = np.array(rows, dtype=np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c) for c in x.T.copy()), pa.array(100 * x[:, 0] >= percent * x[:, 1])], names=["a", "b", "common", "joint", "linked"])
 
     return written(both.mapInArrow(run, "a long, b long, common long, joint long, linked boolean"), "jaccard-verified")
 

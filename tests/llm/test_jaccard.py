@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from strandmill.llm import jaccard
@@ -83,14 +84,23 @@ def test_empty_table_null_ids_and_extra_columns(spark):
 
 
 def test_shingles_count_ascii_case_and_white_space():
-    known = jaccard.WordHashes()
-    s = lambda t: jaccard.shingles(t, 4, known)
+    s = lambda t: next(jaccard.shingle_sets(pa.array([t]), 4))
     assert np.array_equal(s("A b\tc\nd"), s("a  B c d"))
     assert len(s("É b c d")) == 1 and not np.array_equal(s("É b c d"), s("é b c d"))
     assert len(s("a b")) == 1 and not np.array_equal(s("a b"), s("a b a"))
     assert len(s("a b c d")) == 1 and not np.array_equal(s("a b c d"), s("a b c d"))
 
 
+def test_texts_are_hashed_alike_alone_and_together():
+    texts = [None, "", "a", "b c", "a b c d e f", " ", "A b c d e f ", "x" * 5000 + " y z w v", None, "tail of words here now"]
+    for at in range(3):
+        together = list(jaccard.shingle_sets(pa.array(texts).slice(at), 4, 64))
+        assert len(together) == len(texts) - at
+        for text, s in zip(texts[at:], together):
+            assert np.array_equal(s, next(jaccard.shingle_sets(pa.array([text], pa.string()), 4)))
+            assert len(s) == brute([(0, text)])[0][0]
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, j) for j in range(101, 130)] + [(7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(path, "a long, b long")).collect()))
