@@ -15,10 +15,10 @@ for which at most ``MAX_FREQUENT`` tokens are frequent, which bounds what is bro
 
 Groups of rare tokens emit their pairs, which T bounds. Groups of frequent tokens may be large: they
 are split by salt, each part is joined to its smallest set as a star, and so are the parts' smallest
-sets. Verified links form components; what is left to examine are sets of one group that lie in
-different components, and these are all compared, as far as their sizes and their similarities to a
-common pivot allow a link (Jaccard distance is a metric). So no link between components is lost,
-while texts that are already connected are not compared again.
+sets. Verified links form components. What is left to examine are sets that frequent signatures
+connect and that still lie in different components: they are compared block by block inside tasks,
+each pair once, without emitting pairs. So no link between components is lost, while texts that are
+already connected are not compared again.
 
 Verification compares whole sets: ``100 * intersection >= percent * union``. Hashes have 64 bits.
 
@@ -44,6 +44,8 @@ from strandmill.sources.shared import written
 MAX_FREQUENT = 1 << 19
 SINGLES_FROM = 160
 SALTS = 64
+#: Sets in a block of a cluster, about.
+BLOCK = 1024
 LOW = np.uint64(0xFFFFFFFF)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -382,7 +384,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tokens = sets.agg(F.sum("n")).first()[0] or 0
     signed = signatures(docs, k, Signer(percent, *frequent_tokens(docs, k, tokens)))
     hot = signed.where("hot").select("sig", "node", "n").distinct()
-    pairs = group_pairs(signed.where("not hot").select("sig", "node", "n"), ["sig"], percent).unionByName(star_pairs(hot))
+    stars = written(star_pairs(hot), "jaccard-stars")
+    pairs = group_pairs(signed.where("not hot").select("sig", "node", "n"), ["sig"], percent).unionByName(stars)
     pairs = written(pairs.distinct(), "jaccard-pairs")
 
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(hot.select("node")).distinct()
@@ -396,11 +399,10 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = verify(rest, texts, k, percent)
     tried = links.unionByName(more)
     roots = components(tried.where("linked"))
-    # Last, sets of one frequent signature that stars did not bring together.
-    open_pairs = residual_pairs(hot, roots, tried, percent)
-    last = verify(open_pairs, texts, k, percent)
-    if not last.where("linked").isEmpty():
-        roots = components(tried.unionByName(last).where("linked"))
+    # Last, sets that frequent signatures hold together and stars did not.
+    last = links_in_clusters(hot, stars, roots, texts, k, percent)
+    if not last.isEmpty():
+        roots = components(tried.where("linked").select("a", "b").unionByName(last))
 
     placed = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
@@ -414,18 +416,58 @@ def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return ends.where("coalesce(x, a) <> coalesce(y, b)").select("a", "b")
 
 
-def residual_pairs(hot: DataFrame, roots: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Untried pairs (a, b) of one frequent signature in different components that sizes and pivots allow.
+def links_in_clusters(hot: DataFrame, stars: DataFrame, roots: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Stored links (a, b) between components of sets that frequent signatures connect.
 
-    A set's pivot is the smallest set it was compared with; for sets with the same pivot, distances
-    to it that differ by more than the allowed distance rule a link out.
+    Signatures with a set in common form a cluster, in which each set stands once, however many
+    signatures it has. The sets of a cluster's largest component need no comparison with each other;
+    the others meet every set of the cluster. They are cut into blocks, and each block of them meets
+    each block of the cluster in one group, where common shingles are counted through an index of
+    the block; no pair leaves the task unless it is a link, one per set and component.
     """
-    placed = hot.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed_sigs = placed.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("sig")
-    distance = tried.groupBy("b").agg(F.min(F.struct("a", (1 - F.col("common") / F.col("joint")).alias("d"))).alias("p")).select(F.col("b").alias("node"), F.col("p.a").alias("pivot"), F.col("p.d").alias("d"))
-    left = written(placed.join(mixed_sigs, "sig").join(distance, "node", "left"), "jaccard-open")
-    x, y = left.alias("x"), left.alias("y")
-    near = F.coalesce((F.col("x.pivot") != F.col("y.pivot")) | (F.abs(F.col("x.d") - F.col("y.d")) <= 1 - percent / 100 + 1e-9), F.lit(True))
-    fits = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
-    found = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.root") != F.col("y.root")) & near & fits)
-    return written(found.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-residual")
+    clusters = components(stars).withColumnRenamed("root", "cluster")
+    placed = written(clusters.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "jaccard-clusters")
+    largest = placed.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
+    largest = largest.where("top.n < all").select("cluster", F.col("top.root").alias("top"), F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int").alias("odd_blocks"))
+    sizes = hot.groupBy("node").agg(F.first("n").alias("n"))
+    left = placed.join(largest, "cluster").join(sizes, "node").withColumn("odd", F.col("root") != F.col("top"))
+    part = lambda seed, count: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(count)).cast("int")
+    every = left.select("cluster", "node", "root", "n", part(1, "blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("odd_blocks") - 1)).alias("odd_block"), F.lit(1).alias("side"))
+    odd = left.where("odd").select("cluster", "node", "root", "n", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part(2, "odd_blocks").alias("odd_block"), F.lit(0).alias("side"))
+    key = ["cluster", "odd_block", "block"]
+    rows = odd.unionByName(every).join(texts, "node").select(*key, "side", "node", "root", "n", "text")
+    ordered = rows.repartition(*key).sortWithinPartitions(*key, "side", "node")
+
+    def run(batches):
+        now, held, index = None, [], None
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                batch = whole.slice(at, 256)
+                keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+                side, node, root, n = (batch.column(i).to_numpy() for i in range(3, 7))
+                out: dict = {}
+                for i, own in enumerate(shingle_sets(batch.column(7), k)):
+                    if keys[i] != now:
+                        now, held, index = keys[i], [], None
+                    if side[i] == 0:
+                        held.append((node[i], root[i], n[i], own))
+                        continue
+                    if not held:
+                        continue
+                    if index is None:
+                        tokens = np.concatenate([x[3] for x in held])
+                        owner = np.repeat(np.arange(len(held)), [len(x[3]) for x in held])
+                        order = np.argsort(tokens, kind="stable")
+                        index = tokens[order], owner[order], *(np.array([x[j] for x in held]) for j in range(3))
+                    tokens, owner, nodes, of, size = index
+                    low, high = np.searchsorted(tokens, own, "left"), np.searchsorted(tokens, own, "right")
+                    many = high - low
+                    met = np.repeat(low - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum())
+                    common = np.bincount(owner[met], minlength=len(nodes))
+                    linked = (100 * common >= percent * (size + len(own) - common)) & (of != root[i])
+                    for j in np.flatnonzero(linked):
+                        out.setdefault((int(nodes[j]), int(root[i])), int(node[i]))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array(list(out.values()), pa.int64())], names=["a", "b"])
+
+    return written(ordered.mapInArrow(run, "a long, b long"), "jaccard-cluster-links")
