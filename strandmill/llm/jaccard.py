@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.llm.graph import components
@@ -326,10 +326,9 @@ def group_pairs(rows: DataFrame, key: list[str], percent: int) -> DataFrame:
 def star_pairs(hot: DataFrame) -> DataFrame:
     """(a, b): every set of a frequent signature with the smallest set of its salted part, and the parts' smallest sets with each other's smallest."""
     salted = hot.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    parts = salted.groupBy("sig", "salt").agg(F.min("node").alias("a"), F.max("node").alias("z"))
-    in_part = salted.join(parts.where("a <> z").select("sig", "salt", "a"), ["sig", "salt"]).select("a", F.col("node").alias("b"))
-    whole = parts.groupBy("sig").agg(F.min("a").alias("top"), F.max("z").alias("z")).where("top <> z").select("sig", "top")
-    between = parts.join(whole, "sig").select(F.col("top").alias("a"), F.col("a").alias("b"))
+    in_part = salted.select(F.min("node").over(Window.partitionBy("sig", "salt")).alias("a"), F.col("node").alias("b"))
+    parts = salted.groupBy("sig", "salt").agg(F.min("node").alias("node"))
+    between = parts.select(F.min("node").over(Window.partitionBy("sig")).alias("a"), F.col("node").alias("b"))
     return in_part.unionByName(between).where("a <> b").distinct()
 
 
