@@ -138,7 +138,7 @@ def score_quality(
     known = labels.where(F.col(label_col).isNotNull() & ~held).groupBy(id_col).agg(F.max(label_col).alias("_label"))
     chosen = bounded_rows(known, id_col, max_rows)
     # The sample is bounded by max_rows, so its ids may be broadcast.
-    marked = docs.join(F.broadcast(chosen), id_col).select(F.col(id_col), F.col(text_col), "_label")
+    marked = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
     ensemble = fit_rules(written(with_features(marked, text_col, ["_label"]).coalesce(8), "quality-sample"), "_label")
     scored = with_features(docs, text_col, [id_col]).select(id_col, held.alias("held_out"), ensemble.column().alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)), ensemble
