@@ -251,9 +251,8 @@ def join_decisive(spark, d):
 
 @query()
 def near_dup_pairs(spark, d):
-    lines = table(spark, d, "benchmark").select(F.col("item_id").alias("line_id"), F.lit("b").alias("library"), X.assign_split(F.col("item_id")).alias("split"), "text")
-    edited = lines.select((F.col("line_id") + 10_000).alias("line_id"), "library", F.when(F.col("split") == "test", "train").otherwise("test").alias("split"), F.concat(F.col("text"), F.lit(" more")).alias("text"))
-    return lint.near_duplicates(lines.unionByName(edited), 0.9)
+    lines = table(spark, d, "documents").select(F.col("doc_id").alias("line_id"), F.col("source").alias("library"), X.assign_split(F.col("doc_id")).alias("split"), "text")
+    return lint.near_duplicates(lines)
 
 
 @query("SELECT event_id, user_id, event_type FROM events WHERE event_id % 50 = 0")

@@ -1,7 +1,12 @@
 """Queries over small fixtures where a cut of the input would show."""
 
 import difflib
+import random
 
+from pyspark.sql import functions as F
+
+from strandmill.functions import text as X
+from strandmill.operators.lint import near_duplicates
 from strandmill.plans import registry
 
 
@@ -19,3 +24,32 @@ def test_similarity_ratio_compares_whole_texts(spark, tmp_path):
     want = {i: round(difflib.SequenceMatcher(None, texts[i], texts[i + 1]).ratio(), 6) for i in range(3)} | {3: None}
     assert got == want
     assert got[0] < 1
+
+
+def alike(lines, least):
+    """Brute force over (line_id, library, split, normalised text)."""
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a[3], b[3]).ratio()
+    lines = sorted(lines)
+    return {(a[1], a[0], b[0]): round(ratio(a, b), 6) for i, a in enumerate(lines) for b in lines[i + 1 :] if a[1] == b[1] and a[2] != b[2] and ratio(a, b) >= least}
+
+
+def test_near_duplicates_of_one_word_lines(spark):
+    words = ["headache", "headaches", "head-ache", "fever", "fevers", "feverish", "nausea", "", "überfieber", "uberfieber", "頭痛がする", "頭痛がした"]
+    rng = random.Random(5)
+    long = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(1, 400))).strip() for _ in range(60)]
+    long += [t[: len(t) // 2] + "zz" + t[len(t) // 2 :] for t in long]
+    lines = [(i, "ab"[i % 5 == 0], ("train", "val", "test")[i * 7 % 3], t) for i, t in enumerate(words + words + long)]
+    df = spark.createDataFrame(lines, "line_id long, library string, split string, text string")
+    normal = [tuple(r) for r in df.withColumn("text", X.normalise_text(F.col("text"))).collect()]
+    for least in (0.6, 0.9):
+        got = near_duplicates(df, least, block_rows=8).collect()
+        assert {(r.library, r.left, r.right): r.ratio for r in got} == alike(normal, least)
+        assert len(got) == len(alike(normal, least)) > 0
+
+
+def test_near_dup_pairs_takes_documents_by_source(spark, tmp_path):
+    docs = [(i, f"src{i % 2}", t) for i, t in enumerate(["headache", "headache", "headaches", "headaches", "sore throat", "sore throats"] * 6)]
+    d = stored(spark, tmp_path, "documents", docs, "doc_id long, source string, text string")
+    split = {r.doc_id: r.s for r in spark.createDataFrame(docs, "doc_id long, source string, text string").select("doc_id", X.assign_split(F.col("doc_id")).alias("s")).collect()}
+    got = registry.QUERIES["near_dup_pairs"](spark, d).collect()
+    assert {(r.library, r.left, r.right): r.ratio for r in got} == alike([(i, s, split[i], t) for i, s, t in docs], 0.6) != {}
