@@ -120,13 +120,6 @@ def blank_to_null(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
 
 
-def content_digest(ids: Column, texts: Column) -> Column:
-    """Aggregate: SHA-256 over (id, text) pairs in id order. For groups of bounded size."""
-    pairs = F.array_sort(F.collect_list(F.struct(ids.alias("id"), texts.alias("text"))))
-    joined = F.array_join(F.transform(pairs, lambda p: F.concat(p["id"].cast("string"), F.lit("\x1f"), p["text"], F.lit("\x1f"))), "")
-    return F.sha2(joined, 256)
-
-
 def visible_text(html: Column) -> Column:
     """Tags removed, white space collapsed; empty for markup without text."""
     return F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]*>", ""), r"\s+", " "))

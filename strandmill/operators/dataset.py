@@ -180,14 +180,59 @@ def _drop_space(text: str, rng: random.Random, frozen: frozenset[str]) -> str |
     return " ".join([*words[:i], words[i] + words[i + 1], *words[i + 2 :]])
 
 
+def numbered(df: DataFrame, group: str, order: list[Column], number: str) -> DataFrame:
+    """One-based gapless numbers within each group by ``order``; a large group is numbered by many tasks.
+
+    Rows are dealt to ranges of (group, order), numbered inside their range, and shifted by the
+    group's rows in the ranges before.
+    """
+    keys = [f"_key{i}" for i in range(len(order))]
+    ranged = df.withColumns(dict(zip(keys, order))).repartitionByRange(group, *keys).withColumn("_range", F.spark_partition_id())
+    ranged = written(ranged, "ranges")
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    offsets = counts.select(F.col(group).alias("_group"), F.col("_range").alias("_at"), F.sum("_n").over(before).alias("_offset"))
+    # Of the groups in a range, the first alone can have begun before it.
+    offsets = F.broadcast(offsets.where("_offset > 0"))
+    placed = ranged.withColumn("_place", F.row_number().over(Window.partitionBy(group, "_range").orderBy(*keys)))
+    met = placed.join(offsets, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_at")), "left")
+    return met.withColumn(number, F.coalesce("_offset", F.lit(0)) + F.col("_place")).select(*df.columns, number)
+
+
 def round_robin(df: DataFrame, group: str, order: list[str]) -> DataFrame:
     """Position within the group; rows sorted by (position, group) interleave the groups."""
-    return df.withColumn("position", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return numbered(df, group, [F.col(c) for c in order], "position")
 
 
 def permute_labels(df: DataFrame, by: str, label: str, key: str, seed: str) -> DataFrame:
     """Labels dealt anew within each group of ``by``: the i-th row by key gets the label of the i-th row by hash; balances stay."""
-    order = lambda c: F.row_number().over(Window.partitionBy(by).orderBy(c, key))
-    placed = df.withColumn("_place", order(F.col(key)))
-    dealt = df.select(by, F.col(label).alias("permuted"), order(hash_int(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")))).alias("_place"))
+    placed = numbered(df, by, [F.col(key)], "_place")
+    dealt = numbered(df.select(by, F.col(label).alias("permuted"), key), by, [hash_int(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))), F.col(key)], "_place").drop(key)
     return placed.join(dealt, [by, "_place"]).drop("_place")
+
+
+def content_digests(df: DataFrame, by: list[str], key: str, text: str) -> DataFrame:
+    """(by, digest): SHA-256 over a group's (key, text) pairs in their order; pairs with a null count for nothing.
+
+    Rows come sorted and are hashed one after another, so no group is ever held as a whole. SHA-256
+    over one sequence has no parallel form: a group is read by one task, in batches.
+    """
+    rows = df.select(*by, F.concat(F.col(key).cast("string"), F.lit("\x1f"), F.col(text), F.lit("\x1f")).alias("_pair"), F.col(key).alias("_key"), F.col(text).alias("_text"))
+    rows = rows.repartition(*by).sortWithinPartitions(*by, "_key", "_text").drop("_key", "_text")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, digest = None, None
+        show = lambda: pd.DataFrame([(*now, digest.hexdigest())], columns=[*by, "digest"])
+        for batch in batches:
+            for *group, pair in batch.itertuples(index=False, name=None):
+                group = [None if pd.isna(g) else g for g in group]
+                if group != now:
+                    if digest:
+                        yield show()
+                    now, digest = group, hashlib.sha256()
+                if pair is not None:
+                    digest.update(pair.encode())
+        if digest:
+            yield show()
+
+    return rows.mapInPandas(run, ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by) + ", digest string")

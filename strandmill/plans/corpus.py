@@ -290,11 +290,9 @@ def label_name_and_code(spark, d):
 
 @query("SELECT user_id, list_position(v, list_max(v)) AS best_epoch, len(v) AS epochs FROM (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY user_id)")
 def epoch_divergence(spark, d):
-    from strandmill.operators.ml import epoch_gap
+    from strandmill.operators.ml import best_epochs
 
-    ordered = F.array_sort(F.collect_list(F.struct("ts", "event_id", "value")))
-    per = table(spark, d, "events").groupBy("user_id").agg(ordered.alias("h")).select("user_id", F.col("h.value").alias("v"))
-    return per.select("user_id", epoch_gap(F.col("v")).alias("best_epoch"), F.size("v").alias("epochs"))
+    return best_epochs(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value")
 
 
 @query("SELECT c_nationkey, count(*) FILTER (WHERE c_acctbal > 0) AS held, round(count(*) FILTER (WHERE c_acctbal > 0) / nullif(count(*) FILTER (WHERE c_acctbal > 5000), 0)::DOUBLE, 6) AS capture FROM customer GROUP BY c_nationkey")

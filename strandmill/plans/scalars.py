@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandmill.functions import numbers as N
 from strandmill.functions import text as X
+from strandmill.operators import dataset as D
 from strandmill.operators import rules as R
 from strandmill.plans.book import query, sql_hash
 from strandmill.sources.tables import table
@@ -62,7 +63,7 @@ def word_tokens(spark, d):
     """SELECT turn, lower(role) AS role, sha256(string_agg(conv_id || chr(31) || text || chr(31), '' ORDER BY conv_id, text)) AS digest FROM conversations GROUP BY turn, lower(role)"""
 )
 def content_digest(spark, d):
-    return table(spark, d, "conversations").groupBy("turn", F.lower("role").alias("role")).agg(X.content_digest(F.col("conv_id"), F.col("text")).alias("digest"))
+    return D.content_digests(table(spark, d, "conversations").withColumn("role", F.lower("role")), ["turn", "role"], "conv_id", "text")
 
 
 #: SQL of a Unicode word boundary, for an engine whose own is limited to ASCII.

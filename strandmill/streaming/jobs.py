@@ -65,43 +65,77 @@ def sessions(spark: SparkSession, sf_dir: str, gap: str) -> DataFrame:
     return drained(grouped.select("user_id", F.col("count").alias("n")), "complete")
 
 
-def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(user_id, status, attempts): errors count up to ``MOST_ATTEMPTS`` and then fail the job, a purchase delivers it; final states stay."""
+def _job_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The first purchase and the first errors that the job may still have decide, so no more rows are kept, whatever order they come in."""
+    status, attempts = state.get if state.exists else ("pending", 0)
+    bought, errors = None, []
+    for rows in batches:
+        if status == "pending":
+            late = rows["ts"].isna()
+            rows = rows.assign(late=late, ts=rows["ts"].where(~late, pd.Timestamp(0))).sort_values(["late", "ts", "event_id"])
+            first = {kind: list(rows.loc[rows["event_type"] == kind, ["late", "ts", "event_id"]].head(MOST_ATTEMPTS).itertuples(index=False, name=None)) for kind in ("purchase", "error")}
+            bought = min([*([bought] if bought else []), *first["purchase"]], default=None)
+            errors = sorted([*errors, *first["error"]])[: MOST_ATTEMPTS - attempts]
+    if status == "pending":
+        attempts += sum(bought is None or e < bought for e in errors)
+        status = "failed" if attempts >= MOST_ATTEMPTS else "delivered" if bought else status
+    state.update((status, attempts))
+    yield pd.DataFrame({"user_id": [key[0]], "status": [status], "attempts": [attempts]})
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, attempts = state.get if state.exists else ("pending", 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for kind in rows["event_type"]:
-            if status != "pending":
-                break
-            if kind == "purchase":
-                status = "delivered"
-            elif kind == "error":
-                attempts += 1
-                status = "failed" if attempts >= MOST_ATTEMPTS else status
-        state.update((status, attempts))
-        yield pd.DataFrame({"user_id": [key[0]], "status": [status], "attempts": [attempts]})
 
+def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, status, attempts): errors count up to ``MOST_ATTEMPTS`` and then fail the job, a purchase delivers it; final states stay."""
     steps = events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type").groupBy("user_id")
-    out = steps.applyInPandasWithState(step, "user_id long, status string, attempts long", "status string, attempts long", "update", GroupStateTimeout.NoTimeout)
+    out = steps.applyInPandasWithState(_job_step, "user_id long, status string, attempts long", "status string, attempts long", "update", GroupStateTimeout.NoTimeout)
     found = drained(out, "update")
     return found.groupBy("user_id").agg(F.max_by(F.struct("status", "attempts"), "batch").alias("s")).select("user_id", "s.status", "s.attempts")
 
 
-def lockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most failures in a row (a signup resets them) per user, kept as state."""
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per user and run of sorted rows: errors before the first signup, after the last one, the most in a row, and whether there is a signup."""
+    now = None
+    show = lambda: pd.DataFrame([now], columns=["user_id", "part", "head", "tail", "worst", "reset"])
+    for batch in batches:
+        for user, part, kind in batch[["user_id", "part", "event_type"]].itertuples(index=False, name=None):
+            if now is None or now[0] != user:
+                if now is not None:
+                    yield show()
+                now = [user, part, 0, 0, 0, False]
+            if kind == "signup":
+                now[3], now[5] = 0, True
+            elif kind == "error":
+                now[3] += 1
+                now[2] += not now[5]
+                now[4] = max(now[4], now[3])
+    if now is not None:
+        yield show()
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run, worst = state.get if state.exists else (0, 0)
-        for kind in pd.concat(list(batches)).sort_values(["ts", "event_id"])["event_type"]:
-            run = 0 if kind == "signup" else run + (kind == "error")
-            worst = max(worst, run)
-        state.update((run, worst))
-        yield pd.DataFrame({"user_id": [key[0]], "worst": [worst]})
 
-    steps = events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type").groupBy("user_id")
-    found = drained(steps.applyInPandasWithState(step, "user_id long, worst long", "run long, worst long", "update", GroupStateTimeout.NoTimeout), "update")
-    return found.groupBy("user_id").agg(F.max_by("worst", "batch").alias("worst"))
+def lockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most failures in a row (a signup resets them) per user, kept as state.
+
+    Each batch is dealt to sorted ranges of (user, time), so that a user's rows may lie in many
+    tasks; each range becomes one row a user, and those are folded in order onto the state.
+    """
+    at = {"path": None}
+
+    def fold(batch: DataFrame, number: int) -> None:
+        ranged = batch.repartitionByRange("user_id", "ts", "event_id").sortWithinPartitions("user_id", "ts", "event_id").withColumn("part", F.spark_partition_id())
+        runs = ranged.mapInPandas(_runs, "user_id long, part int, head long, tail long, worst long, reset boolean")
+        if at["path"]:
+            runs = runs.unionByName(batch.sparkSession.read.schema(runs.schema).parquet(at["path"]))
+        ordered = F.array_sort(F.collect_list(F.struct("part", "head", "tail", "worst", "reset")))
+        grown = lambda s, r: F.struct(F.when(r["reset"], r["tail"]).otherwise(s["tail"] + r["tail"]).alias("tail"), F.greatest(s["worst"], r["worst"], s["tail"] + r["head"]).alias("worst"))
+        start = F.struct(F.lit(0).cast("long").alias("tail"), F.lit(0).cast("long").alias("worst"))
+        state = runs.groupBy("user_id").agg(F.aggregate(ordered, start, grown).alias("s"))
+        path = fresh_path(spark, "lockout-state")
+        # The state stands before all ranges of the next batch, and its worst run is past.
+        state.select("user_id", F.lit(-1).alias("part"), F.col("s.tail").alias("head"), "s.tail", "s.worst", F.lit(True).alias("reset")).write.parquet(path)
+        at["path"] = path
+
+    query = events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type").writeStream.foreachBatch(fold).option("checkpointLocation", fresh_path(spark, "stream-state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(at["path"]).select("user_id", "worst") if at["path"] else spark.createDataFrame([], "user_id long, worst long")
 
 
 def matched_events(spark: SparkSession, sf_dir: str) -> DataFrame:

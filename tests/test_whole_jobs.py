@@ -1,13 +1,18 @@
 """Queries over small fixtures where a cut of the input would show."""
 
+import datetime
 import difflib
+import hashlib
 import random
+from types import SimpleNamespace
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from strandmill.functions import text as X
 from strandmill.operators.lint import near_duplicates
 from strandmill.plans import registry
+from strandmill.streaming import jobs
 
 
 def stored(spark, tmp_path, name, rows, schema):
@@ -53,3 +58,88 @@ def test_near_dup_pairs_takes_documents_by_source(spark, tmp_path):
     split = {r.doc_id: r.s for r in spark.createDataFrame(docs, "doc_id long, source string, text string").select("doc_id", X.assign_split(F.col("doc_id")).alias("s")).collect()}
     got = registry.QUERIES["near_dup_pairs"](spark, d).collect()
     assert {(r.library, r.left, r.right): r.ratio for r in got} == alike([(i, s, split[i], t) for i, s, t in docs], 0.6) != {}
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_content_digest_holds_no_group(spark, tmp_path):
+    turns = [(i % 97, i % 2, ("User", "user", "bot")[i % 3], None if i % 50 == 0 else f"t{i}é") for i in range(2000)]
+    d = stored(spark, tmp_path, "conversations", turns, "conv_id long, turn long, role string, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        df = registry.QUERIES["content_digest"](spark, d)
+        got = {(r.turn, r.role): r.digest for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = {}
+    for c, t, r, x in sorted((t for t in turns if t[3]), key=lambda t: (t[0], t[3])):
+        groups[t, r.lower()] = groups.get((t, r.lower()), "") + f"{c}\x1f{x}\x1f"
+    assert got == {k: hashlib.sha256(v.encode()).hexdigest() for k, v in groups.items()}
+    assert "collect_list" not in plan(df)
+
+
+def test_one_group_is_numbered_by_many_tasks(spark, tmp_path):
+    docs = [(i * 7919 % 5000, None if i % 100 == 0 else "en" if i % 10 else "de", f"s{i % 3}") for i in range(5000)]
+    d = stored(spark, tmp_path, "documents", docs, "doc_id long, lang string, source string")
+    for name, group in (("round_robin", 2), ("permute_labels", 1)):
+        df = registry.QUERIES[name](spark, d)
+        assert "_range" in plan(df)
+        rows = df.collect()
+        if name == "round_robin":
+            want = [(g, i, n) for g in ("s0", "s1", "s2") for n, i in enumerate(sorted(x[0] for x in docs if x[group] == g), 1)]
+            assert sorted((r.source, r.doc_id, r.position) for r in rows) == sorted(want)
+        else:
+            want = []
+            for g in ("en", "de"):
+                here = sorted(x for x in docs if x[group] == g)
+                dealt = sorted(here, key=lambda x: (hashlib.sha256(f"z|{x[0]}".encode()).hexdigest()[:8], x[0]))
+                want += [(g, a[0], a[2], b[2]) for a, b in zip(here, dealt)]
+            assert sorted((r.lang, r.doc_id, r.source, r.permuted) for r in rows) == sorted(want)
+
+
+def test_epoch_divergence_holds_no_group(spark, tmp_path):
+    start = datetime.datetime(2020, 1, 1)
+    rows = [(i, start + datetime.timedelta(minutes=i * 37 % 500), i % 3 if i % 2 else 0, None if i % 3 == 2 or i % 7 == 0 else float(i * 31 % 17)) for i in range(600)]
+    d = stored(spark, tmp_path, "events", rows, "event_id long, ts timestamp_ntz, user_id long, value double")
+    df = registry.QUERIES["epoch_divergence"](spark, d)
+    want = {}
+    for u in {r[2] for r in rows}:
+        v = [r[3] for r in sorted((r for r in rows if r[2] == u), key=lambda r: (r[1], r[0]))]
+        some = [x for x in v if x is not None]
+        want[u] = (v.index(max(some)) + 1 if some else None, len(v))
+    assert {r.user_id: (r.best_epoch, r.epochs) for r in df.collect()} == want
+    assert "collect_list" not in plan(df)
+
+
+def test_job_step_takes_rows_in_any_order_and_chunks():
+    rng = random.Random(3)
+    for _ in range(50):
+        rows = [(1, pd.Timestamp(rng.randint(0, 20) * 10**9), i, rng.choice(["error", "error", "view", "purchase", "click"][: rng.randint(2, 5)])) for i in range(rng.randint(1, 25))]
+        status, attempts = "pending", 0
+        for r in sorted(rows, key=lambda r: (r[1], r[2])):
+            if status == "pending" and r[3] == "purchase":
+                status = "delivered"
+            elif status == "pending" and r[3] == "error":
+                attempts += 1
+                status = "failed" if attempts == jobs.MOST_ATTEMPTS else status
+        rng.shuffle(rows)
+        chunks = (pd.DataFrame(rows[i : i + 4], columns=["user_id", "ts", "event_id", "event_type"]) for i in range(0, len(rows), 4))
+        (got,) = jobs._job_step((1,), chunks, SimpleNamespace(exists=False, update=lambda s: None))
+        assert (got["status"][0], got["attempts"][0]) == (status, attempts)
+
+
+def test_lockouts_folds_ranges_of_one_user_over_batches(spark, tmp_path, monkeypatch):
+    start = datetime.datetime(2020, 1, 1)
+    for part in range(3):
+        rows = [(part * 1000 + i, start + datetime.timedelta(days=part, seconds=i * 37 % 1000), 7 if i % 4 else i % 5, "signup" if i * 37 % 1000 % 301 == 300 else "error" if i % 9 else "view") for i in range(1000)]
+        spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    stream = lambda spark, d: spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parquet")
+    monkeypatch.setattr(jobs, "events", stream)
+    got = {r.user_id: r.worst for r in jobs.lockouts(spark, str(tmp_path)).collect()}
+    want, run = {}, {}
+    for r in sorted(spark.read.parquet(f"{tmp_path}/events.parquet").collect(), key=lambda r: (r.ts, r.event_id)):
+        run[r.user_id] = 0 if r.event_type == "signup" else run.get(r.user_id, 0) + (r.event_type == "error")
+        want[r.user_id] = max(want.get(r.user_id, 0), run[r.user_id])
+    assert got == want
