@@ -54,7 +54,9 @@ def label_vectors(parts: DataFrame, fragments: DataFrame, signals: list[str]) ->
         F.every(own | F.array_contains("null_on", F.col("signal"))).alias("declared"), F.max(F.when(own, F.col("asserts"))).alias("value"), F.min(F.when(own, F.col("asserts"))).alias("least")
     )
     sound = F.when(F.col("value") != F.col("least"), F.raise_error(F.lit("two fragments assert a signal differently")).cast("boolean")).otherwise(F.col("value"))
-    entries = F.filter(F.array_sort(F.collect_list(F.when(F.col("declared"), F.struct("signal", sound.alias("value"))))), lambda e: e.isNotNull())
+    # Soundness is looked at for masked signals too.
+    every = F.array_sort(F.collect_list(F.struct("signal", sound.alias("value"), "declared")))
+    entries = F.transform(F.filter(every, lambda e: e["declared"]), lambda e: F.struct(e["signal"], e["value"]))
     return per.groupBy("example_id").agg(F.map_from_entries(entries).alias("labels"))
 
 

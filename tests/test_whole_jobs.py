@@ -7,9 +7,11 @@ import random
 from types import SimpleNamespace
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from strandmill.functions import text as X
+from strandmill.operators.dataset import label_vectors
 from strandmill.operators.lint import near_duplicates
 from strandmill.plans import registry
 from strandmill.streaming import jobs
@@ -143,3 +145,16 @@ def test_lockouts_folds_ranges_of_one_user_over_batches(spark, tmp_path, monkeyp
         run[r.user_id] = 0 if r.event_type == "signup" else run.get(r.user_id, 0) + (r.event_type == "error")
         want[r.user_id] = max(want.get(r.user_id, 0), run[r.user_id])
     assert got == want
+
+
+def test_label_vectors_merge_fragments_and_refuse_conflicts(spark):
+    fragments = spark.createDataFrame([(1, "a", True, ["b"]), (2, "a", True, ["b"]), (3, "b", False, ["a"]), (4, None, None, ["a", "b"]), (5, None, None, ["a"]), (6, "a", False, ["b"])], "fragment_id long, signal_key string, asserts boolean, null_on array<string>")
+    parts = lambda rows: spark.createDataFrame(rows, "example_id long, fragment_id long")
+    got = {r.example_id: r.labels for r in label_vectors(parts([(10, 1), (10, 2), (10, 3), (11, 3), (11, 4), (12, 1), (12, 5), (13, 4)]), fragments, ["a", "b"]).collect()}
+    assert got == {10: {"a": True, "b": False}, 11: {"a": None, "b": False}, 12: {"a": True}, 13: {"a": None, "b": None}}
+    for clash in ([(1, 1), (1, 6)], [(1, 1), (1, 6), (1, 5)]):
+        with pytest.raises(Exception, match="differently"):
+            label_vectors(parts(clash), fragments, ["a", "b"]).collect()
+    masked = fragments.withColumn("null_on", F.when(F.col("fragment_id") == 4, F.array(F.lit("b"))).otherwise(F.col("null_on")))
+    with pytest.raises(Exception, match="differently"):
+        label_vectors(parts([(1, 1), (1, 6), (1, 4)]), masked, ["a", "b"]).collect()
