@@ -182,23 +182,29 @@ def _drop_space(text: str, rng: random.Random, frozen: frozenset[str]) -> str |
     return " ".join([*words[:i], words[i] + words[i + 1], *words[i + 2 :]])
 
 
-def numbered(df: DataFrame, group: str, order: list[Column], number: str) -> DataFrame:
-    """One-based gapless numbers within each group by ``order``; a large group is numbered by many tasks.
+def running_sum(df: DataFrame, group: str, order: list[Column], value: Column, total: str) -> DataFrame:
+    """``total``: the sum of ``value`` over the rows of the group up to this one by ``order``; many tasks share a large group.
 
-    Rows are dealt to ranges of (group, order), numbered inside their range, and shifted by the
-    group's rows in the ranges before.
+    Rows are dealt to ranges of (group, order), summed inside their range, and shifted by the
+    group's sum in the ranges before. Orders without ties give the same sums every time.
     """
     keys = [f"_key{i}" for i in range(len(order))]
-    ranged = df.withColumns(dict(zip(keys, order))).repartitionByRange(group, *keys).withColumn("_range", F.spark_partition_id())
+    ranged = df.withColumns(dict(zip(keys, order)) | {"_value": value}).repartitionByRange(group, *keys).withColumn("_range", F.spark_partition_id())
     ranged = written(ranged, "ranges")
     before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = ranged.groupBy(group, "_range").agg(F.count("*").alias("_n"))
-    offsets = counts.select(F.col(group).alias("_group"), F.col("_range").alias("_at"), F.sum("_n").over(before).alias("_offset"))
-    # Of the groups in a range, the first alone can have begun before it.
-    offsets = F.broadcast(offsets.where("_offset > 0"))
-    placed = ranged.withColumn("_place", F.row_number().over(Window.partitionBy(group, "_range").orderBy(*keys)))
+    sums = ranged.groupBy(group, "_range").agg(F.sum("_value").alias("_n"))
+    offsets = sums.select(F.col(group).alias("_group"), F.col("_range").alias("_at"), F.sum("_n").over(before).alias("_offset"))
+    # Of the groups in a range, the first alone can have begun before it: one row a range at most.
+    offsets = F.broadcast(offsets.where("_offset is not null"))
+    inside = Window.partitionBy(group, "_range").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.withColumn("_place", F.sum("_value").over(inside))
     met = placed.join(offsets, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_at")), "left")
-    return met.withColumn(number, F.coalesce("_offset", F.lit(0)) + F.col("_place")).select(*df.columns, number)
+    return met.withColumn(total, F.coalesce("_offset", F.lit(0)) + F.col("_place")).select(*df.columns, total)
+
+
+def numbered(df: DataFrame, group: str, order: list[Column], number: str) -> DataFrame:
+    """One-based gapless numbers within each group by ``order``; a large group is numbered by many tasks."""
+    return running_sum(df, group, order, F.lit(1).cast("long"), number)
 
 
 def round_robin(df: DataFrame, group: str, order: list[str]) -> DataFrame:
