@@ -1,26 +1,33 @@
-"""Near-duplicate vectors by collision counting over one-dimensional projections.
+"""Near-duplicate vectors by collision counting over sorted one-dimensional projections.
 
 Equal vectors collapse first. Unit vectors are projected on seeded Gaussian directions. Two vectors
-at cosine ``least`` are ``r = sqrt(2 - 2 * least)`` apart, so each projection moves them apart by a
-normal deviate of scale r; a window of ``WINDOW`` such scales around a query's projection holds its
-partner with known probability. The number of windows out of ``COUNTED`` that a pair must share is
-calibrated from the binomial law to lose at most ``1 - RECALL`` of the pairs at exactly the limit.
-
-Sorting one projection brings a fixed share of all vectors into every window, so pairs are met in
-runs of several sorted projections at once: a table cuts ``depth`` projections, at random shifts,
-into intervals, and vectors that lie in the same interval of all of them form a cell. The depth grows
-with the logarithm of the number of vectors, so cells stay small, and the number of tables follows
-from the recall that is wanted. In a cell, window collisions are counted for every pair; pairs that
-pass are verified with their cosine in double precision. A pair is counted in the first table where
-it shares a cell and nowhere else, so links are counted per vector without ever shipping pairs.
-
-Large cells are split into blocks, and every pair of blocks is a task of bounded size. No cell, block
-or candidate is capped.
+at cosine ``least`` are ``r = sqrt(2 - 2 * least)`` apart, so a projection moves them apart by a
+normal deviate of scale r, and a window of ``WINDOW`` such scales to both sides of a query's
+projection holds its partner with known probability.
+
+* Vectors of one label are sorted by a projection and cut at the median into two runs that overlap by
+  one window, so that a pair whose windows collide at the cut stays together; each run is sorted by
+  the next projection, and so on, until runs are short or all lie within one window. The upper cuts
+  are made before vectors are dealt to tasks, at medians of a bounded sample of ``SAMPLE`` vectors,
+  and only where a label has more than ``RUN`` vectors; the others are made inside the tasks. A vector
+  is therefore stored once, plus once for every upper cut it lies close to, about a fifth each.
+* Within a run, the first of ``COUNTED`` more projections is sorted, and the rows in each query's
+  window are counted over the windows of all of them. Pairs that share a count calibrated from the
+  binomial law (it loses at most ``1 - RECALL`` of the pairs at exactly the limit) are verified with
+  their cosine in double precision.
+
+A pair may meet in several runs. It counts in the leftmost: each row notes at which cuts it went both
+ways, and a pair that went both ways together is left to the left run. So links are counted per vector
+without shipping pairs. Runs longer than ``RUN`` (crowded places, which no cut divides) are split into
+blocks, and every two blocks are a task of bounded size. No run, block or candidate is capped.
+
+A pair is lost where a cut falls between it and it lies more than a window apart in that projection:
+at most one in a hundred pairs at exactly the limit per cut, far fewer of the closer ones.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components, and
 vectors with a null label, link with nothing; so do vectors of different lengths. Repeated rows link
-with each other. A null id is ignored when the smallest id of a component is chosen. An empty table
-gives an empty result; other columns are not read.
+with each other. A null id is ignored when the smallest id of a component is chosen, and a row of a
+component without ids has none. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,29 +40,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandmill.llm.graph import components
+from strandmill.llm.graph import components, join_unique
 from strandmill.sources.shared import written
 
+#: Half a window, in units of r.
 WINDOW = 2.5
 COUNTED = 16
 RECALL = 0.995
-#: Interval width in units of r; chance that two random unit vectors share an interval of that width is estimated for unit spread.
-WIDTH = 5.0
-BLOCK = 1024
-
-
-def share_interval(scale: float, width: float) -> float:
-    """Chance that two points a normal deviate of ``scale`` apart share a randomly shifted interval."""
-    x = np.abs(np.linspace(-6, 6, 2401)) * scale
-    weight = np.exp(-(np.linspace(-6, 6, 2401) ** 2) / 2)
-    return float((np.maximum(0, 1 - x / width) * weight).sum() / weight.sum())
-
-
-def plan(vectors: int, r: float, recall: float = RECALL) -> tuple[int, int]:
-    """(depth, tables): cells of unrelated vectors hold about one, and tables reach ``recall`` at the limit."""
-    near, far = share_interval(r, WIDTH * r), share_interval(math.sqrt(2), WIDTH * r)
-    depth = max(1, min(24, math.ceil(math.log(max(2, vectors) / 4) / -math.log(far))))
-    return depth, max(1, math.ceil(math.log(1 - recall) / math.log(1 - near**depth)))
+#: Most vectors of a run or block that a task gets, about, and length from which tasks cut runs on.
+RUN = 1 << 13
+SHORT = 512
+SAMPLE = 1 << 16
+#: Directions to sort by: at most this many cuts above the tasks, and in them.
+UPPER, LOWER = 12, 16
 
 
 def least_collisions(recall: float = RECALL) -> int:
@@ -72,120 +69,176 @@ def directions(dim: int, count: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, count))
 
 
-def distinct_vectors(rows: DataFrame) -> DataFrame:
-    """Stored (node, label, vector, copies) of the vectors that can link; ``rows`` has rid, label, vector."""
-    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    sound = F.col("label").isNotNull() & F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    usable = rows.where(sound).where(F.coalesce(norm, F.lit(0.0)) > 0)
-    return written(usable.groupBy("label", "vector").agg(F.min("rid").alias("node"), F.count("*").alias("copies")), "vectors")
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
 
+def usable(label: str = "label", vector: str = "vector"):
+    """Whether a row can link."""
+    norm = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    sound = F.col(label).isNotNull() & F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.coalesce(sound & (F.coalesce(norm, F.lit(0.0)) > 0), F.lit(False))
 
-def cells_of(vectors: DataFrame, depth: int, tables: int, r: float, seed: int) -> DataFrame:
-    """(cell, turn, node, copies, vector, cells): one row per vector and table; cells are hashes over label, length and intervals."""
+
+def distinct_vectors(rows: DataFrame) -> DataFrame:
+    """Stored (label, h1, h2, node, vector, copies, least_id) of the vectors of ``rows`` (id, label, vector, h1, h2): one row per label and 128-bit hash."""
+    merged = rows.groupBy("label", "h1", "h2").agg(F.any_value("vector").alias("vector"), F.count("*").alias("copies"), F.min("id").alias("least_id"))
+    return written(merged.withColumn("node", F.monotonically_increasing_id()), "vectors")
+
+
+def upper_cuts(vectors: DataFrame, most: int, seed: int) -> np.ndarray:
+    """Cut values of a heap-ordered tree (index 1 is the root), from a bounded sample; of size 1 where no label exceeds ``RUN``."""
+    depth = min(UPPER, max(0, math.ceil(math.log2(max(1, most) / RUN))))
+    if not depth:
+        return np.zeros(1)
+    total = vectors.count()
+    share = min(1.0, SAMPLE / total)
+    sample = vectors.where(F.pmod(F.xxhash64("node", F.lit(19)), F.lit(1_000_003)) < int(1_000_003 * share)).select("vector").toArrow().column("vector").combine_chunks()
+    lengths = np.diff(sample.offsets.to_numpy())
+    places = np.concatenate([_unit(_matrix(sample.filter(pa.array(lengths == d)), int(d))) @ directions(int(d), UPPER, seed) for d in np.unique(lengths)]) if len(lengths) else np.zeros((1, UPPER))
+    cuts, at = np.zeros(1 << depth), np.ones(len(places), np.int64)
+    for level in range(depth):
+        for node in range(1 << level, 2 << level):
+            own = at == node
+            cuts[node] = np.median(places[own, level]) if own.any() else 0.0
+        at = 2 * at + (places[:, level] > cuts[at])
+    return cuts
+
+
+def split(place: np.ndarray, cut: np.ndarray | float, half: float) -> tuple[np.ndarray, np.ndarray]:
+    """(goes left, goes right): two runs that share what lies within half a window of the cut, so that pairs up to a window apart stay together."""
+    return place <= cut + half / 2, place >= cut - half / 2
+
+
+def placed_vectors(vectors: DataFrame, cuts: np.ndarray, half: float, seed: int) -> DataFrame:
+    """(label, dim, leaf, both, node, copies, vector): a row per upper run that a vector lies in; ``both`` has a bit per cut at which it also went left."""
+    shared = vectors.sparkSession.sparkContext.broadcast(cuts)
+    depth = len(cuts).bit_length() - 1
 
     def run(batches):
-        rng = np.random.default_rng(seed)
-        shift = rng.uniform(0, WIDTH * r, depth * tables)
-        odd = rng.integers(1, 1 << 62, depth, dtype=np.int64) * 2 + 1
+        cuts = shared.value
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                column = part.column(2)
-                lengths = np.diff(column.offsets.to_numpy())
+            for at in range(0, len(batch), 4096):
+                part = batch.slice(at, 4096)
+                lengths = np.diff(part.column(3).offsets.to_numpy())
                 for dim in np.unique(lengths):
                     own = part.filter(pa.array(lengths == dim))
-                    x = own.column(2).flatten().to_numpy().astype(np.float64).reshape(-1, dim)
-                    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    steps = np.floor((unit @ directions(int(dim), depth * tables, seed) + shift) / (WIDTH * r)).astype(np.int64).reshape(len(x), tables, depth)
-                    base = own.column(1).to_numpy() * np.int64(1_000_003) + np.int64(dim)
-                    with np.errstate(over="ignore"):
-                        cells = (steps * odd).sum(axis=2) * np.int64(31) + base[:, None] + np.arange(tables) * np.int64(0x51ED2701A2B3)
-                        cells = cells ^ (cells >> np.int64(29))
-                    rows = np.arange(len(x)).repeat(tables)
-                    lists = pa.FixedSizeListArray.from_arrays(pa.array(cells.ravel()), tables).cast(pa.list_(pa.int64()))
-                    take = pa.array(rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(cells.ravel()), pa.array(np.tile(np.arange(tables, dtype=np.int32), len(x))), own.column(0).take(take), own.column(3).take(take), own.column(2).take(take), lists.take(take)],
-                        names=["cell", "turn", "node", "copies", "vector", "cells"],
-                    )
-
-    labelled = vectors.select("node", F.xxhash64("label").alias("label"), "vector", "copies")
-    schema = T.StructType([T.StructField("cell", T.LongType()), T.StructField("turn", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("vector", vectors.schema["vector"].dataType), T.StructField("cells", T.ArrayType(T.LongType()))])
+                    row, node, both = np.arange(len(own)), np.ones(len(own), np.int64), np.zeros(len(own), np.int64)
+                    if depth:
+                        places = _unit(_matrix(own.column(3), int(dim))) @ directions(int(dim), UPPER, seed)
+                        for level in range(depth):
+                            left, right = split(places[row, level], cuts[node], half)
+                            node, both, row = np.r_[2 * node[left], 2 * node[right] + 1], np.r_[2 * both[left], 2 * both[right] + left[right]], np.r_[row[left], row[right]]
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([own.column(0).take(take), pa.array(np.full(len(row), dim, np.int32)), pa.array(node), pa.array(both), *(own.column(i).take(take) for i in (1, 2, 3))], names=["label", "dim", "leaf", "both", "node", "copies", "vector"])
+
+    labelled = vectors.select(F.xxhash64("label").alias("label"), "node", "copies", "vector")
+    schema = T.StructType([T.StructField("label", T.LongType()), T.StructField("dim", T.IntegerType()), *(T.StructField(n, T.LongType()) for n in ("leaf", "both", "node", "copies")), T.StructField("vector", vectors.schema["vector"].dataType)])
     return labelled.mapInArrow(run, schema)
 
 
 def blocks_of(placed: DataFrame) -> DataFrame:
-    """Rows with the key of their task: (cell, low, high, block); lone vectors are left out, large cells are cut into pairs of blocks."""
-    sizes = placed.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
-    counted = placed.join(sizes, "cell").withColumn("pieces", F.ceil(F.col("size") / F.lit(BLOCK)).cast("int"))
+    """Rows with the key of their task: label, dim, leaf, low, high; lone vectors are left out, long runs are cut into pairs of blocks."""
+    sizes = placed.groupBy("label", "dim", "leaf").agg(F.count("*").alias("size")).where("size > 1")
+    counted = placed.join(sizes, ["label", "dim", "leaf"]).withColumn("pieces", F.ceil(F.col("size") / F.lit(RUN)).cast("int"))
     counted = counted.withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("pieces")).cast("int"))
     spread = counted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    return spread.select("cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "turn", "node", "copies", "vector", "cells")
-
-
-def linked_in_blocks(blocks: DataFrame, least: float, r: float, seed: int) -> DataFrame:
-    """Stored (node, links, root): partial link counts, and a smaller node that it is connected with."""
-    needed, half = least_collisions(), WINDOW * r
-    key = ["cell", "low", "high"]
+    return spread.select("label", "dim", "leaf", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "both", "node", "copies", "vector")
+
+
+class Run:
+    """The vectors of a task's key: their projections, and what is known of their links so far."""
+
+    def __init__(self, x: np.ndarray, copies: np.ndarray, both: np.ndarray, block: np.ndarray, least: float, half: float, seed: int):
+        self.x, self.copies, self.both, self.block, self.least, self.half = x, copies, both, block, least, half
+        self.norms = np.linalg.norm(x, axis=1)
+        walk = (x / self.norms[:, None]) @ directions(x.shape[1], LOWER + COUNTED, seed + 1)
+        self.sorters, self.walk = walk[:, :LOWER], walk[:, LOWER:].astype(np.float32)
+        self.needed, self.two_blocks = least_collisions(), len(np.unique(block)) > 1
+        self.links, self.root = np.zeros(len(x), np.int64), np.arange(len(x))
+
+    def solve(self) -> None:
+        """Cut the run on until pieces are short, and compare each of them."""
+        todo = [(np.arange(len(self.x)), np.zeros(len(self.x), np.int64), 0)]
+        while todo:
+            rows, both, level = todo.pop()
+            if len(rows) > SHORT and level < LOWER:
+                place = self.sorters[rows, level]
+                order = np.argsort(place, kind="stable")
+                rows, both, place = rows[order], both[order], place[order]
+                left, right = split(place, place[len(place) // 2], self.half)
+                if max(left.sum(), right.sum()) <= 0.8 * len(rows):
+                    todo += [(rows[left], 2 * both[left], level + 1), (rows[right], 2 * both[right] + left[right], level + 1)]
+                    continue
+            self.compare(rows, both)
+
+    def compare(self, rows: np.ndarray, both: np.ndarray, tall: int = 64, wide: int = 2048) -> None:
+        """Count window collisions of the sorted rows, and verify the pairs that pass."""
+        order = np.argsort(self.walk[rows, 0], kind="stable")
+        rows, both = rows[order], both[order]
+        w = np.ascontiguousarray(self.walk[rows].T)
+        half = np.float32(self.half)
+        end = np.searchsorted(w[0], w[0] + half, "right")
+        for a in range(0, len(rows), tall):
+            b = min(a + tall, len(rows))
+            for c in range(a, int(end[b - 1]), wide):
+                d = min(c + wide, int(end[b - 1]))
+                met = np.zeros((b - a, d - c), np.uint8)
+                for line in w:
+                    met += np.abs(line[a:b, None] - line[None, c:d]) <= half
+                i, j = np.nonzero(met >= self.needed)
+                i, j = i + a, j + c
+                keep = (j > i) & (both[i] & both[j] == 0)
+                i, j = rows[i[keep]], rows[j[keep]]
+                keep = self.both[i] & self.both[j] == 0
+                if self.two_blocks:
+                    keep &= self.block[i] != self.block[j]
+                i, j = i[keep], j[keep]
+                for at in range(0, len(i), 1 << 15):
+                    self.verify(i[at : at + (1 << 15)], j[at : at + (1 << 15)])
+
+    def verify(self, i: np.ndarray, j: np.ndarray) -> None:
+        close = np.einsum("ij,ij->i", self.x[i], self.x[j]) >= self.least * self.norms[i] * self.norms[j]
+        i, j = i[close], j[close]
+        np.add.at(self.links, i, self.copies[j])
+        np.add.at(self.links, j, self.copies[i])
+        while True:  # hang the larger root below the smaller one, then shorten, until both ends agree
+            p, q = self.root[i], self.root[j]
+            apart = p != q
+            if not apart.any():
+                return
+            np.minimum.at(self.root, np.maximum(p, q)[apart], np.minimum(p, q)[apart])
+            while not np.array_equal(self.root, short := self.root[self.root]):
+                self.root = short
+
+
+def linked_in_blocks(blocks: DataFrame, least: float, half: float, seed: int) -> DataFrame:
+    """Stored (node, links, root): partial link counts, and a node that it is connected with."""
+    key = ["label", "dim", "leaf", "low", "high"]
     ordered = blocks.repartition(*key).sortWithinPartitions(*key, "node")
 
     def solve(table: pa.Table):
-        node, copies = table.column("node").to_numpy(), table.column("copies").to_numpy()
+        """One batch of results from whole groups."""
         keys = [table.column(c).to_numpy() for c in key]
-        block, turn = table.column("block").to_numpy(), table.column("turn").to_numpy()
-        low, high = keys[1], keys[2]
-        vectors = table.column("vector").combine_chunks()
-        lengths = np.diff(vectors.offsets.to_numpy())
-        cells_list = table.column("cells").combine_chunks()
-        cells = cells_list.flatten().to_numpy().reshape(len(node), -1)
-        dim = int(lengths.max())
-        x = np.zeros((len(node), dim))
-        for d in np.unique(lengths):
-            at = np.flatnonzero(lengths == d)
-            x[at, :d] = vectors.take(pa.array(at)).flatten().to_numpy().reshape(-1, d)
-        norms = np.linalg.norm(x, axis=1)
-        walk = np.zeros((len(node), COUNTED))
-        for d in np.unique(lengths):
-            at = np.flatnonzero(lengths == d)
-            walk[at] = (x[at, :d] / norms[at, None]) @ directions(int(d), COUNTED, seed + 1)
-        counts: dict[int, int] = {}
-        left, right = [], []
-        i, step = np.arange(len(node)), 1
-        while len(i := i[i + step < len(node)]):
-            i = i[np.all([k[i] == k[i + step] for k in keys], axis=0)]
-            a, b = i, i + step
-            fits = (low[a] == high[a]) | (block[a] != block[b])
-            a, b = a[fits], b[fits]
-            if len(a):
-                # Count a pair in the first table where its cells agree.
-                earlier = (cells[a] == cells[b]) & (np.arange(cells.shape[1]) < turn[a][:, None])
-                fresh = ~earlier.any(axis=1) & (lengths[a] == lengths[b])
-                a, b = a[fresh], b[fresh]
-                met = (np.abs(walk[a] - walk[b]) <= half).sum(axis=1) >= needed
-                a, b = a[met], b[met]
-                close = np.einsum("ij,ij->i", x[a], x[b]) >= least * norms[a] * norms[b]
-                left.append(a[close])
-                right.append(b[close])
-            step += 1
-        if not left:
-            return None
-        a, b = np.concatenate(left), np.concatenate(right)
-        if not len(a):
-            return None
-        names, place = np.unique(node, return_inverse=True)
-        links = np.bincount(place[a], copies[b], len(names)) + np.bincount(place[b], copies[a], len(names))
-        root = np.arange(len(names))
-        p, q = place[a], place[b]
-        while True:  # point at the smallest neighbour, then shorten, until nothing moves
-            before = root.copy()
-            least_root = np.minimum(root[p], root[q])
-            np.minimum.at(root, p, least_root)
-            np.minimum.at(root, q, least_root)
-            root = root[root]
-            if np.array_equal(before, root):
-                break
-        at = np.flatnonzero(links)
-        return pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(links[at].astype(np.int64)), pa.array(names[root[at]])], names=["node", "links", "root"])
+        first = np.flatnonzero(np.r_[True, np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+        out = []
+        for a, b in zip(first, np.r_[first[1:], len(table)]):
+            if b - a < 2:
+                continue
+            part = table.slice(a, b - a).combine_chunks()
+            both, node, copies, block = (part.column(c).to_numpy() for c in ("both", "node", "copies", "block"))
+            if keys[3][a] != keys[4][a] and len(np.unique(block)) < 2:
+                continue
+            run = Run(_matrix(part.column("vector").combine_chunks(), int(keys[1][a])), copies, both, block, least, half, seed)
+            run.solve()
+            if len(at := np.flatnonzero(run.links)):
+                out.append((node[at], run.links[at], node[run.root[at]]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["node", "links", "root"])
 
     def run(batches):
         tail = None
@@ -194,30 +247,34 @@ def linked_in_blocks(blocks: DataFrame, least: float, r: float, seed: int) -> Da
                 continue
             table = pa.Table.from_batches([batch]) if tail is None else pa.concat_tables([tail, pa.Table.from_batches([batch])])
             same = np.all([table.column(c).to_numpy() == table.column(c)[-1].as_py() for c in key], axis=0)
-            cut = int(np.argmax(same))
-            if cut and (out := solve(table.slice(0, cut).combine_chunks())) is not None:
-                yield out
-            tail = table.slice(cut).combine_chunks()
-        if tail is not None and (out := solve(tail)) is not None:
-            yield out
+            if cut := int(np.argmax(same)):
+                yield from solve(table.slice(0, cut))
+            tail = table.slice(cut)
+        if tail is not None:
+            yield from solve(tail)
 
     return written(ordered.mapInArrow(run, "node long, links long, root long"), "vector-links")
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, seed: int = 41) -> DataFrame:
     """One row per vector: id, n_links, component_id and kept; links join equal labels at cosine >= ``least``."""
-    rows = written(rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"), F.monotonically_increasing_id().alias("rid")), "vector-rows")
-    vectors = distinct_vectors(rows)
-    total = vectors.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    r = math.sqrt(2 - 2 * least)
-    depth, tables = plan(total, r)
-    placed = written(cells_of(vectors, depth, tables, r, seed), "vector-cells")
-    found = linked_in_blocks(blocks_of(placed), least, r, seed)
+    rows = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("vector"))
+    hashed = rows.withColumns({"h1": F.xxhash64("vector"), "h2": F.xxhash64(F.lit(7), "vector")})
+    vectors = distinct_vectors(hashed.where(usable()))
+    total, most = vectors.groupBy("label").agg(F.count("*").alias("n"), F.sum("copies").alias("rows")).agg(F.sum("rows"), F.max("n")).first()
+    half = WINDOW * math.sqrt(2 - 2 * least)
+    placed = placed_vectors(vectors, upper_cuts(vectors, most or 0, seed), half, seed)
+    found = linked_in_blocks(blocks_of(placed), least, half, seed)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    known = vectors.select("label", "vector", "node", "copies").join(links, "node", "left").join(roots, "node", "left")
-    known = known.select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
-    all_rows = rows.join(known, ["label", "vector"], "left").select("rid", "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("root", "rid").alias("root"))
-    least_id = all_rows.groupBy("root").agg(F.min("id").alias("component_id"))
-    out = all_rows.join(least_id, "root").select("id", "n_links", F.coalesce("component_id", "id").alias("component_id"))
+
+    # All that follows is settled per distinct vector; rows only look their vector up.
+    known = vectors.drop("vector").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = written(known.withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1).drop("links"), "vector-known")
+    groups = known.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("size"))
+    settled = join_unique(known, written(groups, "vector-groups"), ["root"], "size", total or 0)
+    settled = written(settled.select("label", "h1", "h2", "n_links", "component_id", "copies"), "vector-settled")
+    met = join_unique(hashed.where(usable()).select("id", "label", "h1", "h2"), settled, ["label", "h1", "h2"], "copies", total or 0)
+    alone = rows.where(~usable()).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    out = met.select("id", F.col("n_links").cast("long"), F.coalesce("component_id", "id").alias("component_id")).unionByName(alone)
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -1,4 +1,4 @@
-"""Connected components by contraction, in DataFrames."""
+"""Connected components by contraction, and joins to one row a key, in DataFrames."""
 
 from __future__ import annotations
 
@@ -31,3 +31,16 @@ def components(links: DataFrame) -> DataFrame:
     if roots is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots
+
+
+def join_unique(rows: DataFrame, known: DataFrame, keys: list[str], weight: str, total: int, share: int = 512) -> DataFrame:
+    """Inner join of ``rows`` to ``known``, which has one row a key and in ``weight`` how many of the ``total`` rows hold it.
+
+    Keys that hold more than one in ``share`` rows (fewer than ``share`` keys, whatever the size) are
+    broadcast, so that no key sends its rows to one task; the others are joined by shuffling. Both
+    inputs are read twice. ``weight`` is left out.
+    """
+    hot = F.broadcast(known.where(F.col(weight) * share > total))
+    cold = known.where(F.col(weight) * share <= total)
+    rest = rows.join(hot.select(*keys), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(rest.join(cold, keys)).drop(weight)

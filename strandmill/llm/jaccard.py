@@ -5,10 +5,12 @@ copies are never paired. Tokens (shingles) are ordered rare ones first, and a se
 any partner at the wanted Jaccard similarity must share something in it.
 
 * Rare tokens (document frequency up to T) are indexed alone, so their groups hold T texts at most.
-* Frequent tokens come last in the order. Sets below ``SINGLES_FROM`` tokens index pairs of them; a
-  pair of sets that shares no combination shares at most one frequent prefix token, so their prefix
-  is extended by one. Larger sets index frequent tokens alone (a prefix of thousands of tokens has
-  too many combinations). Sets near the bound index both ways, so that partners share one scheme.
+* Frequent tokens come last in the order and are indexed in pairs. They fall into g classes by hash,
+  and only tokens of one class are combined; the prefix is extended by g tokens. Partners that share
+  no rare token share g + 1 frequent ones of their prefixes, and two of these fall into one class, so
+  they share a pair. g grows with the prefix, which keeps the number of pairs linear in it, at every
+  set size. A pair of sets goes by the g of the smaller one; a set whose possible partners have
+  different g indexes its pairs under each (two or three).
 
 Document frequencies are exact counts over all texts. T is the smallest power of two, at least 16,
 for which at most ``MAX_FREQUENT`` tokens are frequent, which bounds what is broadcast.
@@ -21,6 +23,7 @@ each pair once, without emitting pairs. So no link between components is lost, w
 already connected are not compared again.
 
 Verification compares whole sets: ``100 * intersection >= percent * union``. Hashes have 64 bits.
+Components alone are computed: a candidate whose ends lie in one component already is not verified.
 
 Defined results: a null text or one without words has an empty set, linked with nothing; a text with
 fewer words than a shingle is one token; repeated rows and copies share a component; null ids are
@@ -35,15 +38,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmill.llm.graph import components
+from strandmill.llm.graph import components, join_unique
 from strandmill.sources.shared import written
 
 MAX_FREQUENT = 1 << 19
-SINGLES_FROM = 160
 SALTS = 64
+#: Texts that are verified against one other text in one task, about.
+SPREAD = 4096
 #: Sets in a block of a cluster, about.
 BLOCK = 1024
 LOW = np.uint64(0xFFFFFFFF)
@@ -143,15 +147,15 @@ def set_digest(tokens: np.ndarray) -> int:
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
-    """Stored (id, node, n) per row; node is the set's digest, null for empty sets."""
+    """Stored (id, body, node, n) per row; body hashes the text, node is the set's digest, null for empty sets."""
 
     def run(batches):
         for batch in batches:
-            found = [(set_digest(s) if len(s) else None, len(s)) for s in shingle_sets(batch.column(1), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], names=["id", "node", "n"])
+            found = [(set_digest(s) if len(s) else None, len(s)) for s in shingle_sets(batch.column(2), k)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x for x, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], names=["id", "body", "node", "n"])
 
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, node long, n long"
-    return written(docs.mapInArrow(run, schema), "jaccard-sets")
+    schema = f"id {docs.schema['id'].dataType.simpleString()}, body long, node long, n long"
+    return written(docs.select("id", F.xxhash64("text").alias("body"), "text").mapInArrow(run, schema), "jaccard-sets")
 
 
 def short_tokens(tokens: np.ndarray, parts: int) -> np.ndarray:
@@ -242,20 +246,33 @@ class Signer:
             return rare[:need], rare[:0]
         hot = df > 0
         common = tokens[hot][np.lexsort((tokens[hot], df[hot]))]
-        found = []
-        rest = need - len(rare)
-        if n >= SINGLES_FROM * self.percent // 100:
-            found.append(mixed(common[:rest] ^ np.uint64(0x5851F42D4C957F2D)))
-        if n < SINGLES_FROM:
-            prefix = common[: rest + 1]
-            a, b = np.triu_indices(len(prefix), 1)
-            if len(prefix) == 1:
-                # The whole set lies in the prefix; without a second token it can share one at most, so it needs this token alone.
-                found.append(mixed(prefix ^ np.uint64(0x2545F4914F6CDD1D)))
-            else:
-                low, high = np.minimum(prefix[a], prefix[b]), np.maximum(prefix[a], prefix[b])
-                found.append(mixed(mixed(low) + high))
-        return rare, np.concatenate(found)
+        rest, least = need - len(rare), (self.percent * n + 99) // 100
+        found = [mixed(common[:rest] ^ np.uint64(0x2545F4914F6CDD1D))] if least == 1 else []
+        classes = self.classes(least)
+        while True:
+            found.append(class_pairs(common[: rest + classes], classes))
+            if classes >= self.classes(n):
+                return rare, np.concatenate(found)
+            classes *= 2
+
+    def classes(self, n: int) -> int:
+        """Token classes for sets of n tokens: a power of two, about half the prefix, and fewer than the tokens that partners share."""
+        least = (self.percent * n + 99) // 100
+        return 1 << max(0, min((n - least + 1) // 2, least - 1).bit_length() - 1)
+
+
+def class_pairs(tokens: np.ndarray, classes: int) -> np.ndarray:
+    """A signature for every two tokens of one class."""
+    of = mixed(tokens) >> np.uint64(40) & np.uint64(classes - 1)
+    order = np.argsort(of, kind="stable")
+    tokens, of, found = tokens[order], of[order], []
+    for step in range(1, len(tokens)):
+        same = np.flatnonzero(of[step:] == of[:-step])
+        if not len(same):
+            break
+        a, b = tokens[same], tokens[same + step]
+        found.append(mixed(mixed(np.minimum(a, b)) + np.maximum(a, b) + np.uint64(classes)))
+    return np.concatenate(found) if found else tokens[:0]
 
 
 def signatures(docs: DataFrame, k: int, signer: Signer) -> DataFrame:
@@ -355,9 +372,16 @@ def texts_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame, k: int) -> Data
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Stored (a, b, common, joint, linked) for pairs (a, b)."""
-    left = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
-    both = left.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").select("a", "b", "a_text", "b_text")
+    """Stored (a, b, common, joint, linked) for pairs (a, b).
+
+    The text of a set with many partners is copied to several tasks, which share its partners.
+    """
+    many = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("salts")).where("salts > 1"), "jaccard-centres")
+    salted = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    centres = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")).join(many, "a", "left")
+    centres = centres.select("a", "a_text", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    left = salted.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
+    both = left.join(centres, ["a", "salt"]).select("a", "b", "a_text", "b_text")
 
     def run(batches):
         for whole in batches:
@@ -376,9 +400,8 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return written(both.mapInArrow(run, "a long, b long, common long, joint long, linked boolean"), "jaccard-verified")
 
 
-def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (smallest id reachable by links, itself included)."""
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def linked_sets(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(sets, roots) of ``docs`` (id, text): stored rows (id, body, node, n), and (node, root) of the sets that links connect with others."""
     sets = sets_of(docs, k)
     tokens = sets.agg(F.sum("n")).first()[0] or 0
     signed = signatures(docs, k, Signer(percent, *frequent_tokens(docs, k, tokens)))
@@ -402,11 +425,52 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     last = links_in_clusters(hot, stars, roots, texts, k, percent)
     if not last.isEmpty():
         roots = components(tried.where("linked").select("a", "b").unionByName(last))
+    return sets, roots
+
+
+def with_component(sets: DataFrame, roots: DataFrame, best: Column) -> DataFrame:
+    """The rows of ``sets`` that have words, with ``top``, the smallest ``best`` of their component.
+
+    Components are settled per distinct set; a set or component with many rows is never joined in one task.
+    """
+    worded = sets.where("node is not null")
+    nodes = worded.groupBy("node").agg(F.count("*").alias("copies"), F.min(best).alias("best"))
+    known = written(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "jaccard-known")
+    groups = written(known.groupBy("root").agg(F.min("best").alias("top"), F.count("*").alias("size")), "jaccard-groups")
+    sizes = known.agg(F.count("*"), F.sum("copies")).first()
+    settled = written(join_unique(known, groups, ["root"], "size", sizes[0]).select("node", "copies", "top"), "jaccard-settled")
+    return join_unique(worded, settled, ["node"], "copies", sizes[1] or 0)
 
-    placed = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = placed.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
-    found = placed.join(least, "root", "left")
-    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+
+def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 85) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id (smallest id reachable by links, itself included)."""
+    sets, roots = linked_sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), k, percent)
+    found = with_component(sets, roots, F.col("id")).select("id", "n", "top")
+    alone = sets.where("node is null").select("id", "n", F.col("id").alias("top"))
+    return found.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("top", "id").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component of linked texts, columns unchanged.
+
+    The row with the smallest id stays (null ids come last, ties go by the text's hash); of rows with
+    equal id and text exactly one. Rows are told apart by id and text, so that a row whose id
+    another text shares is never dropped with it. Rows without words all stay. ``docs`` is read several
+    times and need not come in the same order or partitions each time.
+    """
+    names = docs.columns
+    sets, roots = linked_sets(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), k, percent)
+    placed = with_component(sets, roots, F.struct(F.col("id").isNull().alias("late"), "id", "body"))
+    placed = placed.select("id", "body", (F.col("id").eqNullSafe(F.col("top.id")) & (F.col("body") == F.col("top.body"))).alias("stays"))
+    marks = written(placed.groupBy("id", "body", "stays").agg(F.count("*").alias("times")).where("not stays or times > 1"), "jaccard-marks")
+    lost, repeated = marks.where("not stays").select("id", "body"), marks.where("stays").select("id", "body")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("body"))
+    without = lambda rows, gone: rows.alias("r").join(gone.alias("g"), F.col("r.id").eqNullSafe(F.col("g.id")) & (F.col("r.body") == F.col("g.body")), "left_anti")
+    kept = without(rows, lost)
+    if repeated.isEmpty():
+        return kept.select("row.*")
+    several = rows.alias("r").join(repeated.alias("g"), F.col("r.id").eqNullSafe(F.col("g.id")) & (F.col("r.body") == F.col("g.body")), "left_semi")
+    return without(kept, repeated).select("row.*").unionByName(several.groupBy("id", "body").agg(F.any_value("row").alias("row")).select("row.*"))
 
 
 def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:

@@ -7,26 +7,34 @@ met otherwise. Pattern-source arcs follow membership, and each source drains at
 solved flow gives the words that each pattern delivers; documents of the pattern are then taken in
 seeded order: whole passes first, then documents up to the remaining words, the last one in part.
 
-Only pattern and source totals reach the driver. Their number is bounded by ``max_patterns`` (more
-raise an error), not by the documents. Running sums are split by hash range: bucket totals first,
-then the documents of the one bucket per pattern that holds the boundary.
-
-Defined results: a null text has size 0; a null source is a source of its own, last in order; an
-empty document is taken with 0 words; an empty table gives an empty result; repeated rows are
-documents of their own (equal ids share a seed; ties in stored order).
+Patterns, sources, targets and flows are DataFrames of any length. Targets come from one water level
+that a few aggregations find. Patterns and sources that are connected form one flow problem, solved
+in one task; where no document has two sources, every source is a problem of its own. Running sums
+over a pattern's documents are split by ranges of the seeded order.
+
+Defined results: a null text has size 0; a null source is a source of its own, last in order; a null
+membership is an empty one; a document without words or sources is taken with 0 words; an empty
+table gives an empty result; repeated rows are documents of their own. The seeded order goes by id
+and text, so rows with null or repeated ids differ in it unless their texts are equal too, and then
+any of them may be the one that is taken. Very long texts are only counted and hashed. Other columns
+are not read by ``mix_sources`` and kept by ``mixed_documents``, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandmill.llm.graph import components, join_unique
+from strandmill.operators.dataset import numbered, running_sum
 from strandmill.sources.shared import written
 
 WORD = r"[^\x20\x09-\x0D]+"
-BUCKETS = 1024
+#: Most patterns that are broadcast to the documents; more are joined by shuffling.
+SMALL = 20_000
 
 
 def word_count(text: str | Column) -> Column:
@@ -35,27 +43,28 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(col, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def cycled_weights(sources: list, cycle=(5, 2, 1)) -> dict:
-    """Weights by code point order, null last, repeating ``cycle``."""
-    ordered = sorted((s for s in sources if s is not None)) + [None] * (None in sources)
-    return {s: cycle[i % len(cycle)] for i, s in enumerate(ordered)}
+def cycled_weights(sources: DataFrame, cycle=(5, 2, 1)) -> DataFrame:
+    """``sources`` with a weight: by code point order, null last, repeating ``cycle``."""
+    placed = numbered(sources.withColumn("_all", F.lit(0)), "_all", [F.col("source").isNull(), F.col("source")], "_place").drop("_all")
+    weight = F.element_at(F.array(*map(F.lit, map(float, cycle))), ((F.col("_place") - 1) % len(cycle) + 1).cast("int"))
+    return placed.withColumn("weight", weight).drop("_place")
+
 
+def capped_targets(sources: DataFrame, total: float, cap: float) -> DataFrame:
+    """``sources`` (stored; source, size, weight) with target: ``total`` split by weight; no share exceeds ``cap`` times its source's size, and what is above is shared again by weight.
 
-def capped_targets(sizes: dict, weights: dict, total: float, cap: float) -> dict:
-    """Split ``total`` by weight; no share exceeds ``cap`` times its source's size, and what is above is shared again by weight."""
-    targets, open_ = {}, [s for s in sizes if weights[s] > 0]
-    left = float(total)
-    while open_:
-        per_weight = left / sum(weights[s] for s in open_)
-        full = [s for s in open_ if per_weight * weights[s] > cap * sizes[s]]
-        if not full:
-            targets |= {s: per_weight * weights[s] for s in open_}
+    Every target is the smaller of its cap and the level times its weight. The level only rises from
+    round to round, so one number is all that rounds pass on.
+    """
+    sources = sources.withColumn("most", F.lit(float(cap)) * F.col("size"))
+    level, full = 0.0, -1
+    while True:
+        closed = F.col("most") < F.col("weight") * F.lit(level)
+        open_weight, capped, now = sources.where("weight > 0").agg(F.sum(F.when(~closed, F.col("weight"))), F.sum(F.when(closed, F.col("most"))), F.count_if(closed)).first()
+        if not open_weight or now == full:
             break
-        for s in full:
-            targets[s] = float(cap * sizes[s])
-        left -= sum(targets[s] for s in full)
-        open_ = [s for s in open_ if s not in set(full)]
-    return {s: targets.get(s, 0.0) for s in sizes}
+        level, full = (total - (capped or 0.0)) / open_weight, now
+    return sources.withColumn("target", F.when(F.col("weight") > 0, F.least("most", F.col("weight") * F.lit(level))).otherwise(0.0)).drop("most")
 
 
 def min_cost_flow(supplies: list[int], members: list[tuple], quotas: dict, costs: list[int]) -> list[dict]:
@@ -113,113 +122,95 @@ def min_cost_flow(supplies: list[int], members: list[tuple], quotas: dict, costs
     return flows
 
 
-def _components(members: list[tuple]) -> list[list[int]]:
-    """Patterns grouped by shared sources; each group is a flow problem of its own."""
-    root: dict = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    for m in members:
-        for s in m[1:]:
-            root[find(("s", s))] = find(("s", m[0]))
-    groups: dict = {}
-    for i, m in enumerate(members):
-        if m:
-            groups.setdefault(find(("s", m[0])), []).append(i)
-    return list(groups.values())
-
-
-def route(pattern_words: dict[tuple, int], quotas: dict, costs: list[int]) -> dict[tuple, dict]:
-    """Solve the flow for every connected group of patterns and sources."""
-    members, flows = list(pattern_words), {}
-    for group in _components(members):
-        own = sorted({s for i in group for s in members[i]}, key=lambda s: (s is None, s or ""))
-        solved = min_cost_flow([pattern_words[members[i]] for i in group], [members[i] for i in group], {s: quotas[s] for s in own}, costs)
-        flows |= {members[i]: f for i, f in zip(group, solved, strict=True)}
-    return flows
+def _key(source: Column) -> Column:
+    """A source's name as a key; null has its own."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
+
+
+def route(patterns: DataFrame, quotas: DataFrame, costs: list[int]) -> DataFrame:
+    """(members, source, words): the flow from ``patterns`` (members, words) to ``quotas`` (source, quota), by connected patterns and sources."""
+    names = patterns.where(F.size("members") > 0).select("members", "words", F.array_sort(F.transform("members", _key)).alias("keys"))
+    links = names.where(F.size("keys") > 1).select(F.element_at("keys", 1).alias("a"), F.explode("keys").alias("b"))
+    roots = components(links)
+    placed = lambda df, key: df.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key)).drop(key)
+    offers = placed(names.withColumn("key", F.element_at("keys", 1)).drop("keys"), "key")
+    wanted = placed(quotas.select("source", "quota", _key(F.col("source")).alias("key")), "key")
+
+    def solve(offers: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        members = [tuple(m) for m in offers["members"]]
+        order = sorted(range(len(members)), key=lambda i: [(s is None, s or "") for s in members[i]])
+        members, words = [members[i] for i in order], [int(offers["words"].iloc[i]) for i in order]
+        goals = {None if pd.isna(s) else s: int(q) for s, q in zip(wanted["source"], wanted["quota"])}
+        goals = dict(sorted(goals.items(), key=lambda x: (x[0] is None, x[0] or "")))
+        found = [(list(m), s, n) for m, flow in zip(members, min_cost_flow(words, members, goals, costs)) for s, n in flow.items()]
+        return pd.DataFrame(found, columns=["members", "source", "words"])
+
+    solved = offers.groupBy("root").cogroup(wanted.groupBy("root")).applyInPandas(solve, "members array<string>, source string, words long")
+    return written(solved, "mix-flows")
 
 
 def mix_sources(
     docs: DataFrame,
     id_col: str = "doc_id",
+    text_col: str = "text",
     size: Column | None = None,
     membership: Column | None = None,
     weights=cycled_weights,
     total_share: float = 1.0,
     max_repeat: int = 3,
     seed: int = 29,
-    max_patterns: int = 20_000,
-) -> tuple[DataFrame, dict, dict]:
-    """(rows, targets, flows): rows have id, members (array of source names), size, taken (words, repeats counted), key (seeded order), passes and part (words of the last pass).
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, targets, flows), all stored but the first.
 
-    ``membership`` is an array of source names (default: the one ``source``), ``weights`` maps the
-    list of sources to their weights, ``total_share`` is the part of all words to mix.
+    rows: id, members (array of source names), size, taken (words, repeats counted), key (seeded
+    order), passes and part (words of the last pass). targets: source, size, weight, target. flows:
+    members, source, words. ``membership`` is an array of source names (default: the one ``source``),
+    ``weights`` adds a weight to (source, size), ``total_share`` is the part of all words to mix.
     """
-    spark = docs.sparkSession
-    rows = written(
-        docs.select(
-            F.col(id_col).alias("id"),
-            _members(membership).alias("members"),
-            (word_count("text") if size is None else size).alias("size"),
-            F.monotonically_increasing_id().alias("rid"),
-        ),
-        "mix-rows",
-    ).withColumn("key", seeded_key(F.col("id"), seed))
-    rows = rows.withColumn("bucket", F.pmod(F.shiftrightunsigned("key", 32), F.lit(BUCKETS)).cast("int"))
-    patterns = rows.groupBy("members").agg(F.sum("size").alias("words")).limit(max_patterns + 1).collect()
-    if len(patterns) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
-    pattern_words = {tuple(r.members): r.words for r in patterns}
-    sizes: dict = {}
-    for members, words in pattern_words.items():
-        for s in members:
-            sizes[s] = sizes.get(s, 0) + words
-    targets = capped_targets(sizes, weights(list(sizes)), total_share * sum(pattern_words.values()), max_repeat) if sizes else {}
-    flows = route(pattern_words, {s: round(t) for s, t in targets.items()}, [k * k for k in range(max_repeat)])
-    plan = [(list(m), *divmod(sum(flows.get(m, {}).values()), pattern_words[m])) for m in pattern_words if pattern_words[m]]
-    quota = spark.createDataFrame(plan, "members array<string>, passes long, rest long")
-
-    same = lambda a, b: F.col(f"{a}.members").eqNullSafe(F.col(f"{b}.members"))
-    before = Window.partitionBy("members").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("members", "bucket").agg(F.sum("size").alias("in_bucket"))
-    sums = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(before), F.lit(0)))
-    # One bucket row per pattern and hash range: whole, cut or untouched by the last pass.
-    sums = sums.alias("b").join(quota.alias("q"), same("b", "q")).select("b.members", "b.bucket", "passes", F.greatest(F.lit(0), F.least(F.col("in_bucket"), F.col("rest") - F.col("before"))).alias("room"), (F.col("in_bucket")).alias("in_bucket"))
-    joined = rows.alias("r").join(sums.alias("s"), same("r", "s") & (F.col("r.bucket") == F.col("s.bucket")), "left").select("r.*", "passes", "room", "in_bucket")
-    whole = joined.where("room is null or room = 0 or room = in_bucket").withColumn("part", F.when((F.col("room") > 0), F.col("size")).otherwise(F.lit(0)))
-    running = Window.partitionBy("members", "bucket").orderBy("key", "id", "rid").rowsBetween(Window.unboundedPreceding, -1)
-    cut = joined.where("room > 0 and room < in_bucket").withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("room") - F.coalesce(F.sum("size").over(running), F.lit(0)))))
-    passes = F.coalesce(F.col("passes"), F.lit(0))
-    taken = whole.unionByName(cut).select(F.col("id").alias(id_col), "members", "size", (passes * F.col("size") + F.col("part")).cast("long").alias("taken"), "key", passes.alias("passes"), "part")
-    return taken, targets, flows
+    size = word_count(text_col) if size is None else size
+    rows = docs.select(F.col(id_col).alias("id"), _members(membership).alias("members"), size.alias("size"), seeded_key(id_col, text_col, seed).alias("key"), F.monotonically_increasing_id().alias("rid"))
+    rows = written(rows, "mix-rows")
+    patterns = written(rows.groupBy("members").agg(F.sum("size").alias("words"), F.count("*").alias("docs")), "mix-patterns")
+    total, many = patterns.agg(F.sum("words"), F.sum("docs")).first()
+    sources = patterns.select(F.explode("members").alias("source"), "words").groupBy("source").agg(F.sum("words").alias("size"))
+    targets = written(capped_targets(written(weights(sources), "mix-sources"), total_share * (total or 0), max_repeat), "mix-targets")
+    flows = route(patterns, targets.select("source", F.bround("target").cast("long").alias("quota")), [k * k for k in range(max_repeat)])
+
+    given = flows.groupBy("members").agg(F.sum("words").alias("given"))
+    plan = patterns.join(given, "members", "left").select("members", "docs", F.coalesce(F.try_divide(F.col("given") - F.col("given") % F.col("words"), F.col("words")), F.lit(0)).cast("long").alias("passes"), F.coalesce(F.try_mod("given", "words"), F.lit(0)).alias("rest"))
+    summed = running_sum(join_unique(rows, written(plan, "mix-plan"), ["members"], "docs", many or 0), "members", [F.col("key"), F.col("id"), F.col("rid")], F.col("size"), "upto")
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("upto") + F.col("size"))).cast("long")
+    taken = (F.col("passes") * F.col("size") + part).cast("long")
+    return summed.select(F.col("id").alias(id_col), "members", "size", taken.alias("taken"), "key", "passes", part.alias("part")), targets, flows
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", membership: Column | None = None, seed: int = 29, **options) -> DataFrame:
     """The mix as documents, columns unchanged: a document that is taken several times is repeated, one taken in part is whole.
 
     In seeded order the last pass takes all documents up to one key per pattern, so each row decides
-    for itself once those keys (at most ``max_patterns``) are broadcast; texts are not shuffled.
-    Documents without words are left out.
+    for itself once those keys are known; texts are shuffled only where there are more than ``SMALL``
+    patterns. Documents without words are left out.
     """
-    rows, _, _ = mix_sources(docs, id_col, word_count(text_col), membership, seed=seed, **options)
-    ends = written(rows.groupBy("members").agg(F.max("passes").alias("passes"), F.max(F.when(F.col("part") > 0, _order(F.col("key")))).alias("last")), "mix-ends")
+    rows = written(mix_sources(docs, id_col, text_col, word_count(text_col), membership, seed=seed, **options)[0], "mix-taken")
+    last = rows.groupBy("members").agg(F.max("passes").alias("passes"), F.max(F.when(F.col("part") > 0, F.col("key"))).alias("last"), F.count("*").alias("docs"))
+    # Rows with one key have equal ids and texts; ``room`` of these ``tied`` rows are taken by the last pass.
+    at_last = rows.groupBy("members", "key").agg(F.count("*").alias("tied"), F.count_if(F.col("part") > 0).alias("room")).where("tied > 1 and room > 0 and room < tied")
+    ends = written(last.join(at_last.withColumnRenamed("key", "last"), ["members", "last"], "left"), "mix-ends")
     names = docs.columns
-    whole = docs.where(F.col(text_col).rlike(WORD)).select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), _members(membership).alias("members"), _order(seeded_key(F.col(id_col), seed)).alias("place"))
-    placed = whole.join(F.broadcast(ends), whole.members.eqNullSafe(ends.members))
-    times = (F.col("passes") + F.when(F.col("place") <= F.col("last"), 1).otherwise(0)).cast("int")
-    return placed.select("row", F.explode(F.array_repeat(F.lit(1), times))).select("row.*")
-
-
-def seeded_key(id_: Column, seed: int) -> Column:
-    return F.xxhash64(id_, F.lit(seed))
-
-
-def _order(key: Column) -> Column:
-    """Place of a key in the order of the last pass: bucket, then key."""
-    return F.struct(F.pmod(F.shiftrightunsigned(key, 32), F.lit(BUCKETS)).cast("int").alias("bucket"), key.alias("key"))
+    whole = docs.where(F.col(text_col).rlike(WORD)).select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), _members(membership).alias("members"), seeded_key(id_col, text_col, seed).alias("key"))
+    many, most, ties = ends.agg(F.count("*"), F.sum("docs"), F.count("tied")).first()
+    placed = whole.join(F.broadcast(ends.drop("docs")), "members") if many <= SMALL else join_unique(whole, ends, ["members"], "docs", most)
+    split = F.col("tied").isNotNull() & (F.col("key") == F.col("last"))
+    repeated = lambda df, taken: df.select("row", F.explode(F.array_repeat(F.lit(1), (F.col("passes") + F.when(taken, 1).otherwise(0)).cast("int")))).select("row.*")
+    out = repeated(placed.where(~split) if ties else placed, F.col("key") <= F.col("last"))
+    if not ties:
+        return out
+    equal = written(placed.where(split).withColumn("rid", F.monotonically_increasing_id()), "mix-tied")
+    return out.unionByName(repeated(numbered(equal, "members", [F.col("rid")], "turn"), F.col("turn") <= F.col("room")))
+
+
+def seeded_key(id_col: str, text_col: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
 
 
 def _members(membership: Column | None) -> Column:

@@ -10,8 +10,12 @@ are bounded, so memory is too, and nothing is shuffled; a lost task is simply ru
 Sequence ids carry the task's number in their upper bits and so are unique. Which documents share a
 block depends on how the input is split; within a task the result is deterministic.
 
-Defined results: a null text is an empty one, and an empty text is the single end token; repeated
-rows are packed each; ids of any type, nulls included, are passed through; other columns are not read.
+Documents are cut no more than needed, so a long piece makes its sequence dearer than short ones make
+theirs: costs even out to the extent that pieces are short.
+
+Defined results: a null text is an empty one, and an empty text is the single end token; a text of any
+length is cut into as many pieces as it takes; repeated rows are packed each; ids of any type, nulls
+included, are passed through; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ The sample holds at most about ``max_rows`` labelled rows, chosen by a hash of t
 
 Defined results: a null text is scored like an empty one; without training rows, or with one label
 only, the score is the constant base rate (0.5 without rows); repeated labels of a document count
-once, the largest one; null labels are ignored; repeated rows get equal scores; clashing or extra
-columns are not read.
+once, the largest one; null labels are ignored; repeated rows get equal scores; a repeated id lends
+its label to every row that has it, and a null one has no label; texts are read whole, at any
+length; an empty table gives an empty result; clashing or extra columns are not read.
 """
 
 from __future__ import annotations
@@ -111,7 +112,11 @@ def tree_rules(model, names: list[str]) -> list[Rule]:
 
 
 def fit_rules(sample: DataFrame, label: str, trees: int = 12, depth: int = 3, penalty: float = 0.001, seed: int = 11) -> RuleEnsemble:
-    """Fit on stored rows with all FEATURES and a 0/1 ``label``."""
+    """Fit on stored rows with all FEATURES and a 0/1 ``label``.
+
+    The rows are a bounded sample in one partition: the fit makes some hundred passes over them, and
+    most of a pass over many small partitions would be scheduling.
+    """
     by_label = {int(r[0]): r[1] for r in sample.groupBy(label).count().collect()}
     total = sum(by_label.values())
     if len(by_label) < 2:
@@ -122,7 +127,7 @@ def fit_rules(sample: DataFrame, label: str, trees: int = 12, depth: int = 3, pe
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=64, subsamplingRate=0.7, featureSubsetStrategy="0.5", seed=seed).fit(vectors)
     rules = tree_rules(forest, names)
     held = vectors.select("label", array_to_vector(F.array(*[r.column().cast("double") for r in rules])).alias("features"))
-    lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=60).fit(held.coalesce(4).cache())
+    lasso = LogisticRegression(elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=60).fit(held)
     weights = lasso.coefficients.toArray()
     return RuleEnsemble(float(lasso.intercept), tuple(Rule(r.bounds, float(w)) for r, w in zip(rules, weights) if abs(w) > 1e-9))
 
@@ -136,9 +141,9 @@ def score_quality(
     """
     held = id_remainder(id_col, 5) == 0
     known = labels.where(F.col(label_col).isNotNull() & ~held).groupBy(id_col).agg(F.max(label_col).alias("_label"))
-    chosen = bounded_rows(known, id_col, max_rows)
+    chosen = bounded_rows(known, max_rows)
     # The sample is bounded by max_rows, so its ids may be broadcast.
     marked = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
-    ensemble = fit_rules(written(with_features(marked, text_col, ["_label"]).coalesce(8), "quality-sample"), "_label")
+    ensemble = fit_rules(written(with_features(marked, text_col, ["_label"]), "quality-sample").coalesce(1), "_label")
     scored = with_features(docs, text_col, [id_col]).select(id_col, held.alias("held_out"), ensemble.column().alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)), ensemble

@@ -30,10 +30,9 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, targets, _ = mix_sources(table(spark, sf_dir, "documents"))
-    sizes = rows.groupBy("members").agg(F.sum("size").alias("source_size"))
-    goals = spark.createDataFrame([([s], float(t)) for s, t in targets.items()], "members array<string>, target double")
-    known = sizes.join(F.broadcast(goals), sizes.members.eqNullSafe(goals.members)).select(sizes.members, "source_size", "target")
-    return rows.join(F.broadcast(known), rows.members.eqNullSafe(known.members)).select("doc_id", "size", "source_size", "target", "taken")
+    known = targets.select("source", F.col("size").alias("source_size"), "target")
+    met = rows.join(known, F.element_at("members", 1).eqNullSafe(F.col("source")))
+    return met.select("doc_id", rows["size"], "source_size", "target", "taken")
 
 
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,8 +8,9 @@ fall outside are walked along their cycle until they come back. ``shard = p mod
 ``slot = p div shards`` follow from the permuted number p alone, so shard sizes differ by one row
 at most and slots have no gaps; ``shuffled_number`` and ``number_at`` compute either direction.
 
-Defined results: a null text has no bytes; null and repeated ids are numbered like any others (ties
-in the order of the stored rows); an empty table gives an empty result.
+Defined results: a null text has no bytes; texts of any length are only measured; null and repeated
+ids are numbered like any others (ties in the order of the stored rows); an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -54,13 +55,24 @@ def _backward(x: Column, a: int, b: int, seed: int) -> Column:
 
 
 def _walk(x: Column, n: int, step) -> Column:
-    """Apply ``step`` until the value is below n. At most a values lie outside, so min(a, 64) extra steps do; past them an error is raised."""
+    """Apply ``step`` until the value is below n.
+
+    ``a * b - n`` values lie outside, fewer than a, and a cycle visits each of them once at most, so
+    that many extra steps always do. The first 64 are tried one by one; the others, which hardly a
+    row needs, are made in a nested loop that is not entered otherwise.
+    """
     a, b = _halves(n)
-    extra = min(a * b - n, 64)
-    if not extra:
+    outside = a * b - n
+    if not outside:
         return step(x)
-    inside = F.aggregate(F.sequence(F.lit(1), F.lit(extra)), step(x), lambda p, _: F.when(p < F.lit(n), p).otherwise(step(p)))
-    return F.when(inside < F.lit(n), inside).otherwise(F.raise_error(F.lit("the walk left the domain")).cast("long"))
+    on = lambda p: F.when(p < F.lit(n), p).otherwise(step(p))
+    steps = lambda p, count: F.aggregate(F.sequence(F.lit(1), F.lit(count)), p, lambda q, _: on(q))
+    near = steps(step(x), min(outside, 64))
+    if outside <= 64:
+        return near
+    side = math.isqrt(outside - 1) + 1
+    far = F.aggregate(F.sequence(F.lit(1), F.lit(side)), near, lambda p, _: F.when(p < F.lit(n), p).otherwise(steps(p, side)))
+    return F.when(near < F.lit(n), near).otherwise(far)
 
 
 def shuffled_number(row_number: Column, n: int, seed: int = 17) -> Column:

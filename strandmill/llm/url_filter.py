@@ -9,7 +9,10 @@ which both are hosts of the crawl. Pages are aggregated to hosts first; ranks li
 
 Defined results: a null url or one without ``://`` has an empty host and path, fits no rule and is
 allowed by the method; a null html has no links; hosts out of reach of any seed are allowed;
-repeated rows get equal verdicts; an empty table gives an empty result.
+repeated rows and null ids get verdicts like any others; a page of any length counts each linked host
+once; an empty table gives an empty result; other columns are not read. A host with a large share of
+all links or pages is one key of two joins; both sides are aggregated first, and where they are too
+large to be broadcast, adaptive execution splits such a key.
 """
 
 from __future__ import annotations

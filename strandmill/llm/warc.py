@@ -8,14 +8,17 @@ committer, so the file of a task attempt that was lost is simply never referred
 Index: captures are range-sorted by reversed-host URL key (and id, so that one host or URL may hold
 any share of them). Each range becomes one index file of compressed blocks; its tail is a sparse
 block directory (first key, offset and length of each block). Above it stands one row per file. A
-lookup picks files by their key range, binary-searches the file's directory, reads the blocks in
+lookup binary-searches the files' key ranges, then the file's directory, reads the blocks in
 question by range, and then the records by range.
 
 Everything is written below one folder that driver and executors share, through Arrow's file systems
 (local, HDFS, S3 and GCS URIs).
 
 Defined results: a null html is an empty payload; a null url or id is kept as such; repeated rows
-are records of their own; an empty table gives an empty result.
+are records of their own. Of equal payloads exactly one is the response: the one with the smallest
+id (null comes last), and among rows with that id the first stored one; where all ids are null, the
+revisits refer to null. Payloads of any length are one record. An empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 
 from strandmill.sources.shared import fresh_path, written
 
+#: Copies from which a payload's digest is broadcast, so that no digest sends its pages to one task.
+MANY = 10_000
 CRLF = b"\r\n"
 ENTRY = "key string, id long, file string, offset long, length long"
 
@@ -59,15 +64,15 @@ def _header_value(value: str) -> bytes:
     return value.replace("\r", "%0D").replace("\n", "%0A").encode("utf-8", "replace")
 
 
-def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, revisit: bool, refers_to: int | None) -> bytes:
     """One WARC/1.1 record; a revisit carries the HTTP header alone."""
     http = CRLF.join([b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=UTF-8", b"Content-Length: %d" % len(payload), b"", b""])
-    block = http if refers_to is not None else http + payload
-    lines = [b"WARC/1.1", b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"), b"WARC-Record-ID: <urn:page:%s>" % (b"none" if page_id is None else b"%d" % page_id), b"WARC-Date: 2020-01-01T00:00:00Z"]
+    block = http if revisit else http + payload
+    lines = [b"WARC/1.1", b"WARC-Type: " + (b"revisit" if revisit else b"response"), b"WARC-Record-ID: <urn:page:%s>" % (b"none" if page_id is None else b"%d" % page_id), b"WARC-Date: 2020-01-01T00:00:00Z"]
     if url is not None:
         lines.append(b"WARC-Target-URI: " + _header_value(url))
-    if refers_to is not None:
-        lines += [b"WARC-Refers-To: <urn:page:%d>" % refers_to, b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    if revisit:
+        lines += [b"WARC-Refers-To: <urn:page:%s>" % (b"none" if refers_to is None else b"%d" % refers_to), b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += [b"WARC-Payload-Digest: sha256:" + digest.encode(), b"Content-Type: application/http; msgtype=response", b"Content-Length: %d" % len(block)]
     return CRLF.join(lines) + CRLF + CRLF + block + CRLF + CRLF
 
@@ -86,14 +91,35 @@ def parse_record(data: bytes) -> dict:
     return {"id": number(b"WARC-Record-ID"), "url": fields[b"WARC-Target-URI"].decode() if b"WARC-Target-URI" in fields else None, "type": kind, "bytes": size, "digest": digest, "refers_to": number(b"WARC-Refers-To"), "payload": payload if kind == "response" else None}
 
 
+def with_first_copies(hashed: DataFrame, revisit_from: int) -> DataFrame:
+    """``hashed`` (id, url, payload, digest) with first (id of the response, for copied payloads) and revisit.
+
+    Only ids and digests are aggregated. Digests with ``MANY`` copies or more (at most one in ``MANY``
+    rows, and few in practice) are taken to their pages by a join of their own, which Spark
+    broadcasts while they are few; pages of the others meet them in groups of fewer than ``MANY``.
+    """
+    long = hashed.where(F.octet_length("payload") >= revisit_from)
+    by_id = long.groupBy("digest", "id").agg(F.count("*").alias("same"))
+    tops = by_id.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("late"), "id", "same")).alias("top"), F.sum("same").alias("n"))
+    copied = written(tops.where("n > 1").select("digest", F.col("top.id").alias("first"), F.col("top.same").alias("firsts"), "n"), "warc-copies")
+    common = F.broadcast(copied.where(F.col("n") >= MANY))
+    met = hashed.join(common, "digest", "left_anti").join(copied.where(F.col("n") < MANY), "digest", "left").unionByName(hashed.join(common, "digest"))
+    is_first = F.col("id").eqNullSafe(F.col("first")) & F.col("n").isNotNull()
+    met = met.withColumns({"tied": is_first & (F.col("firsts") > 1), "revisit": F.col("n").isNotNull() & ~is_first})
+    if copied.where("firsts > 1").isEmpty():
+        return met
+    # Rows that share the response's id: the first of them as stored is the response.
+    tied = written(met.where("tied").withColumn("rid", F.monotonically_increasing_id()), "warc-tied")
+    winners = tied.groupBy("digest").agg(F.min("rid").alias("rid"))
+    return met.where("not tied").unionByName(tied.join(winners, "rid", "left_anti").withColumn("revisit", F.lit(True)).drop("rid")).unionByName(tied.join(winners.select("rid"), "rid", "left_semi").drop("rid"))
+
+
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", revisit_from: int = 100) -> DataFrame:
     """Write archives below ``folder``; one stored row per record: key, id, file, offset, length."""
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     hashed = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    copied = hashed.where(F.octet_length("payload") >= revisit_from).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    records = hashed.join(written(copied, "warc-copies"), "digest", "left")
-    refers_to = F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
-    records = records.select(url_key(F.col("url")).alias("key"), "id", "url", "payload", "digest", refers_to.alias("refers_to"))
+    marked = with_first_copies(hashed, revisit_from)
+    records = marked.select(url_key(F.col("url")).alias("key"), "id", "url", "payload", "digest", F.coalesce("revisit", F.lit(False)).alias("revisit"), F.when(F.col("revisit"), F.col("first")).alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open(folder)
@@ -105,7 +131,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                     if out is None:
                         store.create_dir(base, recursive=True)
                         out = store.open_output_stream(f"{base}/{name}", compression=None)
-                    data = _member(record_bytes(row["id"], row["url"], row["payload"], row["digest"], row["refers_to"]))
+                    data = _member(record_bytes(row["id"], row["url"], row["payload"], row["digest"], row["revisit"], row["refers_to"]))
                     out.write(data)
                     offsets.append(at)
                     lengths.append(len(data))
@@ -148,7 +174,9 @@ def build_index(captures: DataFrame, folder: str, files: int, block_entries: int
             out.close()
             yield pa.RecordBatch.from_pydict({"first_key": [tail[0][0]], "last_key": [last], "index_file": [name], "tail_offset": [at], "tail_length": [len(data)]})
 
-    ordered = captures.repartitionByRange(files, "key", "id").sortWithinPartitions("key", "id", "file", "offset")
+    # Archive and offset divide what one key and id hold, be it a third of all captures.
+    order = ["key", "id", "file", "offset"]
+    ordered = captures.repartitionByRange(files, *order).sortWithinPartitions(*order)
     return written(ordered.mapInArrow(write, "first_key string, last_key string, index_file string, tail_offset long, tail_length long"), "warc-index")
 
 
@@ -157,41 +185,51 @@ def _range(store, path: str, offset: int, length: int) -> bytes:
         return f.read_at(length, offset)
 
 
-def blocks_for(directory: list, first: str | None, last: str | None) -> list:
-    """The directory rows [first key, offset, length] whose blocks may hold keys from ``first`` to ``last`` (None: all)."""
-    keys = [row[0] for row in directory]
+def blocks_for(directory: list, key: str) -> list:
+    """The directory rows [first key, offset, length] whose blocks may hold ``key``."""
+    first = lambda row: row[0]
     # A key equal to a block's first key may also end the block before it.
-    low = 0 if first is None else max(0, bisect.bisect_left(keys, first) - 1)
-    high = len(keys) if last is None else bisect.bisect_right(keys, last)
-    return directory[low:high]
+    return directory[max(0, bisect.bisect_left(directory, key, key=first) - 1) : bisect.bisect_right(directory, key, key=first)]
+
 
+def files_for(firsts: list[str], lasts: list[str], key: str) -> range:
+    """Which of the files, in order of their key ranges, may hold ``key``; neighbours may share a key."""
+    return range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key))
 
-def find_captures(index: DataFrame, folder: str, wanted: DataFrame | None = None, files: int | None = None) -> DataFrame:
-    """Captures (key, id, file, offset, length) of the ``wanted`` keys (column key), or all of them.
 
-    Wanted keys are routed to index files by key range; each file's blocks are found by binary search.
+def find_captures(index: DataFrame, folder: str, wanted: DataFrame, slices: int = 64) -> DataFrame:
+    """Captures (key, id, file, offset, length) of the ``wanted`` keys (column key).
+
+    The index has one row a file, and there are as many files as were asked for when it was built;
+    their key ranges go to every task, which finds a key's files by binary search. The keys of one
+    file are looked up in slices, and each slice's blocks are found by binary search in turn.
     """
-    if wanted is None:
-        work = index.select("index_file", "tail_offset", "tail_length", F.lit(None).cast("array<string>").alias("keys"))
-    else:
-        routed = wanted.select("key").distinct().join(F.broadcast(index), (F.col("key") >= F.col("first_key")) & (F.col("key") <= F.col("last_key")))
-        # Keys of one file are looked up in slices, so no group grows with the number of wanted keys.
-        work = routed.groupBy("index_file", "tail_offset", "tail_length", F.pmod(F.xxhash64("key"), F.lit(64)).alias("slice")).agg(F.sort_array(F.collect_list("key")).alias("keys")).drop("slice")
-    work = work.repartition(files or max(2, work.sparkSession.sparkContext.defaultParallelism * 2), "index_file")
+    spark = index.sparkSession
+    files = [tuple(r) for r in index.select("first_key", "last_key", "index_file", "tail_offset", "tail_length").orderBy("first_key", "last_key").collect()]
+    shared = spark.sparkContext.broadcast(files)
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, lasts = [f[0] for f in shared.value], [f[1] for f in shared.value]
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            spans = [files_for(firsts, lasts, k) for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, span in zip(keys, spans) for _ in span], pa.string()), pa.array([i for span in spans for i in span], pa.int32())], names=["key", "place"])
+
+    routed = wanted.select("key").distinct().mapInArrow(route, "key string, place int")
+    slice_of = F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int")
+    work = routed.groupBy("place", slice_of.alias("slice")).agg(F.sort_array(F.collect_list("key")).alias("keys")).select("place", "keys")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open(folder)
         for batch in batches:
-            for row in batch.to_pylist():
-                path, keys = f"{base}/{row['index_file']}", row["keys"]
-                directory = json.loads(zlib.decompress(_range(store, path, row["tail_offset"], row["tail_length"])))
-                blocks = directory if keys is None else list({b[1]: b for k in keys for b in blocks_for(directory, k, k)}.values())
-                sought = None if keys is None else set(keys)
+            for place, keys in zip(*(c.to_pylist() for c in batch.columns)):
+                name, tail_offset, tail_length = shared.value[place][2:]
+                path, sought = f"{base}/{name}", set(keys)
+                directory = json.loads(zlib.decompress(_range(store, path, tail_offset, tail_length)))
+                blocks = {b[1]: b for k in keys for b in blocks_for(directory, k)}.values()
                 for _, offset, length in blocks:
                     entries = [json.loads(x) for x in zlib.decompress(_range(store, path, offset, length)).split(b"\n")]
-                    if sought is not None:
-                        entries = [e for e in entries if e[0] in sought]
-                    if entries:
+                    if entries := [e for e in entries if e[0] in sought]:
                         yield pa.RecordBatch.from_pydict(dict(zip(("key", "id", "file", "offset", "length"), map(list, zip(*entries)))), schema=pa.schema([("key", pa.string()), ("id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]))
 
     return work.mapInArrow(read, ENTRY)
@@ -232,9 +270,9 @@ def read_records(captures: DataFrame, folder: str, with_payload: bool = False, s
 
 
 def archive_and_read(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", files: int | None = None) -> DataFrame:
-    """Write all pages as WARC archives, index them, and read every record back through the index."""
+    """Write all pages as WARC archives, index them, and look every page's URL key up in the index to read its records back."""
     spark: SparkSession = pages.sparkSession
     archives, indexes = fresh_path(spark, "warc-archives"), fresh_path(spark, "warc-index-files")
     captures = write_archives(pages, archives, id_col, url_col, html_col)
     index = build_index(captures, indexes, files or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return read_records(find_captures(index, indexes), archives)
+    return read_records(find_captures(index, indexes, pages.select(url_key(F.col(url_col)).alias("key"))), archives)

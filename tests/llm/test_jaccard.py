@@ -83,6 +83,56 @@ def test_empty_table_null_ids_and_extra_columns(spark):
     assert got == sorted([(None, 2, 3), (3, 2, 3), (3, 2, 3), (2, 0, 2)], key=str)
 
 
+def test_signatures_of_partners_meet_at_every_size():
+    """Partners share a signature, be their tokens rare or frequent, and frequent ones make a number of pairs linear in the set."""
+    rng = np.random.default_rng(1)
+    met = 0
+    for _ in range(1500):
+        percent, n = int(rng.choice([85, 80, 60, 30])), int(rng.choice([1, 2, 3, 5, 9, 20, 60, 170, 600, 2000]))
+        x = np.unique(rng.integers(1, 1 << 63, n, dtype=np.uint64))
+        gone, new = rng.integers(0, n * (100 - percent) // 100 + 1, 2)
+        y = np.unique(np.r_[rng.permutation(x)[gone:], rng.integers(1, 1 << 63, new, dtype=np.uint64)])
+        common, union = len(np.intersect1d(x, y)), np.union1d(x, y)
+        if 100 * common < percent * len(union) or not len(y):
+            continue
+        met += 1
+        frequent = np.unique(jaccard.short_tokens(union[rng.random(len(union)) < rng.choice([1.0, 0.9, 0.5])], 8))
+        sign = jaccard.Signer(percent, frequent, rng.integers(17, 100, len(frequent)), 8)
+        (rare_x, hot_x), (rare_y, hot_y) = sign(x.copy()), sign(y.copy())
+        assert len(np.intersect1d(rare_x, rare_y)) or len(np.intersect1d(hot_x, hot_y))
+        assert percent < 80 or len(hot_x) <= 2 * n
+    assert met > 1000
+
+
+def test_long_sets_that_share_a_passage(spark):
+    """One frequent passage in most texts, of 20 to 2,000 shingles, and near copies among them."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 5)))
+    passage, texts = [word() for _ in range(60)], []
+    for n in [20, 60, 150, 400, 1000, 2000] * 5:
+        own = passage + [word() for _ in range(max(3, n - 60))]
+        for _ in range(3):
+            w = list(own)
+            for _ in range(rng.randint(0, len(w) // 25)):
+                w[rng.randrange(len(w))] = word()
+            texts.append(" ".join(w))
+    texts += [" ".join(passage + [word() for _ in range(rng.randint(1, 12))]) for _ in range(60)]
+    rows = list(enumerate(texts))
+    assert found(jaccard.link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))) == brute(rows)
+
+
+def test_dropped_near_copies_are_rows_and_not_ids(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon " + x for x in ("phi chi", "phi", "chi chi"))
+    other = "one two three four five six seven eight nine ten"
+    rows = [(5, a, 1), (5, other, 2), (2, b, 3), (None, c, 4), (None, "nothing like it at all, in any way", 5), (2, b, 6), (8, None, 7), (8, "", 8), (None, None, 9), (7, other.upper(), 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, body int").repartition(3)
+    got = jaccard.drop_near_copies(docs, k=2, percent=80)
+    assert got.columns == docs.columns
+    kept = sorted(r.body for r in got.collect())
+    assert kept in ([2, 3, 5, 7, 8, 9], [2, 5, 6, 7, 8, 9])  # of the equal rows 3 and 6 one
+    assert jaccard.drop_near_copies(docs.limit(0)).count() == 0
+
+
 def test_shingles_count_ascii_case_and_white_space():
     s = lambda t: next(jaccard.shingle_sets(pa.array([t]), 4))
     assert np.array_equal(s("A b\tc\nd"), s("a  B c d"))

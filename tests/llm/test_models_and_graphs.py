@@ -1,11 +1,14 @@
+import itertools
 import math
 import random
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandmill.llm import embeddings, language, mixing, quality, url_filter
 from strandmill.llm.queries import URL_RULES
@@ -60,6 +63,7 @@ def test_mix_meets_targets(spark):
         totals[s] += n
         taken[s] += t
         assert 0 <= t <= 3 * n
+    targets = {r.source: r.target for r in targets.collect()}
     assert targets == pytest.approx(brute_targets(totals))
     for s in totals:
         assert abs(taken[s] - targets[s]) <= 1
@@ -72,13 +76,66 @@ def test_mix_of_overlapping_sources_and_of_nothing(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, groups array<string>")
     out, targets, flows = mixing.mix_sources(docs, membership=docs["groups"])
     delivered = Counter()
-    for flow in flows.values():
-        delivered.update(flow)
-    for s, t in targets.items():
-        assert delivered[s] <= round(t)
+    for flow in flows.collect():
+        delivered[flow.source] += flow.words
+    for t in targets.collect():
+        assert delivered[t.source] <= round(t.target)
     assert out.agg({"taken": "sum"}).first()[0] == sum(delivered.values())
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
-    assert mixing.mix_sources(empty)[0].count() == 0
+    assert mixing.mix_sources(empty)[0].count() == 0 and mixing.mixed_documents(empty).count() == 0
+
+
+def cost(words, given):
+    """Convex cost of ``given`` words of a pattern: the k-th repetition costs k squared a word."""
+    return sum(max(0, min(words, given - k * words)) * k * k for k in range(3))
+
+
+def test_flow_is_largest_and_cheapest():
+    """Against all whole flows of small networks: as many words as can be, at the least cost."""
+    rng = random.Random(2)
+    for _ in range(12):
+        words = [rng.randint(1, 2) for _ in range(3)]
+        members = [("a",), ("a", "b"), ("b", "c")]
+        quotas = {s: rng.randint(0, 5) for s in "abc"}
+        arcs = [(i, s) for i, m in enumerate(members) for s in m]
+        best = None
+        for flow in itertools.product(*(range(min(3 * words[i], quotas[s]) + 1) for i, s in arcs)):
+            by_pattern, by_source = Counter(), Counter()
+            for (i, s), n in zip(arcs, flow):
+                by_pattern[i] += n
+                by_source[s] += n
+            if all(by_pattern[i] <= 3 * words[i] for i in range(3)) and all(by_source[s] <= quotas[s] for s in quotas):
+                best = max(best or (0, -(10**9)), (sum(flow), -sum(cost(words[i], by_pattern[i]) for i in range(3))))
+        got = mixing.min_cost_flow(words, members, quotas, [0, 1, 4])
+        assert (sum(sum(f.values()) for f in got), -sum(cost(w, sum(f.values())) for w, f in zip(words, got))) == best
+
+
+def test_route_joins_connected_patterns(spark):
+    patterns = spark.createDataFrame([(["a", None], 5), (["a"], 4), (["c"], 7), ([], 9), ([None], 2)], "members array<string>, words long")
+    quotas = spark.createDataFrame([("a", 6), (None, 4), ("c", 30), ("unused", 3)], "source string, quota long")
+    got = {}
+    for r in mixing.route(patterns, quotas, [0, 1, 4]).collect():
+        got.setdefault(r.source, []).append((tuple(r.members), r.words))
+    assert {s: sum(n for _, n in own) for s, own in got.items()} == {"a": 6, None: 4, "c": 21}
+
+
+def test_many_sources_and_rows_without_ids(spark):
+    rows = [(i, "w " * (i % 7), f"s{i:05}") for i in range(3000)] + [(None, f"t{i} " * 8, "null ids") for i in range(200)] + [(7, "same text again", "equal rows")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out, targets, _ = mixing.mix_sources(docs)
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    goals = {r.source: r.target for r in targets.collect()}
+    assert goals == pytest.approx(brute_targets(sizes))
+    taken, kept = Counter(), Counter()
+    for r in out.collect():
+        taken[r.members[0]] += r.taken
+    assert all(abs(taken[s] - t) <= 1 for s, t in goals.items())
+    for r in mixing.mixed_documents(docs).collect():
+        kept[r.source] += len(r.text.split())
+    assert goals["null ids"] - 1 <= kept["null ids"] <= goals["null ids"] + 9
+    assert goals["equal rows"] - 1 <= kept["equal rows"] <= goals["equal rows"] + 4
 
 
 def test_mixed_documents_keep_columns(spark):
@@ -116,6 +173,85 @@ def test_held_out_languages_are_not_learnt(spark):
     assert seen[0] == seen[1]
 
 
+def plain_grams(text):
+    """Hashed trigrams as the model counts them, one by one."""
+    data = [b if b >= 128 or chr(b).isalpha() else 32 for b in (" " + text.lower() + " ").encode()]
+    return [((data[i] | data[i + 1] << 8 | data[i + 2] << 16) * 2654435761 % 2**32) >> 17 for i in range(len(data) - 2)]
+
+
+def plain_mixture(counts, weight, langs, rounds=12):
+    """(shares, log-likelihood) by expectation-maximisation over dictionaries."""
+    p = {g: [(counts[x].get(g, 0) + 0.5) / (sum(counts[x].values()) + 0.5 * language.GRAMS) for x in langs] for g in weight}
+    share = [1 / len(langs)] * len(langs)
+    for _ in range(rounds if len(langs) > 1 else 0):
+        new = [0.0] * len(langs)
+        for g, n in weight.items():
+            whole = sum(a * b for a, b in zip(p[g], share))
+            for j in range(len(langs)):
+                new[j] += n * p[g][j] * share[j] / whole
+        new = [x / sum(new) for x in new]
+        near, share = max(abs(a - b) for a, b in zip(new, share)) < 1e-3, new
+        if near:
+            break
+    return share, sum(n * math.log(sum(a * b for a, b in zip(p[g], share))) for g, n in weight.items())
+
+
+def plain_language(text, counts):
+    """(selected languages, largest share first; shares under all languages) in plain Python."""
+    weight, langs = Counter(plain_grams(text)), sorted(counts)
+    shares, _ = plain_mixture(counts, weight, langs)
+    alone = {x: plain_mixture(counts, weight, [x])[1] for x in langs}
+    chosen = [max(langs, key=lambda x: alone[x])]
+    reached, own, price = alone[chosen[0]], [1.0], 8.0 * math.log(sum(weight.values()) + 1)
+    for x in sorted(langs, key=lambda x: -shares[langs.index(x)]):
+        if x in chosen or shares[langs.index(x)] < 0.01:
+            continue
+        mixed, gained = plain_mixture(counts, weight, [*chosen, x])
+        if gained - reached <= price:
+            break
+        chosen, reached, own = [*chosen, x], gained, mixed
+    return [x for _, x in sorted(zip(own, chosen), key=lambda y: -y[0])], dict(zip(langs, shares))
+
+
+def test_shares_and_sets_match_plain_python(spark):
+    rng = random.Random(15)
+    train = [(i, prose(rng, x, 30), x) for i, x in enumerate(["aa", "bb", "cc"] * 12)]
+    counts = {x: Counter() for x in ("aa", "bb", "cc")}
+    for _, t, x in train:
+        counts[x].update(plain_grams(t))
+    texts = [prose(rng, a, rng.randint(1, 60)) + " " + prose(rng, b, rng.randint(1, 60)) for a in counts for b in counts for _ in range(3)] + ["Zzz qqq", "é", "roka " * 400 + prose(rng, "cc", 40) + prose(rng, "bb", 90)]
+    model = language.fit(spark.createDataFrame(train, "doc_id long, text string, lang string").repartition(3))
+    got = language.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model, ["doc_id"]).collect()
+    several = 0
+    for r in got:
+        langs, shares = plain_language(texts[r.doc_id], counts)
+        assert r.langs == langs and r.score == pytest.approx(shares[langs[0]], abs=1e-9) and r.explained == pytest.approx(sum(shares[x] for x in langs), abs=1e-9)
+        several += len(langs) > 1
+    assert several > 5
+
+
+def test_texts_without_letters_and_documents_of_three_languages(spark):
+    rows = language_rows()
+    rng = random.Random(31)
+    three = " ".join(prose(rng, x, 90) for x in SYLLABLES)
+    docs = spark.createDataFrame([*rows, (910, "² ½ Ⅷ", None, "s"), (911, "① ②", "aa", "s"), (912, "١٢٣ _ 4", None, "s"), (913, three, None, "s"), (913, "42", None, "s")], "doc_id long, text string, lang string, source string")
+    docs = docs.withColumnRenamed("source", "score")
+    got = {(r.doc_id, r.lang_pred) for r in language.language_of_documents(docs).where("doc_id >= 910").collect()}
+    assert {(910, "und"), (911, "und"), (912, "und"), (913, "und")} < got and len(got) == 5
+    kept = language.documents_with_language(docs)
+    assert kept.columns == docs.columns
+    assert [r.text for r in kept.where("doc_id >= 910").collect()] == [three]
+
+
+def test_more_languages_than_fit_a_table(spark):
+    rng = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = {f"l{i:03}": ["".join(rng.choice(letters) for _ in range(6)) for _ in range(3)] for i in range(260)}
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(own) for _ in range(25)), x) for i, (x, own) in enumerate(words.items())], "doc_id long, text string, lang string")
+    got = language.predict(docs, language.fit(docs), ["lang"]).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+
+
 def test_mixture_of_two_languages_and_no_training_rows(spark):
     rng = random.Random(8)
     docs = spark.createDataFrame([(i, prose(rng, lang, 80), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 30)], "doc_id long, text string, lang string")
@@ -158,6 +294,32 @@ def test_held_out_labels_are_not_learnt(spark):
     assert a == b
 
 
+def plain_features(text):
+    """The statistics of a text, by plain Python."""
+    text = text or ""
+    words, lines = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w], [x for x in text.split("\n") if x]
+    share = lambda a, b: a / max(b, 1)
+    of = lambda *kinds: sum(unicodedata.category(c) in kinds for c in text)
+    symbols = sum(not (unicodedata.category(c)[0] in "LN" or c in " \t\n\x0b\f\r.,;:'\"()-") for c in text)
+    return {
+        "words": len(words), "word_length": share(len(text), len(words)), "distinct_word_share": share(len(set(words)), len(words)), "distinct_line_share": share(len(set(lines)), len(lines)),
+        "line_length": share(len(text), len(lines)), "upper_share": share(of("Lu"), len(text)), "digit_share": share(of("Nd"), len(text)), "symbol_share": share(symbols, len(text)), "stop_share": share(sum(c in ".!?" for c in text), len(words)),
+    }
+
+
+def test_scores_match_plain_python(spark):
+    docs, labels, _ = quality_tables(spark)
+    docs = docs.unionByName(docs.where("doc_id < 20")).withColumn("score", F.lit("x"))  # repeated rows and a clashing name
+    rows, ensemble = quality.score_quality(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = rows.collect()
+    assert len(got) == docs.count() and any(len(r.bounds) > 1 for r in ensemble.rules)
+    for r in got:
+        x = plain_features(texts[r.doc_id])
+        odds = ensemble.intercept + sum(rule.weight for rule in ensemble.rules if all((x[n] > t) == above for n, above, t in rule.bounds))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-odds)), abs=1e-9)
+
+
 def test_quality_without_labels(spark):
     docs, labels, _ = quality_tables(spark)
     rows, ensemble = quality.score_quality(docs, labels.limit(0))
@@ -192,7 +354,7 @@ def brute_verdicts(rows):
     for _, url, html in rows:
         host, path = brute_host_path(url)
         seeds[brute_rule(host, path)[1]][host] += 1
-        for other in {m.lower() for m in re.findall(r"(?i)href=\"https?://([^/\"]+)", html or "")}:
+        for other in {m.lower() for m in re.findall(r"(?i)href=\"?https?://([^/\">]+)", html or "")}:
             if host and other and other != host:
                 edges[host, other] += 1
     for child in hosts:
@@ -220,7 +382,7 @@ def brute_verdicts(rows):
 def url_rows():
     rng = random.Random(6)
     hosts = ["com", "Example.COM", "www.example.com", "a.net", "example.net", "x.org", "org", "blogs.example", "hub.example", "notcom"]
-    rows = [(1, None, "x"), (2, "no scheme/en/7", None), (3, "http://", ""), (4, "http://example.com?/en/7", None), (5, "http://example.com/en/7#x", None), (6, "s://a.com/en/70?q", None), (6, "s://a.com/en/70?q", None)]
+    rows = [(None, "http://x.org/fr/", "<a href=https://long.example/>" * 20_000), (1, None, "x"), (2, "no scheme/en/7", None), (3, "http://", ""), (4, "http://example.com?/en/7", None), (5, "http://example.com/en/7#x", None), (6, "s://a.com/en/70?q", None), (6, "s://a.com/en/70?q", None)]
     for i in range(10, 260):
         link = "".join(f'<a href="https://{rng.choice(hosts)}/p">' for _ in range(rng.randint(0, 4)))
         rows.append((i, f"http://{rng.choice(hosts)}/{rng.choice(['en/', 'en/7', 'de/', 'de/8', 'es/', 'fr/'])}{rng.choice(['', '?a', '#b', 'c'])}", link))
@@ -230,6 +392,7 @@ def url_rows():
 def test_url_verdicts_match_brute_force(spark):
     rows = url_rows()
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    pages = pages.withColumns({"host": F.lit(1), "rule": F.lit(2), "kind": F.lit(3), "src": F.lit(4)})
     got = Counter(map(tuple, url_filter.judge_pages(pages, url_filter.parse_rules(URL_RULES)).collect()))
     by_host, want = brute_verdicts(rows), Counter()
     for i, url, _ in rows:
@@ -272,7 +435,8 @@ def brute_links(rows):
 
 def test_near_vectors_match_brute_force(spark):
     rows = vectors()
-    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)).collect()}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({"node": F.lit(1), "copies": F.lit("x"), "h1": F.lit(2)})
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df.repartition(3)).collect()}
     links = brute_links(rows)
     assert set(got) == set(links)
     assert all(got[i].n_links <= len(own) for i, own in links.items())
@@ -284,6 +448,47 @@ def test_near_vectors_match_brute_force(spark):
     assert got[len(rows) - 1].component_id == len(rows) - 2
 
 
+def crowd(seed):
+    """Pairs at and around the limit, all of one label, and a place that no cut divides."""
+    rng = np.random.default_rng(seed)
+    rows, r = [], math.sqrt(2 - 2 * 0.98)
+    for _ in range(600):
+        x, y = rng.standard_normal((2, 48))
+        x /= np.linalg.norm(x)
+        y -= (x @ y) * x
+        y /= np.linalg.norm(y)
+        angle = 2 * math.asin(r * rng.choice([0.5, 0.9, 0.99, 1.01, 1.2]) / 2)
+        rows += [[x.tolist(), 7], [(math.cos(angle) * x + math.sin(angle) * y).tolist(), 7]]
+    centre = rng.standard_normal(48)
+    rows += [[(centre + 0.03 * rng.standard_normal(48)).tolist(), 7] for _ in range(150)]
+    return [(i, *row) for i, row in enumerate(rows)]
+
+
+def test_cut_runs_keep_pairs_together_and_count_them_once(spark, monkeypatch):
+    rows = crowd(3)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    links = brute_links(rows)
+    assert df.where(embeddings.usable("label", "embedding")).count() == len(rows)
+    for run, short in ((10_000, 60), (300, 40), (100, 100)):
+        monkeypatch.setattr(embeddings, "RUN", run)
+        monkeypatch.setattr(embeddings, "SHORT", short)
+        got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df).collect()}
+        assert all(got[i] <= len(own) for i, own in links.items())
+        assert sum(got.values()) >= 0.97 * sum(map(len, links.values()))
+        assert all(got[i] == len(links[i]) for i in range(1200, 1350))
+    cuts = embeddings.upper_cuts(df.select(F.col("vec_id").alias("node"), F.col("embedding").alias("vector")), 1350, 41)
+    stored = embeddings.placed_vectors(df.select("label", F.col("vec_id").alias("node"), F.lit(1).cast("long").alias("copies"), F.col("embedding").alias("vector")), cuts, embeddings.WINDOW * 0.2, 41).count()
+    assert len(cuts) > 1 and stored < 1350 * 1.3 ** (len(cuts).bit_length() - 1)
+
+
+def test_vectors_with_null_and_repeated_ids(spark):
+    x, y = [1.0, 0.0, 0.1], [1.0, 0.0, 0.11]
+    rows = [(None, x, 1), (5, x, 1), (5, y, 1), (3, y, 1), (None, [0.0, 1.0, 0.0], 2), (9, [0.0, 1.0, 0.0], 3), (None, None, 1)]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    want = [(None, 3, 3, False), (5, 3, 3, False), (5, 3, 3, False), (3, 3, 3, True), (None, 0, None, False), (9, 0, 9, True), (None, 0, None, False)]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
 def test_no_vectors_and_only_unusable_ones(spark):
     schema = "vec_id long, embedding array<float>, label int"
     assert embeddings.near_duplicates(spark.createDataFrame([], schema)).count() == 0
