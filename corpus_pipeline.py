@@ -7,42 +7,46 @@ stage's ``docs``. All stages but the last return the columns of ``docs``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strandmill.llm.exact_dedup import drop_exact_copies
-from strandmill.llm.jaccard import link_components
+from strandmill.llm.jaccard import drop_near_copies
 from strandmill.llm.language import documents_with_language
 from strandmill.llm.mixing import mixed_documents
 from strandmill.llm.packing import pack_documents
 from strandmill.llm.queries import tokenizer_file
-from strandmill.sources.shared import fresh_path, written
+from strandmill.sources.shared import fresh_path
 from strandmill.sources.tables import table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told."""
+    """Documents whose language can be told: null texts and those without letters go, and those of which the languages found explain less than 40 %.
+
+    Rows are judged one by one, whatever their ids.
+    """
     return documents_with_language(docs)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, with the largest id, of those with equal texts."""
+    """One document, with the largest id, of those with equal texts; null texts equal empty ones, null ids count as smallest, and of equal rows one stays."""
     return drop_exact_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, with the smallest id, of each group linked by a Jaccard similarity of 0.8 on five-word shingles."""
-    groups = link_components(docs, k=5, percent=80)
-    dropped = written(groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "near-dropped")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document, with the smallest id, of each group linked by a Jaccard similarity of 0.8 on five-word shingles.
+
+    Rows are dropped, not ids: rows with null or repeated ids are judged by their own texts, and of
+    equal rows one stays. Documents without words all stay.
+    """
+    return drop_near_copies(docs, k=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources at weights 5, 2, 1, repeating; documents of scarce sources up to three times."""
+    """Sources at weights 5, 2, 1, repeating; documents of scarce sources up to three times. Null sources are one source, last in order; documents without words go."""
     return mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of 1024 tokens."""
+    """Pieces of the documents in sequences of 1024 tokens; null texts are empty, repeated rows are packed each."""
     return pack_documents(docs, tokenizer_file(), 1024)
 
 
