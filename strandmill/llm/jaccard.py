@@ -376,10 +376,9 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
 
     The text of a set with many partners is copied to several tasks, which share its partners.
     """
-    many = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("salts")).where("salts > 1"), "jaccard-centres")
-    salted = pairs.join(many, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
-    centres = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")).join(many, "a", "left")
-    centres = centres.select("a", "a_text", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    met = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("salts")), "jaccard-centres")
+    salted = pairs.join(met.where("salts > 1"), "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
+    centres = met.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").select("a", "a_text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
     left = salted.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b")
     both = left.join(centres, ["a", "salt"]).select("a", "b", "a_text", "b_text")
 
