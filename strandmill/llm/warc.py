@@ -197,12 +197,13 @@ def files_for(firsts: list[str], lasts: list[str], key: str) -> range:
     return range(bisect.bisect_left(lasts, key), bisect.bisect_right(firsts, key))
 
 
-def find_captures(index: DataFrame, folder: str, wanted: DataFrame, slices: int = 64) -> DataFrame:
+def find_captures(index: DataFrame, folder: str, wanted: DataFrame) -> DataFrame:
     """Captures (key, id, file, offset, length) of the ``wanted`` keys (column key).
 
     The index has one row a file, and there are as many files as were asked for when it was built;
-    their key ranges go to every task, which finds a key's files by binary search. The keys of one
-    file are looked up in slices, and each slice's blocks are found by binary search in turn.
+    their key ranges go to every task, which finds a key's files by binary search. Keys are then dealt
+    to tasks by ranges of (file, key), so that a block, found by binary search in its file's
+    directory, is read by one task or by neighbours, and a file with many wanted keys by several.
     """
     spark = index.sparkSession
     files = [tuple(r) for r in index.select("first_key", "last_key", "index_file", "tail_offset", "tail_length").orderBy("first_key", "last_key").collect()]
@@ -216,13 +217,16 @@ def find_captures(index: DataFrame, folder: str, wanted: DataFrame, slices: int
             yield pa.RecordBatch.from_arrays([pa.array([k for k, span in zip(keys, spans) for _ in span], pa.string()), pa.array([i for span in spans for i in span], pa.int32())], names=["key", "place"])
 
     routed = wanted.select("key").distinct().mapInArrow(route, "key string, place int")
-    slice_of = F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int")
-    work = routed.groupBy("place", slice_of.alias("slice")).agg(F.sort_array(F.collect_list("key")).alias("keys")).select("place", "keys")
+    tasks = max(len(files), 2 * spark.sparkContext.defaultParallelism)
+    work = routed.repartitionByRange(tasks, "place", "key").sortWithinPartitions("place", "key").select("place", "key")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open(folder)
         for batch in batches:
-            for place, keys in zip(*(c.to_pylist() for c in batch.columns)):
+            by_place: dict[int, list] = {}
+            for place, key in zip(*(c.to_pylist() for c in batch.columns)):
+                by_place.setdefault(place, []).append(key)
+            for place, keys in by_place.items():
                 name, tail_offset, tail_length = shared.value[place][2:]
                 path, sought = f"{base}/{name}", set(keys)
                 directory = json.loads(zlib.decompress(_range(store, path, tail_offset, tail_length)))
