@@ -77,6 +77,13 @@ def binomial_draw(upper: Column, share: float, *key: Column) -> Column:
     return F.when(upper <= 0, 0).otherwise(F.size(F.filter(F.sequence(F.lit(1), F.greatest(upper, F.lit(1))), lambda i: uniform(*key, i.cast("string")) < share)))
 
 
+def companion_count(low: Column, high: Column, share: float, *key: Column) -> Column:
+    """Companions of an example: the binomial draw, but no fewer than ``low``; at share 0 a lower bound above 0 is an error."""
+    if share <= 0:
+        return F.when(low > 0, F.raise_error(F.lit("companions are needed, but their share is 0")).cast("int")).otherwise(0)
+    return F.greatest(low, binomial_draw(high, share, *key))
+
+
 def generate(pools: DataFrame, count: int, seed: str, attempts: int = 50) -> DataFrame:
     """``count`` examples (index, mode, fragment_ids, text) whose normalised texts all differ.
 

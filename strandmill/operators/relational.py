@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def latest_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The row of each key that comes first in ``order``, as one aggregation with map-side combine."""
+def latest_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The row of each key that comes last in ``order`` (nulls first), as one aggregation with map-side combine."""
     rest = [c for c in df.columns if c not in keys]
-    ranked = df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.where("_place = 1").select(*keys, *rest)
+    last = F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")
+    return df.groupBy(*keys).agg(last).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def keyset_page(df: DataFrame, order: list[str], after: tuple | None, limit: int, most: int = 200) -> DataFrame:
@@ -44,10 +44,3 @@ def violations(*checks: tuple[str, DataFrame, Column, Column]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
-
-
-def ensure_none(found: DataFrame, most: int = 5) -> None:
-    """Raise with the first few violations, if there are any."""
-    rows = found.orderBy("rule", "key").limit(most).collect()
-    if rows:
-        raise ValueError("; ".join(f"{r.rule}: {r.key} ({r.detail})" for r in rows))

@@ -98,10 +98,19 @@ def error_concentration(groups: DataFrame, group: str) -> DataFrame:
     return found.join(F.broadcast(groups.agg(F.count("*").alias("groups")))).withColumn("even_spread_would_be", F.when(F.col("groups_with_errors") > 0, F.col("groups_with_errors") / 2))
 
 
+def paired(left: DataFrame, right: DataFrame, key: str = "example_id") -> DataFrame:
+    """(key, truth, left, right): both models' predictions of every example. An id that one side lacks or repeats, or truths that differ, raise an error."""
+    side = lambda df, name: df.groupBy(key).agg(F.max("truth").alias(f"_{name}_truth"), F.max("predicted").alias(name), F.count("*").alias(f"_{name}_rows"))
+    both = side(left, "left").join(side(right, "right"), key, "full")
+    sound = F.coalesce((F.col("_left_rows") == 1) & (F.col("_right_rows") == 1) & (F.col("_left_truth") == F.col("_right_truth")), F.lit(False))
+    truth = F.when(sound, F.col("_left_truth")).otherwise(F.raise_error(F.concat(F.lit("the models do not pair at "), F.col(key).cast("string"))).cast("int"))
+    return both.select(key, truth.alias("truth"), "left", "right")
+
+
 def paired_counts(left: DataFrame, right: DataFrame, key: str = "example_id") -> DataFrame:
-    """Discordant counts of two models over their common examples."""
-    both = left.select(key, (F.col("truth") == F.col("predicted")).alias("l")).join(right.select(key, (F.col("truth") == F.col("predicted")).alias("r")), key)
-    return both.agg(F.count("*").alias("n"), F.count_if(F.col("l") & ~F.col("r")).alias("left_only"), F.count_if(~F.col("l") & F.col("r")).alias("right_only"))
+    """Discordant counts of two models over the same examples."""
+    l, r = F.col("truth") == F.col("left"), F.col("truth") == F.col("right")
+    return paired(left, right, key).agg(F.count("*").alias("n"), F.count_if(l & ~r).alias("left_only"), F.count_if(~l & r).alias("right_only"))
 
 
 def bootstrap(preds: DataFrame, resamples: int, statistic: Column, unit: str = "unit", seed: str = "b", max_units: int = 1_000_000) -> DataFrame:

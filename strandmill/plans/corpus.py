@@ -113,21 +113,40 @@ def lint_rates(spark, d):
     return table(spark, d, "documents").groupBy(F.col("source").alias("library")).agg(F.round(F.count_if(hit) / F.count("*"), 6).alias("rate"))
 
 
-@query("SELECT source, list_sort(list(lang)) AS silent FROM (SELECT DISTINCT source, lang FROM documents WHERE source LIKE '%2') GROUP BY source")
+RARE = {"tide": ["tide", "harbor"], "winter": ["winter"], "zebra": ["zebra"]}
+
+
+@query(
+    f"""WITH g AS (SELECT source, signal FROM documents, (VALUES ('tide', '{EDGE[0]}(tide|harbor){EDGE[1]}'), ('winter', '{EDGE[0]}winter{EDGE[1]}'), ('zebra', '{EDGE[0]}zebra{EDGE[1]}')) v(signal, pattern) GROUP BY source, signal HAVING count(*) FILTER (WHERE regexp_matches(lower(text), pattern)) = 0)
+       SELECT source, list_sort(list(signal)) AS silent FROM g GROUP BY source"""
+)
 def null_on_proposal(spark, d):
-    pairs = table(spark, d, "documents").where("source like '%2'").select("source", "lang").distinct()
-    return pairs.groupBy("source").agg(F.array_sort(F.collect_list("lang")).alias("silent"))
+    """Per library the foreign signals on which all of its lines are silent."""
+    lines = table(spark, d, "documents").select(F.col("source").alias("library"), F.lit(None).cast("string").alias("own_signal"), "text")
+    silent = lint.signal_grid(lines, RARE).where("matched = 0")
+    return silent.groupBy(F.col("library").alias("source")).agg(F.array_sort(F.collect_list("signal")).alias("silent"))
+
+
+def _hits(column, terms):
+    """SQL of the sorted list of terms found in a lower-cased column."""
+    return f"list_filter({sorted(terms)!r}, lambda t: regexp_matches(lower({column}), '{EDGE[0]}' || t || '{EDGE[1]}'))"
+
+
+@query(f"SELECT line_id, hedges FROM (SELECT doc_id AS line_id, {_hits('text', lint.HEDGES)} AS hedges FROM documents WHERE source NOT LIKE '%1') WHERE len(hedges) > 0")
+def hedge_hits(spark, d):
+    kind = F.when(F.col("source").like("%1"), "ambiguous").otherwise("positive")
+    return lint.hedge_hits(table(spark, d, "documents").select(F.col("doc_id").alias("line_id"), kind.alias("kind"), "text")).select("line_id", "hedges")
 
 
-@query("SELECT doc_id, CASE WHEN source = 'src1' THEN lang WHEN lang = 'en' AND source > 'src5' THEN 'filler' WHEN lang = 'en' THEN 'companion' END AS role FROM documents WHERE lang <> 'es'")
+@query("SELECT doc_id, CASE WHEN source = 'src1' THEN lang WHEN lang = 'en' AND source > 'src5' THEN 'filler' WHEN lang = 'en' THEN 'companion' END AS role FROM documents")
 def build_pools(spark, d):
-    docs = table(spark, d, "documents").where("lang <> 'es'")
+    docs = table(spark, d, "documents")
     fragments = docs.select("doc_id", F.when(F.col("source") == "src1", "s").when(F.col("source") > "src5", F.lit(None)).otherwise("other").alias("signal_key"), F.when(F.col("source") == "src1", "positive").alias("kind"), F.when(F.col("lang") == "en", F.array(F.lit("s"))).otherwise(F.array()).cast("array<string>").alias("null_on"), "lang")
     role = D.pool_role("s")
     return fragments.select("doc_id", F.when(role == "positive", F.col("lang")).otherwise(role).alias("role"))
 
 
-PARTS = "p AS (SELECT l_orderkey AS example_id, min(l_partkey) AS fragment_id FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY l_orderkey), f AS (SELECT p_partkey AS fragment_id, CASE p_partkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS signal_key, p_partkey % 2 = 0 AS asserts, p_partkey % 5 <> 0 AS silent FROM part)"
+PARTS = "p AS (SELECT l_orderkey AS example_id, l_partkey AS fragment_id FROM lineitem), f AS (SELECT p_partkey AS fragment_id, CASE p_partkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS signal_key, p_partkey % 3 = 0 AS asserts, p_partkey % 7 <> 0 AS silent FROM part)"
 
 
 @query(
@@ -136,31 +155,31 @@ PARTS = "p AS (SELECT l_orderkey AS example_id, min(l_partkey) AS fragment_id FR
        SELECT example_id, max(CASE WHEN signal = 'a' THEN CASE WHEN declared THEN coalesce(value::VARCHAR, 'null') ELSE 'masked' END END) AS a, max(CASE WHEN signal = 'b' THEN CASE WHEN declared THEN coalesce(value::VARCHAR, 'null') ELSE 'masked' END END) AS b FROM g GROUP BY example_id"""
 )
 def label_vector(spark, d):
-    parts = table(spark, d, "lineitem").where("l_orderkey % 10 = 0").groupBy(F.col("l_orderkey").alias("example_id")).agg(F.min("l_partkey").alias("fragment_id"))
+    parts = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("example_id"), F.col("l_partkey").alias("fragment_id"))
     key = F.col("p_partkey")
-    fragments = table(spark, d, "part").select(key.alias("fragment_id"), F.when(key % 3 == 0, "a").when(key % 3 == 1, "b").alias("signal_key"), (key % 2 == 0).alias("asserts"), F.when(key % 5 != 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array()).cast("array<string>").alias("null_on"))
-    # One fragment per example, so no two assert.
+    fragments = table(spark, d, "part").select(key.alias("fragment_id"), F.when(key % 3 == 0, "a").when(key % 3 == 1, "b").alias("signal_key"), (key % 3 == 0).alias("asserts"), F.when(key % 7 != 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array()).cast("array<string>").alias("null_on"))
+    # Several fragments per example; those that assert a signal agree.
     vectors = D.label_vectors(parts, fragments, ["a", "b"])
     shown = lambda s: F.when(F.map_contains_key("labels", s), F.coalesce(F.element_at("labels", s).cast("string"), F.lit("null"))).otherwise("masked")
     return vectors.select("example_id", shown("a").alias("a"), shown("b").alias("b"))
 
 
 @query(
-    f"""SELECT doc_id, CASE WHEN u < 0.35 THEN 'true' WHEN u < 0.7 THEN 'false' WHEN v < 0.5 THEN 'null_ambiguous' ELSE 'null_structural' END AS mode, CASE WHEN v < 0.5 THEN 2 ELSE 3 END AS fragments
-       FROM (SELECT doc_id, {sql_hash("'s|' || doc_id || '|m'")} / 4294967296.0::DOUBLE AS u, {sql_hash("'s|' || doc_id || '|n'")} / 4294967296.0::DOUBLE AS v FROM documents)"""
+    f"""SELECT doc_id, CASE WHEN u < 0.35 THEN 'true' WHEN u < 0.7 THEN 'false' WHEN v < 0.5 THEN 'null_ambiguous' ELSE 'null_structural' END AS mode, CASE WHEN w < 0.5 THEN 2 ELSE 3 END AS fragments
+       FROM (SELECT doc_id, {sql_hash("'s|' || doc_id || '|f'")} / 4294967296.0::DOUBLE AS w, {sql_hash("'s|' || doc_id || '|m'")} / 4294967296.0::DOUBLE AS u, {sql_hash("'s|' || doc_id || '|n'")} / 4294967296.0::DOUBLE AS v FROM documents)"""
 )
 def sample_label_mode(spark, d):
     draw = lambda what: D.uniform(F.lit("s"), F.col("doc_id").cast("string"), F.lit(what))
-    return table(spark, d, "documents").select("doc_id", D.label_mode(draw("m"), draw("n")).alias("mode"), F.when(draw("n") < 0.5, 2).otherwise(3).alias("fragments"))
+    return table(spark, d, "documents").select("doc_id", D.label_mode(draw("m"), draw("n")).alias("mode"), F.when(draw("f") < 0.5, 2).otherwise(3).alias("fragments"))
 
 
 @query(
-    f"""SELECT doc_id, greatest(0, n - 2) AS low, least(n - 1, 3) AS high, CASE WHEN n - 1 <= 0 THEN 0 ELSE len(list_filter(range(1, least(n - 1, 3) + 1), lambda i: {sql_hash("'c|' || doc_id || '|' || i")} / 4294967296.0::DOUBLE < 0.5)) END AS companions FROM (SELECT doc_id, doc_id % 5 + 1 AS n FROM documents)"""
+    f"""SELECT doc_id, greatest(0, n - 2) AS low, least(n - 1, 3) AS high, greatest(greatest(0, n - 2), CASE WHEN n - 1 <= 0 THEN 0 ELSE len(list_filter(range(1, least(n - 1, 3) + 1), lambda i: {sql_hash("'c|' || doc_id || '|' || i")} / 4294967296.0::DOUBLE < 0.5)) END) AS companions FROM (SELECT doc_id, doc_id % 5 + 1 AS n FROM documents)"""
 )
 def sample_companion_count(spark, d):
     n = F.col("doc_id") % 5 + 1
     low, high = D.companion_bounds(n, 3, 2)
-    return table(spark, d, "documents").select("doc_id", low.alias("low"), high.alias("high"), D.binomial_draw(high.cast("int"), 0.5, F.lit("c"), F.col("doc_id").cast("string")).cast("long").alias("companions"))
+    return table(spark, d, "documents").select("doc_id", low.alias("low"), high.alias("high"), D.companion_count(low, high.cast("int"), 0.5, F.lit("c"), F.col("doc_id").cast("string")).cast("long").alias("companions"))
 
 
 @query(
@@ -255,10 +274,10 @@ def near_dup_pairs(spark, d):
     return lint.near_duplicates(lines)
 
 
-@query("SELECT event_id, user_id, event_type FROM events WHERE event_id % 50 = 0")
+@query("SELECT event_id, user_id, event_type FROM events")
 def jsonl_round_trip(spark, d):
     path = fresh_path(spark, "jsonl")
-    rows = table(spark, d, "events").where("event_id % 50 = 0").select("event_id", "user_id", "event_type")
+    rows = table(spark, d, "events").select("event_id", "user_id", "event_type")
     files.write_json_lines(rows, path)
     return files.json_lines(spark, path, "event_id long, user_id long, event_type string")
 
@@ -282,6 +301,38 @@ def holdout_round_trip(spark, d):
     return files.holdout_tsv(spark, path, ["quality", "toxic"])
 
 
+@query("SELECT n_nationkey, n_name FROM nation")
+def scan_json_tree(spark, d):
+    """One JSON file a nation in a tree, and one below ``synthetic`` that is left out."""
+    path = fresh_path(spark, "json-tree")
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "n_name")
+    rows.withColumn("part", F.col("n_nationkey")).write.partitionBy("part").json(f"{path}/rules")
+    rows.where("n_nationkey = 3").write.json(f"{path}/synthetic")
+    return files.json_tree(spark, path, "n_nationkey", "n_nationkey long, n_name string").select("n_nationkey", "n_name")
+
+
+@query("SELECT '## Regions' || chr(10) || chr(10) || '| r_regionkey | r_name |' || chr(10) || '| - | - |' || chr(10) || string_agg('| ' || r_regionkey || ' | ' || r_name || ' |', chr(10) ORDER BY r_regionkey) AS report FROM region")
+def sink_report(spark, d):
+    text = files.report_rows(table(spark, d, "region").select("r_regionkey", "r_name").orderBy("r_regionkey"), "Regions")
+    return spark.createDataFrame([(text,)], "report string")
+
+
+@query("SELECT doc_id, list_count([CASE WHEN quality IS NOT NULL THEN 1 END, CASE WHEN toxic = 1 THEN 1 END]) AS heads FROM labels")
+def labelled_positions(spark, d):
+    """Heads that supervise a row: keys of its label map, null values included."""
+    labels = F.map_from_entries(F.array_compact(F.array(F.struct(F.lit("quality").alias("k"), F.col("quality").alias("v")), F.when(F.col("toxic") == 1, F.struct(F.lit("toxic").alias("k"), F.col("toxic").alias("v"))))))
+    held = labels.alias("labels")
+    count = sum((F.map_contains_key("labels", s).cast("long") for s in ("quality", "toxic")), F.lit(0).cast("long"))
+    return table(spark, d, "labels").select("doc_id", held).select("doc_id", count.alias("heads"))
+
+
+@query("SELECT DISTINCT lang, split, 7 + 100 * fold + CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END AS run_seed, 7 + 1000 * fold AS fold_seed FROM (SELECT lang, doc_id % 5 AS fold, " + SPLIT + " AS split FROM documents)")
+def run_and_fold_seeds(spark, d):
+    fold = F.col("doc_id") % 5
+    offset = F.when(F.col("split") == "train", 0).when(F.col("split") == "val", 1).otherwise(2)
+    return _docs(spark, d).select("lang", "split", (F.lit(7) + 100 * fold + offset).alias("run_seed"), (F.lit(7) + 1000 * fold).alias("fold_seed")).distinct()
+
+
 @query("SELECT doc_id, CASE WHEN toxic = 1 THEN 'null' WHEN quality = 1 THEN 'true' ELSE 'false' END AS label_name, CASE WHEN toxic = 1 THEN 2 ELSE quality END AS class_code FROM labels")
 def label_name_and_code(spark, d):
     state = F.when(F.col("toxic") == 0, F.col("quality") == 1)

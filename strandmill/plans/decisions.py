@@ -134,7 +134,7 @@ OPEN_DAYS = ["Mon", "Tue", "Wed", "Thu", "Fri"]
 
 @query(
     """WITH l AS (SELECT event_id, user_id, ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/London' AS t FROM events)
-       SELECT event_id, CASE WHEN user_id % 10 = 0 THEN true WHEN day(t) = 25 THEN false WHEN day(t) = 24 THEN hour(t) * 60 + minute(t) >= 600 AND hour(t) * 60 + minute(t) < 720
+       SELECT event_id, CASE WHEN user_id % 10 = 0 THEN true WHEN user_id % 10 = 3 AND event_id % 3 = 0 THEN event_id % 2 = 0 WHEN day(t) = 25 THEN false WHEN day(t) = 24 THEN hour(t) * 60 + minute(t) >= 600 AND hour(t) * 60 + minute(t) < 720
          ELSE strftime(t, '%a') IN ('Mon', 'Tue', 'Wed', 'Thu', 'Fri') AND hour(t) * 60 + minute(t) >= 510 AND hour(t) * 60 + minute(t) < 1080 END AS open FROM l"""
 )
 def availability_eval(spark, d):
@@ -142,7 +142,7 @@ def availability_eval(spark, d):
     rows = table(spark, d, "events").select("event_id", "user_id", local.alias("t"))
     special = F.when(F.dayofmonth("t") == 25, "closed").when(F.dayofmonth("t") == 24, "custom")
     row = {
-        "active": F.col("user_id") % 10 != 0, "override_open": F.lit(None).cast("boolean"), "override_until": F.col("t"), "now": F.col("t"),
+        "active": F.col("user_id") % 10 != 0, "override_open": F.when(F.col("user_id") % 10 == 3, F.col("event_id") % 2 == 0), "override_until": F.when(F.col("event_id") % 3 == 0, F.col("t") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("t")), "now": F.col("t"),
         "exception_type": special, "exception_open": F.lit(600), "exception_close": F.lit(720), "weekday": F.date_format("t", "E"),
         "open_days": F.array(*map(F.lit, OPEN_DAYS)), "minute": F.hour("t") * 60 + F.minute("t"), "open_minute": F.lit(510), "close_minute": F.lit(1080),
     }
@@ -164,9 +164,13 @@ def webhook_filter(spark, d):
     return kept.groupBy("event_type").agg(F.count("*").alias("kept"))
 
 
-@query("""SELECT event_id, user_id FROM events WHERE user_id = 7 AND starts_with(event_type, 'c') AND ts >= (SELECT min(ts) FROM events)""")
+@query("""SELECT event_id, user_id FROM events WHERE user_id = 7 AND starts_with(event_type, 'c') AND ts >= date_trunc('day', (SELECT min(ts) FROM events)) AND ts < date_trunc('day', (SELECT min(ts) FROM events)) + INTERVAL 10 DAY""")
 def audit_filters(spark, d):
-    return table(spark, d, "events").where((F.col("user_id") == 7) & F.startswith("event_type", F.lit("c")) & F.col("ts").isNotNull()).select("event_id", "user_id")
+    events = table(spark, d, "events")
+    # One row is broadcast: the first UTC day.
+    first = events.agg(F.date_trunc("day", F.min("ts").cast("timestamp")).alias("first"))
+    days = (F.col("ts").cast("timestamp") >= F.col("first")) & (F.col("ts").cast("timestamp") < F.col("first") + F.expr("INTERVAL 10 DAYS"))
+    return events.where((F.col("user_id") == 7) & F.startswith("event_type", F.lit("c"))).join(F.broadcast(first), days).select("event_id", "user_id")
 
 
 def _otp(user, code, attempts, expired, match):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions.numbers import argmax, binomial_two_sided, percent_points
-from strandmill.functions.text import assign_split, hash_int
+from strandmill.functions.text import assign_split, hash_int, token_count
 from strandmill.operators import ml, stats
 from strandmill.operators.dataset import first_wins
 from strandmill.plans.book import query, sql_hash
@@ -150,17 +150,20 @@ def mcnemar_counts(spark, d):
     return stats.paired_counts(predictions(spark, d, "a"), predictions(spark, d, "b"))
 
 
-@query()
+@query(
+    f"""WITH {A}, {B}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE a.predicted = a.truth AND b.predicted <> b.truth) AS left_only, count(*) FILTER (WHERE a.predicted <> a.truth AND b.predicted = b.truth) AS right_only FROM a JOIN b USING (example_id)),
+            t AS (SELECT *, left_only + right_only AS m, least(left_only, right_only) AS k FROM c)
+       SELECT n, left_only, right_only, round(least(1.0, 2 * list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(m + 1.0) - lgamma(i + 1.0) - lgamma(m - i + 1.0) - m * ln(2.0))))), 6) AS p FROM t"""
+)
 def mcnemar_exact(spark, d):
     counts = stats.paired_counts(predictions(spark, d, "a"), predictions(spark, d, "b"))
-    return counts.withColumn("p", binomial_two_sided(F.least("left_only", "right_only"), F.col("left_only") + F.col("right_only")))
+    return counts.withColumn("p", F.round(binomial_two_sided(F.least("left_only", "right_only"), F.col("left_only") + F.col("right_only")), 6))
 
 
-@query(f"WITH {A}, {B} SELECT a.example_id, a.predicted AS left_predicted, b.predicted AS right_predicted, a.truth = b.truth AS agrees FROM a JOIN b USING (example_id) WHERE a.example_id % 2 = 0")
+@query(f"WITH {A}, {B} SELECT a.example_id, a.predicted AS left_predicted, b.predicted AS right_predicted, a.truth AS truth FROM a JOIN b USING (example_id)")
 def pair_models(spark, d):
-    left, right = predictions(spark, d, "a").where("example_id % 2 = 0"), predictions(spark, d, "b")
-    both = left.alias("l").join(right.alias("r"), F.col("l.example_id") == F.col("r.example_id"))
-    return both.select("l.example_id", F.col("l.predicted").alias("left_predicted"), F.col("r.predicted").alias("right_predicted"), (F.col("l.truth") == F.col("r.truth")).alias("agrees"))
+    both = stats.paired(predictions(spark, d, "a"), predictions(spark, d, "b"))
+    return both.select("example_id", F.col("left").alias("left_predicted"), F.col("right").alias("right_predicted"), "truth")
 
 
 @query(
@@ -189,6 +192,44 @@ def majority_model(spark, d):
     return ml.class_prior(predictions(spark, d, "a"), "truth")
 
 
+@query("SELECT doc_id, round((n - avg(n) OVER ()) / stddev_pop(n) OVER (), 6) AS z FROM (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9'']+'))::DOUBLE AS n FROM documents)")
+def standardise(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", token_count(F.col("text")).cast("double").alias("z"))
+    return ml.standardised(rows, "z").select("doc_id", F.round("z", 6).alias("z"))
+
+
+@query("SELECT doc_id, CASE quality WHEN 0 THEN [0.7, 0.0, 0.3] ELSE [0.0, 0.7, 0.3] END::DOUBLE[] AS scores FROM labels")
+def expand_scores(spark, d):
+    """Scores of a model that never saw one of the classes, with 0 for that class."""
+    return table(spark, d, "labels").select("doc_id", ml.expanded(F.array(F.lit(0.7), F.lit(0.3)), F.array(F.col("quality"), F.lit(2)), 3).alias("scores"))
+
+
+@query(f"WITH {A}, f AS (SELECT example_id % 5 AS fold, count(*) FILTER (WHERE truth = 2) AS support, count(*) FILTER (WHERE truth = 2 AND predicted = 1) AS hits FROM a WHERE NOT (truth = 2 AND example_id % 5 = 4) GROUP BY 1) SELECT fold, support, round(hits / nullif(support, 0)::DOUBLE, 6) AS rate FROM f")
+def holdout_rates(spark, d):
+    """Null-to-true rate per fold; null for a fold without support."""
+    rows = predictions(spark, d, "a").withColumn("fold", F.col("example_id") % 5).where("not (truth = 2 and fold = 4)")
+    cells = rows.groupBy("fold").agg(*stats.cells()).withColumn("support", F.col("c20") + F.col("c21") + F.col("c22"))
+    return cells.select("fold", "support", F.round(stats.null_to_true_rate(), 6).alias("rate"))
+
+
+@query(f"WITH {A}, {B}, r AS (SELECT a.library, count(*) FILTER (WHERE a.predicted <> a.truth AND b.predicted = b.truth) + count(*) FILTER (WHERE a.predicted = a.truth AND b.predicted <> b.truth) AS discordant FROM a JOIN b USING (example_id) GROUP BY a.library) SELECT library, discordant, rank() OVER (ORDER BY discordant DESC) AS worst FROM r")
+def discordance_sort(spark, d):
+    """Libraries by how often two models differ in being right, worst first; the ranks run over one row a library."""
+    left = predictions(spark, d, "a")
+    both = stats.paired(left, predictions(spark, d, "b")).join(left.select("example_id", "library"), "example_id")
+    differs = (F.col("truth") == F.col("left")) != (F.col("truth") == F.col("right"))
+    per = both.groupBy("library").agg(F.count_if(differs).alias("discordant"))
+    return per.withColumn("worst", F.rank().over(Window.orderBy(F.col("discordant").desc())))
+
+
+@query(f"WITH {A}, {B}, u AS (SELECT 'a' AS arm, subclass, truth, predicted FROM a UNION ALL SELECT 'b', subclass, truth, predicted FROM b), c AS (SELECT arm, subclass, {CELLS} FROM u GROUP BY arm, subclass) SELECT arm, subclass, round({ACCURACY}, 6) AS accuracy, round(c00 / nullif(c00 + c01 + c02, 0)::DOUBLE, 6) AS recall_false, round(c11 / nullif(c10 + c11 + c12, 0)::DOUBLE, 6) AS recall_true, round(c22 / nullif(c20 + c21 + c22, 0)::DOUBLE, 6) AS recall_null, c10 + c11 + c12 AS n_true FROM c")
+def collapse_table(spark, d):
+    """Accuracy, recall by class and label counts per arm and slice."""
+    rows = predictions(spark, d, "a").withColumn("arm", F.lit("a")).unionByName(predictions(spark, d, "b").withColumn("arm", F.lit("b")))
+    recall = [F.round(stats.class_metrics(k)[1], 6).alias(f"recall_{name}") for k, name in ((0, "false"), (1, "true"), (2, "null"))]
+    return rows.groupBy("arm", "subclass").agg(*stats.cells()).select("arm", "subclass", F.round(stats.accuracy(), 6).alias("accuracy"), *recall, (F.col("c10") + F.col("c11") + F.col("c12")).alias("n_true"))
+
+
 @query()
 def length_model(spark, d):
     return ml.length_scores(*_split(spark, d))

@@ -61,11 +61,11 @@ def cross_pairs_models(spark, d):
 
 
 @query(
-    """WITH s AS (SELECT user_id, event_type, value FROM events WHERE event_id % 3 < 2), k AS (SELECT user_id, count(DISTINCT event_type) AS sources, count(DISTINCT round(value)) AS variants FROM s GROUP BY user_id)
+    """WITH s AS (SELECT user_id, event_type, value FROM events), k AS (SELECT user_id, count(DISTINCT event_type) AS sources, count(DISTINCT round(value)) AS variants FROM s GROUP BY user_id)
        SELECT user_id, variants FROM k WHERE sources = (SELECT count(DISTINCT event_type) FROM s)"""
 )
 def merge_shared(spark, d):
-    rows = table(spark, d, "events").where("event_id % 3 < 2")
+    rows = table(spark, d, "events")
     all_sources = rows.agg(F.count_distinct("event_type").alias("all"))
     per = rows.groupBy("user_id").agg(F.count_distinct("event_type").alias("sources"), F.count_distinct(F.round("value")).alias("variants"))
     return per.join(F.broadcast(all_sources)).where("sources = all").select("user_id", "variants")
@@ -73,7 +73,7 @@ def merge_shared(spark, d):
 
 @query("SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def latest_version(spark, d):
-    return K.latest_by(table(spark, d, "events"), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()]).select("event_id", "user_id", "event_type")
+    return K.latest_by(table(spark, d, "events"), ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", "event_type")
 
 
 @query(
@@ -200,6 +200,32 @@ def violations_frame(spark, d):
     return K.violations(("nation_without_supplier", K.orphans(table(spark, d, "nation"), suppliers, ["n_nationkey"]), F.col("n_nationkey"), F.col("n_name")), ("small_region", table(spark, d, "region").where("r_regionkey > 3"), F.col("r_regionkey"), F.col("r_name")))
 
 
+@query("SELECT o_orderstatus, count(*) FILTER (WHERE o_orderdate < TIMESTAMP '1996-01-01') AS gone, count(*) FILTER (WHERE o_orderdate >= TIMESTAMP '1996-01-01') AS live FROM orders GROUP BY o_orderstatus")
+def delete_expired(spark, d):
+    """Rows that a deletion of what expired before 1996 takes and leaves, per status."""
+    expired = F.col("o_orderdate") < _ts("1996-01-01")
+    return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count_if(expired).alias("gone"), F.count_if(~expired).alias("live"))
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 AND event_type = 'purchase' AS is_closed FROM events")
+def close_flag_on_latest(spark, d):
+    """Versions of which the latest is closed by a purchase; earlier ones are never touched."""
+    events = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    latest = K.latest_by(events, ["user_id"], ["ts", "event_id"]).where("event_type = 'purchase'").select("event_id", F.lit(True).alias("closed"))
+    return events.join(latest, "event_id", "left").select("event_id", F.coalesce("closed", F.lit(False)).alias("is_closed"))
+
+
+@query(
+    """WITH e AS (SELECT o_orderkey, o_orderpriority, o_orderdate FROM orders WHERE o_orderstatus = 'O' AND o_orderdate + INTERVAL 1 DAY <= TIMESTAMP '1998-01-01')
+       SELECT o_orderpriority, o_orderkey, '1998-01-01 00:10:00' AS lease_until FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS r FROM e) WHERE r = 1"""
+)
+def queue_claim(spark, d):
+    """The oldest eligible job of each queue, leased for ten minutes from the claim's time."""
+    due = table(spark, d, "orders").where("o_orderstatus = 'O'").where(F.col("o_orderdate") + F.expr("INTERVAL 1 DAY") <= _ts("1998-01-01"))
+    head = due.groupBy("o_orderpriority").agg(F.min(F.struct("o_orderdate", "o_orderkey")).alias("head"))
+    return head.select("o_orderpriority", F.col("head.o_orderkey").alias("o_orderkey"), F.date_format(_ts("1998-01-01") + F.expr("INTERVAL 10 MINUTES"), "yyyy-MM-dd HH:mm:ss").alias("lease_until"))
+
+
 @query("SELECT c_nationkey, count(*) AS n FROM customer GROUP BY c_nationkey")
 def count_all(spark, d):
     return table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))

@@ -175,12 +175,11 @@ def age_and_long_date(spark, d):
     return table(spark, d, "orders").select("o_orderkey", N.age_in_years(F.col("o_orderdate"), F.lit("2000-02-28").cast("timestamp_ntz")).alias("age"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("shown"))
 
 
-@query("""SELECT event_id, date_trunc('day', ts)::VARCHAR AS day_start, (date_trunc('day', ts) + INTERVAL 1 DAY)::VARCHAR AS next_day, (ts + INTERVAL 10 MINUTE)::VARCHAR AS lease_until FROM events WHERE event_id % 20 = 0""")
+@query("""SELECT event_id, date_trunc('day', ts)::VARCHAR AS day_start, (date_trunc('day', ts) + INTERVAL 1 DAY)::VARCHAR AS next_day, (ts + INTERVAL 10 MINUTE)::VARCHAR AS lease_until FROM events""")
 def utc_day_bounds(spark, d):
     shown = lambda c: F.regexp_replace(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"), r"\.?0{1,6}$", "")
     day = F.date_trunc("day", F.col("ts").cast("timestamp"))
-    keep = table(spark, d, "events").where("event_id % 20 = 0")
-    return keep.select("event_id", F.date_format(day, "yyyy-MM-dd HH:mm:ss").alias("day_start"), F.date_format(day + F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd HH:mm:ss").alias("next_day"), shown(F.col("ts").cast("timestamp") + F.expr("INTERVAL 10 MINUTES")).alias("lease_until"))
+    return table(spark, d, "events").select("event_id", F.date_format(day, "yyyy-MM-dd HH:mm:ss").alias("day_start"), F.date_format(day + F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd HH:mm:ss").alias("next_day"), shown(F.col("ts").cast("timestamp") + F.expr("INTERVAL 10 MINUTES")).alias("lease_until"))
 
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type || ':' || user_id AS tag FROM events""")
@@ -207,9 +206,14 @@ def weighted_terms(spark, d):
     return table(spark, d, "part").select("p_brand", F.element_at(parsed, "a").cast("double").alias("a"), picked.cast("double").alias("weight")).distinct()
 
 
-@query("""SELECT c_custkey, 'c' || c_custkey || '@' || lower(c_mktsegment) AS address, true AS valid, lower(c_mktsegment) = ANY(['building', 'machinery']) AS allowed FROM customer""")
+@query(
+    """WITH a AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'c' || c_custkey WHEN 1 THEN '@' || lower(c_mktsegment) WHEN 2 THEN 'c@' || c_custkey || '@' || lower(c_mktsegment) ELSE 'c' || c_custkey || '@' || lower(c_mktsegment) END AS address FROM customer)
+       SELECT c_custkey, address, len(string_split(address, '@')) = 2 AND split_part(address, '@', 1) <> '' AND split_part(address, '@', 2) <> '' AS valid, CASE WHEN contains(address, '@') THEN list_last(string_split(address, '@')) ELSE address END IN ('building', 'machinery') AS allowed FROM a"""
+)
 def email_format(spark, d):
-    address = F.concat(F.lit("c"), "c_custkey", F.lit("@"), F.lower("c_mktsegment"))
+    segment, kind = F.lower("c_mktsegment"), F.col("c_custkey") % 4
+    whole = F.concat(F.lit("c"), "c_custkey", F.lit("@"), segment)
+    address = F.when(kind == 0, F.concat(F.lit("c"), "c_custkey")).when(kind == 1, F.concat(F.lit("@"), segment)).when(kind == 2, F.concat(F.lit("c@"), "c_custkey", F.lit("@"), segment)).otherwise(whole)
     rows = table(spark, d, "customer").select("c_custkey", address.alias("address"))
     return rows.select("*", R.is_email(F.col("address")).alias("valid"), F.substring_index("address", "@", -1).isin("building", "machinery").alias("allowed"))
 

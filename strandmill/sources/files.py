@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandmill.functions.text import cluster_key, fragment_id, normalise_text
 
+# Fixed value: how a line names its cluster.
 TAG = r"^\[([A-Za-z0-9_]+)\]\s+"
 
 

@@ -1,7 +1,7 @@
 """Durable intermediate results in the folder that driver and executors share.
 
-``spark.checkpoint.dir`` names that folder. It is set here only where it is unset, which happens in
-local tests, and then points at a temporary folder of the only machine involved.
+``spark.checkpoint.dir`` names that folder. Where it is unset, a session on one machine gets a temporary
+folder of its own; on a cluster that is an error, as executors could not see each other's files.
 """
 
 from __future__ import annotations
@@ -12,14 +12,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: Temporary folders of local applications.
+_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """URI of the shared folder."""
     folder = spark.conf.get(SETTING, None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="strandmill-")
-        spark.conf.set(SETTING, folder)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{SETTING} must name a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        folder = _local.get(app) or _local.setdefault(app, "file://" + tempfile.mkdtemp(prefix="strandmill-"))
     return folder.rstrip("/")
 
 

@@ -4,6 +4,7 @@ import datetime
 import difflib
 import hashlib
 import random
+from collections import Counter
 from types import SimpleNamespace
 
 import pandas as pd
@@ -11,9 +12,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandmill.functions import text as X
-from strandmill.operators.dataset import label_vectors
+from strandmill.operators import ml, stats
+from strandmill.operators.dataset import add_noise, companion_count, generate, label_vectors, running_sum
 from strandmill.operators.lint import near_duplicates
 from strandmill.plans import registry
+from strandmill.sources.shared import shared_dir
 from strandmill.streaming import jobs
 
 
@@ -158,3 +161,87 @@ def test_label_vectors_merge_fragments_and_refuse_conflicts(spark):
     masked = fragments.withColumn("null_on", F.when(F.col("fragment_id") == 4, F.array(F.lit("b"))).otherwise(F.col("null_on")))
     with pytest.raises(Exception, match="differently"):
         label_vectors(parts([(1, 1), (1, 6), (1, 4)]), masked, ["a", "b"]).collect()
+
+
+def test_companions_are_floored_and_share_zero_refused(spark):
+    rows = spark.range(200).select(F.col("id").cast("string").alias("k"), F.lit(2).alias("low"), F.lit(4).alias("high"))
+    got = Counter(r[0] for r in rows.select(companion_count(F.col("low"), F.col("high"), 0.3, F.col("k"))).collect())
+    assert min(got) == 2 and max(got) <= 4 and len(got) > 1
+    assert rows.select(companion_count(F.lit(0), F.col("high"), 0.0, F.col("k")).alias("n")).agg(F.sum("n")).first()[0] == 0
+    with pytest.raises(Exception, match="share is 0"):
+        rows.select(companion_count(F.col("low"), F.col("high"), 0.0, F.col("k"))).collect()
+
+
+def test_models_that_do_not_pair_are_refused(spark):
+    schema = "example_id long, truth int, predicted int"
+    left = [(1, 0, 0), (2, 1, 0), (3, 2, 2)]
+    counts = stats.paired_counts(spark.createDataFrame(left, schema), spark.createDataFrame([(3, 2, 1), (2, 1, 1), (1, 0, 0)], schema)).first()
+    assert tuple(counts) == (3, 1, 1)
+    for right in ([(1, 0, 0), (2, 1, 0)], [*left, (4, 0, 0)], [*left, (3, 2, 2)], [(1, 1, 0), *left[1:]]):
+        with pytest.raises(Exception, match="do not pair"):
+            stats.paired_counts(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)).collect()
+
+
+def test_length_model_divides_by_the_population_deviation(spark):
+    train = spark.createDataFrame([(i, "w " * n, float(n > 5)) for i, n in enumerate([1, 2, 3, 8, 9, 30])], "doc_id long, text string, label double")
+    n = [1, 2, 3, 8, 9, 30]
+    mean, sd = sum(n) / 6, (sum((x - sum(n) / 6) ** 2 for x in n) / 6) ** 0.5
+    sized = train.select("doc_id", X.token_count(F.col("text")).cast("double").alias("tokens"))
+    got = {r.doc_id: r.tokens for r in ml.standardised(sized, "tokens").collect()}
+    assert got == pytest.approx({i: (x - mean) / sd for i, x in enumerate(n)})
+    flat = ml.standardised(sized.withColumn("tokens", F.lit(4.0)), "tokens").collect()
+    assert {r.tokens for r in flat} == {0.0}
+    scores = {r.doc_id: r.score for r in ml.length_scores(train, train).collect()}
+    assert sorted(scores, key=scores.get) == list(range(6))
+
+
+def test_every_term_is_kept(spark):
+    """More terms than Spark's default vocabulary would be slow here; the bound itself is looked at."""
+    docs = spark.createDataFrame([(i, f"common w{i} w{i + 1}", float(i % 2)) for i in range(40)], "doc_id long, text string, label double")
+    assert ml.tfidf_scores(docs, docs).count() == 40
+
+
+def test_noise_is_reproducible_and_spares_frozen_words(spark):
+    texts = [(i, "The pain isn't bad but it keeps me awake at night and the fever comes back. " * (1 + i % 3)) for i in range(60)]
+    df = spark.createDataFrame(texts, "k long, text string")
+    noisy = lambda d, rate: {r.k: (r.text, tuple(r.edits)) for r in add_noise(d, "k", "text", rate, "s", frozenset({"pain", "fever"})).collect()}
+    first = noisy(df, 0.2)
+    assert first == noisy(df.repartition(7), 0.2) and first != noisy(df, 0.1)
+    for k, (text, edits) in first.items():
+        own = dict(texts)[k]
+        assert text.lower().count("pain") >= own.lower().count("pain") and text.lower().count("fever") >= own.lower().count("fever")
+        assert bool(edits) == (text != own) or edits
+    assert noisy(df, 0.0) == {k: (t, ()) for k, t in texts}
+
+
+def test_generated_examples_are_reproducible_and_distinct(spark):
+    pools = [(f"{role}{i}", role, f"{role} text {i}") for role in ("positive", "negative", "ambiguous", "filler") for i in range(9)]
+    df = spark.createDataFrame(pools, "fragment_id string, role string, text string")
+    made = {r["index"]: (r.mode, tuple(r.fragment_ids), r.text) for r in generate(df, 60, "g").collect()}
+    assert made == {r["index"]: (r.mode, tuple(r.fragment_ids), r.text) for r in generate(df.repartition(5), 60, "g").collect()}
+    assert sorted(made) == list(range(60)) and len({t for *_, t in made.values()}) == 60
+    own = {"true": "positive", "false": "negative", "null_ambiguous": "ambiguous", "null_structural": "filler"}
+    for mode, ids, _ in made.values():
+        assert len(ids) == 3 and any(i.startswith(own[mode]) for i in ids) and sum(i.startswith("filler") for i in ids) >= 2
+    with pytest.raises(ValueError, match="unused"):
+        generate(df.where("role <> 'filler' or fragment_id = 'filler0'"), 200, "g", attempts=2)
+
+
+def test_running_sums_of_one_group_over_many_ranges(spark):
+    rows = [(None if i % 5 == 0 else "g", i * 7919 % 3000, i % 11) for i in range(3000)]
+    got = running_sum(spark.createDataFrame(rows, "g string, k long, v long").repartition(6), "g", [F.col("k")], F.col("v"), "upto").collect()
+    want = {}
+    for group in ("g", None):
+        at = 0
+        for _, k, v in sorted((r for r in rows if r[0] == group), key=lambda r: r[1]):
+            at += v
+            want[group, k] = at
+    assert {(r.g, r.k): r.upto for r in got} == want
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="a"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(unset)
+    unset.sparkContext.master = "local[2]"
+    assert shared_dir(unset) == shared_dir(unset)
