@@ -1,5 +1,6 @@
 import hashlib
 import importlib
+import math
 import zlib
 from collections import Counter
 
@@ -148,12 +149,19 @@ def test_shards_are_even_and_slots_gapless(docs):
 
 
 def test_shuffled_numbers_invert(spark):
-    for n in (1, 2, 10, 97, 1000):
+    for n in (1, 2, 10, 97, 1000, 9901):
         rows = spark.range(n).withColumn("p", sharding.shuffled_number(F.col("id"), n))
         rows = rows.withColumn("back", sharding.number_at(rows["p"], n)).collect()
         assert sorted(r.p for r in rows) == list(range(n)) and all(r.back == r.id for r in rows)
 
 
+def test_a_walk_takes_as_many_steps_as_values_lie_outside(spark):
+    n = 9901
+    assert math.prod(sharding._halves(n)) - n == 99
+    rows = spark.range(n, n + 99).withColumn("p", sharding._walk(F.col("id"), n, lambda p: p - F.lit(1)))
+    assert {r.p for r in rows.collect()} == {n - 1}
+
+
 def archive_rows():
     """Repeated and null ids, equal URLs over many blocks, long and short copies."""
     long, rows = "<p>" + "ä" * 100, []
