@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from strandmill.functions.numbers import argmax_with_margin
 from strandmill.functions.text import hash_int
+from strandmill.operators.dataset import numbered
+from strandmill.sources.shared import written
 
 CLASSES = (0, 1, 2)
 NULL_CLASS, TRUE_CLASS = 2, 1
@@ -79,6 +81,32 @@ def select_margin(sweep: DataFrame) -> DataFrame:
     return allowed.orderBy(*order).limit(1).drop("_base")
 
 
+def select_margins(preds: DataFrame, margins: list[int], head: str) -> DataFrame:
+    """(head, margin): ``select_margin`` of every head by itself, in one pass; heads never trade with each other."""
+    sweep = summarise(repredict(preds, margins), [head, "margin"])
+    base = sweep.where("margin = 0").select(head, F.col("null_to_true_rate").alias("_base"))
+    allowed = sweep.join(base, head).where("_base is null or null_to_true_rate is null or null_to_true_rate <= _base + 1e-12")
+    best = F.min(F.struct((-F.coalesce("macro_f1", F.lit(-1.0))).alias("f"), F.coalesce("null_to_true_rate", F.lit(0.0)).alias("r"), "margin"))
+    return allowed.groupBy(head).agg(best.alias("_b")).select(head, F.col("_b.margin").alias("margin"))
+
+
+def decided(preds: DataFrame, rules: DataFrame, head: str, scores: str = "scores") -> DataFrame:
+    """Predictions decided again under their head's selected margin; a head without one raises an error."""
+    ruled = preds.join(rules.select(head, F.col("margin")), head, "left")
+    margin = F.coalesce("margin", F.raise_error(F.concat(F.lit("no margin was selected for "), F.col(head).cast("string"))).cast("int"))
+    return ruled.withColumn("predicted", argmax_with_margin(F.col(scores), margin))
+
+
+def select_then_score(validation: DataFrame, stages: dict[str, DataFrame], margins: list[int], head: str) -> DataFrame:
+    """Per stage and head the summary under margins that validation rows alone select; the stages select nothing."""
+    rules = written(select_margins(validation, margins, head), "rules")
+    rows = [summarise(decided(df, rules, head), [head]).withColumn("stage", F.lit(name)) for name, df in stages.items()]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.join(rules, head)
+
+
 def error_concentration(groups: DataFrame, group: str) -> DataFrame:
     """How few groups carry half of all errors; ``groups`` has n and n_correct per group."""
     errors = groups.select(group, (F.col("n") - F.col("n_correct")).alias("errors"))
@@ -113,22 +141,23 @@ def paired_counts(left: DataFrame, right: DataFrame, key: str = "example_id") ->
     return paired(left, right, key).agg(F.count("*").alias("n"), F.count_if(l & ~r).alias("left_only"), F.count_if(~l & r).alias("right_only"))
 
 
-def bootstrap(preds: DataFrame, resamples: int, statistic: Column, unit: str = "unit", seed: str = "b", max_units: int = 1_000_000) -> DataFrame:
-    """(resample, value): units drawn with replacement by hash, confusion counts summed.
+def resampled(units: DataFrame, unit: str, columns: list[str], resamples: int, seed: str = "b") -> DataFrame:
+    """(resample, sums of ``columns``): as many units as there are, drawn with replacement by hash, ``resamples`` times.
 
-    Predictions shrink to nine counts per unit first; only those are drawn. ``max_units`` bounds the
-    units that are broadcast; more raise an error when the plan is built.
+    ``units`` has one row a unit, whose columns add up; a draw meets its unit by number, so that any
+    number of units is served.
     """
-    spark = preds.sparkSession
-    units = preds.groupBy(unit).agg(*cells()).withColumn("place", F.row_number().over(Window.orderBy(F.col(unit).asc_nulls_first())) - 1)
-    many = preds.select(unit).distinct().count()
-    if many > max_units:
-        raise ValueError(f"more than {max_units} units")
-    draws = spark.range(resamples).select(F.col("id").alias("resample"), F.explode(F.sequence(F.lit(0), F.lit(max(many, 1) - 1))).alias("turn"))
-    draws = draws.withColumn("place", F.pmod(hash_int(F.concat_ws("|", F.lit(seed), "resample", "turn")), F.lit(max(many, 1))).cast("int"))
+    placed = written(numbered(units.select(unit, *columns).withColumn("_all", F.lit(0)), "_all", [F.col(unit)], "_place").drop("_all"), "units")
+    many = max(placed.count(), 1)
+    draws = units.sparkSession.range(resamples * many).select(F.expr(f"id div {many}").alias("resample"), F.expr(f"id % {many}").alias("turn"))
+    draws = draws.select("resample", (F.pmod(hash_int(F.concat_ws("|", F.lit(seed), "resample", "turn")), F.lit(many)) + 1).alias("_place"))
+    return draws.join(placed, "_place").groupBy("resample").agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def bootstrap(preds: DataFrame, resamples: int, statistic: Column, unit: str = "unit", seed: str = "b") -> DataFrame:
+    """(resample, value): a statistic of confusion counts over resampled units; predictions shrink to nine counts per unit first."""
     names = [f"c{t}{p}" for t in CLASSES for p in CLASSES]
-    sums = draws.join(F.broadcast(units), "place").groupBy("resample").agg(*[F.sum(c).alias(c) for c in names])
-    return sums.select("resample", statistic.alias("value"))
+    return resampled(preds.groupBy(unit).agg(*cells()), unit, names, resamples, seed).select("resample", statistic.alias("value"))
 
 
 def interval(values: DataFrame, alpha: float = 0.05) -> DataFrame:
