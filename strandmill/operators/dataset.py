@@ -31,8 +31,8 @@ def uniform(*key: Column) -> Column:
 
 
 def first_wins(df: DataFrame, text: str, order: list[str]) -> DataFrame:
-    """One row per normalised text: the first in ``order``."""
-    w = Window.partitionBy(normalise_text(F.col(text))).orderBy(*order)
+    """One row per normalised text: the first in ``order``. Digests are shuffled, and of each text's rows one a task."""
+    w = Window.partitionBy(F.sha2(normalise_text(F.col(text)), 256)).orderBy(*order)
     return df.withColumn("_place", F.row_number().over(w)).where("_place = 1").drop("_place")
 
 

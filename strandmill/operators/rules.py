@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandmill.operators.dataset import running_sum
+
 #: Sources whose values count as explicitly given.
 EXPLICIT = ("patient", "encoder_correct", "encoder_incorrect")
 KINDS = ("is_true", "is_false", "any", "all")
@@ -140,3 +142,60 @@ def first_spelling(values: Column) -> Column:
     """Trimmed, non-empty array entries without case-insensitive repeats; the first spelling stays."""
     trimmed = F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != "")
     return F.filter(trimmed, lambda x, i: ~F.exists(F.slice(trimmed, 1, i), lambda y: F.lower(y) == F.lower(x)))
+
+
+# Names of days, and the longest messages and notes.
+DAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
+LONGEST_MESSAGE, LONGEST_NOTE = 500, 500
+
+
+def _long(text: Column, most: int) -> Column:
+    return F.coalesce(F.length(text), F.lit(0)) > most
+
+
+def opening_errors(days: Column, opens: Column, closes: Column, message: Column) -> Column:
+    """What is wrong with weekly hours (minutes of the day): unknown days, hours that do not end after they begin, a message too long."""
+    return failures((F.size(F.array_except(days, F.array(*map(F.lit, DAYS)))) > 0, "unknown_day"), (opens >= closes, "hours"), (_long(message, LONGEST_MESSAGE), "message_length"))
+
+
+def override_errors(status: Column, expires: Column, now: Column, message: Column) -> Column:
+    """What is wrong with an override, which is open or closed and expires within the coming 24 hours."""
+    return failures(
+        (~F.coalesce(status.isin("open", "closed"), F.lit(False)), "status"),
+        (expires.isNull(), "no_expiry"),
+        (expires <= now, "expiry_past"),
+        (expires > now + F.expr("INTERVAL 24 HOURS"), "expiry_far"),
+        (_long(message, LONGEST_MESSAGE), "message_length"),
+    )
+
+
+def exception_errors(kind: Column, opens: Column, closes: Column, note: Column) -> Column:
+    """What is wrong with an exception: closed days have no hours, those with hours of their own have both, in order."""
+    own = kind == "custom_hours"
+    return failures(
+        (~F.coalesce(kind.isin("closed", "custom_hours"), F.lit(False)), "kind"),
+        (own & (opens.isNull() | closes.isNull()), "hours_missing"),
+        (own & (opens >= closes), "hours"),
+        ((kind == "closed") & (opens.isNotNull() | closes.isNotNull()), "hours_given"),
+        (_long(note, LONGEST_NOTE), "note_length"),
+    )
+
+
+def code_outcomes(events: DataFrame, most: int, lifetime: str = "INTERVAL 5 DAYS") -> DataFrame:
+    """(event_id, reason) of every try (an event but a signup) of one-time codes, by the first gate that stops it.
+
+    The gates: no such user (every 13th), no code (none issued, or used up), too many wrong tries,
+    expired, mismatch. Running counts per user and code stand for the state, in ranges that many tasks share.
+    """
+    order = [F.col("ts"), F.col("event_id")]
+    counted = lambda df, group, hit, name: running_sum(df, group, order, hit.cast("long"), name)
+    rows = counted(events, "user_id", F.col("event_type") == "signup", "code").withColumn("key", F.concat_ws("/", "user_id", "code"))
+    issued = rows.groupBy("key").agg(F.min("ts").alias("issued"))
+    match, tried = F.col("event_type") == "purchase", F.col("event_type") != "signup"
+    rows = rows.join(issued, "key").withColumn("expired", (F.col("code") > 0) & (F.col("ts") > F.col("issued") + F.expr(lifetime)))
+    wrong = tried & ~match & ~F.col("expired")
+    rows = counted(rows, "key", wrong, "_wrong").withColumn("failed", F.col("_wrong") - wrong.cast("long"))
+    right = match & ~F.col("expired") & (F.col("failed") < most)
+    rows = counted(rows, "key", right, "_right").withColumn("used", F.col("_right") - right.cast("long"))
+    reason = F.when(F.col("user_id") % 13 == 0, "no_user").when((F.col("code") == 0) | (F.col("used") > 0), "no_code").when(F.col("failed") >= most, "attempts").when(F.col("expired"), "expired").when(~match, "mismatch")
+    return rows.where(tried).select("event_id", reason.otherwise("success").alias("reason"))

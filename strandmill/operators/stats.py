@@ -135,6 +135,23 @@ def paired(left: DataFrame, right: DataFrame, key: str = "example_id") -> DataFr
     return both.select(key, truth.alias("truth"), "left", "right")
 
 
+def cross_pairs(preds: DataFrame, model: str, names: list[str], slice_: str) -> DataFrame:
+    """(left, right, slice, n_common, skipped, left_only, right_only) of all pairs of models, after one shuffle by example.
+
+    ``names`` are the models, which are few. A pair whose example ids differ within a slice is skipped and has no counts.
+    """
+    held = preds.groupBy(slice_, "example_id").agg(*[F.max(F.when(F.col(model) == n, F.col("truth") == F.col("predicted"))).alias(f"_m{i}") for i, n in enumerate(names)])
+    pair = lambda i, j: F.struct(F.lit(names[i]).alias("left"), F.lit(names[j]).alias("right"), F.col(f"_m{i}").alias("l"), F.col(f"_m{j}").alias("r"))
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    pairs = held.select(slice_, F.inline(F.array(*[pair(i, j) for k, i in enumerate(order) for j in order[k + 1 :]])))
+    both = F.col("l").isNotNull() & F.col("r").isNotNull()
+    per = pairs.groupBy("left", "right", slice_).agg(
+        F.count_if(both).alias("n_common"), (F.count_if(F.col("l").isNotNull() != F.col("r").isNotNull()) > 0).alias("skipped"), F.count_if(F.col("l") & ~F.col("r")).alias("_left"), F.count_if(~F.col("l") & F.col("r")).alias("_right")
+    )
+    told = lambda c: F.when(~F.col("skipped"), F.col(f"_{c}")).alias(f"{c}_only")
+    return per.select("left", "right", slice_, "n_common", "skipped", told("left"), told("right"))
+
+
 def paired_counts(left: DataFrame, right: DataFrame, key: str = "example_id") -> DataFrame:
     """Discordant counts of two models over the same examples."""
     l, r = F.col("truth") == F.col("left"), F.col("truth") == F.col("right")

@@ -344,15 +344,3 @@ def epoch_divergence(spark, d):
     from strandmill.operators.ml import best_epochs
 
     return best_epochs(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value")
-
-
-@query("SELECT c_nationkey, count(*) FILTER (WHERE c_acctbal > 0) AS held, round(count(*) FILTER (WHERE c_acctbal > 0) / nullif(count(*) FILTER (WHERE c_acctbal > 5000), 0)::DOUBLE, 6) AS capture FROM customer GROUP BY c_nationkey")
-def score_deltas(spark, d):
-    held, big = F.count_if(F.col("c_acctbal") > 0), F.count_if(F.col("c_acctbal") > 5000)
-    return table(spark, d, "customer").groupBy("c_nationkey").agg(held.alias("held"), F.round(F.try_divide(held, big), 6).alias("capture"))
-
-
-@query("SELECT split_part(s_name, '#', 2)::BIGINT AS arm, count(*) OVER (PARTITION BY s_nationkey) = 1 AS exactly_one FROM supplier")
-def arm_lookup(spark, d):
-    arm = F.element_at(F.split("s_name", "#"), -1).cast("long")
-    return table(spark, d, "supplier").select(arm.alias("arm"), (F.count("*").over(Window.partitionBy("s_nationkey")) == 1).alias("exactly_one"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandmill.operators import rules as R
-from strandmill.operators.relational import violations
 from strandmill.operators.search import search
 from strandmill.plans.book import query
 from strandmill.sources.tables import table
@@ -149,10 +148,25 @@ def availability_eval(spark, d):
     return rows.select("event_id", R.is_open(row).alias("open"))
 
 
-@query("""SELECT 'override_too_long' AS rule, user_id::VARCHAR AS key, count(*)::VARCHAR AS detail FROM events GROUP BY user_id HAVING count(*) > 12 UNION ALL SELECT 'negative_balance', c_custkey::VARCHAR, c_mktsegment FROM customer WHERE c_acctbal < -900""")
+@query(
+    """WITH e AS (SELECT *, event_id % 24 * 60 AS o, user_id % 24 * 60 AS c, repeat('m', (event_id % 600)::INT) AS text, CASE WHEN event_id % 29 > 0 THEN event_id % 30 - 2 END AS hours, ['open', 'closed', 'ajar'][event_id % 3 + 1] AS status, ['closed', 'custom_hours', 'half'][user_id % 3 + 1] AS kind FROM events),
+            x AS (SELECT *, CASE WHEN event_id % 4 > 0 THEN o END AS xo, CASE WHEN event_id % 4 > 1 THEN c END AS xc FROM e), n AS (SELECT event_id,
+            [CASE WHEN event_type <> 'click' THEN 'unknown_day' END, CASE WHEN o >= c THEN 'hours' END, CASE WHEN length(text) > 500 THEN 'message_length' END] AS weekly,
+            [CASE WHEN status = 'ajar' THEN 'status' END, CASE WHEN hours IS NULL THEN 'no_expiry' END, CASE WHEN hours <= 0 THEN 'expiry_past' END, CASE WHEN hours > 24 THEN 'expiry_far' END, CASE WHEN length(text) > 500 THEN 'message_length' END] AS override,
+            [CASE WHEN kind = 'half' THEN 'kind' END, CASE WHEN kind = 'custom_hours' AND (xo IS NULL OR xc IS NULL) THEN 'hours_missing' END, CASE WHEN kind = 'custom_hours' AND xo >= xc THEN 'hours' END, CASE WHEN kind = 'closed' AND (xo IS NOT NULL OR xc IS NOT NULL) THEN 'hours_given' END, CASE WHEN length(text) > 500 THEN 'note_length' END] AS exception FROM x)
+       SELECT event_id, list_filter(weekly, lambda v: v IS NOT NULL) AS weekly, list_filter(override, lambda v: v IS NOT NULL) AS override, list_filter(exception, lambda v: v IS NOT NULL) AS exception FROM n"""
+)
 def availability_validate(spark, d):
-    per_user = table(spark, d, "events").groupBy("user_id").count()
-    return violations(("override_too_long", per_user.where("count > 12"), F.col("user_id"), F.col("count")), ("negative_balance", table(spark, d, "customer").where("c_acctbal < -900"), F.col("c_custkey"), F.col("c_mktsegment")))
+    """Weekly hours, an override and an exception made from each event, with every fault in some of them."""
+    e, u, now = F.col("event_id"), F.col("user_id"), F.col("ts").cast("timestamp")
+    opens, closes, text = e % 24 * 60, u % 24 * 60, F.repeat(F.lit("m"), (e % 600).cast("int"))
+    pick = lambda i, *names: F.element_at(F.array(*map(F.lit, names)), (i % 3 + 1).cast("int"))
+    expires = F.when(e % 29 > 0, now + F.make_dt_interval(F.lit(0), (e % 30 - 2).cast("int")))
+    days = F.array(F.lit("Mon"), F.when(F.col("event_type") == "click", "Sun").otherwise(F.col("event_type")))
+    return table(spark, d, "events").select(
+        "event_id", R.opening_errors(days, opens, closes, text).alias("weekly"), R.override_errors(pick(e, "open", "closed", "ajar"), expires, now, text).alias("override"),
+        R.exception_errors(pick(u, "closed", "custom_hours", "half"), F.when(e % 4 > 0, opens), F.when(e % 4 > 1, closes), text).alias("exception"),
+    )
 
 
 @query("""WITH m AS (SELECT max(ts) AS now FROM events) SELECT event_type, count(*) AS kept FROM events, m WHERE abs(epoch(ts) - epoch(now)) <= 900 * 96 AND event_id % 17 <> 0 GROUP BY event_type""")
@@ -173,16 +187,19 @@ def audit_filters(spark, d):
     return events.where((F.col("user_id") == 7) & F.startswith("event_type", F.lit("c"))).join(F.broadcast(first), days).select("event_id", "user_id")
 
 
-def _otp(user, code, attempts, expired, match):
-    return F.when(~user, "no_user").when(~code, "no_code").when(attempts >= 3, "attempts").when(expired, "expired").when(~match, "mismatch").otherwise("success")
+MOST_TRIES = 3
 
 
 @query(
-    """SELECT CASE WHEN event_id % 13 = 0 THEN 'no_user' WHEN event_id % 11 = 0 THEN 'no_code' WHEN event_id % 5 >= 3 THEN 'attempts' WHEN event_id % 7 = 0 THEN 'expired' WHEN event_id % 2 = 0 THEN 'mismatch' ELSE 'success' END AS reason, count(*) AS n FROM events GROUP BY 1"""
+    f"""WITH i AS (SELECT *, count(*) FILTER (WHERE event_type = 'signup') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS code FROM events), t AS (SELECT i.*, min(ts) OVER (PARTITION BY user_id, code) AS issued FROM i),
+            x AS (SELECT *, code > 0 AND ts > issued + INTERVAL 5 DAY AS expired, event_type = 'purchase' AS match FROM t),
+            f AS (SELECT *, coalesce(count(*) FILTER (WHERE event_type <> 'signup' AND NOT match AND NOT expired) OVER (PARTITION BY user_id, code ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS failed FROM x),
+            s AS (SELECT *, coalesce(count(*) FILTER (WHERE match AND NOT expired AND failed < {MOST_TRIES}) OVER (PARTITION BY user_id, code ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM f)
+       SELECT event_id, CASE WHEN user_id % 13 = 0 THEN 'no_user' WHEN code = 0 OR used > 0 THEN 'no_code' WHEN failed >= {MOST_TRIES} THEN 'attempts' WHEN expired THEN 'expired' WHEN NOT match THEN 'mismatch' ELSE 'success' END AS reason FROM s WHERE event_type <> 'signup'"""
 )
 def otp_state_machine(spark, d):
-    e = F.col("event_id")
-    return table(spark, d, "events").groupBy(_otp(e % 13 != 0, e % 11 != 0, e % 5, e % 7 == 0, e % 2 != 0).alias("reason")).agg(F.count("*").alias("n"))
+    """A signup issues a code for five days, every other event tries it, and a purchase matches it; wrong tries count, and success uses the code up."""
+    return R.code_outcomes(table(spark, d, "events").select("event_id", "user_id", "ts", "event_type"), MOST_TRIES)
 
 
 @query("""SELECT p_partkey FROM part WHERE contains(lower(p_name), 'widgett') OR len(list_filter(string_split(lower(p_name), ' '), lambda t: levenshtein(t, 'widgett') <= 2)) > 0""")

@@ -54,12 +54,6 @@ def presentation_join(spark, d):
     return table(spark, d, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("s_suppkey", "s_name", "n_name", F.coalesce("r_name", F.lit("none")).alias("region"))
 
 
-@query("SELECT a.r_regionkey AS left_key, b.r_regionkey AS right_key, a.r_name || '/' || b.r_name AS pair FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey")
-def cross_pairs_models(spark, d):
-    a, b = table(spark, d, "region").alias("a"), table(spark, d, "region").alias("b")
-    return a.join(F.broadcast(b), F.col("a.r_regionkey") < F.col("b.r_regionkey")).select(F.col("a.r_regionkey").alias("left_key"), F.col("b.r_regionkey").alias("right_key"), F.concat_ws("/", "a.r_name", "b.r_name").alias("pair"))
-
-
 @query(
     """WITH s AS (SELECT user_id, event_type, value FROM events), k AS (SELECT user_id, count(DISTINCT event_type) AS sources, count(DISTINCT round(value)) AS variants FROM s GROUP BY user_id)
        SELECT user_id, variants FROM k WHERE sources = (SELECT count(DISTINCT event_type) FROM s)"""

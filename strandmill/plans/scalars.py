@@ -199,11 +199,18 @@ def array_containment(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg((F.size(F.array_except(F.collect_set("event_type"), allowed)) == 0).alias("contained"))
 
 
-@query("""SELECT DISTINCT p_brand, regexp_extract('a=0.6,b=0.4', 'a=([0-9.]+)', 1)::DOUBLE AS a, CASE WHEN p_brand LIKE '%1%' THEN 0.6 ELSE 0.4 END::DOUBLE AS weight FROM part""")
+@query("""WITH t AS (SELECT p_partkey, p_size / 100.0 AS w FROM part) SELECT p_partkey, round(w, 4)::DOUBLE AS a, CASE WHEN p_partkey % 4 > 0 THEN round(1 - w, 4)::DOUBLE END AS b, CASE WHEN p_partkey % 4 = 0 THEN 'sum' WHEN p_partkey % 4 = 1 THEN 'repeats' END AS fault FROM t""")
 def weighted_terms(spark, d):
-    parsed = F.str_to_map(F.lit("a=0.6,b=0.4"), F.lit(","), F.lit("="))
-    picked = F.element_at(parsed, F.when(F.contains(F.col("p_brand"), F.lit("1")), "a").otherwise("b"))
-    return table(spark, d, "part").select("p_brand", F.element_at(parsed, "a").cast("double").alias("a"), picked.cast("double").alias("weight")).distinct()
+    """Terms like ``a=0.6,b=0.4`` of every part; weights that do not sum to 1 and terms that repeat are faults."""
+    weight, k = F.col("p_size") / 100, F.col("p_partkey") % 4
+    said = lambda name, w: F.concat(F.lit(f"{name}="), F.format_string("%.2f", w))
+    text = F.concat(said("a", weight), F.when(k > 0, F.concat(F.lit(", "), said("b", 1 - weight))).otherwise(""), F.when(k == 1, ",c=0.00,c=0.00").otherwise(""))
+    pairs = F.transform(F.split(text, ","), lambda t: F.split(F.trim(t), "="))
+    names = F.transform(pairs, lambda t: t[0])
+    of = lambda name: F.element_at(F.filter(pairs, lambda t: t[0] == name), 1)[1].cast("double")
+    total = F.aggregate(pairs, F.lit(0.0), lambda s, t: s + t[1].cast("double"))
+    fault = F.when(F.size(names) > F.size(F.array_distinct(names)), "repeats").when(F.abs(total - 1) > 1e-9, "sum")
+    return table(spark, d, "part").select("p_partkey", of("a").alias("a"), F.when(k > 0, of("b")).alias("b"), fault.alias("fault"))
 
 
 @query(

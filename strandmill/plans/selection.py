@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strandmill.operators import dataset as D
 from strandmill.operators import lint, stats
 from strandmill.plans.book import query, sql_hash
-from strandmill.plans.evaluation import CELLS, MARGINS, SUMMARY, A, B, predictions
+from strandmill.plans.evaluation import CELLS, MARGINS, RATE, SUMMARY, A, B, predictions, preds_sql
 from strandmill.plans.scalars import EDGE
 from strandmill.sources.tables import table
 
@@ -57,6 +57,50 @@ def cluster_bootstrap(spark, d):
     return stats.interval(sums.select("resample", F.round(F.try_divide("errors", "n"), 6).alias("value")))
 
 
+C = preds_sql("c", "c")
+ARMS = "u AS (SELECT 'a' AS arm, * FROM a UNION ALL SELECT 'b', * FROM b UNION ALL SELECT 'c', * FROM c)"
+
+
+def _arms(spark, d):
+    named = [predictions(spark, d, m).withColumn("arm", F.lit(m)) for m in "abc"]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+@query(
+    f"""WITH {A}, {B}, {C}, {ARMS}, k AS (SELECT arm, subclass, {CELLS} FROM u GROUP BY arm, subclass), r AS (SELECT subclass, max(CASE WHEN arm = 'a' THEN r END) AS a, max(CASE WHEN arm = 'b' THEN r END) AS b, max(CASE WHEN arm = 'c' THEN r END) AS c FROM (SELECT arm, subclass, {RATE} AS r FROM k) GROUP BY subclass)
+       SELECT subclass, round(100 * (a - b), 4) AS primary_points, round(100 * (a - c), 4) AS other_points, CASE WHEN a - b > 0 THEN round((a - c) / (a - b), 4) END AS capture, round(abs(100 * (a - b)), 4) AS movement FROM r"""
+)
+def score_deltas(spark, d):
+    """Points by which two arms' null-to-true rates lie below the first arm's, and the share of the primary gain that the other captures: null without a gain."""
+    rate = stats.null_to_true_rate()
+    rates = _arms(spark, d).groupBy("arm", "subclass").agg(*stats.cells()).select("arm", "subclass", rate.alias("r"))
+    wide = rates.groupBy("subclass").pivot("arm", ["a", "b", "c"]).agg(F.max("r"))
+    gain, other = F.col("a") - F.col("b"), F.col("a") - F.col("c")
+    points = lambda x: F.round(100 * x, 4)
+    return wide.select("subclass", points(gain).alias("primary_points"), points(other).alias("other_points"), F.when(gain > 0, F.round(other / gain, 4)).alias("capture"), F.abs(points(gain)).alias("movement"))
+
+
+@query("SELECT n_name AS arm, CASE WHEN count(s_name) = 1 THEN max(s_name) END AS model, CASE WHEN count(s_name) = 0 THEN 'none' WHEN count(s_name) > 1 THEN 'several' END AS fault FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name")
+def arm_lookup(spark, d):
+    """The one model whose name ends in ``@arm``, for every nation as an arm; none and several are faults."""
+    nations = table(spark, d, "nation")
+    models = table(spark, d, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(F.concat_ws("@", "s_name", "n_name").alias("name"))
+    per = models.groupBy(F.element_at(F.split("name", "@"), -1).alias("arm")).agg(F.count("*").alias("n"), F.max("name").alias("name"))
+    found = nations.select(F.col("n_name").alias("arm")).join(per, "arm", "left")
+    return found.select("arm", F.when(F.col("n") == 1, F.element_at(F.split("name", "@"), 1)).alias("model"), F.when(F.col("n").isNull(), "none").when(F.col("n") > 1, "several").alias("fault"))
+
+
+@query(
+    f"""WITH {A}, {B}, {C}, {ARMS}, h AS (SELECT arm, subclass, example_id, truth = predicted AS ok FROM u WHERE NOT (arm = 'c' AND subclass = 'en' AND example_id % 10 = 0)), n AS (SELECT arm, subclass, count(*) AS n FROM h GROUP BY ALL),
+            j AS (SELECT l.arm AS "left", r.arm AS "right", l.subclass, count(*) AS n_common, count(*) FILTER (WHERE l.ok AND NOT r.ok) AS left_only, count(*) FILTER (WHERE r.ok AND NOT l.ok) AS right_only FROM h l JOIN h r ON l.example_id = r.example_id AND l.arm < r.arm GROUP BY ALL)
+       SELECT "left", "right", j.subclass, n_common, x.n <> n_common OR y.n <> n_common AS skipped, CASE WHEN x.n = n_common AND y.n = n_common THEN left_only END AS left_only, CASE WHEN x.n = n_common AND y.n = n_common THEN right_only END AS right_only FROM j JOIN n x ON x.arm = "left" AND x.subclass = j.subclass JOIN n y ON y.arm = "right" AND y.subclass = j.subclass"""
+)
+def cross_pairs_models(spark, d):
+    """Every unordered pair of models per slice; pairs over different examples are reported as skipped."""
+    rows = _arms(spark, d).where("not (arm = 'c' and subclass = 'en' and example_id % 10 = 0)")
+    return stats.cross_pairs(rows, "arm", ["a", "b", "c"], "subclass")
+
+
 TRUTHS = "l AS (SELECT d.doc_id AS example_id, d.lang, CASE WHEN toxic = 1 THEN 2 WHEN quality = 1 THEN 1 ELSE 0 END AS truth FROM documents d JOIN labels USING (doc_id)), f AS (SELECT l.*, fold, CASE WHEN example_id % 5 = fold THEN 'test' ELSE 'train' END AS split FROM l, range(3) t(fold)), tr AS (SELECT * FROM f WHERE split = 'train')"
 
 
