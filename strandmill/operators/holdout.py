@@ -29,9 +29,11 @@ def cell_predictions(cells: DataFrame, scores: DataFrame, folds: list[int], marg
     both = wanted.join(scores, ["fold", "submission_id", "signal"], "left")
     margin = F.lit(margins)
     if isinstance(margins, dict):
-        margin = F.coalesce(*[F.when(F.col("signal") == s, F.lit(m)) for s, m in margins.items()], F.raise_error(F.concat(F.lit("no margin for "), "signal")).cast("int"))
+        margin = F.coalesce(*[F.when(F.col("signal") == s, F.lit(m)) for s, m in margins.items()])
+    # The margin is looked at for every row, also where the decision does not depend on it.
+    missing = F.raise_error(F.concat(F.lit("no margin for "), "signal")).cast("int")
     told = F.coalesce("scores", F.raise_error(F.lit("a judged cell has no scores")).cast(scores.schema["scores"].dataType))
-    return both.select("fold", "signal", F.concat_ws(":", "submission_id", "signal").alias("example_id"), "truth", F.col("submission_id").alias("unit"), told.alias("scores"), argmax_with_margin(told, margin).alias("predicted"))
+    return both.select("fold", "signal", F.concat_ws(":", "submission_id", "signal").alias("example_id"), "truth", F.col("submission_id").alias("unit"), told.alias("scores"), F.when(margin.isNull(), missing).otherwise(argmax_with_margin(told, margin)).alias("predicted"))
 
 
 def slices(predictions: DataFrame) -> DataFrame:

@@ -199,3 +199,34 @@ def code_outcomes(events: DataFrame, most: int, lifetime: str = "INTERVAL 5 DAYS
     rows = counted(rows, "key", right, "_right").withColumn("used", F.col("_right") - right.cast("long"))
     reason = F.when(F.col("user_id") % 13 == 0, "no_user").when((F.col("code") == 0) | (F.col("used") > 0), "no_code").when(F.col("failed") >= most, "attempts").when(F.col("expired"), "expired").when(~match, "mismatch")
     return rows.where(tried).select("event_id", reason.otherwise("success").alias("reason"))
+
+
+# Formats and choices of a person's details, and the longest names.
+POSTCODE, TEN_DIGITS = r"^(?i)[A-Z]{1,2}\d[A-Z\d]?\s*\d[A-Z]{2}$", r"^\d{10}$"
+PERSONS, GENDERS = ("me", "someone_else"), ("male", "female", "other", "prefer_not_to_say")
+LONGEST_FIELD = 255
+#: Keys of a person's details; no others are allowed, and none may be missing.
+PERSON_KEYS = ("patient_for", "first_name", "last_name", "date_of_birth", "postcode", "gender", "preferred_name", "nhs_number", "submitter_name", "submitter_relationship")
+
+
+def person_errors(details: Column, today: Column) -> Column:
+    """Codes of what is wrong with a map of details; ``date_of_birth`` is ``year-month-day`` in digits.
+
+    The keys are closed. Names, postcode, birth and gender are required, another's details require
+    the submitter's, and the number is optional but has ten digits.
+    """
+    at = lambda k: F.element_at(details, k)
+    blank = lambda k: F.coalesce(F.trim(at(k)), F.lit("")) == ""
+    long = lambda k: F.coalesce(F.length(at(k)), F.lit(0)) > LONGEST_FIELD
+    one_of = lambda k, names: ~F.coalesce(at(k).isin(*names), F.lit(False))
+    keys, known = F.map_keys(details), F.array(*map(F.lit, PERSON_KEYS))
+    digits = at("date_of_birth").rlike(r"^\d+-\d+-\d+$")
+    born = F.try_to_date(at("date_of_birth"), "y-M-d")
+    other = at("patient_for").eqNullSafe(F.lit("someone_else"))
+    names = [(blank(k) | long(k), k) for k in ("first_name", "last_name")]
+    submitter = [(other & (blank(k) | long(k)), k) for k in ("submitter_name", "submitter_relationship")]
+    return failures(
+        (F.size(F.array_except(keys, known)) > 0, "unexpected_keys"), (F.size(F.array_except(known, keys)) > 0, "missing_keys"), (one_of("patient_for", PERSONS), "patient_for"), *names,
+        (~F.coalesce(digits, F.lit(False)), "birth_digits"), (digits & born.isNull(), "birth_date"), (born > today, "birth_future"), (~F.coalesce(F.trim(at("postcode")).rlike(POSTCODE), F.lit(False)), "postcode"),
+        (one_of("gender", GENDERS), "gender"), (long("preferred_name"), "preferred_name"), (at("nhs_number").isNotNull() & ~at("nhs_number").rlike(TEN_DIGITS), "nhs_number"), *submitter,
+    )

@@ -93,8 +93,9 @@ def select_margins(preds: DataFrame, margins: list[int], head: str) -> DataFrame
 def decided(preds: DataFrame, rules: DataFrame, head: str, scores: str = "scores") -> DataFrame:
     """Predictions decided again under their head's selected margin; a head without one raises an error."""
     ruled = preds.join(rules.select(head, F.col("margin")), head, "left")
-    margin = F.coalesce("margin", F.raise_error(F.concat(F.lit("no margin was selected for "), F.col(head).cast("string"))).cast("int"))
-    return ruled.withColumn("predicted", argmax_with_margin(F.col(scores), margin))
+    # The margin is looked at for every row, also where the decision does not depend on it.
+    missing = F.raise_error(F.concat(F.lit("no margin was selected for "), F.col(head).cast("string"))).cast("int")
+    return ruled.withColumn("predicted", F.when(F.col("margin").isNull(), missing).otherwise(argmax_with_margin(F.col(scores), F.col("margin"))))
 
 
 def select_then_score(validation: DataFrame, stages: dict[str, DataFrame], margins: list[int], head: str) -> DataFrame:
@@ -104,7 +105,7 @@ def select_then_score(validation: DataFrame, stages: dict[str, DataFrame], margi
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
-    return out.join(rules, head)
+    return out.join(rules, head, "left")
 
 
 def error_concentration(groups: DataFrame, group: str) -> DataFrame:

@@ -121,11 +121,24 @@ def required_check(spark, d):
 
 
 @query(
-    """SELECT c_custkey, list_filter([CASE WHEN length(c_name) > 18 THEN 'name_length' END, CASE WHEN c_mktsegment NOT IN ('BUILDING', 'AUTOMOBILE') THEN 'segment' END, CASE WHEN c_acctbal < 0 THEN 'balance' END, CASE WHEN NOT regexp_matches(c_name, '^Customer#[0-9]+$') THEN 'pattern' END], lambda x: x IS NOT NULL) AS errors FROM customer"""
+    """WITH k AS (SELECT c_custkey, c_custkey % 12 AS k FROM customer)
+       SELECT c_custkey, CASE k WHEN 0 THEN ['unexpected_keys'] WHEN 1 THEN ['missing_keys'] WHEN 2 THEN ['patient_for'] WHEN 3 THEN ['first_name'] WHEN 4 THEN ['last_name'] WHEN 5 THEN ['birth_digits'] WHEN 6 THEN ['birth_date'] WHEN 7 THEN ['birth_future'] WHEN 8 THEN ['postcode'] WHEN 9 THEN ['gender'] WHEN 10 THEN ['nhs_number'] ELSE ['submitter_name', 'submitter_relationship'] END AS errors FROM k
+       WHERE c_custkey % 24 < 12 UNION ALL SELECT c_custkey, [] FROM k WHERE c_custkey % 24 >= 12"""
 )
 def payload_checks(spark, d):
-    found = R.failures((F.length("c_name") > 18, "name_length"), (~F.col("c_mktsegment").isin("BUILDING", "AUTOMOBILE"), "segment"), (F.col("c_acctbal") < 0, "balance"), (~F.col("c_name").rlike("^Customer#[0-9]+$"), "pattern"))
-    return table(spark, d, "customer").select("c_custkey", found.alias("errors"))
+    """Details of every customer, half of them with one fault of each kind by turns."""
+    k, faulty = F.col("c_custkey") % 12, F.col("c_custkey") % 24 < 12
+    but = lambda i, wrong, right: F.when(faulty & (k == i), F.lit(wrong)).otherwise(F.lit(right) if isinstance(right, str) else right)
+    born = F.when(faulty & (k == 5), "1990-May-2").when(faulty & (k == 6), "1990-2-30").when(faulty & (k == 7), "2190-1-1").otherwise("1990-2-3")
+    # Every other person in order submits for someone else, and says who submits.
+    person = F.when(faulty & (k == 2), "them").when(faulty & (k == 11), "someone_else").when(~faulty & (k == 11), "someone_else").otherwise("me")
+    submitter = F.when(~faulty, "Sam")
+    details = F.create_map(
+        F.lit("patient_for"), person, F.lit("first_name"), but(3, " ", F.col("c_name")), F.lit("last_name"), but(4, "n" * 256, "Doe"), F.lit("date_of_birth"), born, F.lit("postcode"), but(8, "12345", "sw1a 1AA"),
+        F.lit("gender"), but(9, "x", "other"), F.lit("preferred_name"), F.lit(None).cast("string"), F.lit("nhs_number"), but(10, "943 476 5919", "9434765919"), F.lit("submitter_name"), submitter, F.lit("submitter_relationship"), submitter,
+    )
+    details = F.when(faulty & (k == 0), F.map_concat(details, F.create_map(F.lit("extra"), F.lit("1")))).when(faulty & (k == 1), F.map_filter(details, lambda n, v: n != "preferred_name")).otherwise(details)
+    return table(spark, d, "customer").select("c_custkey", R.person_errors(details, F.to_date(F.lit("2024-01-01"))).alias("errors"))
 
 
 OPEN_DAYS = ["Mon", "Tue", "Wed", "Thu", "Fri"]

@@ -53,10 +53,11 @@ def dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rate_breaches(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
-    """Hours in which a user made more than ``limit`` requests."""
+    """Hours in which a user made more than ``limit`` requests; hours behind the watermark leave the state, and an hour's last count stands."""
     hourly = events(spark, sf_dir).withWatermark("ts", "1 hour").groupBy("user_id", F.window("ts", "1 hour")).count()
-    found = drained(hourly.select("user_id", F.col("window.start").alias("start"), "count"), "complete")
-    return found.where(F.col("count") > limit).select("user_id", F.date_format("start", "yyyy-MM-dd HH").alias("hour"), F.col("count").alias("n"))
+    found = drained(hourly.select("user_id", F.col("window.start").alias("start"), "count"), "update")
+    last = found.groupBy("user_id", "start").agg(F.max_by("count", "batch").alias("n"))
+    return last.where(F.col("n") > limit).select("user_id", F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "n")
 
 
 def sessions(spark: SparkSession, sf_dir: str, gap: str) -> DataFrame:
