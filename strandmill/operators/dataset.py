@@ -5,12 +5,13 @@ from __future__ import annotations
 import hashlib
 import random
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmill.functions.text import assemble, hash_int, normalise_text
+from strandmill.functions.text import assemble, hash_int, normalise_text, whitespace_count
 from strandmill.sources.shared import written
 
 # Neighbours on a QWERTY keyboard, and weights of the word and text edits.
@@ -150,8 +151,8 @@ def damage(word: str, rng: random.Random, frozen: frozenset[str]) -> tuple[str,
     return word, None
 
 
-def add_noise(df: DataFrame, id_col: str, text_col: str, rate: float, seed: str, frozen: frozenset[str] = frozenset(), clean_share: float = 0.0) -> DataFrame:
-    """``id_col``, noisy text and the edits made; each row's draws depend on (seed, id) alone."""
+def add_noise(df: DataFrame, id_col: str, text_col: str, rate: float, seed: str, frozen: frozenset[str] = frozenset(), clean_share: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, the columns to ``keep``, noisy text and the edits made; each row's draws depend on (seed, id) alone."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -174,10 +175,49 @@ def add_noise(df: DataFrame, id_col: str, text_col: str, rate: float, seed: str,
                                 made.append(name)
                 texts.append(text)
                 ops.append(made)
-            yield pd.DataFrame({id_col: batch[id_col], "text": texts, "edits": ops})
+            yield pd.DataFrame({c: batch[c] for c in (id_col, *keep)} | {"text": texts, "edits": ops})
 
-    source = df.select(id_col, text_col)
-    return source.mapInPandas(run, f"{id_col} {source.schema[id_col].dataType.simpleString()}, text string, edits array<string>")
+    source = df.select(id_col, *keep, text_col)
+    kept = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
+    return source.mapInPandas(run, f"{kept}, text string, edits array<string>")
+
+
+def noise_tree_violations(sidecars: DataFrame, signals: list[str], agree: list[str]) -> DataFrame:
+    """(fold, split, fault): files damaged before, files of a signal without frozen words, and fields on which files disagree (fold and split null).
+
+    ``sidecars`` has (fold, split, signal, noised) and the fields to ``agree`` on; nulls are a value of their own.
+    """
+    known = F.coalesce(F.col("signal").isin(signals), F.lit(False))
+    faults = F.array_compact(F.array(F.when(F.col("noised"), F.lit("noised before")), F.when(~known, F.lit("no frozen words"))))
+    files = sidecars.select("fold", "split", F.explode(faults).alias("fault"))
+    kinds = sidecars.agg(*[(F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(c) for c in agree])
+    fields = kinds.select(F.explode(F.array_compact(F.array(*[F.when(F.col(c) > 1, F.lit(f"disagree on {c}")) for c in agree]))).alias("fault"))
+    return files.unionByName(fields, allowMissingColumns=True)
+
+
+def noise_tree(examples: DataFrame, sidecars: DataFrame, rate: float, seed: str, frozen: dict[str, frozenset[str]], clean_share: float, agree: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Noisy examples of all files, and their files' new sidecars.
+
+    ``examples`` has (fold, split, example_id, text) and columns that pass through; ``sidecars`` one row
+    a file (see ``noise_tree_violations``). A file's signal names the words that stay ``frozen``. Raises
+    on a tree that breaks a rule. Sidecars (fold, split, signal, noised, examples, untouched, edits,
+    words, edits_per_100_words, edits_by_kind) are counted on the noisy texts; a file without examples has zeros.
+    """
+    if faults := noise_tree_violations(sidecars, list(frozen), list(agree)).limit(5).collect():
+        raise ValueError(f"the tree cannot take noise: {[tuple(f) for f in faults]}")
+    files = sidecars.select("fold", "split", "signal")
+    keep = tuple(c for c in examples.columns if c not in ("example_id", "text"))
+    # One row a file, and files are few.
+    rows = examples.join(files.hint("broadcast"), ["fold", "split"])
+    made = [add_noise(rows.where(F.col("signal") == signal), "example_id", "text", rate, seed, words, clean_share, (*keep, "signal")) for signal, words in frozen.items()]
+    noisy = written(reduce(DataFrame.unionByName, made), "noisy-tree")
+    per = noisy.groupBy("fold", "split").agg(F.count("*").alias("examples"), F.count_if(F.size("edits") == 0).alias("untouched"), F.sum(F.size("edits")).alias("edits"), F.sum(whitespace_count(F.coalesce("text", F.lit("")))).alias("words"))
+    kinds = noisy.select("fold", "split", F.explode("edits").alias("kind")).groupBy("fold", "split", "kind").count()
+    kinds = kinds.groupBy("fold", "split").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "count")))).alias("edits_by_kind"))
+    told = files.join(per, ["fold", "split"], "left").join(kinds, ["fold", "split"], "left").fillna(0, ["examples", "untouched", "edits", "words"])
+    rate_made = F.round(F.when(F.col("words") > 0, 100 * F.col("edits") / F.col("words")).otherwise(0.0), 4)
+    empty = F.from_json(F.lit("{}"), "map<string,bigint>")
+    return noisy.select(*examples.columns, "edits"), told.select("fold", "split", "signal", F.lit(True).alias("noised"), "examples", "untouched", "edits", "words", rate_made.alias("edits_per_100_words"), F.coalesce("edits_by_kind", empty).alias("edits_by_kind"))
 
 
 def _drop_space(text: str, rng: random.Random, frozen: frozenset[str]) -> str | None:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ipaddress
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from strandmill.operators.dataset import running_sum
 
@@ -119,6 +122,23 @@ def is_email(text: Column) -> Column:
     return text.rlike(r"^[^@]+@[^@]+$")
 
 
+@F.pandas_udf(StringType())
+def _last_routable(entries: pd.Series) -> pd.Series:
+    def routable(entry: str | None) -> bool:
+        try:
+            return ipaddress.ip_address(entry or "").is_global
+        except ValueError:
+            return False
+
+    trimmed = ([e.strip() for e in row if e] if row is not None else [] for row in entries)
+    return pd.Series([next((e for e in reversed(row) if routable(e)), None) for row in trimmed], dtype=object)
+
+
+def client_address(forwarded: Column, real_ip: Column, host: Column) -> Column:
+    """The right-most entry of a comma list that is routable everywhere, else ``real_ip`` if that is, else the host; null for an empty one."""
+    return F.coalesce(_last_routable(F.split(forwarded, ",")), _last_routable(F.array(real_ip)), F.nullif(host, F.lit("")))
+
+
 def is_open(row: dict[str, Column]) -> Column:
     """Ordered decision over active, live override, exception of the day (malformed ones fall through) and weekly hours; open <= t < close.
 

@@ -212,6 +212,16 @@ def noise_tally(spark, d):
     return noisy.agg(F.count("*").alias("texts"), F.count_if(F.size("edits") == 0).alias("clean"), F.round(100 * F.sum(F.size("edits")) / F.sum(words), 4).alias("edits_per_100_words"))
 
 
+@query()
+def noise_tree(spark, d):
+    """The sidecars of a tree of five folds of documents, all damaged at once."""
+    fold = F.pmod(X.hash_int(F.concat(F.lit("n|"), "doc_id")), 5).cast("int")
+    examples = table(spark, d, "documents").select(fold.alias("fold"), X.assign_split(F.col("doc_id"), "n").alias("split"), F.col("doc_id").alias("example_id"), "text")
+    files = spark.range(5).select(F.col("id").cast("int").alias("fold"), F.explode(F.array(*map(F.lit, ("train", "val", "test")))).alias("split"))
+    sidecars = files.select("*", F.lit("quality").alias("signal"), F.lit(False).alias("noised"), F.lit("n").alias("seed"))
+    return D.noise_tree(examples, sidecars, 0.05, "n1", {"quality": frozenset({"the", "and"})}, 0.2, ("seed",))[1]
+
+
 @query("SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS position FROM documents")
 def round_robin(spark, d):
     return D.round_robin(table(spark, d, "documents").select("source", "doc_id"), "source", ["doc_id"]).orderBy("position", "source")

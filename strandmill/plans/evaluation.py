@@ -6,6 +6,7 @@ quality; three whole-number scores come from hashes; the resampling unit is the
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from strandmill.operators import ml, stats
 from strandmill.operators.dataset import first_wins
 from strandmill.plans.book import query, sql_hash
 from strandmill.plans.scalars import NORM
+from strandmill.sources.shared import fresh_path
 from strandmill.sources.tables import table
 
 MARGINS = list(range(0, 950, 50))
@@ -246,21 +248,65 @@ def _split(spark, d):
     return rows.where("split = 'train'").drop("split"), rows.where("split = 'test'").drop("split")
 
 
-@query("SELECT label, round(avg(embedding[1]::DOUBLE), 5) AS m1, round(avg(embedding[64]::DOUBLE), 5) AS m64, count(*) AS n FROM embeddings GROUP BY label")
+DIMS = 64
+_means = ", ".join(f"round(coalesce(sum(CASE WHEN label % 2 = 0 THEN embedding[{i}]::DOUBLE END), 0) / greatest(count(*) FILTER (WHERE label % 2 = 0), 1), 5) AS m{i}" for i in range(1, DIMS + 1))
+
+
+@query(f"SELECT vec_id // 16 AS chunk, {_means} FROM embeddings GROUP BY 1")
 def mean_pool(spark, d):
-    at = lambda i: F.round(F.avg(F.element_at("embedding", i).cast("double")), 5)
-    return table(spark, d, "embeddings").groupBy("label").agg(at(1).alias("m1"), at(64).alias("m64"), F.count("*").alias("n"))
+    """Vectors as tokens of chunks of 16; those with odd labels are padding."""
+    tokens = table(spark, d, "embeddings").withColumn("chunk", F.floor(F.col("vec_id") / 16))
+    pooled = ml.mean_pooled(tokens, "chunk", "embedding", F.when(F.col("label") % 2 == 0, 1).otherwise(0), DIMS)
+    return pooled.select("chunk", *[F.round(F.element_at("mean", i), 5).alias(f"m{i}") for i in range(1, DIMS + 1)])
+
+
+@query("SELECT vec_id // 16 AS chunk, arg_min(embedding, vec_id) AS first FROM embeddings GROUP BY 1")
+def cls_pool(spark, d):
+    tokens = table(spark, d, "embeddings").withColumn("chunk", F.floor(F.col("vec_id") / 16))
+    return ml.first_pooled(tokens, "chunk", "embedding", "vec_id")
+
+
+_heads = ", ".join(f"round(list_sum(list_transform(range(1, {DIMS + 1}), lambda i: embedding[i]::DOUBLE * (((i + {k}) % 3) - 1))) + {k} / 2, 5) AS s{k}" for k in range(3))
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * ((i % 3) - 1))) + 0.5, 5) AS score FROM embeddings")
+@query(f"WITH h AS (SELECT vec_id, {_heads} FROM embeddings) SELECT *, CASE WHEN s0 >= s1 AND s0 >= s2 THEN 0 WHEN s1 >= s2 THEN 1 ELSE 2 END AS predicted FROM h")
 def linear_head(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.round(ml.linear_head(F.col("embedding"), [(i % 3) - 1.0 for i in range(1, 65)], 0.5), 5).alias("score"))
+    """A head of three outputs and its decision."""
+    weights = [[(i + k) % 3 - 1.0 for i in range(1, DIMS + 1)] for k in range(3)]
+    rows = table(spark, d, "embeddings").select("vec_id", F.transform(ml.linear_heads(F.col("embedding"), weights, [0.0, 0.5, 1.0]), lambda s: F.round(s, 5)).alias("scores"))
+    return rows.select("vec_id", *[F.element_at("scores", k + 1).alias(f"s{k}") for k in range(3)], argmax(F.col("scores")).alias("predicted"))
 
 
-@query(f"WITH {A} SELECT round(-avg(ln((CASE truth WHEN 0 THEN s0 WHEN 1 THEN s1 ELSE s2 END + 1.0) / (s0 + s1 + s2 + 3.0))), 6) AS loss, count(*) AS cells FROM a")
+@query(
+    """WITH c AS (SELECT doc_id, 0 AS s, quality AS t FROM documents LEFT JOIN labels USING (doc_id) UNION ALL SELECT doc_id, 1, toxic FROM documents LEFT JOIN labels USING (doc_id)),
+       l AS (SELECT t, (doc_id * 3 + s) % 11 / 5.0 AS a, (doc_id * 4 + s) % 11 / 5.0 AS b, (doc_id * 5 + s) % 11 / 5.0 AS e FROM c)
+       SELECT round(avg(ln(exp(a) + exp(b) + exp(e)) - CASE t WHEN 0 THEN a WHEN 1 THEN b END), 6) AS loss, count(t) AS labelled, count(*) - count(t) AS masked FROM l"""
+)
 def masked_xent(spark, d):
-    p = (F.element_at("scores", F.col("truth") + 1) + 1.0) / (F.element_at("scores", 1) + F.element_at("scores", 2) + F.element_at("scores", 3) + 3.0)
-    return predictions(spark, d, "a").agg(F.round(-F.avg(F.ln(p)), 6).alias("loss"), F.count("*").alias("cells"))
+    """Loss of two heads over documents of which few are labelled."""
+    rows = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left")
+    cells = rows.select("doc_id", F.posexplode(F.array("quality", "toxic")).alias("signal", "target"))
+    scores = F.array(*[(F.col("doc_id") * k + F.col("signal")) % 11 / 5 for k in (3, 4, 5)])
+    return ml.masked_cross_entropy(cells, scores, F.col("target")).withColumn("loss", F.round("loss", 6))
+
+
+@query()
+def train_probe(spark, d):
+    """Labels of the held-out vectors by a probe of the others, with the passes that suit the validation split."""
+    rows = table(spark, d, "embeddings").withColumn("split", assign_split(F.col("vec_id"), "probe"))
+    model, passes, _ = ml.train_probe(rows.where("split = 'train'"), rows.where("split = 'val'"), "embedding", "label")
+    held = rows.where("split = 'test' and embedding is not null").withColumn("features", array_to_vector("embedding"))
+    return model.transform(held).select("vec_id", "label", F.col("prediction").cast("int").alias("predicted"), F.lit(passes).alias("passes"))
+
+
+@query("SELECT doc_id, length(text) AS chars, len(regexp_extract_all(text, '[A-Za-z0-9'']+')) AS tokens FROM documents")
+def embed_cache(spark, d):
+    """Vectors of documents from a cache that holds those of the benchmark already."""
+    folder = fresh_path(spark, "vectors-of-lengths")
+    lengths = lambda t: F.array(F.length(t).cast("double"), token_count(t).cast("double"))
+    ml.embedded(table(spark, d, "benchmark"), "text", lengths, folder)
+    rows = ml.embedded(table(spark, d, "documents").select("doc_id", "text"), "text", lengths, folder)
+    return rows.select("doc_id", F.element_at("vector", 1).cast("long").alias("chars"), F.element_at("vector", 2).cast("long").alias("tokens"))
 
 
 @query(f"WITH {A}, e AS (SELECT example_id % 10 + 1 AS epoch, round(avg(CASE WHEN truth = predicted THEN 1.0 ELSE 0 END), 6) AS score FROM a GROUP BY 1) SELECT epoch AS best_epoch, score FROM e ORDER BY score DESC, epoch LIMIT 1")

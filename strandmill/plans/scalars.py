@@ -225,13 +225,22 @@ def email_format(spark, d):
     return rows.select("*", R.is_email(F.col("address")).alias("valid"), F.substring_index("address", "@", -1).isin("building", "machinery").alias("allowed"))
 
 
-@query("""SELECT s_suppkey, '10.' || s_suppkey % 200 || '.1.1' AS inner_ip, CASE WHEN s_suppkey % 3 = 0 THEN '198.18.0.1' ELSE '8.8.' || s_suppkey % 200 || '.8' END AS picked FROM supplier""")
+# Forwarded entries and whether they are routable everywhere.
+FORWARDED = {"8.8.4.4": True, "2606:4700::1111": True, "10.1.1.1": False, "100.64.3.2": False, "203.0.113.9": False, "192.168.0.1": False, "fd00::7": False, "2001:db8::1": False, "::1": False, "not-an-address": False, "8.8.8": False, "": False}
+_entry = "CASE {} " + " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(FORWARDED)) + " END"
+_public = ", ".join(f"'{a}'" for a, public in FORWARDED.items() if public)
+
+
+@query(
+    f"""WITH c AS (SELECT s_suppkey, {_entry.format("s_suppkey % 12")} AS a, {_entry.format("s_suppkey // 12 % 12")} AS b, {_entry.format("s_suppkey // 5 % 12")} AS real_ip FROM supplier)
+        SELECT s_suppkey, CASE WHEN b IN ({_public}) THEN b WHEN a IN ({_public}) THEN a WHEN real_ip IN ({_public}) THEN real_ip ELSE 'host-' || s_suppkey END AS picked FROM c"""
+)
 def ip_pick(spark, d):
-    parts = F.split(F.concat(F.lit("1.1.1.1, 8.8."), F.col("s_suppkey") % 200, F.lit(".8, 10."), F.col("s_suppkey") % 200, F.lit(".1.1")), ",")
-    chain = F.when(F.col("s_suppkey") % 3 == 0, F.array(F.lit("192.168.0.1"))).otherwise(parts)
-    private = r"^(10|127|0)\.|^192\.168\.|^169\.254\.|^172\.(1[6-9]|2\d|3[01])\.|^100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|^198\.1[89]\.|^(22[4-9]|2[3-5]\d)\."
-    public = F.filter(F.transform(chain, lambda x: F.trim(x)), lambda x: ~x.rlike(private))
-    return table(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("10."), F.col("s_suppkey") % 200, F.lit(".1.1")).alias("inner_ip"), F.coalesce(F.try_element_at(public, F.lit(-1)), F.lit("198.18.0.1")).alias("picked"))
+    known = F.array(*map(F.lit, FORWARDED))
+    entry = lambda n: F.element_at(known, (F.pmod(n, F.lit(len(FORWARDED))) + 1).cast("int"))
+    k = F.col("s_suppkey")
+    chain = F.concat(entry(k), F.lit(" , "), entry(F.floor(k / 12)))
+    return table(spark, d, "supplier").select("s_suppkey", R.client_address(chain, entry(F.floor(k / 5)), F.concat(F.lit("host-"), k)).alias("picked"))
 
 
 @query("""SELECT n_nationkey, [upper(n_name), 'Zone'] AS tags, len([upper(n_name), 'Zone']) < 3 AS repeated FROM nation""")
