@@ -15,7 +15,10 @@ from strandmill.llm.language import language_of_documents
 from strandmill.llm.mixing import mix_sources
 from strandmill.llm.packing import pack_documents
 from strandmill.llm.quality import score_quality
+from strandmill.llm.ranking import rank
 from strandmill.llm.sharding import shard_documents
+from strandmill.llm.spelling import spelling_groups
+from strandmill.llm.token_counts import count_tokens
 from strandmill.llm.url_filter import judge_pages, parse_rules
 from strandmill.llm.warc import archive_and_read
 from strandmill.sources.tables import table
@@ -71,7 +74,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_warc_index, op3_pack_documents, op4_shard_documents, op5_language_mixture, op6_url_link_graph, op7_jaccard_join, op8_embedding_near_dups, op9_exact_dedup, op10_quality_rules)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), 4096)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_warc_index, op3_pack_documents, op4_shard_documents, op5_language_mixture, op6_url_link_graph, op7_jaccard_join, op8_embedding_near_dups, op9_exact_dedup, op10_quality_rules, op11_spelling_variants, op12_block_max_search, op13_token_counts)}
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc_index": """
@@ -89,4 +104,18 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.body) AS text_sha256
         FROM d JOIN g ON d.body = g.body
     """,
+    "op12_block_max_search": """
+        WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS terms FROM documents),
+             sized AS (SELECT row_id, doc_id, len(terms) AS n FROM d WHERE len(terms) > 0),
+             whole AS (SELECT count(*) AS docs, sum(n) AS all_terms FROM sized),
+             m AS (SELECT row_id, doc_id, CAST(50 + (50 * n * docs) // all_terms AS BIGINT) AS m FROM sized, whole),
+             tf AS (SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(terms) AS term FROM d) GROUP BY row_id, term),
+             w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY term),
+             q AS (SELECT DISTINCT item_row, item_id, term FROM (
+                     SELECT row_number() OVER () AS item_row, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS term FROM benchmark)),
+             s AS (SELECT item_row, any_value(item_id) AS item_id, row_id, any_value(doc_id) AS doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+                   FROM q JOIN w USING (term) JOIN tf USING (term) JOIN m USING (row_id) GROUP BY item_row, row_id),
+             r AS (SELECT *, row_number() OVER (PARTITION BY item_row ORDER BY score DESC, doc_id) AS place FROM s WHERE score > 0)
+        SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM r WHERE place <= 50
+    """,
 }
