@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.functions.numbers import argmax_with_margin
+from strandmill.functions.numbers import argmax_with_margin, worst_half_width
 from strandmill.operators import stats
 
 # What a judge writes into a cell; a blank one was not judged.
@@ -47,6 +47,20 @@ def fold_scores(predictions: DataFrame) -> DataFrame:
     return stats.summarise(slices(predictions), ["signal", "slice", "fold"])
 
 
+def fold_intervals(predictions: DataFrame, resamples: int = 2000, seed: str = "b", alpha: float = 0.05, places: int = 6) -> DataFrame:
+    """``fold_scores`` with low, high and used of the accuracy's bootstrap interval over submissions, and the half width that as many of them have at worst.
+
+    Resamples in which the accuracy is undefined are left out of ``used``.
+    """
+    by = ["signal", "slice", "fold"]
+    rows = slices(predictions)
+    values = stats.grouped_bootstrap(rows, by, resamples, stats.accuracy(), seed=seed)
+    told = stats.grouped_interval(values, by, alpha)
+    r = lambda c: F.round(c, places).alias(c)
+    scored = stats.summarise(rows, by, places).join(told, by, "left")
+    return scored.select(*by, "n", "effective_n", "accuracy", "macro_f1", "null_to_true_rate", r("low"), r("high"), F.coalesce("used", F.lit(0)).alias("used"), F.round(worst_half_width(F.col("effective_n")), places).alias("half_width"))
+
+
 def across_folds(scored: DataFrame) -> DataFrame:
     """(signal, slice, n, effective_n, mean, sd, folds): accuracy across folds, which are never pooled.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,6 +188,46 @@ def interval(values: DataFrame, alpha: float = 0.05) -> DataFrame:
     return kept.select(at(F.floor(m * F.lit(alpha / 2)) + 1).alias("low"), at(F.ceil(m * F.lit(1 - alpha / 2))).alias("high"), "resamples", (F.col("resamples") - m).alias("undefined"))
 
 
+#: Draws that one digest yields, and the 16-bit draws from which a unit counts once, twice and so on: a Poisson distribution with mean 1.
+DRAWS = 16
+COPIES = [math.floor(65536 * sum(math.exp(-1) / math.factorial(k) for k in range(n + 1))) for n in range(8)]
+
+
+def multiplicities(unit: Column, block: Column, seed: str) -> list[Column]:
+    """How often ``unit`` counts in each of the ``DRAWS`` resamples of a block; a hash decides, so no units need numbers and reruns agree."""
+    digest = F.sha2(F.concat_ws("|", F.lit(seed), unit, block), 256)
+    drawn = [F.conv(F.substring(digest, 4 * i + 1, 4), 16, 10).cast("int") for i in range(DRAWS)]
+    return [sum(((d >= F.lit(c)).cast("int") for c in COPIES[1:]), (d >= F.lit(COPIES[0])).cast("int")) for d in drawn]
+
+
+def grouped_bootstrap(preds: DataFrame, by: list[str], resamples: int, statistic: Column, unit: str = "unit", seed: str = "b") -> DataFrame:
+    """(by, resample, value): a statistic of confusion counts over resampled units of every group, in one job.
+
+    A unit's predictions shrink to nine counts, which every resample takes as often as a draw by hash
+    says: on average once, so a resample has about as many units as its group (a Poisson bootstrap).
+    Draws need neither the number of units nor each other, so they are summed before they are
+    shuffled: a task passes on one row a group and resample. A unit is drawn alike in all groups.
+    A resample without any unit has no row.
+    """
+    names = [f"c{t}{p}" for t in CLASSES for p in CLASSES]
+    units = preds.groupBy(*by, unit).agg(*cells())
+    blocks = units.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // DRAWS))))
+    times = F.array(*[F.struct((F.col("_block") * DRAWS + i).cast("int").alias("resample"), m.alias("_times")) for i, m in enumerate(multiplicities(F.col(unit), F.col("_block"), seed))])
+    drawn = blocks.select(*by, *names, F.inline(times)).where((F.col("_times") > 0) & (F.col("resample") < resamples))
+    sums = drawn.groupBy(*by, "resample").agg(*[F.sum(F.col(c) * F.col("_times")).alias(c) for c in names])
+    return sums.select(*by, "resample", statistic.alias("value"))
+
+
+def grouped_interval(values: DataFrame, by: list[str], alpha: float = 0.05) -> DataFrame:
+    """(by, low, high, used): ``interval`` of every group; a group holds as many values as there are resamples."""
+    if not 0 < alpha < 1:
+        raise ValueError("alpha must lie between 0 and 1")
+    kept = values.groupBy(*by).agg(F.sort_array(F.collect_list("value")).alias("_v"))
+    m = F.size("_v")
+    at = lambda i: F.when(m > 0, F.try_element_at("_v", F.greatest(F.lit(1), F.least(m, i)).cast("int")))
+    return kept.select(*by, at(F.floor(m * F.lit(alpha / 2)) + 1).alias("low"), at(F.ceil(m * F.lit(1 - alpha / 2))).alias("high"), m.alias("used"))
+
+
 def spread(values: DataFrame, by: list[str], column: str) -> DataFrame:
     """Mean and sample standard deviation over folds; the latter null for one fold."""
     return values.groupBy(*by).agg(F.round(F.avg(column), 6).alias("mean"), F.round(F.stddev_samp(column), 6).alias("sd"), F.count(column).alias("folds"))

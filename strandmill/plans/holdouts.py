@@ -162,9 +162,23 @@ def holdout_predictions(spark, d):
     return _held(spark, d, "a").select("fold", "signal", "example_id", "unit", "truth", "predicted")
 
 
-@query(f"WITH {HA}, {SLICED}, {SCORED} SELECT * FROM r")
+RESAMPLES = 200
+COUNTS = [f"c{t}{p}" for t in range(3) for p in range(3)]
+#: SQL of the grouped bootstrap's draws, over the sliced predictions x.
+DRAWN = f"""u AS (SELECT signal, slice, fold, unit, {CELLS} FROM x GROUP BY signal, slice, fold, unit),
+       g AS (SELECT u.*, block, sha256('b|' || unit || '|' || block) AS h FROM u, (SELECT unnest(range({-(-RESAMPLES // stats.DRAWS)})) AS block)),
+       t AS (SELECT g.*, block * {stats.DRAWS} + j AS resample, len(list_filter({stats.COPIES}, lambda c: ('0x' || substr(h, 4 * j + 1, 4))::BIGINT >= c)) AS times FROM g, (SELECT unnest(range({stats.DRAWS})) AS j)),
+       w AS (SELECT signal, slice, fold, resample, {", ".join(f"sum({c} * times) AS {c}" for c in COUNTS)} FROM t WHERE resample < {RESAMPLES} AND times > 0 GROUP BY ALL),
+       i AS (SELECT signal, slice, fold, list_sort(list({ACCURACY})) AS v, len(v) AS m FROM w GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH {HA}, {SLICED}, {SCORED}, {DRAWN} SELECT r.*, round(v[greatest(1, least(m, floor(m * 0.025::DOUBLE)::INT + 1))], 6) AS low, round(v[greatest(1, least(m, ceil(m * 0.975::DOUBLE)::INT))], 6) AS high, m AS used, round(1.959963984540054 * sqrt(0.25 / effective_n), 6) AS half_width
+       FROM r JOIN i USING (signal, slice, fold)"""
+)
 def score_holdout(spark, d):
-    return H.fold_scores(_held(spark, d, "a"))
+    """Every fold's scores of a slice with a bootstrap interval over submissions."""
+    return H.fold_intervals(_held(spark, d, "a"), RESAMPLES)
 
 
 @query(f"WITH {HA}, {SLICED}, {SCORED} SELECT signal, slice, max(n) AS n, max(effective_n) AS effective_n, round(avg(accuracy), 6) AS mean, round(stddev_samp(accuracy), 6) AS sd, count(accuracy) AS folds FROM r GROUP BY signal, slice")

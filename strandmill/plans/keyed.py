@@ -70,16 +70,6 @@ def latest_version(spark, d):
     return K.latest_by(table(spark, d, "events"), ["user_id"], ["ts", "event_id"]).select("event_id", "user_id", "event_type")
 
 
-@query(
-    """WITH v AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS version, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events)
-       SELECT event_id, version, CASE WHEN version = 1 OR before <> 'signup' THEN 'accepted' ELSE 'closed' END AS outcome FROM v"""
-)
-def optimistic_append(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    versions = table(spark, d, "events").withColumns({"version": F.row_number().over(w), "before": F.lag("event_type").over(w)})
-    return versions.select("event_id", "version", F.when((F.col("version") == 1) | (F.col("before") != "signup"), "accepted").otherwise("closed").alias("outcome"))
-
-
 @query("SELECT o_orderstatus, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey) AS r FROM orders) WHERE r = 1")
 def queue_head(spark, d):
     oldest = F.min(F.struct("o_orderdate", "o_orderkey")).alias("head")

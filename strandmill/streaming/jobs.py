@@ -60,12 +60,6 @@ def rate_breaches(spark: SparkSession, sf_dir: str, limit: int) -> DataFrame:
     return last.where(F.col("n") > limit).select("user_id", F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "n")
 
 
-def sessions(spark: SparkSession, sf_dir: str, gap: str) -> DataFrame:
-    """Events per session; a session ends when nothing came for ``gap``."""
-    grouped = events(spark, sf_dir).withWatermark("ts", "1 hour").groupBy("user_id", F.session_window("ts", gap)).count()
-    return drained(grouped.select("user_id", F.col("count").alias("n")), "complete")
-
-
 def _job_step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """The first purchase and the first errors that the job may still have decide, so no more rows are kept, whatever order they come in."""
     status, attempts = state.get if state.exists else ("pending", 0)
