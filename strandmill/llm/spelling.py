@@ -4,7 +4,8 @@
 shuffled. ``trie_shards`` sorts the kept words by range and turns runs of at most ``SHARD_WORDS`` words
 into compact tries (a node per branching, not per letter). Shards are broadcast in passes of at most
 ``PASS_BYTES`` of them, which bounds what driver and tasks hold whatever the vocabulary; in every pass
-each word's distance-one automaton goes depth-first through every shard of the pass. The automaton is in
+each word's distance-one automaton goes depth-first through every shard of the pass. A task's words are a
+sorted range, so the states that neighbours share by their common prefix are reached once. The automaton is in
 its first state as far as the word and the path agree; the one edit is made where they first differ (two
 words that are one edit apart always agree behind one edit there), after which the rest must match. So
 every near word is met once. A task passes on the number of near words and the best of them; counts are
@@ -25,7 +26,7 @@ import re
 import zlib
 from array import array
 from collections import Counter, deque
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,18 +34,20 @@ from pyspark.sql import functions as F
 
 from strandmill.sources.shared import written
 
-WORD = re.compile("[A-Za-zÀ-ÿ]+")
+LETTER = "[A-Za-zÀ-ÿ]"
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 DAMAGE = 97
 SHARD_WORDS, PASS_BYTES = 1 << 17, 48 << 20
+#: Longest words whose automaton is walked letter by letter.
+LONG = 256
 #: Distinct words that a task adds up before it passes them on.
 HELD_WORDS = 1 << 19
 
 
-def damaged_words(id_text: str, text: bytes) -> Iterable[tuple[str, int]]:
+def damaged_words(id_text: str, text: bytes, run: re.Pattern) -> Iterable[tuple[str, int]]:
     """(word, occurrences) of one UTF-8 text, lower-cased in A-Z; words whose checksum with the id is a multiple of ``DAMAGE`` lose a letter."""
     seed = zlib.crc32(f"{id_text}:".encode())
-    for word, n in Counter(WORD.findall(text.translate(LOWER).decode())).items():
+    for word, n in Counter(run.findall(text.translate(LOWER).decode())).items():
         h = zlib.crc32(word.encode(), seed)
         if h % DAMAGE == 0:
             at = h % len(word)
@@ -55,6 +58,8 @@ def damaged_words(id_text: str, text: bytes) -> Iterable[tuple[str, int]]:
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_length: int = 5, least_count: int = 3) -> DataFrame:
     """(word, n) of the words of at least ``least_length`` code points that occur ``least_count`` times."""
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
+    # Words only become shorter, so shorter runs need not be looked at.
+    run = re.compile(f"{LETTER}{{{least_length},}}")
 
     def count(batches):
         held: Counter = Counter()
@@ -62,7 +67,7 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for at in range(0, len(batch), 256):
                 part = batch.slice(at, 256)
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    for word, n in damaged_words(i, text):
+                    for word, n in damaged_words(i, text, run):
                         if len(word) >= least_length:
                             held[word] += n
                 if len(held) >= HELD_WORDS:
@@ -115,7 +120,7 @@ class Trie:
         return self.__dict__ | {"words": " ".join(self.words)}
 
     def __setstate__(self, state):
-        self.__dict__.update(state | {"words": state["words"].split(" ") if state["words"] else []})
+        self.__dict__.update({k: list(v) if isinstance(v, array) else v for k, v in state.items()} | {"words": state["words"].split(" ") if state["words"] else []})
 
     def _rest(self, ref: int, d: int, word: str, i: int) -> int:
         """Place of the word below ``ref`` that goes on from depth ``d`` exactly as ``word`` does from ``i``; -1 if none does."""
@@ -166,6 +171,73 @@ class Trie:
                 return found
             ref = follow
 
+    def _step(self, ref: int, d: int, letter: str) -> tuple[int, int] | None:
+        """Where ``letter`` leads from depth ``d`` on the way to ``ref``."""
+        if ref < 0:
+            head = self.words[~ref]
+            return (ref, d + 1) if d < len(head) and head[d] == letter else None
+        if d < self.depth[ref]:
+            return (ref, d + 1) if self.words[self.low[ref]][d] == letter else None
+        slot = self.letters.find(letter, self.first[ref], self.first[ref + 1])
+        return None if slot < 0 else (self.target[slot], d + 1)
+
+    def _branches(self, ref: int, d: int) -> list[tuple[str, int]]:
+        """(letter, ref) of all ways on from depth ``d``."""
+        head = self.words[~ref] if ref < 0 else self.words[self.low[ref]]
+        if ref < 0 or d < self.depth[ref]:
+            return [(head[d], ref)] if d < len(head) else []
+        return [(self.letters[slot], self.target[slot]) for slot in range(self.first[ref], self.first[ref + 1])]
+
+    def _ended(self, ref: int, d: int) -> int:
+        """Place of the word that ends here; -1 if none does."""
+        if ref < 0:
+            return ~ref if len(self.words[~ref]) == d else -1
+        return self.low[ref] if self.depth[ref] == d and len(self.words[self.low[ref]]) == d else -1
+
+    def near_all(self, words: Iterable[str]) -> Iterator[list[int]]:
+        """``near`` of each of ``words``, which are cheapest when sorted: the automaton's states are kept letter by letter, and those of the prefix that a word shares with the one before are not made again."""
+        exact: list[tuple[int, int] | None] = [(0, 0) if self.words else None]
+        edited: list[list[tuple[int, int]]] = [[]]
+        last, step, branches = "", self._step, self._branches
+        for word in words:
+            size = len(word)
+            if size > LONG:
+                yield self.near(word)
+                continue
+            d, most = 0, min(size, len(last), len(exact) - 1)
+            while d < most and word[d] == last[d]:
+                d += 1
+            del exact[d + 1 :], edited[d + 1 :]
+            last = word
+            while d < size and (exact[d] or edited[d] or (d and exact[d - 1])):
+                letter, now = word[d], exact[d]
+                states = [x for ref, at in edited[d] if (x := step(ref, at, letter))]
+                follow = None
+                if now:
+                    ref, at = now
+                    for other, x in branches(ref, at):
+                        if other == letter:
+                            follow = (x, at + 1)
+                        else:
+                            states.append((x, at + 1))
+                            if y := step(x, at + 1, letter):
+                                states.append(y)
+                # The letter before is left out, unless it is the same one.
+                if d and exact[d - 1] and word[d - 1] != letter and (y := step(*exact[d - 1], letter)):
+                    states.append(y)
+                exact.append(follow)
+                edited.append(states)
+                d += 1
+            found = []
+            if d == size:
+                ends = list(edited[d])
+                if exact[d]:
+                    ends += [(x, exact[d][1] + 1) for _, x in branches(*exact[d])]
+                if d and exact[d - 1]:
+                    ends.append(exact[d - 1])
+                found = [x for ref, at in ends if (x := self._ended(ref, at)) >= 0]
+            yield found
+
 
 def trie_shards(vocabulary: DataFrame, total: int) -> DataFrame:
     """(shard) pickled tries of at most ``SHARD_WORDS`` words each."""
@@ -191,15 +263,19 @@ def _near_in(vocabulary: DataFrame, shards: list[Trie], parts: int) -> DataFrame
 
     def search(batches):
         for batch in batches:
-            rows = []
-            for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                met = [(-t.counts[x], t.words[x]) for t in shared.value for x in t.near(word)]
-                if met:
-                    least = min(met)
-                    rows.append((word, n, len(met), least[1], -least[0]))
+            words, counts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            met: list[tuple[int, int, str]] = [(0, 0, "")] * len(words)
+            for trie in shared.value:
+                for i, places in enumerate(trie.near_all(words)):
+                    if places:
+                        top = min((-trie.counts[x], trie.words[x]) for x in places)
+                        n, *best = met[i]
+                        met[i] = (n + len(places), *(min(top, tuple(best)) if n else top))
+            rows = [(word, n, m[0], m[2], -m[1]) for word, n, m in zip(words, counts, met) if m[0]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
 
-    return vocabulary.select("word", "n").repartition(parts, "word").mapInArrow(search, "word string, n long, n_near long, best string, best_n long")
+    ranged = vocabulary.select("word", "n").repartitionByRange(parts, "word").sortWithinPartitions("word")
+    return ranged.mapInArrow(search, "word string, n long, n_near long, best string, best_n long")
 
 
 def near_words(vocabulary: DataFrame, words_per_task: int = 16_384) -> DataFrame:
