@@ -150,7 +150,7 @@ class Slice:
     def bounds(self, match, maxima: np.ndarray) -> np.ndarray:
         """Per query, what no document of a block with ``maxima`` exceeds."""
         place, query, weight = match
-        return np.bincount(query, weight * maxima[place], len(self.items))
+        return np.bincount(query, weight * maxima[place], len(self.items)).astype(float)
 
 
 class Best:
@@ -260,7 +260,7 @@ def rank_slice(index: DataFrame, queries: list[tuple[object, set[bytes]]], docum
         for row in _index_rows(batches):
             bounds = mine.bounds(mine.matches(row["terms"]), row["maxima"])
             q = np.flatnonzero(bounds)
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array([row["block"]] * len(q), pa.int64()), pa.array(bounds[q])], names=["query", "block", "bound"])
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array([row["block"]] * len(q), pa.int64()), pa.array(bounds[q], pa.float64())], names=["query", "block", "bound"])
 
     bounds = index.select("block", "terms", "maxima").mapInArrow(bound, "query int, block long, bound double")
     first = Window.partitionBy("query").orderBy(F.col("bound").desc(), "block")
