@@ -33,8 +33,11 @@ def plain_number(value: Column) -> Column:
 
 
 def decimal_places(text: Column) -> Column:
-    """Digits after the point of a number's text."""
-    return F.when(F.instr(text, ".") == 0, 0).otherwise(F.length(text) - F.instr(text, "."))
+    """Decimal places of a number's text: digits after the point (final zeros included) less the exponent, and none below 0."""
+    mantissa = F.regexp_extract(text, r"^[^eE]*", 0)
+    exponent = F.coalesce(F.regexp_extract(text, r"[eE]([+-]?\d+)\s*$", 1).try_cast("int"), F.lit(0))
+    digits = F.length(F.regexp_extract(mantissa, r"\.(\d*)", 1))
+    return F.when(text.isNotNull(), F.greatest(digits - exponent, F.lit(0)))
 
 
 def percent_points(a: Column, b: Column) -> Column:

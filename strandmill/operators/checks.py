@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from strandmill.operators.relational import violations
 HASH_BLOCK, INNER_PAD, OUTER_PAD = 64, 0x36, 0x5C
 # Bounds of a list of names.
 MOST_NAMES, LONGEST_NAME = 100, 100
+# Bounds of a list of search tags.
+MOST_TAGS, LONGEST_TAG = 20, 60
 
 
 def shared_toggle_disagrees(questions: DataFrame) -> DataFrame:
@@ -25,16 +29,26 @@ def shared_toggle_disagrees(questions: DataFrame) -> DataFrame:
 
 
 def presentation_violations(blocks: DataFrame) -> DataFrame:
-    """Checks of (condition, presentation: JSON text): an object with a label that is not blank and a prompt that is text, and no other keys."""
-    at = lambda p: F.get_json_object("presentation", f"$.{p}")
-    quoted = lambda p: F.col("presentation").rlike(rf'"{p}"\s*:\s*"')
-    keys = F.json_object_keys("presentation")
-    extra = F.array_except(keys, F.array(F.lit("label"), F.lit("free_text_prompt"), F.lit("search_tags")))
-    known, name = blocks.where(keys.isNotNull()), F.col("condition")
+    """Checks of (condition, presentation: JSON text): an object with a label that is not blank, a prompt that is text, a list of short tags, and no other keys.
+
+    Types are those of the parsed value, so what lies deeper inside, or text that looks like a key, has no say.
+    A prompt or tags that are null count as absent; text that is no JSON counts as no presentation.
+    """
+    parsed = blocks.withColumn("_v", F.try_parse_json("presentation"))
+    at = lambda p: F.try_variant_get("_v", f"$.{p}", "variant")
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+    told = parsed.select(F.col("condition"), kind(F.col("_v")).startswith("OBJECT").alias("object"), F.json_object_keys("presentation").alias("keys"), kind(at("label")).alias("label_kind"), F.try_variant_get("_v", "$.label", "string").alias("label"), kind(at("free_text_prompt")).alias("prompt_kind"), kind(at("search_tags")).alias("tags_kind"), F.from_json(F.to_json(at("search_tags")), "array<string>").alias("tags"))
+    extra = F.array_except(F.coalesce("keys", F.array().cast("array<string>")), F.array(F.lit("label"), F.lit("free_text_prompt"), F.lit("search_tags")))
+    known, name, tags = told.where("object"), F.col("condition"), F.col("tags")
+    listed = known.where(F.col("tags_kind") == "ARRAY<STRING>")
     return violations(
-        ("no_presentation", blocks.where(keys.isNull()), name, F.lit("")),
-        ("label", known.where(~quoted("label") | (F.coalesce(F.trim(at("label")), F.lit("")) == "")), name, F.lit("")),
-        ("prompt_not_text", known.where(at("free_text_prompt").isNotNull() & ~quoted("free_text_prompt")), name, F.lit("")),
+        ("no_presentation", told.where("not object"), name, F.lit("")),
+        ("label", known.where((F.col("label_kind") != "STRING") | (F.trim("label") == "")), name, F.lit("")),
+        ("prompt_not_text", known.where(~F.col("prompt_kind").isin("STRING", "VOID")), name, F.lit("")),
+        ("tags_not_texts", known.where(~F.col("tags_kind").isin("ARRAY<STRING>", "ARRAY<VOID>", "VOID") | ((F.col("tags_kind") == "ARRAY<VOID>") & (F.size(tags) > 0))), name, F.lit("")),
+        ("too_many_tags", listed.where(F.size(tags) > MOST_TAGS), name, F.lit("")),
+        ("tag_blank", listed.where(F.exists(tags, lambda t: F.coalesce(F.trim(t), F.lit("")) == "")), name, F.lit("")),
+        ("tag_too_long", listed.where(F.exists(tags, lambda t: F.length(F.trim(t)) > LONGEST_TAG)), name, F.lit("")),
         ("unexpected_keys", known.where(F.size(extra) > 0), name, F.array_join(F.array_sort(extra), ",")),
     )
 
@@ -71,14 +85,35 @@ def deployment_violations(practices: DataFrame, users: DataFrame, practice: int)
 
 
 def hmac_sha256(key: str, message: Column) -> Column:
-    """Lower-case hex HMAC-SHA-256 of a text, in the JVM: the keyed inner hash, hashed again."""
+    """Lower-case hex HMAC-SHA-256 of a text, in the JVM: the keyed inner hash, hashed again; a key longer than a block is hashed first."""
+    inner, outer = hmac_pads(key)
+    lit = lambda raw: F.lit(bytearray(raw))
+    return F.sha2(F.concat(lit(outer), F.unhex(F.sha2(F.concat(lit(inner), F.encode(message, "UTF-8")), 256))), 256)
+
+
+def hmac_pads(key: str) -> tuple[bytes, bytes]:
+    """What an HMAC's inner and outer hash begin with."""
     raw = key.encode()
-    if len(raw) > HASH_BLOCK:
-        raise ValueError(f"keys of more than {HASH_BLOCK} bytes are not supported")
-    padded = raw.ljust(HASH_BLOCK, b"\0")
-    pad = lambda byte: F.lit(bytearray(b ^ byte for b in padded))
-    inner = F.unhex(F.sha2(F.concat(pad(INNER_PAD), F.encode(message, "UTF-8")), 256))
-    return F.sha2(F.concat(pad(OUTER_PAD), inner), 256)
+    padded = (hashlib.sha256(raw).digest() if len(raw) > HASH_BLOCK else raw).ljust(HASH_BLOCK, b"\0")
+    return bytes(b ^ INNER_PAD for b in padded), bytes(b ^ OUTER_PAD for b in padded)
+
+
+def webhook_outcomes(signals: DataFrame, key: str, tolerance: int = 900) -> DataFrame:
+    """(id, outcome) of signed signals (id, received: seconds, stamp, token, signature: texts), by the first gate that stops each.
+
+    The gates: ``malformed``, the stamp is no whole number; ``stale``, it is more than ``tolerance``
+    seconds off; ``bad_signature``, the signature is not that of stamp and token; ``replayed``, an
+    earlier signal used the token up. The rest is ``accepted``. A signal's id breaks ties in time.
+    """
+    stamp = F.trim("stamp").try_cast("long")
+    stamp = F.when(F.trim("stamp").rlike(r"^[+-]?\d+$"), stamp)
+    signed = hmac_sha256(key, F.concat("stamp", F.coalesce("token", F.lit(""))))
+    gate = F.when(stamp.isNull(), "malformed").when(F.abs(F.col("received") - stamp) > tolerance, "stale").when(~F.coalesce(signed == F.col("signature"), F.lit(False)), "bad_signature")
+    gated = signals.select("id", "received", F.coalesce("token", F.lit("")).alias("token"), gate.alias("gate"))
+    first = gated.where("gate is null").groupBy("token").agg(F.min(F.struct("received", "id")).alias("_first"))
+    met = gated.join(first, "token", "left")
+    fresh = F.struct("received", "id").eqNullSafe(F.col("_first"))
+    return met.select("id", F.coalesce("gate", F.when(fresh, "accepted").otherwise("replayed")).alias("outcome"))
 
 
 def login_decision(known: Column, cooling: Column, locked: Column, has_password: Column, matches: Column, failures: Column, most: int) -> Column:

@@ -43,18 +43,22 @@ def pool_role(signal: str) -> Column:
     return F.when(own & F.col("kind").isin("positive", "negative"), F.col("kind")).when(own, "ambiguous").when(F.col("signal_key").isNull() & silent, "filler").when(silent, "companion")
 
 
-def label_vectors(parts: DataFrame, fragments: DataFrame, signals: list[str]) -> DataFrame:
+def label_vectors(parts: DataFrame, fragments: DataFrame, signals: list[str], decided: DataFrame | None = None) -> DataFrame:
     """(example_id, labels map): no key where some fragment says nothing about the signal, null where all are declared silent, else what one asserts.
 
     ``parts`` has example_id, fragment_id; ``fragments`` fragment_id, signal_key, asserts (boolean),
-    null_on (array). Two assertions that differ raise an error.
+    null_on (array). Two fragments of an example that assert one signal raise an error, whether they
+    agree or not. ``decided`` (example_id, signal, expected) tells what an example's own signal must come
+    out as; a vector without that key, or with another value, raises one too.
     """
     joined = parts.join(fragments, "fragment_id").withColumn("signal", F.explode(F.array(*map(F.lit, signals))))
     own = F.col("signal_key").eqNullSafe(F.col("signal"))
-    per = joined.groupBy("example_id", "signal").agg(
-        F.every(own | F.array_contains("null_on", F.col("signal"))).alias("declared"), F.max(F.when(own, F.col("asserts"))).alias("value"), F.min(F.when(own, F.col("asserts"))).alias("least")
-    )
-    sound = F.when(F.col("value") != F.col("least"), F.raise_error(F.lit("two fragments assert a signal differently")).cast("boolean")).otherwise(F.col("value"))
+    per = joined.groupBy("example_id", "signal").agg(F.every(own | F.array_contains("null_on", F.col("signal"))).alias("declared"), F.max(F.when(own, F.col("asserts"))).alias("value"), F.count_if(own).alias("asserting"))
+    sound = F.when(F.col("asserting") > 1, F.raise_error(F.lit("two fragments assert a signal")).cast("boolean")).otherwise(F.col("value"))
+    if decided is not None:
+        per = per.join(decided.withColumn("_told", F.lit(True)), ["example_id", "signal"], "left")
+        amiss = F.col("_told") & ~(F.col("declared") & F.col("value").eqNullSafe(F.col("expected")))
+        sound = F.when(F.coalesce(amiss, F.lit(False)), F.raise_error(F.lit("a label vector differs from what was decided")).cast("boolean")).otherwise(sound)
     # Soundness is looked at for masked signals too.
     every = F.array_sort(F.collect_list(F.struct("signal", sound.alias("value"), "declared")))
     entries = F.transform(F.filter(every, lambda e: e["declared"]), lambda e: F.struct(e["signal"], e["value"]))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from strandmill.functions.numbers import decimal_places
 from strandmill.operators.dataset import running_sum
 
 #: Sources whose values count as explicitly given.
@@ -108,9 +109,8 @@ def missing_answer(kind: str, value: Column, places: int = 0) -> Column:
 def number_failure(text: Column, places: int) -> Column:
     """The ladder for numbers given as text: missing, not a number, not finite, too many decimals."""
     number = text.try_cast("double")
-    decimals = F.when(F.instr(text, ".") > 0, F.length(text) - F.instr(text, ".")).otherwise(0)
     infinite = F.isnan(number) | (F.abs(number) == float("inf"))
-    return F.when(text.isNull(), "missing").when(F.lower(text).isin("true", "false") | number.isNull(), "not_a_number").when(infinite, "not_finite").when(decimals > places, "precision")
+    return F.when(text.isNull(), "missing").when(F.lower(text).isin("true", "false") | number.isNull(), "not_a_number").when(infinite, "not_finite").when(decimal_places(text) > places, "precision")
 
 
 def failures(*checks: tuple[Column, str]) -> Column:
@@ -201,23 +201,26 @@ def exception_errors(kind: Column, opens: Column, closes: Column, note: Column)
     )
 
 
-def code_outcomes(events: DataFrame, most: int, lifetime: str = "INTERVAL 5 DAYS") -> DataFrame:
-    """(event_id, reason) of every try (an event but a signup) of one-time codes, by the first gate that stops it.
+def code_outcomes(events: DataFrame, known: Column, issues: Column, matches: Column, most: int, lifetime: str = "INTERVAL 5 DAYS") -> DataFrame:
+    """(event_id, reason) of every try of one-time codes, by the first gate that stops it.
 
-    The gates: no such user (every 13th), no code (none issued, or used up), too many wrong tries,
-    expired, mismatch. Running counts per user and code stand for the state, in ranges that many tasks share.
+    ``events`` has (event_id, user_id, ts); of each, ``issues`` tells that it issues a code and is no
+    try, ``matches`` that a try gives the right code, and ``known`` that the user exists. The gates: no such
+    user, no code (none issued, or used up), too many wrong tries, expired, mismatch. Running counts per
+    user and code stand for the state, in ranges that many tasks share.
     """
+    events = events.select("event_id", "user_id", "ts", known.alias("known"), issues.alias("issues"), matches.alias("matches"))
     order = [F.col("ts"), F.col("event_id")]
     counted = lambda df, group, hit, name: running_sum(df, group, order, hit.cast("long"), name)
-    rows = counted(events, "user_id", F.col("event_type") == "signup", "code").withColumn("key", F.concat_ws("/", "user_id", "code"))
+    rows = counted(events, "user_id", F.col("issues"), "code").withColumn("key", F.concat_ws("/", "user_id", "code"))
     issued = rows.groupBy("key").agg(F.min("ts").alias("issued"))
-    match, tried = F.col("event_type") == "purchase", F.col("event_type") != "signup"
+    match, tried = F.col("matches"), ~F.col("issues")
     rows = rows.join(issued, "key").withColumn("expired", (F.col("code") > 0) & (F.col("ts") > F.col("issued") + F.expr(lifetime)))
     wrong = tried & ~match & ~F.col("expired")
     rows = counted(rows, "key", wrong, "_wrong").withColumn("failed", F.col("_wrong") - wrong.cast("long"))
     right = match & ~F.col("expired") & (F.col("failed") < most)
     rows = counted(rows, "key", right, "_right").withColumn("used", F.col("_right") - right.cast("long"))
-    reason = F.when(F.col("user_id") % 13 == 0, "no_user").when((F.col("code") == 0) | (F.col("used") > 0), "no_code").when(F.col("failed") >= most, "attempts").when(F.col("expired"), "expired").when(~match, "mismatch")
+    reason = F.when(~F.col("known"), "no_user").when((F.col("code") == 0) | (F.col("used") > 0), "no_code").when(F.col("failed") >= most, "attempts").when(F.col("expired"), "expired").when(~match, "mismatch")
     return rows.where(tried).select("event_id", reason.otherwise("success").alias("reason"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from strandmill.operators import checks as C
 from strandmill.operators import relational as K
 from strandmill.operators.rules import RuleError, check_clause
-from strandmill.plans.book import query
+from strandmill.plans.book import query, sql_hmac
 from strandmill.sources import files
 from strandmill.sources.shared import fresh_path
 from strandmill.sources.tables import table
@@ -31,16 +31,23 @@ def shared_toggle_check(spark, d):
     return C.shared_toggle_disagrees(questions)
 
 
+#: Presentation blocks by turns, with the rule that each breaks; %s stands for the part's name.
+BLOCKS = [
+    ("no_presentation", None), ("no_presentation", "[1]"), ("no_presentation", "{"), ("label", '{"label": "  "}'), ("label", '{"label": 7}'), ("label", '{"label": 7, "search_tags": [], "free_text_prompt": "\\"label\\": \\"x\\""}'),
+    ("prompt_not_text", '{"label": "x", "free_text_prompt": 7}'), ("prompt_not_text", '{"label": "x", "free_text_prompt": {"free_text_prompt": "x"}}'), ("tags_not_texts", '{"label": "x", "search_tags": 5}'), ("tags_not_texts", '{"label": "x", "search_tags": [{"label": "a"}]}'),
+    ("tags_not_texts", '{"label": "x", "search_tags": ["a", 1]}'), ("tag_blank", '{"label": "x", "search_tags": ["a", " "]}'), ("tag_too_long", '{"label": "x", "search_tags": ["' + "a" * (C.LONGEST_TAG + 1) + '"]}'), ("too_many_tags", '{"label": "x", "search_tags": [' + ", ".join(['"a"'] * (C.MOST_TAGS + 1)) + "]}"),
+    ("unexpected_keys", '{"size": 1, "label": "x", "color": 2}'), (None, '{"label": "%s", "free_text_prompt": null, "search_tags": null}'), (None, '{"label": "%s", "free_text_prompt": "{\\"size\\": 1}", "search_tags": ["a", "b "]}'), (None, '{"label": "%s", "search_tags": []}'),
+]
+
+
 @query(
-    """SELECT rule, p_partkey::VARCHAR AS key, CASE rule WHEN 'unexpected_keys' THEN 'color,size' ELSE '' END AS detail
-       FROM (SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'no_presentation' WHEN 1 THEN 'label' WHEN 2 THEN 'label' WHEN 3 THEN 'prompt_not_text' WHEN 4 THEN 'unexpected_keys' END AS rule FROM part) WHERE rule IS NOT NULL"""
+    f"""SELECT rule, p_partkey::VARCHAR AS key, CASE rule WHEN 'unexpected_keys' THEN 'color,size' ELSE '' END AS detail
+       FROM (SELECT p_partkey, [{", ".join("NULL" if r is None else f"'{r}'" for r, _ in BLOCKS)}][p_partkey % {len(BLOCKS)} + 1] AS rule FROM part) WHERE rule IS NOT NULL"""
 )
 def label_check(spark, d):
-    """Presentation blocks with each fault: none, a blank label, a number for a label, a number for a prompt, keys too many."""
-    k = F.col("p_partkey") % 6
-    good = F.to_json(F.struct(F.col("p_name").alias("label"), F.col("p_type").alias("free_text_prompt")))
-    block = F.when(k == 0, F.lit(None)).when(k == 1, '{"label": "  "}').when(k == 2, '{"label": 7}').when(k == 3, '{"label": "x", "free_text_prompt": 7}').when(k == 4, '{"size": 1, "label": "x", "color": 2}').otherwise(good)
-    return C.presentation_violations(table(spark, d, "part").select(F.col("p_partkey").alias("condition"), block.alias("presentation")))
+    """Presentation blocks with each fault: none, a label or prompt of another kind, tags that are none, keys too many; sound ones among them."""
+    block = F.element_at(F.array(*[F.lit(b) for _, b in BLOCKS]), (F.col("p_partkey") % len(BLOCKS) + 1).cast("int"))
+    return C.presentation_violations(table(spark, d, "part").select(F.col("p_partkey").alias("condition"), F.replace(block, F.lit("%s"), F.col("p_name")).alias("presentation")))
 
 
 @query(
@@ -62,9 +69,9 @@ def startup_checks(spark, d):
     return C.deployment_violations(practices, users, 3).unionByName(C.deployment_violations(practices, users, 77))
 
 
-@query()
+@query(f"""WITH t AS (SELECT event_id, user_id || ':' || event_id || ':1:' AS head, strftime(ts, '%Y%m%d%H%M') AS time FROM events) SELECT event_id, head || time || ':' || {sql_hmac("shared key", "head || 'password:' || time")} AS token FROM t""")
 def hmac_token(spark, d):
-    """Tokens mailbox:nonce:count:time:signature of all events; SQL has no keyed hash, so a test compares with Python's."""
+    """Tokens mailbox:nonce:count:time:signature of all events."""
     time = F.date_format("ts", "yyyyMMddHHmm")
     parts = lambda *more: F.concat_ws(":", F.col("user_id").cast("string"), F.col("event_id").cast("string"), F.lit("1"), *more)
     return table(spark, d, "events").select("event_id", parts(time, C.hmac_sha256("shared key", parts(F.lit("password"), time))).alias("token"))

@@ -145,19 +145,26 @@ def build_pools(spark, d):
     return fragments.select("doc_id", F.when(role == "positive", F.col("lang")).otherwise(role).alias("role"))
 
 
-PARTS = "p AS (SELECT l_orderkey AS example_id, l_partkey AS fragment_id FROM lineitem), f AS (SELECT p_partkey AS fragment_id, CASE p_partkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS signal_key, p_partkey % 3 = 0 AS asserts, p_partkey % 7 <> 0 AS silent FROM part)"
+#: An order's smallest part of each signal asserts it; its other parts are fillers, which assert nothing.
+PARTS = """k AS (SELECT DISTINCT l_orderkey AS example_id, l_partkey AS key, CASE l_partkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS claim FROM lineitem),
+        f AS (SELECT example_id, CASE WHEN key = min(key) OVER (PARTITION BY example_id, claim) THEN claim END AS signal_key, key % 3 = 0 AS asserts, key % 7 <> 0 AS silent FROM k)"""
 
 
 @query(
-    f"""WITH {PARTS}, j AS (SELECT example_id, s AS signal, signal_key, asserts, silent FROM p JOIN f USING (fragment_id), (VALUES ('a'), ('b')) v(s)),
+    f"""WITH {PARTS}, j AS (SELECT f.*, s AS signal FROM f, (VALUES ('a'), ('b')) v(s)),
         g AS (SELECT example_id, signal, bool_and(coalesce(signal_key = signal, false) OR silent) AS declared, max(CASE WHEN signal_key = signal THEN asserts END) AS value FROM j GROUP BY ALL)
        SELECT example_id, max(CASE WHEN signal = 'a' THEN CASE WHEN declared THEN coalesce(value::VARCHAR, 'null') ELSE 'masked' END END) AS a, max(CASE WHEN signal = 'b' THEN CASE WHEN declared THEN coalesce(value::VARCHAR, 'null') ELSE 'masked' END END) AS b FROM g GROUP BY example_id"""
 )
 def label_vector(spark, d):
-    parts = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("example_id"), F.col("l_partkey").alias("fragment_id"))
+    """Orders as examples of all their parts; a part is one fragment where it asserts its signal and another where it is a filler."""
+    claim = lambda key: F.when(key % 3 == 0, "a").when(key % 3 == 1, "b")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("example_id"), F.col("l_partkey").alias("key"))
+    first = F.min(F.struct("key")).alias("_first")
+    asserting = lines.where(claim(F.col("key")).isNotNull()).groupBy("example_id", claim(F.col("key")).alias("claim")).agg(first).select("example_id", F.col("_first.key").alias("key"), F.lit(1).alias("own"))
+    parts = lines.distinct().join(asserting, ["example_id", "key"], "left").select("example_id", (F.col("key") * 2 + F.coalesce("own", F.lit(0))).alias("fragment_id"))
     key = F.col("p_partkey")
-    fragments = table(spark, d, "part").select(key.alias("fragment_id"), F.when(key % 3 == 0, "a").when(key % 3 == 1, "b").alias("signal_key"), (key % 3 == 0).alias("asserts"), F.when(key % 7 != 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array()).cast("array<string>").alias("null_on"))
-    # Several fragments per example; those that assert a signal agree.
+    kinds = table(spark, d, "part").withColumn("own", F.explode(F.array(F.lit(0), F.lit(1))))
+    fragments = kinds.select((key * 2 + F.col("own")).alias("fragment_id"), F.when(F.col("own") == 1, claim(key)).alias("signal_key"), (key % 3 == 0).alias("asserts"), F.when(key % 7 != 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array()).cast("array<string>").alias("null_on"))
     vectors = D.label_vectors(parts, fragments, ["a", "b"])
     shown = lambda s: F.when(F.map_contains_key("labels", s), F.coalesce(F.element_at("labels", s).cast("string"), F.lit("null"))).otherwise("masked")
     return vectors.select("example_id", shown("a").alias("a"), shown("b").alias("b"))

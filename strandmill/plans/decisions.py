@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from strandmill.functions.text import hash_int
+from strandmill.operators import checks as C
 from strandmill.operators import rules as R
 from strandmill.operators.search import search
-from strandmill.plans.book import query
+from strandmill.plans.book import query, sql_hash, sql_hmac
 from strandmill.sources.tables import table
 
 RULES = {
@@ -110,11 +112,11 @@ def answer_history(spark, d):
 
 
 @query(
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'missing' WHEN o_orderkey % 11 = 1 THEN 'not_a_number' WHEN o_orderkey % 11 = 2 THEN 'precision' END AS number, CASE WHEN o_orderkey % 4 = 0 THEN 'blank' END AS text, CASE WHEN o_orderkey % 5 = 0 THEN 'missing' END AS flag FROM orders"""
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'missing' WHEN o_orderkey % 11 = 1 THEN 'not_a_number' WHEN o_orderkey % 11 IN (2, 3, 5) THEN 'precision' WHEN o_orderkey % 11 = 6 THEN 'not_finite' END AS number, CASE WHEN o_orderkey % 4 = 0 THEN 'blank' END AS text, CASE WHEN o_orderkey % 5 = 0 THEN 'missing' END AS flag FROM orders"""
 )
 def required_check(spark, d):
     m = F.col("o_orderkey") % 11
-    number = F.when(m == 0, F.lit(None)).when(m == 1, "twelve").when(m == 2, "12.345").otherwise("12.5")
+    number = F.when(m == 0, F.lit(None)).when(m == 1, "twelve").when(m == 2, "12.345").when(m == 3, "1e-7").when(m == 4, "1.25e1").when(m == 5, "12.50").when(m == 6, "-Infinity").otherwise("12.5")
     words = F.when(F.col("o_orderkey") % 4 == 0, "  ").otherwise("text")
     flag = F.when(F.col("o_orderkey") % 5 != 0, True)
     return table(spark, d, "orders").select("o_orderkey", R.missing_answer("Number", number, 1).alias("number"), R.missing_answer("text", words).alias("text"), R.missing_answer("Boolean", flag).alias("flag"))
@@ -182,13 +184,26 @@ def availability_validate(spark, d):
     )
 
 
-@query("""WITH m AS (SELECT max(ts) AS now FROM events) SELECT event_type, count(*) AS kept FROM events, m WHERE abs(epoch(ts) - epoch(now)) <= 900 * 96 AND event_id % 17 <> 0 GROUP BY event_type""")
+#: A key of more than a hash's block.
+SIGNING_KEY = "signing key " * 8
+_draw = sql_hash("event_id::VARCHAR")
+
+
+@query(
+    f"""WITH e AS (SELECT event_id, epoch_us(ts) // 1000000 AS received, 't' || (event_id // 2) AS token, CASE {_draw} % 6 WHEN 0 THEN NULL WHEN 1 THEN '12x' WHEN 2 THEN (received - 901)::VARCHAR WHEN 3 THEN (received + 900)::VARCHAR ELSE (received - 30)::VARCHAR END AS stamp FROM events),
+            g AS (SELECT *, CASE WHEN {_draw} % 7 = 0 THEN 'forged' ELSE {sql_hmac(SIGNING_KEY, "stamp || token")} END AS signature FROM e),
+            o AS (SELECT *, CASE WHEN stamp IS NULL OR stamp = '12x' THEN 'malformed' WHEN abs(received - stamp::BIGINT) > 900 THEN 'stale' WHEN signature <> {sql_hmac(SIGNING_KEY, "stamp || token")} THEN 'bad_signature' END AS gate FROM g)
+       SELECT event_id, coalesce(gate, CASE WHEN row_number() OVER (PARTITION BY token, gate ORDER BY received, event_id) = 1 THEN 'accepted' ELSE 'replayed' END) AS outcome FROM o"""
+)
 def webhook_filter(spark, d):
-    events = table(spark, d, "events")
-    now = events.agg(F.max("ts").alias("now"))
-    seconds = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
-    kept = events.join(F.broadcast(now)).where((F.abs(seconds("ts") - seconds("now")) <= 900 * 96) & (F.col("event_id") % 17 != 0))
-    return kept.groupBy("event_type").agg(F.count("*").alias("kept"))
+    """Events as signed signals; two share a token, some stamps are malformed or old and some signatures forged."""
+    draw, received = hash_int(F.col("event_id").cast("string")), F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), F.floor(received / 1_000_000).alias("received"), F.concat(F.lit("t"), F.floor(F.col("event_id") / 2).cast("string")).alias("token"), draw.alias("draw"))
+    late = lambda by: (F.col("received") + by).cast("string")
+    kind = F.col("draw") % 6
+    stamped = rows.withColumn("stamp", F.when(kind == 1, "12x").when(kind == 2, late(-901)).when(kind == 3, late(900)).when(kind > 3, late(-30)))
+    signed = stamped.withColumn("signature", F.when(F.col("draw") % 7 == 0, "forged").otherwise(C.hmac_sha256(SIGNING_KEY, F.concat("stamp", "token"))))
+    return C.webhook_outcomes(signed, SIGNING_KEY).select(F.col("id").alias("event_id"), "outcome")
 
 
 @query("""SELECT event_id, user_id FROM events WHERE user_id = 7 AND starts_with(event_type, 'c') AND ts >= date_trunc('day', (SELECT min(ts) FROM events)) AND ts < date_trunc('day', (SELECT min(ts) FROM events)) + INTERVAL 10 DAY""")
@@ -212,7 +227,8 @@ MOST_TRIES = 3
 )
 def otp_state_machine(spark, d):
     """A signup issues a code for five days, every other event tries it, and a purchase matches it; wrong tries count, and success uses the code up."""
-    return R.code_outcomes(table(spark, d, "events").select("event_id", "user_id", "ts", "event_type"), MOST_TRIES)
+    kind = F.col("event_type")
+    return R.code_outcomes(table(spark, d, "events"), F.col("user_id") % 13 != 0, kind == "signup", kind == "purchase", MOST_TRIES)
 
 
 @query("""SELECT p_partkey FROM part WHERE contains(lower(p_name), 'widgett') OR len(list_filter(string_split(lower(p_name), ' '), lambda t: levenshtein(t, 'widgett') <= 2)) > 0""")

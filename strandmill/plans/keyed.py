@@ -130,22 +130,22 @@ def union_dims(spark, d):
     return left.unionByName(right).groupBy("k").agg((F.count_distinct("v") > 1).alias("conflict"))
 
 
-NEW = "(SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey < 50 UNION ALL SELECT s_suppkey + 40, 'new-' || s_name FROM supplier WHERE s_suppkey < 60)"
+#: Old rows are all suppliers; new ones have every even id up to twice as many, so about half of them meet an old one.
+MERGED = "WITH o AS (SELECT s_suppkey AS id, s_name AS name FROM supplier), n AS (SELECT s_suppkey * 2 AS id, 'new-' || s_name AS name FROM supplier)"
 
 
 def _merge_inputs(spark, d):
     rows = table(spark, d, "supplier")
-    old = rows.where("s_suppkey < 50").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    return old, rows.where("s_suppkey < 60").select((F.col("s_suppkey") + 40).alias("id"), F.concat(F.lit("new-"), "s_name").alias("name"))
+    return rows.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), rows.select((F.col("s_suppkey") * 2).alias("id"), F.concat(F.lit("new-"), "s_name").alias("name"))
 
 
-@query("WITH o AS (SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey < 50), n AS (SELECT s_suppkey + 40 AS id, 'new-' || s_name AS name FROM supplier WHERE s_suppkey < 60) SELECT * FROM o UNION ALL SELECT * FROM n WHERE id NOT IN (SELECT id FROM o)")
+@query(f"{MERGED} SELECT * FROM o UNION ALL SELECT * FROM n WHERE id NOT IN (SELECT id FROM o)")
 def insert_if_absent(spark, d):
     old, new = _merge_inputs(spark, d)
     return K.insert_if_absent(old, new, ["id"])
 
 
-@query("WITH o AS (SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey < 50), n AS (SELECT s_suppkey + 40 AS id, 'new-' || s_name AS name FROM supplier WHERE s_suppkey < 60) SELECT * FROM n UNION ALL SELECT * FROM o WHERE id NOT IN (SELECT id FROM n)")
+@query(f"{MERGED} SELECT * FROM n UNION ALL SELECT * FROM o WHERE id NOT IN (SELECT id FROM n)")
 def upsert(spark, d):
     return K.upsert(*_merge_inputs(spark, d), ["id"])
 

@@ -124,18 +124,20 @@ def imperial_to_kg(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", kg.cast("double").alias("kg"), N.canonical_quantity(F.lit("imperial"), F.lit(None), kg, 1).cast("double").alias("rounded"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT)::VARCHAR || ' st ' || l_linenumber || ' lb' AS shown, length(l_discount::VARCHAR) - instr(l_discount::VARCHAR, '.') AS places, CAST(l_quantity AS BIGINT)::VARCHAR AS plain FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT)::VARCHAR || ' st ' || l_linenumber || ' lb' AS shown, CASE WHEN l_linenumber % 2 = 0 THEN greatest(0, len(split_part(l_discount::VARCHAR, '.', 2)) + l_linenumber - 3) ELSE len(split_part(l_discount::VARCHAR, '.', 2)) END AS places, CAST(l_quantity AS BIGINT)::VARCHAR AS plain FROM lineitem""")
 def format_quantity(spark, d):
     plain = N.plain_number(F.col("l_quantity").cast("decimal(20,4)"))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.format_string("%s st %d lb", plain, "l_linenumber").alias("shown"), N.decimal_places(F.col("l_discount").cast("string")).alias("places"), plain.alias("plain"))
+    # Every other number is written with an exponent, which moves its point.
+    number = F.concat(F.col("l_discount").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("e"), (3 - F.col("l_linenumber")).cast("string"))).otherwise(""))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.format_string("%s st %d lb", plain, "l_linenumber").alias("shown"), N.decimal_places(number).alias("places"), plain.alias("plain"))
 
 
 @query(
-    """SELECT event_id, event_id % 6 AS attempt, [1, 10, 60][event_id % 6] AS email, [1, 5, 15][event_id % 6] AS message, [5, 10][event_id % 6] AS document FROM events WHERE event_id % 6 > 0"""
+    """SELECT event_id, event_id % 6 + 1 AS attempt, [1, 10, 60][event_id % 6 + 1] AS email, [1, 5, 15][event_id % 6 + 1] AS message, [5, 10][event_id % 6 + 1] AS document FROM events"""
 )
 def backoff_minutes(spark, d):
-    attempt = F.col("event_id") % 6
-    return table(spark, d, "events").where(attempt > 0).select("event_id", attempt.alias("attempt"), *[N.backoff_minutes(attempt, k).alias(k) for k in ("email", "message", "document")])
+    attempt = F.col("event_id") % 6 + 1
+    return table(spark, d, "events").select("event_id", attempt.alias("attempt"), *[N.backoff_minutes(attempt, k).alias(k) for k in ("email", "message", "document")])
 
 
 @query(

@@ -21,8 +21,30 @@ def test_tokens_are_signed_as_pythons_are(spark, tmp_path):
         time = t[:16].translate(str.maketrans("", "", "-: "))
         sign = hmac.new(b"shared key", f"{user}:{i}:1:password:{time}".encode(), hashlib.sha256).hexdigest()
         assert got[i] == f"{user}:{i}:1:{time}:{sign}"
-    with pytest.raises(ValueError):
-        checks.hmac_sha256("k" * 65, F.lit("x"))
+    for key in ("", "k" * 64, "k" * 65, "schlüssel" * 30):
+        found = spark.range(1).select(checks.hmac_sha256(key, F.lit("ä message")).alias("h")).first().h
+        assert found == hmac.new(key.encode(), "ä message".encode(), hashlib.sha256).hexdigest()
+
+
+def test_decimal_places_are_those_of_pythons_decimals(spark):
+    from decimal import Decimal
+
+    from strandmill.functions.numbers import decimal_places
+    from strandmill.operators.rules import number_failure
+
+    texts = ["0", "12", "12.5", "12.50", "1e-7", "1.25e1", "1.25E+1", "1e3", "-3.1e-2", "0.000", "5e0", "1.e1", ".5"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None, "NaN", "-Infinity", "true", "x"]], "t string").select("t", decimal_places(F.col("t")).alias("n"), number_failure(F.col("t"), 1).alias("f")).collect()
+    for r in rows[: len(texts)]:
+        exponent = Decimal(r.t).as_tuple().exponent
+        assert r.n == max(0, -exponent) and r.f == ("precision" if -exponent > 1 else None), r.t
+    assert [r.f for r in rows[len(texts) :]] == ["missing", "not_finite", "not_finite", "not_a_number", "not_a_number"]
+
+
+def test_webhooks_pass_all_gates_once(spark):
+    sign = lambda stamp, token: hmac.new(b"key", f"{stamp}{token}".encode(), hashlib.sha256).hexdigest()
+    rows = [(1, 1000, "1000", "a", sign("1000", "a")), (2, 1001, "1000", "a", sign("1000", "a")), (3, 1000, "1900", "b", sign("1900", "b")), (4, 1000, "1901", "c", sign("1901", "c")), (5, 1000, "1e3", "d", sign("1e3", "d")), (6, 1000, None, "e", "x"), (7, 1000, "1000", "f", sign("1000", "g")), (8, 1000, "1000", "f", None), (9, 999, "1000", "f", sign("1000", "f")), (10, 1000, " 1000", None, sign(" 1000", ""))]
+    found = checks.webhook_outcomes(spark.createDataFrame(rows, "id long, received long, stamp string, token string, signature string"), "key").collect()
+    assert {r.id: r.outcome for r in found} == {1: "accepted", 2: "replayed", 3: "accepted", 4: "stale", 5: "malformed", 6: "malformed", 7: "bad_signature", 8: "bad_signature", 9: "accepted", 10: "accepted"}
 
 
 def test_holdout_rejects_unknown_cells_missing_margins_and_scores(spark):
