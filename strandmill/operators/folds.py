@@ -72,11 +72,6 @@ def swap_violations(own: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return _union(_named(mine.join(theirs, key, "left_anti"), "missing", key), _named(theirs.join(mine, key, "left_anti"), "unexpected", key))
 
 
-def swapped(fold: DataFrame, other: DataFrame) -> DataFrame:
-    """The fold's training and validation rows with the other tree's test rows."""
-    return fold.where("split <> 'test'").unionByName(other.where("split = 'test'"))
-
-
 def library_violations(libraries: DataFrame, signals: list[str]) -> DataFrame:
     """Checks of library declarations (name, file, fragment_type, signal_key, null_on: array of signal, basis, note).
 

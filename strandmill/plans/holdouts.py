@@ -6,6 +6,9 @@ the partition), documents as submissions that judges labelled for two signals, o
 
 from __future__ import annotations
 
+import json
+
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from strandmill.functions.text import hash_int
@@ -14,25 +17,74 @@ from strandmill.operators import holdout as H
 from strandmill.operators import stats
 from strandmill.plans.book import query, sql_hash
 from strandmill.plans.evaluation import ACCURACY, CELLS, MACRO, SUMMARY
+from strandmill.sources.shared import fresh_path
 from strandmill.sources.tables import table
+from strandmill.sources.tree import load_tree, read_sidecars, tree_violations, write_tree
 
 FOLDS = 5
 MODELS = [0, 1, 2]
 HELD_MARGINS = {"quality": 50, "toxic": 200}
 
 
+CONFIGURATION = {"generator_version": "2", "signal": "urgent", "split_salt": "s"}
+
+
+def _placed(bucket):
+    """(fold, split) of every fold for a cluster's bucket."""
+    split = lambda k: F.when(bucket == k, "test").when(bucket == (k + 1) % FOLDS, "val").otherwise("train")
+    return F.explode(F.array(*[F.struct(F.lit(k).alias("fold"), split(k).alias("split")) for k in range(FOLDS)]))
+
+
+def _tree(spark, d):
+    """A written tree: orders as examples, their customers as fragments; the path."""
+    orders = table(spark, d, "orders").select("*", _placed(hash_int(F.col("o_custkey").cast("string")) % FOLDS).alias("at")).select("*", "at.*")
+    labels = F.create_map(F.lit("urgent"), F.when(F.col("o_orderpriority") != "3-MEDIUM", F.col("o_orderpriority") < "3"), F.lit("open"), F.col("o_orderstatus") == "O")
+    labels = F.when(F.col("o_orderstatus") == "P", F.map_filter(labels, lambda k, v: k == "urgent")).otherwise(labels)
+    text = lambda c: F.col(c).cast("string")
+    examples = orders.select("fold", "split", text("o_orderkey").alias("example_id"), F.col("o_orderpriority").alias("text"), labels.alias("labels"), F.array(text("o_custkey")).alias("fragment_ids"))
+    fragments = orders.select("fold", "split", text("o_custkey").alias("fragment_id"), text("o_custkey").alias("cluster_key")).distinct()
+    root = fresh_path(spark, "fold-tree")
+    write_tree(examples, fragments, root, CONFIGURATION, ["urgent", "open"], FOLDS)
+    return root
+
+
+@query(
+    f"""WITH o AS (SELECT *, {sql_hash("o_custkey::VARCHAR")} % {FOLDS} AS bucket FROM orders), x AS (SELECT o.*, fold, CASE WHEN bucket = fold THEN 'test' WHEN bucket = (fold + 1) % {FOLDS} THEN 'val' ELSE 'train' END AS split FROM o, (SELECT unnest(range({FOLDS})) AS fold))
+       SELECT fold::INT AS fold, split, count(*) AS n, count(*) AS recorded, count(*) FILTER (WHERE o_orderpriority < '3') AS urgent, count(*) FILTER (WHERE o_orderpriority < '3') AS recorded_urgent, count(*) FILTER (WHERE o_orderpriority = '3-MEDIUM') AS recorded_null, count(*) FILTER (WHERE o_orderstatus = 'O') AS recorded_open FROM x GROUP BY fold, split"""
+)
+def scan_fold_tree(spark, d):
+    """A tree written, checked and read back: counts of its examples beside those in its sidecars."""
+    root = _tree(spark, d)
+    read = load_tree(spark, root, FOLDS).groupBy("fold", "split").agg(F.count("*").alias("n"), F.count_if(F.element_at("labels", "urgent")).alias("urgent"))
+    at = lambda p: F.get_json_object("stats", f"$.{p}").cast("long")
+    told = read_sidecars(spark, root).select("fold", "split", at("count").alias("recorded"), at("labels.urgent.true").alias("recorded_urgent"), at("labels.urgent.null").alias("recorded_null"), at("labels.open.true").alias("recorded_open"))
+    return read.join(told, ["fold", "split"])
+
+
 @query(
-    """SELECT * FROM (VALUES ('file_missing', '4/val'), ('split_differs_from_path', '1/val'), ('fold_differs_from_path', '2/test'), ('number_of_folds', '3/val'), ('configuration_differs_within_fold', '2'), ('configuration_differs_within_fold', '3'), ('salt_differs_between_folds', 'all')) t("check", key)"""
+    f"""WITH o AS (SELECT *, {sql_hash("o_custkey::VARCHAR")} % {FOLDS} AS bucket FROM orders), bad AS (SELECT o_orderkey % 2 AS kind FROM o WHERE bucket = 0)
+       SELECT * FROM (VALUES ('sidecar_key_missing', '3/val/split_salt'), ('sidecar_not_json', '4/val'), ('file_missing', '4/val'), ('split_differs_from_path', '1/val'), ('fold_differs_from_path', '2/test'), ('number_of_folds', '0/val'), ('configuration_differs_within_fold', '0'), ('configuration_differs_within_fold', '3'), ('salt_differs_between_folds', 'all'), ('count_differs', '0/test')) t("check", key)
+       UNION ALL SELECT 'line', 'fold=0/split=test: ' || CASE kind WHEN 0 THEN 'not valid JSON' ELSE 'not a JSON object' END FROM bad"""
 )
 def scan_sidecar(spark, d):
-    """Five folds' sidecars with one fault of each kind, each named."""
-    i, named = F.col("id").cast("int"), F.element_at(F.array(*map(F.lit, L.SPLITS)), (F.col("id") % 3 + 1).cast("int"))
-    fold = F.floor(i / 3).cast("int")
-    files = spark.range(3 * FOLDS).where("id <> 13").select(
-        fold.alias("fold"), named.alias("split"), F.when(i == 8, 1).otherwise(fold).alias("recorded_fold"), F.when(i == 4, "train").otherwise(named).alias("recorded_split"),
-        F.when(i == 10, 4).otherwise(FOLDS).alias("recorded_folds"), F.when(i >= 12, "x").otherwise("s").alias("salt"), F.when(i == 6, "2").otherwise("1").alias("version"),
-    )
-    return L.sidecar_violations(files, FOLDS)
+    """The tree with one fault of each kind in its sidecars, and with a broken line for every order of one split."""
+    root = _tree(spark, d)
+    store, path = fs.FileSystem.from_uri(root)
+
+    def rewrite(place: str, change) -> None:
+        with store.open_input_stream(f"{path}/stats/{place}/stats.json") as given:
+            stats = json.loads(given.read())
+        with store.open_output_stream(f"{path}/stats/{place}/stats.json") as out:
+            out.write(change(stats).encode())
+
+    rewrite("fold=3/split=val", lambda x: json.dumps({k: v for k, v in x.items() if k != "split_salt"}))
+    rewrite("fold=4/split=val", lambda x: "[1]")
+    rewrite("fold=1/split=val", lambda x: json.dumps(x | {"split": "train"}))
+    rewrite("fold=2/split=test", lambda x: json.dumps(x | {"fold_index": 1}))
+    rewrite("fold=0/split=val", lambda x: json.dumps(x | {"folds": FOLDS - 1}))
+    broken = table(spark, d, "orders").where(hash_int(F.col("o_custkey").cast("string")) % FOLDS == 0).select(F.when(F.col("o_orderkey") % 2 == 0, '{"example_id": ').otherwise("[1]").alias("value"))
+    broken.write.mode("append").text(f"{root}/examples/fold=0/split=test")
+    return tree_violations(spark, root, FOLDS)
 
 
 def _fragments(spark, d):
