@@ -242,6 +242,15 @@ def tfidf_model(spark, d):
     return ml.tfidf_scores(*_split(spark, d))
 
 
+@query()
+def baseline_runs(spark, d):
+    """Three baselines and their controls over three folds of the labelled documents; classes are those of the predictions."""
+    docs = table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "labels"), "doc_id")
+    truth = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 1).otherwise(0)
+    rows = docs.select("doc_id", "text", truth.alias("label"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("fold"))
+    return ml.baseline_runs(rows.withColumn("split", F.when(F.col("doc_id") % 5 == F.col("fold"), "test").otherwise("train")), [0, 1, 2])
+
+
 def _split(spark, d):
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     rows = docs.select("doc_id", "text", F.col("quality").cast("double").alias("label"), assign_split(F.col("doc_id"), "ml").alias("split"))
@@ -277,6 +286,21 @@ def linear_head(spark, d):
     return rows.select("vec_id", *[F.element_at("scores", k + 1).alias(f"s{k}") for k in range(3)], argmax(F.col("scores")).alias("predicted"))
 
 
+_outputs = ", ".join(f"list_sum(list_transform(range(1, {DIMS + 1}), lambda i: embedding[i]::DOUBLE * (((i + {k} + h) % 3) - 1))) + ({k} + h) / 4" for k in range(3))
+
+
+@query(
+    f"""WITH f AS (SELECT vec_id, 'h' || h AS head, (label + h) % 3 AS truth, [{_outputs}] AS s FROM embeddings, (SELECT unnest(range(3)) AS h) WHERE (vec_id + h) % 3 <> 0 AND label IS NOT NULL)
+       SELECT vec_id, head, truth, round(s[1], 5) AS s0, round(s[2], 5) AS s1, round(s[3], 5) AS s2, CASE WHEN s[1] >= s[2] AND s[1] >= s[3] THEN 0 WHEN s[2] >= s[3] THEN 1 ELSE 2 END AS predicted FROM f"""
+)
+def multi_head_predict(spark, d):
+    """Three heads over the vectors in one pass; every vector is labelled for two of them."""
+    heads = {f"h{h}": ([[(i + k + h) % 3 - 1.0 for i in range(1, DIMS + 1)] for k in range(3)], [(k + h) / 4 for k in range(3)]) for h in range(3)}
+    told = F.map_from_entries(F.array(*[F.struct(F.lit(f"h{h}"), F.when((F.col("vec_id") + h) % 3 != 0, (F.col("label") + h) % 3)) for h in range(3)]))
+    rows = ml.multi_head(table(spark, d, "embeddings").withColumn("labels", told), "embedding", heads, "labels", ["vec_id"])
+    return rows.select("vec_id", "head", "truth", *[F.round(F.element_at("scores", k + 1), 5).alias(f"s{k}") for k in range(3)], "predicted")
+
+
 @query(
     """WITH c AS (SELECT doc_id, 0 AS s, quality AS t FROM documents LEFT JOIN labels USING (doc_id) UNION ALL SELECT doc_id, 1, toxic FROM documents LEFT JOIN labels USING (doc_id)),
        l AS (SELECT t, (doc_id * 3 + s) % 11 / 5.0 AS a, (doc_id * 4 + s) % 11 / 5.0 AS b, (doc_id * 5 + s) % 11 / 5.0 AS e FROM c)

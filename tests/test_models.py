@@ -2,7 +2,11 @@
 
 import ipaddress
 import math
+import random
+import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +108,110 @@ def test_trees_that_cannot_take_noise(spark):
     assert found == {(0, "train", "noised before"), (0, "val", "no frozen words"), (1, "val", "no frozen words"), (None, None, "disagree on seed")}
     with pytest.raises(ValueError, match="cannot take noise"):
         D.noise_tree(spark.createDataFrame([], "fold int, split string, example_id string, text string"), files, 0.1, "s", {"x": frozenset()}, 0.0, ("seed",))
+
+
+# --- baselines ---
+
+
+def descended(x, y, classes, steps=4000, rate=1.0):
+    """Multinomial logistic regression by plain gradient descent: mean loss plus half the squared weights over the number of rows."""
+    n, d = x.shape
+    w, b, hot = np.zeros((classes, d)), np.zeros(classes), np.eye(classes)[y]
+    for _ in range(steps):
+        z = x @ w.T + b
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        w -= rate * ((p - hot).T @ x / n + w / n)
+        b -= rate * (p - hot).mean(0)
+    return lambda q: (lambda e: e / e.sum(1, keepdims=True))(np.exp(q @ w.T + b))
+
+
+def tfidf_rows(train, rows):
+    """Unit TF-IDF vectors in plain Python."""
+
+    def grams(text):
+        words = re.findall(r"\b\w\w+\b", (text or "").lower())
+        return Counter(words + [f"{a} {b}" for a, b in zip(words, words[1:])])
+
+    df = Counter(g for t in train for g in grams(t))
+    terms = sorted(g for g, n in df.items() if n >= 2)
+    idf = {g: math.log((1 + len(train)) / (1 + df[g])) + 1 for g in terms}
+    out = np.zeros((len(rows), len(terms)))
+    for i, t in enumerate(rows):
+        for g, n in grams(t).items():
+            if g in idf:
+                out[i, terms.index(g)] = (1 + math.log(n)) * idf[g]
+        out[i] /= np.linalg.norm(out[i]) or 1
+    return out
+
+
+def labelled_texts(classes):
+    draw = random.Random(classes)
+    words = [["fever", "hot", "naïve"], ["no", "cold", "cough"], ["maybe", "über", "a"]]
+    rows = []
+    for i in range(90):
+        k = draw.randrange(classes)
+        rows.append((i, " ".join(draw.choice(words[k] if draw.random() < 0.6 else sum(words, []) + ["the", "und", f"w{draw.randrange(9)}"]) for _ in range(draw.randint(1, 12))), k))
+    return [*rows, (90, None, 0), (91, "", 1), (92, "seenonlyonce", 0)]
+
+
+def test_tfidf_and_length_scores_equal_plain_fits(spark):
+    rows = labelled_texts(2)
+    train, test = [r for r in rows if r[0] % 3], [r for r in rows if not r[0] % 3]
+    frame = lambda own: spark.createDataFrame([(i, t, float(k)) for i, t, k in own], "doc_id long, text string, label double")
+    texts, y = [t for _, t, _ in train], np.array([k for *_, k in train])
+    tokens = lambda own: np.array([[len(re.findall(r"[A-Za-z0-9']+", t or ""))] for _, t, _ in own], float)
+    mean, sd = tokens(train).mean(), tokens(train).std()
+    for scores, a, b in ((ml.tfidf_scores, tfidf_rows(texts, texts), tfidf_rows(texts, [t for _, t, _ in test])), (ml.length_scores, (tokens(train) - mean) / sd, (tokens(test) - mean) / sd)):
+        d = a.shape[1]
+        w, c = np.zeros(d), 0.0
+        for _ in range(6000):
+            p = 1 / (1 + np.exp(-(a @ w + c)))
+            w -= 1.0 * (a.T @ (p - y) / len(y) + w / len(y))
+            c -= 1.0 * (p - y).mean()
+        found = {r.doc_id: r.score for r in scores(frame(train), frame(test)).collect()}
+        assert len(found) == len(test)
+        for (i, _, _), p in zip(test, 1 / (1 + np.exp(-(b @ w + c)))):
+            assert found[i] == pytest.approx(p, abs=2e-3)
+
+
+def test_vectors_hold_their_non_zeros_alone(spark):
+    rows = labelled_texts(2)
+    df = spark.createDataFrame([(i, t, float(k)) for i, t, k in rows], "doc_id long, text string, label double")
+    expected = tfidf_rows([t for _, t, _ in rows], [t for _, t, _ in rows])
+    found = {r.doc_id: r.features for r in ml.tfidf_features(df, df, []).collect()}
+    for (i, _, _), row in zip(rows, expected):
+        assert type(found[i]).__name__ == "SparseVector" and len(found[i].indices) == np.count_nonzero(row)
+        assert found[i].toArray() == pytest.approx(row)
+
+
+def test_all_folds_equal_separate_fits(spark):
+    rows = labelled_texts(3)
+    every = [(f, i, t, k, "test" if i % 4 == f else "train") for f in (0, 1) for i, t, k in rows]
+    df = spark.createDataFrame(every, "fold int, doc_id long, text string, label int, split string")
+    found = {(r.model, r.kind, r.fold): (r.n, r.accuracy) for r in ml.baseline_runs(df, [0, 1]).collect()}
+    assert set(found) == {(m, k, f) for m in ("majority", "length", "tfidf") for k in ("baseline", "shuffled") for f in (0, 1)}
+    for fold in (0, 1):
+        train, test = [r for r in rows if r[0] % 4 != fold], [r for r in rows if r[0] % 4 == fold]
+        y, truth = np.array([r[2] for r in train]), np.array([r[2] for r in test])
+        top = max(range(3), key=lambda k: ((y == k).sum(), -k))
+        assert found["majority", "baseline", fold] == (len(test), pytest.approx((truth == top).mean(), abs=1e-6))
+        texts = [r[1] for r in train]
+        guess = descended(tfidf_rows(texts, texts), y, 3)(tfidf_rows(texts, [r[1] for r in test])).argmax(1)
+        assert found["tfidf", "baseline", fold] == (len(test), pytest.approx((guess == truth).mean(), abs=1.01 / len(test)))
+        assert found["tfidf", "baseline", fold][1] > found["tfidf", "shuffled", fold][1]
+
+
+def test_all_heads_equal_single_heads_in_one_scan(spark, tmp_path):
+    draw = random.Random(4)
+    rows = [(i, [draw.uniform(-1, 1) for _ in range(4)], {"a": i % 3, "b": None if i % 2 else 1, "z": 1} if i % 5 else {}) for i in range(40)]
+    spark.createDataFrame(rows, "id long, v array<double>, labels map<string,int>").write.parquet(f"{tmp_path}/v")
+    df = spark.read.parquet(f"{tmp_path}/v")
+    heads = {h: ([[draw.uniform(-1, 1) for _ in range(4)] for _ in range(3)], [draw.uniform(-1, 1) for _ in range(3)]) for h in "abc"}
+    found = ml.multi_head(df, "v", heads, "labels", ["id"])
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = {(r.id, r.head): r for r in found.collect()}
+    assert set(got) == {(i, h) for i, _, labels in rows for h in "abc" if labels.get(h) is not None}
+    for (i, h), r in got.items():
+        single = df.where(f"id = {i}").select(ml.linear_heads(F.col("v"), *heads[h])).first()[0]
+        assert r.scores == pytest.approx(single) and r.truth == rows[i][2][h] and r.predicted == max(range(3), key=lambda k: (single[k], -k))
