@@ -5,12 +5,12 @@ rows a shallow forest is grown, every path from a root becomes a rule (a conjunc
 statistics), and a lasso-penalised logistic regression over the rules' indicators keeps few of them.
 The kept rules compile to one column expression, so scoring is a projection: no Python, no shuffle.
 
-The sample holds at most about ``max_rows`` labelled rows, chosen by a hash of their id.
+The sample holds at most about ``max_rows`` labelled ids, chosen by their hash, and one row of each.
 
 Defined results: a null text is scored like an empty one; without training rows, or with one label
 only, the score is the constant base rate (0.5 without rows); repeated labels of a document count
 once, the largest one; null labels are ignored; repeated rows get equal scores; a repeated id lends
-its label to every row that has it, and a null one has no label; texts are read whole, at any
+its label to one of its texts, that of the smallest hash, and a null one has no label; texts are read whole, at any
 length; an empty table gives an empty result; clashing or extra columns are not read.
 """
 
@@ -132,6 +132,17 @@ def fit_rules(sample: DataFrame, label: str, trees: int = 12, depth: int = 3, pe
     return RuleEnsemble(float(lasso.intercept), tuple(Rule(r.bounds, float(w)) for r, w in zip(rules, weights) if abs(w) > 1e-9))
 
 
+def sample_features(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Features and ``_label`` of one text per id of ``chosen`` (id, _label), which is bounded: of texts that share an id, that of the smallest hash.
+
+    So the sample is bounded too, however many rows have one id, and only one of their texts is measured.
+    """
+    marked = docs.select(id_col, text_col, F.xxhash64(text_col).alias("_hash")).join(F.broadcast(chosen), id_col)
+    least = marked.groupBy(id_col).agg(F.min("_hash").alias("_hash"))
+    own = with_features(marked.join(F.broadcast(least), [id_col, "_hash"], "left_semi"), text_col, [id_col, "_label"])
+    return own.groupBy(id_col, "_label").agg(*[F.min(n).alias(n) for n in FEATURES]).drop(id_col)
+
+
 def score_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 20_000, threshold: float = 0.3
 ) -> tuple[DataFrame, RuleEnsemble]:
@@ -142,8 +153,6 @@ def score_quality(
     held = id_remainder(id_col, 5) == 0
     known = labels.where(F.col(label_col).isNotNull() & ~held).groupBy(id_col).agg(F.max(label_col).alias("_label"))
     chosen = bounded_rows(known, max_rows)
-    # The sample is bounded by max_rows, so its ids may be broadcast.
-    marked = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
-    ensemble = fit_rules(written(with_features(marked, text_col, ["_label"]), "quality-sample").coalesce(1), "_label")
+    ensemble = fit_rules(written(sample_features(docs, chosen, id_col, text_col), "quality-sample").coalesce(1), "_label")
     scored = with_features(docs, text_col, [id_col]).select(id_col, held.alias("held_out"), ensemble.column().alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0)), ensemble

@@ -2,7 +2,7 @@
 
 Rows get numbers 0..N-1 without a global sort: ids are hashed into buckets, numbered inside their
 bucket, and shifted by the bucket's offset (a running sum over the bucket counts, one row per
-bucket). The number then passes an alternating Feistel network on Z_a x Z_b with
+bucket); rows that are equal in bulk are numbered last, in parts. The number then passes an alternating Feistel network on Z_a x Z_b with
 ``a = ceil(sqrt(N))`` and ``b = ceil(N / a)``. The domain exceeds N by less than a, and values that
 fall outside are walked along their cycle until they come back. ``shard = p mod shards`` and
 ``slot = p div shards`` follow from the permuted number p alone, so shard sizes differ by one row
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from strandmill.sources.shared import written
 
 ROUNDS = 6
+#: Most buckets that rows are numbered in; their counts are broadcast.
+MOST_BUCKETS = 65_536
 
 
 def _halves(n: int) -> tuple[int, int]:
@@ -90,17 +92,37 @@ def number_at(place: Column, n: int, seed: int = 17) -> Column:
 def with_row_numbers(rows: DataFrame, keys: list[str], number_col: str, rows_per_bucket: int = 50_000) -> tuple[DataFrame, int]:
     """Add gapless numbers 0..N-1 that depend on ``keys`` alone (ties: any order); also returns N.
 
-    ``rows`` must be stored (it is read three times). Bucket counts are one row per bucket.
+    ``rows`` must be stored (it is read several times). Bucket counts are one row per bucket. Rows that
+    are equal in their keys lie in one bucket; where they alone would fill it, they are numbered after
+    all others, dealt to as many parts as it takes.
     """
     total = rows.count()
-    buckets = min(65_536, max(64, total // rows_per_bucket))
-    hashed = rows.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    buckets = min(MOST_BUCKETS, max(64, total // rows_per_bucket))
+    full = max(rows_per_bucket, total // buckets)
+    hashed = rows.withColumn("_h", F.xxhash64(*keys)).withColumn("_bucket", F.pmod("_h", F.lit(buckets)).cast("int"))
     counts = hashed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_offset"))
-    inside = Window.partitionBy("_bucket").orderBy(*[F.col(k) for k in keys])
-    numbered = hashed.withColumn("_place", F.row_number().over(inside).cast("long")).join(F.broadcast(offsets), "_bucket")
-    return numbered.withColumn(number_col, F.col("_offset") + F.col("_place") - 1).drop("_bucket", "_place", "_offset"), total
+    crowded = counts.where(F.col("_n") > 2 * full).select("_bucket")
+    inside = [F.col(k) for k in keys]
+    if crowded.isEmpty():
+        return _placed(hashed, counts, ["_bucket"], inside, number_col, 0), total
+    # Fewer keys than buckets can have so many rows.
+    heavy = written(hashed.join(F.broadcast(crowded), "_bucket").groupBy("_h").agg(F.count("*").alias("_copies")).where(F.col("_copies") > full), "many-equal")
+    rest = hashed.join(F.broadcast(heavy), "_h", "left_anti")
+    equal = written(hashed.join(F.broadcast(heavy), "_h").withColumn("_rid", F.monotonically_increasing_id()), "equal-rows")
+    equal = equal.withColumn("_bucket", F.pmod(F.xxhash64("_rid"), F.ceil(F.col("_copies") / full)).cast("int"))
+    first = total - (heavy.agg(F.sum("_copies")).first()[0] or 0)
+    numbered = _placed(rest, rest.groupBy("_bucket").agg(F.count("*").alias("_n")), ["_bucket"], inside, number_col, 0)
+    after = _placed(equal, equal.groupBy("_h", "_bucket").agg(F.count("*").alias("_n")), ["_h", "_bucket"], [F.col("_rid")], number_col, first).drop("_copies", "_rid")
+    return numbered.unionByName(after), total
+
+
+def _placed(hashed: DataFrame, counts: DataFrame, part: list[str], order: list[Column], number_col: str, first: int) -> DataFrame:
+    """Numbers from ``first`` on, part by part; ``counts`` has ``_n`` of each part, at most twice ``MOST_BUCKETS`` rows."""
+    before = Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*part, F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_offset"))
+    inside = Window.partitionBy(*part).orderBy(*order)
+    numbered = hashed.withColumn("_place", F.row_number().over(inside).cast("long")).join(F.broadcast(offsets), part)
+    return numbered.withColumn(number_col, F.lit(first) + F.col("_offset") + F.col("_place") - 1).drop("_h", "_bucket", "_place", "_offset")
 
 
 def shard_documents(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 17) -> DataFrame:

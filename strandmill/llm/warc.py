@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from strandmill.sources.shared import fresh_path, written
 
 #: Copies from which a payload's digest is broadcast, so that no digest sends its pages to one task.
-MANY = 10_000
+MANY, SHARE = 10_000, 512
 CRLF = b"\r\n"
 ENTRY = "key string, id long, file string, offset long, length long"
 
@@ -94,16 +94,17 @@ def parse_record(data: bytes) -> dict:
 def with_first_copies(hashed: DataFrame, revisit_from: int) -> DataFrame:
     """``hashed`` (id, url, payload, digest) with first (id of the response, for copied payloads) and revisit.
 
-    Only ids and digests are aggregated. Digests with ``MANY`` copies or more (at most one in ``MANY``
-    rows, and few in practice) are taken to their pages by a join of their own, which Spark
-    broadcasts while they are few; pages of the others meet them in groups of fewer than ``MANY``.
+    Only ids and digests are aggregated. Digests with ``MANY`` copies or more, and more than one in
+    ``SHARE`` of all copies, are broadcast to their pages; there are fewer than ``SHARE`` of them, whatever
+    the size. Pages of the others meet them in groups.
     """
     long = hashed.where(F.octet_length("payload") >= revisit_from)
     by_id = long.groupBy("digest", "id").agg(F.count("*").alias("same"))
     tops = by_id.groupBy("digest").agg(F.min(F.struct(F.col("id").isNull().alias("late"), "id", "same")).alias("top"), F.sum("same").alias("n"))
     copied = written(tops.where("n > 1").select("digest", F.col("top.id").alias("first"), F.col("top.same").alias("firsts"), "n"), "warc-copies")
-    common = F.broadcast(copied.where(F.col("n") >= MANY))
-    met = hashed.join(common, "digest", "left_anti").join(copied.where(F.col("n") < MANY), "digest", "left").unionByName(hashed.join(common, "digest"))
+    bound = max(MANY, (copied.agg(F.sum("n")).first()[0] or 0) // SHARE + 1)
+    common = F.broadcast(copied.where(F.col("n") >= bound))
+    met = hashed.join(common, "digest", "left_anti").join(copied.where(F.col("n") < bound), "digest", "left").unionByName(hashed.join(common, "digest"))
     is_first = F.col("id").eqNullSafe(F.col("first")) & F.col("n").isNotNull()
     met = met.withColumns({"tied": is_first & (F.col("firsts") > 1), "revisit": F.col("n").isNotNull() & ~is_first})
     if copied.where("firsts > 1").isEmpty():

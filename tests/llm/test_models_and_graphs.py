@@ -494,3 +494,10 @@ def test_no_vectors_and_only_unusable_ones(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], schema)).count() == 0
     got = embeddings.near_duplicates(spark.createDataFrame([(1, None, 1), (2, [0.0], 1)], schema)).collect()
     assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in got} == {(1, 0, 1, True), (2, 0, 2, True)}
+
+
+def test_quality_sample_has_one_row_an_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i} of many with one id") for i in range(400)] + [(2, "alone"), (2, "alone"), (3, None), (None, "no id")], "doc_id long, text string").withColumn("_hash", F.lit("clash"))
+    chosen = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, _label int")
+    sample = quality.sample_features(docs, chosen, "doc_id", "text").collect()
+    assert sorted(r["_label"] for r in sample) == [0, 1, 1] and sorted(r["words"] for r in sample) == [0.0, 1.0, 7.0]

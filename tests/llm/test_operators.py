@@ -221,3 +221,16 @@ def test_binary_search_of_files_and_blocks():
     directory = [["a", 0, 1], ["b", 1, 1], ["b", 2, 1], ["d", 3, 1]]
     assert [b[1] for b in warc.blocks_for(directory, "b")] == [0, 1, 2]
     assert [b[1] for b in warc.blocks_for(directory, "c")] == [2] and [b[1] for b in warc.blocks_for(directory, "z")] == [3]
+
+
+@pytest.mark.parametrize("equal", [0, 300, 900])
+def test_equal_rows_in_bulk_are_numbered_in_parts(spark, equal):
+    rows = spark.createDataFrame([(i, "own") for i in range(200)] + [(None, "same")] * equal + [(7, "same")] * (equal // 3), "id long, text string").repartition(3)
+    stored = sharding.written(rows, "test-rows")
+    found, total = sharding.with_row_numbers(stored, ["id", "text"], "number", rows_per_bucket=50)
+    assert total == 200 + equal + equal // 3 and set(found.columns) == {"id", "text", "number"}
+    got = found.collect()
+    assert sorted(r.number for r in got) == list(range(total))
+    alone = {r.id: r.number for r in got if r.text == "own"}
+    again = {r.id: r.number for r in sharding.with_row_numbers(sharding.written(rows.repartition(5), "test-rows"), ["id", "text"], "number", rows_per_bucket=50)[0].collect() if r.text == "own"}
+    assert alone == again
