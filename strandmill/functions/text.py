@@ -123,3 +123,51 @@ def blank_to_null(text: Column) -> Column:
 def visible_text(html: Column) -> Column:
     """Tags removed, white space collapsed; empty for markup without text."""
     return F.trim(F.regexp_replace(F.regexp_replace(html, r"<[^>]*>", ""), r"\s+", " "))
+
+
+# What cleaned markup may hold, and what a kept link says of where it leads.
+KEPT_TAGS = ("p", "strong", "em", "a", "ul", "ol", "li", "br")
+LINK_REL = "noopener noreferrer"
+#: Parts that go with what they hold: comments, declarations, scripts and styles, up to their end or the text's.
+DROPPED = [r"(?s)<!--.*?(-->|\z)", r"(?is)<script[\s/>].*?(</script[^>]*>|\z)", r"(?is)<style[\s/>].*?(</style[^>]*>|\z)", r"(?s)<[!?][^>]*(>|\z)"]
+#: A tag whose quotes are closed, a run of text, or a lone angle bracket.
+PIECE = r"""<[a-zA-Z/](?:"[^"]*"|'[^']*'|[^<>"'])*>|[^<]+|<"""
+ATTRIBUTE = r"""[^\s"'=<>/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>`]+))?"""
+#: Addresses of the two schemes, and relative ones; a colon or reference before the path might hide another scheme.
+KEPT_ADDRESS = r"^(?i)(?:https?:|[/?#]|[^:&\x00-\x20]*$)"
+ENTITY = r"&(#?[a-zA-Z0-9]+;)"
+
+
+def escaped(text: Column) -> Column:
+    """Text whose angle brackets and bare ampersands are written as references; references stay."""
+    kept = F.regexp_replace(text, ENTITY, "\x01$1")
+    return F.replace(F.replace(F.replace(F.replace(kept, F.lit("&"), F.lit("&amp;")), F.lit("\x01"), F.lit("&")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _attribute(attributes: Column, name: str) -> Column:
+    """The first value of an attribute without its quotes; null if there is none."""
+    own = F.try_element_at(F.filter(attributes, lambda a: a.rlike(rf"^(?i){name}\s*=")), F.lit(1))
+    value = F.regexp_replace(own, r"^[^=]*=\s*", "")
+    return F.when(value.rlike("""^["']"""), F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
+
+
+def clean_html(html: Column) -> Column:
+    """Markup reduced to ``KEPT_TAGS``, with address and target of links; everything else is dropped but for its text.
+
+    Tags come out in lower case and without other attributes, links with addresses of other schemes
+    without an address. What is no complete tag is text. Tags are not balanced. Null stays null.
+    """
+    bare = F.replace(html, F.lit("\x01"), F.lit(""))
+    for pattern in DROPPED:
+        bare = F.regexp_replace(bare, pattern, "")
+    quoted = lambda v: F.replace(escaped(v), F.lit('"'), F.lit("&quot;"))
+
+    def cleaned(piece: Column) -> Column:
+        name = F.lower(F.regexp_extract(piece, r"^</?([a-zA-Z]+)(?:[\s/>])", 1))
+        attributes = F.regexp_extract_all(F.regexp_replace(piece, r"^</?[a-zA-Z]+|>$", ""), F.lit(ATTRIBUTE), F.lit(0))
+        href, target = _attribute(attributes, "href"), _attribute(attributes, "target")
+        link = F.concat(F.lit("<a"), F.coalesce(F.concat(F.lit(' href="'), quoted(F.when(F.trim(href).rlike(KEPT_ADDRESS), F.trim(href))), F.lit('"')), F.lit("")), F.coalesce(F.concat(F.lit(' target="'), quoted(target), F.lit('"')), F.lit("")), F.lit(f' rel="{LINK_REL}">'))
+        kept = F.when(~name.isin(*KEPT_TAGS), "").when(F.startswith(piece, F.lit("</")), F.concat(F.lit("</"), name, F.lit(">"))).when(name == "a", link).otherwise(F.concat(F.lit("<"), name, F.lit(">")))
+        return F.when(piece.rlike("^<[a-zA-Z/]"), kept).otherwise(escaped(piece))
+
+    return F.array_join(F.transform(F.regexp_extract_all(bare, F.lit(PIECE), F.lit(0)), cleaned), "")

@@ -108,6 +108,35 @@ def html_strip_blank(spark, d):
     return table(spark, d, "pages").select("page_id", F.sha2(seen, 256).alias("visible"), (seen == "").alias("blank"))
 
 
+def _sql_text(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _sql_escaped(expr: str) -> str:
+    kept = f"regexp_replace({expr}, {_sql_text(X.ENTITY)}, chr(1) || '\\1', 'g')"
+    return f"replace(replace(replace(replace({kept}, '&', '&amp;'), chr(1), '&'), '<', '&lt;'), '>', '&gt;')"
+
+
+def _sql_attribute(name: str) -> str:
+    own = f"list_filter(regexp_extract_all(regexp_replace(regexp_replace(t, '^</?[a-zA-Z]+', ''), '>$', ''), {_sql_text(X.ATTRIBUTE)}), lambda a: regexp_matches(a, '^(?i){name}\\s*='))[1]"
+    return f"regexp_replace(regexp_replace({own}, '^[^=]*=\\s*', ''), '^[\"'']|[\"'']$', '', 'g')"
+
+
+_bare = "replace(html, chr(1), '')"
+for _pattern in X.DROPPED:
+    _bare = f"regexp_replace({_bare}, {_sql_text(_pattern)}, '', 'g')"
+_name, _href, _target = "lower(regexp_extract(t, '^</?([a-zA-Z]+)(?:[\\s/>])', 1))", _sql_attribute("href"), _sql_attribute("target")
+_link = f"""'<a' || coalesce(' href="' || replace(CASE WHEN regexp_matches(trim({_href}), {_sql_text(X.KEPT_ADDRESS)}) THEN {_sql_escaped(f"trim({_href})")} END, '"', '&quot;') || '"', '') || coalesce(' target="' || replace({_sql_escaped(_target)}, '"', '&quot;') || '"', '') || ' rel="{X.LINK_REL}">'"""
+_piece = f"""CASE WHEN regexp_matches(t, '^<[a-zA-Z/]') THEN CASE WHEN {_name} NOT IN {X.KEPT_TAGS} THEN '' WHEN starts_with(t, '</') THEN '</' || {_name} || '>' WHEN {_name} = 'a' THEN {_link} ELSE '<' || {_name} || '>' END ELSE {_sql_escaped("t")} END"""
+
+
+@query(f"""WITH c AS (SELECT page_id, array_to_string(list_transform(regexp_extract_all({_bare}, {_sql_text(X.PIECE)}), lambda t: {_piece}), '') AS clean FROM pages) SELECT page_id, sha256(clean) AS clean, length(clean) AS chars, trim(regexp_replace(clean, '<[^>]*>', '', 'g')) = '' AS blank FROM c""")
+def html_clean(spark, d):
+    """Pages cut down to the allowed tags."""
+    rows = table(spark, d, "pages").select("page_id", X.clean_html(F.col("html")).alias("clean"))
+    return rows.select("page_id", F.sha2("clean", 256).alias("clean"), F.length("clean").alias("chars"), (X.visible_text(F.col("clean")) == "").alias("blank"))
+
+
 @query()
 def similarity_ratio(spark, d):
     bench = table(spark, d, "benchmark").select("item_id", "text")
