@@ -22,6 +22,7 @@ are not read by ``mix_sources`` and kept by ``mixed_documents``, whatever their
 
 from __future__ import annotations
 
+import math
 from collections import deque
 
 import pandas as pd
@@ -68,57 +69,93 @@ def capped_targets(sources: DataFrame, total: float, cap: float) -> DataFrame:
 
 
 def min_cost_flow(supplies: list[int], members: list[tuple], quotas: dict, costs: list[int]) -> list[dict]:
-    """Words from pattern i to source s, as one dict per pattern; successive cheapest paths.
+    """Words from pattern i to source s, as one dict per pattern, at the least cost of the largest flow.
 
-    ``supplies[i]`` words are on offer once per entry of the rising ``costs``.
+    ``supplies[i]`` words are on offer once per entry of the rising ``costs``. Costs are small whole
+    numbers, so few different path costs occur: for each of them in turn, all paths of that cost are
+    filled at once by blocking flows, which are cheap.
     """
     sources = list(quotas)
     place = {s: 1 + len(supplies) + j for j, s in enumerate(sources)}
     sink = 1 + len(supplies) + len(sources)
-    arcs: list[list] = []  # to, capacity, cost
+    head: list[int] = []
+    room: list[int] = []
+    price: list[int] = []
     out: list[list[int]] = [[] for _ in range(sink + 1)]
 
     def arc(a: int, b: int, capacity: int, cost: int) -> None:
-        out[a].append(len(arcs))
-        arcs.append([b, capacity, cost])
-        out[b].append(len(arcs))
-        arcs.append([a, 0, -cost])
+        for x, y, c, w in ((a, b, capacity, cost), (b, a, 0, -cost)):
+            out[x].append(len(head))
+            head.append(y)
+            room.append(c)
+            price.append(w)
 
     links = []
     for i, words in enumerate(supplies):
         for cost in costs:
             arc(0, 1 + i, words, cost)
         for s in members[i]:
-            links.append((i, s, len(arcs)))
+            links.append((i, s, len(head)))
             arc(1 + i, place[s], words * len(costs), 0)
     for s, quota in quotas.items():
         arc(place[s], sink, quota, 0)
-    while True:
-        far, via, queue, queued = {0: 0}, {}, deque([0]), {0}
+
+    def distances() -> list[float]:
+        far, queue, queued = [math.inf] * (sink + 1), deque([0]), [False] * (sink + 1)
+        far[0] = 0
         while queue:
             a = queue.popleft()
-            queued.discard(a)
+            queued[a] = False
             for k in out[a]:
-                b, capacity, cost = arcs[k]
-                if capacity > 0 and far[a] + cost < far.get(b, float("inf")):
-                    far[b], via[b] = far[a] + cost, k
-                    if b not in queued:
+                b = head[k]
+                if room[k] and far[a] + price[k] < far[b]:
+                    far[b] = far[a] + price[k]
+                    if not queued[b]:
+                        queued[b] = True
                         queue.append(b)
-                        queued.add(b)
-        if sink not in via:
-            break
-        path, node = [], sink
-        while node:
-            path.append(via[node])
-            node = arcs[via[node] ^ 1][0]
-        push = min(arcs[k][1] for k in path)
-        for k in path:
-            arcs[k][1] -= push
-            arcs[k ^ 1][1] += push
+        return far
+
+    while (far := distances())[sink] < math.inf:
+        tight = lambda k, a: room[k] and far[head[k]] == far[a] + price[k]  # noqa: B023, E731
+        while True:
+            # Hops within arcs of cheapest paths; a blocking flow uses those that go one hop on.
+            hops, queue = [-1] * (sink + 1), deque([0])
+            hops[0] = 0
+            while queue:
+                a = queue.popleft()
+                for k in out[a]:
+                    if hops[head[k]] < 0 and tight(k, a):
+                        hops[head[k]] = hops[a] + 1
+                        queue.append(head[k])
+            if hops[sink] < 0:
+                break
+            tried, path, a = [0] * (sink + 1), [], 0
+            while True:
+                if a == sink:
+                    push = min(room[k] for k in path)
+                    for k in path:
+                        room[k] -= push
+                        room[k ^ 1] += push
+                    cut = next(i for i, k in enumerate(path) if not room[k])
+                    a = head[path[cut] ^ 1]
+                    del path[cut:]
+                while tried[a] < len(out[a]):
+                    k = out[a][tried[a]]
+                    if hops[head[k]] == hops[a] + 1 and tight(k, a):
+                        break
+                    tried[a] += 1
+                if tried[a] < len(out[a]):
+                    path.append(out[a][tried[a]])
+                    a = head[path[-1]]
+                elif path:
+                    a = head[path.pop() ^ 1]
+                    tried[a] += 1
+                else:
+                    break
     flows: list[dict] = [{} for _ in supplies]
     for i, s, k in links:
-        if arcs[k ^ 1][1]:
-            flows[i][s] = arcs[k ^ 1][1]
+        if room[k ^ 1]:
+            flows[i][s] = room[k ^ 1]
     return flows
 
 

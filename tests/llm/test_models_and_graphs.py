@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 import re
+import time
 import unicodedata
 from collections import Counter, defaultdict
 from zlib import crc32
@@ -501,3 +502,20 @@ def test_quality_sample_has_one_row_an_id(spark):
     chosen = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, _label int")
     sample = quality.sample_features(docs, chosen, "doc_id", "text").collect()
     assert sorted(r["_label"] for r in sample) == [0, 1, 1] and sorted(r["words"] for r in sample) == [0.0, 1.0, 7.0]
+
+
+def test_flow_of_many_overlapping_sources_is_quick_and_within_bounds():
+    draw = random.Random(6)
+    members = sorted({tuple(sorted(draw.sample(range(100), draw.randint(1, 8)))) for _ in range(4000)})
+    supplies = [draw.randint(0, 1000) for _ in members]
+    quotas = {s: sum(supplies) * draw.randint(0, 200) // 10_000 for s in range(100)}
+    began = time.perf_counter()
+    flows = mixing.min_cost_flow(supplies, members, quotas, [0, 1, 4])
+    assert time.perf_counter() - began < 20
+    taken = Counter()
+    for words, own, flow in zip(supplies, members, flows):
+        assert set(flow) <= set(own) and sum(flow.values()) <= 3 * words
+        taken.update(flow)
+    assert all(taken[s] <= q for s, q in quotas.items())
+    # Every source has far more on offer than it may take, so all quotas are met.
+    assert dict(taken) == {s: q for s, q in quotas.items() if q}
