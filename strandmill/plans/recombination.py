@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandmill.functions.text import hash_int
 from strandmill.operators import dataset as D
 from strandmill.operators import recombination as M
+from strandmill.operators import reports as R
 from strandmill.plans.book import query, sql_hash
 from strandmill.sources.tables import table
 
@@ -106,15 +107,41 @@ def noise_lexicon(spark, d):
     return M.noise_lexicon(table(spark, d, "part").select(F.col("p_brand").alias("signal"), F.col("p_name").alias("term")))
 
 
-@query("""WITH p AS (SELECT p_brand, p_type FROM part) SELECT p_brand AS "left", p_type AS "right", list_sort([p_brand, p_type]) = ['Brand#8', 'ECONOMY'] AS found, count(*) AS n FROM p GROUP BY ALL""")
+def _reports(spark, d):
+    """A report for every customer, of three shapes: without a held-out block, with a null one, and with figures from the balance; some lack classes or comparisons."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    text = lambda c: F.col(c).cast("string")
+    rate = lambda n: F.concat(F.lit("0."), F.lpad((F.col("c_custkey") % n).cast("string"), 3, "0"))
+    recall = F.when(k % 4 == 0, '{"true": {"mean": null}}').otherwise(F.concat(F.lit('{"true": {"mean": '), rate(97), F.lit('}, "null": {"mean": '), rate(31), F.lit("}}")))
+    row = F.concat(F.lit('{"signal": "other"}, {"signal": "'), name, F.lit('", "null_to_true": {"mean_rate": '), rate(89), F.lit('}, "decisive": {"accuracy": {"mean": '), text("c_acctbal"), F.lit('}}, "per_class_recall": '), recall, F.lit(', "distribution": {"true": '), text("c_nationkey"), F.lit("}}"))
+    block = F.when(k % 3 == 0, "").when(k % 3 == 1, ', "holdout": null').otherwise(F.concat(F.lit(', "holdout": {"overall": {"accuracy": {"mean": '), rate(83), F.lit('}}, "by_signal": ['), row, F.lit("]}")))
+    arm = lambda label: F.concat(F.lit('{"name": "m@x@'), F.lit(label), F.lit('"'), block if label == "arm_p" else F.lit(""), F.lit(', "pooled": {"ruled": {"null_to_true": {"rate": '), rate(79), F.lit("}}}}"))
+    sides = F.when(k % 5 == 0, '"left": "m@arm_p", "right": "m@arm_0"').when(k % 5 == 1, '"left": "m@arm_c", "right": "m@arm_0"').otherwise('"left": "m@arm_0", "right": "arm_p"')
+    pairs = F.when(k % 7 == 0, "").otherwise(F.concat(F.lit(', "holdout_comparisons": [{"left": "a", "right": "b"}, {'), sides, F.lit(', "p": '), rate(73), F.lit("}]")))
+    report = F.concat(F.lit('{"header": {"signal": "'), name, F.lit('"}, "models": ['), arm("arm_0"), F.lit(", "), arm("arm_p"), F.lit("]"), pairs, F.lit("}"))
+    return table(spark, d, "customer").select(text("c_custkey").alias("path"), report.alias("report"))
+
+
+def _rate(n: int) -> str:
+    return f"(c_custkey % {n}) / 1000.0::DOUBLE"
+
+
+@query(
+    f"""SELECT c_custkey::VARCHAR AS path, k % 7 <> 0 AND k % 5 <> 1 AS found, CASE WHEN k % 7 = 0 OR k % 5 = 1 THEN NULL WHEN k % 5 = 0 THEN 'm@arm_p' ELSE 'm@arm_0' END AS "left", CASE WHEN k % 7 = 0 OR k % 5 = 1 THEN NULL WHEN k % 5 = 0 THEN 'm@arm_0' ELSE 'arm_p' END AS "right",
+       CASE WHEN k % 7 <> 0 AND k % 5 <> 1 THEN round({_rate(73)}, 6) END AS p FROM (SELECT *, c_custkey AS k FROM customer)"""
+)
 def paired_row_lookup(spark, d):
-    """Rows of a pair of names, whichever comes first."""
-    rows = table(spark, d, "part").groupBy(F.col("p_brand").alias("left"), F.col("p_type").alias("right")).agg(F.count("*").alias("n"))
-    return rows.select("left", "right", (F.array_sort(F.array("left", "right")) == F.array_sort(F.array(F.lit("ECONOMY"), F.lit("Brand#8")))).alias("found"), "n")
+    """The comparison of two arms in every report, whichever comes first."""
+    return R.paired_rows(_reports(spark, d), "arm_0", "arm_p").withColumn("p", F.round("p", 6))
 
 
-@query("SELECT event_id, regexp_extract(props, '\"k\": ([0-9]+)', 1)::INT AS k, NULL::DOUBLE AS accuracy FROM events")
+@query(
+    f"""WITH c AS (SELECT *, c_custkey % 3 = 2 AND arm = 'arm_p' AS scored FROM customer, (SELECT unnest(['arm_0', 'arm_p']) AS arm))
+       SELECT c_custkey::VARCHAR AS path, c_name AS signal, arm, scored, CASE WHEN scored THEN round({_rate(89)}, 6) END AS null_to_true, CASE WHEN scored THEN round(c_acctbal::DOUBLE, 6) END AS decisive, CASE WHEN scored AND c_custkey % 4 <> 0 THEN round({_rate(97)}, 6) END AS recall_true, NULL::DOUBLE AS recall_false,
+              CASE WHEN scored AND c_custkey % 4 <> 0 THEN round({_rate(31)}, 6) END AS recall_null, CASE WHEN scored THEN round({_rate(83)}, 6) END AS accuracy, round({_rate(79)}, 6) AS synthetic_null_to_true, CASE WHEN scored THEN c_nationkey::BIGINT END AS n_true FROM c"""
+)
 def read_signal_scores(spark, d):
-    """Nested metrics as flat columns; a block that is not there gives null."""
-    nested = F.from_json("props", "k int, test struct<argmax: struct<accuracy: double>>")
-    return table(spark, d, "events").select("event_id", nested.alias("m")).select("event_id", "m.k", F.col("m.test.argmax.accuracy").alias("accuracy"))
+    """Nested reports as one row an arm; what a report lacks is null."""
+    rows = R.signal_scores(_reports(spark, d), ["arm_0", "arm_p"])
+    numbers = [c for c, t in rows.dtypes if t == "double"]
+    return rows.select(*[c for c in rows.columns if c not in numbers], *[F.round(c, 6).alias(c) for c in numbers])
