@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.functions.text import fold_token, hash_int
 from strandmill.operators.dataset import companion_bounds, companion_count, numbered
+from strandmill.sources.shared import written
 
 #: The pool that an example's one decisive fragment comes from; a structural null has none.
 DECISIVE = {"true": "positive", "false": "negative", "null_ambiguous": "ambiguous"}
@@ -23,7 +26,7 @@ STRUCTURAL_WORDS = (
 LONGEST_SPARED = 5
 
 
-def _draw(salt: str, *key: Column) -> Column:
+def _draw(salt: str | Column, *key: Column) -> Column:
     return hash_int(F.concat_ws("|", F.col("example_id").cast("string"), F.lit(salt), *key))
 
 
@@ -34,23 +37,36 @@ def distinct_groups(groups: Column, count: Column, salt: str) -> Column:
     return F.when(count > F.size(groups), F.raise_error(F.lit("more groups are wanted than there are")).cast("array<string>")).otherwise(taken)
 
 
-def draw_fragments(wanted: DataFrame, pool: DataFrame, salt: str) -> DataFrame:
-    """(scope, example_id, group, library, fragment_id): for each wanted group a library of it, then a fragment of that, each choice alike.
+def draw_picks(wanted: DataFrame, pool: DataFrame, salt: str, keep: list[str]) -> DataFrame:
+    """(scope, example_id, keep, kind, group, library, fragment_id): for each wanted pick a library of its group, then a fragment of that, each choice alike.
 
-    ``wanted`` has (scope, example_id, groups array), ``pool`` (scope, group, library, fragment_id).
-    Fragments are numbered in their library by many tasks, and met by number. A group without
-    fragments raises an error.
+    ``wanted`` has (scope, example_id, keep, picks: array of kind and group), ``pool`` (scope, kind,
+    group, library, fragment_id); a kind draws under a salt of its own. Fragments are numbered in their
+    library by many tasks, and met by number: the pool and its libraries are stored, so Spark knows
+    their sizes and broadcasts them while they are small. A group without fragments raises an error.
     """
-    at = ["scope", "group", "library"]
+    at = ["scope", "kind", "group", "library"]
     sizes = pool.groupBy(*at).agg(F.count("*").alias("many"))
     # Libraries are declared by hand, so an array holds those of a group.
-    libraries = sizes.groupBy("scope", "group").agg(F.array_sort(F.collect_list(F.struct("library", "many"))).alias("libraries"))
-    placed = numbered(pool.withColumn("_pool", F.concat_ws("/", *at)), "_pool", [F.col("fragment_id")], "place").select(*at, "place", "fragment_id")
-    draws = wanted.withColumn("group", F.explode("groups")).join(libraries, ["scope", "group"], "left")
+    libraries = written(sizes.groupBy(*at[:3]).agg(F.array_sort(F.collect_list(F.struct("library", "many"))).alias("libraries")), "libraries")
+    placed = written(numbered(pool.withColumn("_pool", F.concat_ws("/", *at)), "_pool", [F.col("fragment_id")], "place").select(*at, "place", "fragment_id"), "pool")
+    draws = wanted.select("scope", "example_id", *keep, F.inline("picks")).join(libraries, at[:3], "left")
+    own = F.concat(F.lit(salt), "kind")
     some = F.coalesce("libraries", F.raise_error(F.concat(F.lit("no fragments of "), "scope", F.lit("/"), "group")).cast(libraries.schema["libraries"].dataType))
-    picked = F.element_at(some, (_draw(salt, F.lit("library"), F.col("group")) % F.size(some) + 1).cast("int"))
-    draws = draws.select("scope", "example_id", "group", picked.alias("p")).select("scope", "example_id", "group", F.col("p.library").alias("library"), (_draw(salt, F.lit("fragment"), F.col("group")) % F.col("p.many") + 1).alias("place"))
-    return draws.join(placed, [*at, "place"]).select("scope", "example_id", "group", "library", "fragment_id")
+    picked = F.element_at(some, (_draw(own, F.lit("library"), F.col("group")) % F.size(some) + 1).cast("int"))
+    draws = draws.select("scope", "example_id", *keep, "kind", "group", picked.alias("p")).select("scope", "example_id", *keep, "kind", "group", F.col("p.library").alias("library"), (_draw(own, F.lit("fragment"), F.col("group")) % F.col("p.many") + 1).alias("place"))
+    return draws.join(placed, [*at, "place"]).drop("place")
+
+
+def picks(kind: str, groups: Column) -> Column:
+    """``groups`` as picks of one kind."""
+    return F.transform(groups, lambda g: F.struct(F.lit(kind).alias("kind"), g.alias("group")))
+
+
+def draw_fragments(wanted: DataFrame, pool: DataFrame, salt: str) -> DataFrame:
+    """``draw_picks`` of one kind: (scope, example_id, group, library, fragment_id) of ``wanted`` (scope, example_id, groups array)."""
+    given = wanted.select("scope", "example_id", picks("", F.col("groups")).alias("picks"))
+    return draw_picks(given, pool.withColumn("kind", F.lit("")), salt, []).drop("kind")
 
 
 def draw_companions(wanted: DataFrame, pool: DataFrame, signals: list[str], salt: str) -> DataFrame:
@@ -65,22 +81,23 @@ def draw_companions(wanted: DataFrame, pool: DataFrame, signals: list[str], salt
 def select_fragments(examples: DataFrame, decisive: DataFrame, companions: DataFrame, fillers: DataFrame, signals: list[str], libraries: list[str], salt: str, share: float = 0.5) -> DataFrame:
     """(scope, example_id, mode, companions, fragment_ids): one decisive fragment (none for a structural null), companions, fillers of different libraries, shuffled.
 
-    ``examples`` has (scope, example_id, mode, fragments: how many); the pools have (scope, group,
-    library, fragment_id), where the group is the decisive role, the companion's signal or the filler's library.
+    ``examples`` has (scope, example_id, mode, fragments: how many), one row each; the pools have (scope,
+    group, library, fragment_id), where the group is the decisive role, the companion's signal or the
+    filler's library. All kinds are drawn together, and examples are shuffled once, by their id.
     """
     low, high = companion_bounds(F.col("fragments"), len(signals), len(libraries))
     spec = examples.withColumn("companions", companion_count(low, high.cast("int"), share, F.col("example_id").cast("string"), F.lit(f"{salt}n")))
     role = F.coalesce(*[F.when(F.col("mode") == m, F.lit(r)) for m, r in DECISIVE.items()])
     rest = F.col("fragments") - F.col("companions") - role.isNotNull().cast("int")
-    parts = [
-        draw_fragments(spec.select("scope", "example_id", F.array_compact(F.array(role)).alias("groups")), decisive, f"{salt}d"),
-        draw_companions(spec, companions, signals, salt),
-        draw_fragments(spec.select("scope", "example_id", distinct_groups(F.array(*map(F.lit, sorted(libraries))), rest, f"{salt}f").alias("groups")), fillers, f"{salt}f"),
-    ]
-    drawn = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    own = picks("d", F.array_compact(F.array(role)))
+    others = picks("c", distinct_groups(F.array(*map(F.lit, sorted(signals))), F.col("companions"), f"{salt}c"))
+    filling = picks("f", distinct_groups(F.array(*map(F.lit, sorted(libraries))), rest, f"{salt}f"))
+    pool = reduce(DataFrame.unionByName, [df.withColumn("kind", F.lit(k)) for k, df in (("d", decisive), ("c", companions), ("f", fillers))])
+    keep = ["mode", "companions"]
+    drawn = draw_picks(spec.select("scope", "example_id", *keep, F.concat(own, others, filling).alias("picks")), pool, salt, keep)
     order = F.array_sort(F.collect_list(F.struct(_draw(salt, F.lit("order"), F.col("fragment_id").cast("string")).alias("h"), "fragment_id")))
-    made = drawn.groupBy("scope", "example_id").agg(order["fragment_id"].alias("fragment_ids"))
-    return spec.select("scope", "example_id", "mode", "companions").join(made, ["scope", "example_id"])
+    made = drawn.groupBy("scope", "example_id").agg(*[F.first(c).alias(c) for c in keep], order["fragment_id"].alias("fragment_ids"))
+    return made.select("scope", "example_id", *keep, "fragment_ids")
 
 
 def noise_lexicon(words: DataFrame, mode: str = "short") -> DataFrame:
