@@ -75,3 +75,36 @@ def test_stages_match_brute_force(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows_pass_all_stages_by_their_texts(spark, tmp_path):
+    """Null and repeated ids, equal rows, a very long text, null sources, and columns named as stages name theirs."""
+    rng = random.Random(21)
+    given = [(i, t, lang, source, n) for i, t, lang, source, n in rows()][:150]
+    given = [(None if i % 7 == 0 else i % 40, *rest) for i, *rest in given]
+    long = prose(rng, "aa", 30_000)
+    given += [(5, long, "aa", None, len(long)), (None, long, "aa", "web", 0), (5, long, "aa", None, len(long)), *[given[0]] * 3]
+    clashing = {n: rng.choice(["1", "x"]) for n in ("size", "members", "key", "row", "component_id", "keep_id", "rid", "id", "score", "passes")}
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame(given, "doc_id long, text string, lang string, source string, n_chars long").withColumns({k: F.lit(v) for k, v in clashing.items()}).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns, stages = docs.columns, [docs.collect()]
+    for n, (_, stage) in enumerate(pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/stage{n}")
+        docs = spark.read.parquet(f"{tmp_path}/stage{n}")
+        stages.append(docs.collect())
+        assert n == len(pipeline.STAGES) - 1 or docs.columns == columns
+    _, spoken, exact, near, mixed, packed = stages
+    assert Counter((r.doc_id, r.text) for r in spoken) == Counter((i, t) for i, t, *_ in given if any(map(str.isalpha, t or "")))
+    last = {}
+    for r in spoken:
+        last[r.text] = max(last.get(r.text, -1), -1 if r.doc_id is None else r.doc_id)
+    assert sorted((r.text, -1 if r.doc_id is None else r.doc_id) for r in exact) == sorted(last.items())
+    # Rows stand for themselves, so they are numbered to find their groups.
+    numbered = list(enumerate(exact))
+    groups = Counter(least for _, least in brute([(i, r.text) for i, r in numbered], 5, 80).values())
+    assert len(near) == len(groups) < len(exact) and set(r.text for r in near) <= set(last)
+    assert Counter(r.text for r in mixed).keys() <= Counter(r.text for r in near).keys() and max(Counter((r.doc_id, r.text) for r in mixed).values()) <= 3
+    tokens = packing.TextTokenizer(importlib.import_module("public_tokenizers").path("byte_bpe_50k.json"))
+    assert sum(r.length for r in packed) == sum(len(tokens.text_ids(r.text)) // 4 + 1 for r in mixed)
