@@ -1,7 +1,8 @@
 """A training corpus from raw documents in five stages.
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next
-stage's ``docs``. All stages but the last return the columns of ``docs``.
+stage's ``docs``. All stages but the last return the columns of ``docs``, extra ones with any names
+included. Texts of any length are read whole, and an empty table gives an empty result, in every stage.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from strandmill.sources.tables import table
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told: null texts and those without letters go, and those of which the languages found explain less than 40 %.
 
-    Rows are judged one by one, whatever their ids.
+    Rows are judged one by one, whatever their ids, and equal rows alike; null languages and sources have no say.
     """
     return documents_with_language(docs)
 
