@@ -38,7 +38,7 @@ from strandmill.sources.shared import written
 #: Fixed value: bytes that separate terms (ASCII but for digits and letters); A-Z are lower-cased.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 #: Limits of a block, of the run of documents ordered by length before it is cut into blocks, and of a slice of queries.
-BLOCK_DOCS, BLOCK_POSTINGS, RUN_POSTINGS = 64, 1 << 16, 1 << 20
+BLOCK_DOCS, BLOCK_POSTINGS, RUN_POSTINGS = 64, 1 << 16, 1 << 18
 SLICE_QUERIES, SLICE_ENTRIES = 1024, 1 << 18
 PROBE = 16
 
