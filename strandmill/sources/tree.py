@@ -4,18 +4,20 @@ A tree holds ``examples/fold=K/split=S`` (JSON Lines), ``fragments/fold=K/split=
 ``stats/fold=K/split=S/stats.json``. Readers take fold and split from the path, so a query for one fold
 or split opens no other's files.
 
-Statistics are observed in the pass that writes the examples, so they cannot differ from what was
-written. A tree is written under another name and renamed when it is complete: whatever fails before
-leaves nothing under its name.
+Statistics are counted from the examples as they lie in the written files, so they cannot differ from
+them. A tree is written under another name and renamed when it is complete: whatever fails before leaves
+nothing under its name. (Observing them in the pass that writes would save a pass, but from then on Spark
+4.1 cannot ship models that MLlib fits in the session.)
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandmill.operators.folds import SPLITS, example_violations, partition_violations, sidecar_violations
@@ -42,18 +44,18 @@ def write_tree(examples: DataFrame, fragments: DataFrame, root: str, configurati
     if store.get_file_info(path).type != fs.FileType.NotFound:
         raise FileExistsError(root)
     base = f"{root.rstrip('/')}.{uuid.uuid4().hex}"
-    places = [(k, s) for k in range(folds) for s in SPLITS]
-    here = lambda k, s: (F.col("fold") == k) & (F.col("split") == s)
-    counts = [F.count_if(here(k, s)).alias(f"{k}/{s}") for k, s in places] + [F.count_if(here(k, s) & (_state(x) == v)).alias(f"{k}/{s}/{x}/{v}") for k, s in places for x in signals for v in STATES]
-    seen = Observation()
-    examples.observe(seen, *counts).write.partitionBy("fold", "split").option("ignoreNullFields", False).json(f"{base}/examples")
+    examples.write.partitionBy("fold", "split").option("ignoreNullFields", False).json(f"{base}/examples")
     fragments.write.partitionBy("fold", "split").parquet(f"{base}/fragments")
-    told = seen.get
+    counts = [F.count_if(_state(x) == v).alias(f"{x}/{v}") for x in signals for v in STATES]
+    stored = read_examples(examples.sparkSession, base).groupBy("fold", "split").agg(F.count("*").alias("count"), *counts)
+    # One row a split.
+    told = {(r["fold"], r["split"]): r for r in stored.collect()}
     sidecars = []
     store, staged = fs.FileSystem.from_uri(base)
-    for k, s in places:
-        labels = {x: {v: told[f"{k}/{s}/{x}/{v}"] for v in STATES} for x in signals}
-        sidecars.append(configuration | {"folds": folds, "fold_index": k, "split": s, "count": told[f"{k}/{s}"], "labels": labels})
+    for k, s in itertools.product(range(folds), SPLITS):
+        own = told.get((k, s))
+        labels = {x: {v: own[f"{x}/{v}"] if own else 0 for v in STATES} for x in signals}
+        sidecars.append(configuration | {"folds": folds, "fold_index": k, "split": s, "count": own["count"] if own else 0, "labels": labels})
         store.create_dir(f"{staged}/stats/fold={k}/split={s}", recursive=True)
         with store.open_output_stream(f"{staged}/stats/fold={k}/split={s}/stats.json") as out:
             out.write(json.dumps(sidecars[-1]).encode())

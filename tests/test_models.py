@@ -179,7 +179,7 @@ def test_vectors_hold_their_non_zeros_alone(spark):
     rows = labelled_texts(2)
     df = spark.createDataFrame([(i, t, float(k)) for i, t, k in rows], "doc_id long, text string, label double")
     expected = tfidf_rows([t for _, t, _ in rows], [t for _, t, _ in rows])
-    found = {r.doc_id: r.features for r in ml.tfidf_features(df, df, []).collect()}
+    found = {r.doc_id: r.features for r in ml.tfidf_features(df, df, [], "doc_id").collect()}
     for (i, _, _), row in zip(rows, expected):
         assert type(found[i]).__name__ == "SparseVector" and len(found[i].indices) == np.count_nonzero(row)
         assert found[i].toArray() == pytest.approx(row)
