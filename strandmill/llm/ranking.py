@@ -41,6 +41,8 @@ TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <=
 BLOCK_DOCS, BLOCK_POSTINGS, RUN_POSTINGS = 64, 1 << 16, 1 << 18
 SLICE_QUERIES, SLICE_ENTRIES = 1024, 1 << 18
 PROBE = 16
+#: Columns of the index that hold packed numbers.
+PACKED = ("factors", "maxima", "docs", "tfs")
 
 
 def terms_of(text: bytes | None) -> list[bytes]:
@@ -82,11 +84,22 @@ def block_of(ids: list, factors: np.ndarray, counts: list[Counter]) -> dict:
     return {"ids": ids, "factors": factors, "terms": terms.dictionary, "dfs": df, "maxima": np.maximum.reduceat(part_of_score(tf, factors[doc]), starts), "docs": doc, "tfs": tf}
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers of 1, 2, 4 or 8 bytes each, as few as the largest needs; the first byte tells how many."""
+    most = int(values.max(initial=0))
+    size = next(n for n in (1, 2, 4, 8) if most < 1 << 8 * n)
+    return bytes([size]) + values.astype(f"<u{size}").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
 def build_index(docs: DataFrame, documents: int, all_terms: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored index: (block, ids, factors, terms, dfs, maxima, docs, tfs)."""
+    """The stored index: (block, ids, terms, dfs, factors, maxima, docs, tfs); the last four are packed numbers, which Spark passes on as they are."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     id_type = rows.schema["id"].dataType
-    fields = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("factors", T.ArrayType(T.LongType())), T.StructField("terms", T.ArrayType(T.BinaryType())), *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("dfs", "maxima", "docs", "tfs"))])
+    fields = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("terms", T.ArrayType(T.BinaryType())), T.StructField("dfs", T.ArrayType(T.IntegerType())), *(T.StructField(n, T.BinaryType()) for n in PACKED)])
 
     def build(batches):
         number, held, postings = TaskContext.get().partitionId() << 36, [], 0
@@ -101,10 +114,8 @@ def build_index(docs: DataFrame, documents: int, all_terms: int, id_col: str = "
                     size, end = size + len(held[end][2]), end + 1
                 run = held[at:end]
                 own = block_of([d[0] for d in run], np.array([100 - 50 + 50 * d[1] * documents // all_terms for d in run], dtype=np.int64), [d[2] for d in run])
-                columns = [pa.array([number], pa.int64())]
-                for name, kind in (("ids", None), ("factors", pa.int64()), ("terms", None), ("dfs", pa.int32()), ("maxima", pa.int32()), ("docs", pa.int32()), ("tfs", pa.int32())):
-                    values = pa.array(own[name], id_kind) if name == "ids" else own[name] if name == "terms" else pa.array(own[name].astype(np.int64 if name == "factors" else np.int32), kind)
-                    columns.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
+                lists = [pa.array(own["ids"], id_kind), own["terms"], pa.array(own["dfs"].astype(np.int32))]
+                columns = [pa.array([number], pa.int64()), *(pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists), *(pa.array([packed(own[n])], pa.binary()) for n in PACKED)]
                 yield pa.RecordBatch.from_arrays(columns, names=fields.names)
                 number, at = number + 1, end
             held, postings = [], 0
@@ -176,8 +187,8 @@ def score_block(own: Slice, match, reached: np.ndarray, row: dict, best: Best) -
     place, query, weight = match
     take = reached[query]
     place, query, weight = place[take], query[take], weight[take]
-    dfs, docs = row["dfs"].astype(np.int64), row["docs"].astype(np.int64)
-    parts = part_of_score(row["tfs"].astype(np.int64), row["factors"][docs])
+    dfs, docs = row["dfs"].astype(np.int64), row["docs"]
+    parts = part_of_score(row["tfs"], row["factors"][docs])
     starts, sizes = (np.cumsum(dfs) - dfs)[place], dfs[place]
     at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
     wanted = np.flatnonzero(reached)
@@ -193,7 +204,7 @@ def _index_rows(batches):
         names = batch.schema.names
         for i in range(len(batch)):
             cells = {n: batch.column(j)[i] for j, n in enumerate(names)}
-            yield {n: c.as_py() if n in ("block", "queries") else c.values.to_pylist() if n in ("ids", "terms") else c.values.to_numpy() for n, c in cells.items()}
+            yield {n: unpacked(c.as_py()) if n in PACKED else c.values.to_numpy() if n == "dfs" else c.as_py() for n, c in cells.items()}
 
 
 def _best_batch(best: Best, schema: pa.Schema) -> pa.RecordBatch:
