@@ -106,31 +106,33 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield show()
 
 
-def lockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most failures in a row (a signup resets them) per user, kept as state.
+def lockouts(spark: SparkSession, sf_dir: str, sink: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """The most failures in a row (a signup resets them) per user, kept as state; goes on where the given folders left off.
 
     Each batch is dealt to sorted ranges of (user, time), so that a user's rows may lie in many
-    tasks; each range becomes one row a user, and those are folded in order onto the state.
+    tasks; each range becomes one row a user, and those are folded in order onto the state of the batch
+    before, which lies under its number. A batch that is run again writes its state anew.
     """
-    at = {"path": None}
+    sink, checkpoint = sink or fresh_path(spark, "lockout-state"), checkpoint or fresh_path(spark, "stream-state")
+    place = lambda number: f"{sink}/batch={number}"
+    schema = "user_id long, part int, head long, tail long, worst long, reset boolean"
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(place(-1))
 
     def fold(batch: DataFrame, number: int) -> None:
         ranged = batch.repartitionByRange("user_id", "ts", "event_id").sortWithinPartitions("user_id", "ts", "event_id").withColumn("part", F.spark_partition_id())
-        runs = ranged.mapInPandas(_runs, "user_id long, part int, head long, tail long, worst long, reset boolean")
-        if at["path"]:
-            runs = runs.unionByName(batch.sparkSession.read.schema(runs.schema).parquet(at["path"]))
+        runs = ranged.mapInPandas(_runs, schema).unionByName(batch.sparkSession.read.schema(schema).parquet(place(number - 1)))
         ordered = F.array_sort(F.collect_list(F.struct("part", "head", "tail", "worst", "reset")))
         grown = lambda s, r: F.struct(F.when(r["reset"], r["tail"]).otherwise(s["tail"] + r["tail"]).alias("tail"), F.greatest(s["worst"], r["worst"], s["tail"] + r["head"]).alias("worst"))
         start = F.struct(F.lit(0).cast("long").alias("tail"), F.lit(0).cast("long").alias("worst"))
         state = runs.groupBy("user_id").agg(F.aggregate(ordered, start, grown).alias("s"))
-        path = fresh_path(spark, "lockout-state")
         # The state stands before all ranges of the next batch, and its worst run is past.
-        state.select("user_id", F.lit(-1).alias("part"), F.col("s.tail").alias("head"), "s.tail", "s.worst", F.lit(True).alias("reset")).write.parquet(path)
-        at["path"] = path
+        state.select("user_id", F.lit(-1).alias("part"), F.col("s.tail").alias("head"), "s.tail", "s.worst", F.lit(True).alias("reset")).write.mode("overwrite").parquet(place(number))
 
-    query = events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type").writeStream.foreachBatch(fold).option("checkpointLocation", fresh_path(spark, "stream-state")).trigger(availableNow=True).start()
+    query = events(spark, sf_dir).select("user_id", "ts", "event_id", "event_type").writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(at["path"]).select("user_id", "worst") if at["path"] else spark.createDataFrame([], "user_id long, worst long")
+    states = spark.read.schema(f"{schema}, batch int").parquet(sink)
+    last = [int(f.rpartition("batch=")[2].partition("/")[0]) for f in states.inputFiles()]
+    return states.where(F.col("batch") == max(last)).select("user_id", "worst")
 
 
 def matched_events(spark: SparkSession, sf_dir: str) -> DataFrame:

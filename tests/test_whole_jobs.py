@@ -150,6 +150,19 @@ def test_lockouts_folds_ranges_of_one_user_over_batches(spark, tmp_path, monkeyp
     assert got == want
 
 
+def test_lockouts_go_on_after_a_restart(spark, tmp_path, monkeypatch):
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string"
+    stream = lambda spark, d: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events")
+    monkeypatch.setattr(jobs, "events", stream)
+    start, folders = datetime.datetime(2024, 1, 1), (f"file://{tmp_path}/state", f"file://{tmp_path}/check")
+    for day, kinds in enumerate((["error", "error"], ["error", "signup", "error"], ["view", "error", "error", "error"])):
+        spark.createDataFrame([(10 * day + i, start + datetime.timedelta(days=day, hours=i), 1, k) for i, k in enumerate(kinds)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+        found = {r.user_id: r.worst for r in jobs.lockouts(spark, str(tmp_path), *folders).collect()}
+        assert found == {1: (2, 3, 4)[day]}
+    # Nothing new: the last state stands.
+    assert jobs.lockouts(spark, str(tmp_path), *folders).first().worst == 4
+
+
 def test_label_vectors_merge_fragments_and_refuse_conflicts(spark):
     fragments = spark.createDataFrame([(1, "a", True, ["b"]), (2, "a", True, ["b"]), (3, "b", False, ["a"]), (4, None, None, ["a", "b"]), (5, None, None, ["a"]), (6, "a", False, ["b"])], "fragment_id long, signal_key string, asserts boolean, null_on array<string>")
     parts = lambda rows: spark.createDataFrame(rows, "example_id long, fragment_id long")
