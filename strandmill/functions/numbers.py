@@ -78,17 +78,27 @@ def argmax_with_margin(scores: Column, margin: Column, gated: int = 1) -> Column
     return F.when((top == gated) & (F.element_at(scores, gated + 1) - F.array_max(rest) < margin), runner).otherwise(top)
 
 
-@F.pandas_udf(T.DoubleType())
-def binomial_two_sided(k: pd.Series, n: pd.Series) -> pd.Series:
-    """Exact two-sided binomial p-value at one half, in whole numbers until the last division."""
+def binomial_tail(k: int, n: int) -> float:
+    """Two-sided binomial p-value at one half.
+
+    Below 1,000 draws the terms are whole numbers. Beyond, the largest term comes from log-gamma and each further
+    one from its ratio to the last, until none changes the sum in doubles: some multiples of the root of ``n``.
+    """
+    k = min(k, n - k)
+    if n < 1000:
+        return min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n)
+    total, term = 0.0, 1.0
+    for i in range(k, -1, -1):
+        if total + term == total:
+            break
+        total, term = total + term, term * i / (n - i + 1)
+    return min(1.0, 2 * total * math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)))
 
-    def p(a: int, b: int) -> float:
-        if b == 0:
-            return 1.0
-        tail = sum(math.comb(b, i) for i in range(min(a, b - a) + 1))
-        return min(1.0, 2 * tail / 2**b) if b < 1000 else min(1.0, float((2 * tail * 10**18) // 2**b) / 1e18)
 
-    return pd.Series([p(int(a), int(b)) for a, b in zip(k, n)])
+@F.pandas_udf(T.DoubleType())
+def binomial_two_sided(k: pd.Series, n: pd.Series) -> pd.Series:
+    """``binomial_tail`` of whole numbers."""
+    return pd.Series([binomial_tail(int(a), int(b)) for a, b in zip(k, n)])
 
 
 def age_in_years(born: Column, today: Column) -> Column:

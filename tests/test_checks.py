@@ -2,11 +2,14 @@
 
 import hashlib
 import hmac
+import math
+import time
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from strandmill.functions.numbers import binomial_tail
 from strandmill.operators import checks, holdout, lint, recombination, stats
 from strandmill.operators import folds as L
 from strandmill.plans import registry
@@ -107,3 +110,13 @@ def test_lines_are_never_checked_against_their_own_signal(spark):
     assert found("all") == {("cough", 1, ("cough",)), ("fever", 2, ("hot",)), ("cough", 3, ("cough", "dry"))}
     assert found("filler") == {("fever", 2, ("hot",)), ("cough", 3, ("cough", "dry"))}
     assert found("absent") == {("cough", 1, ("cough",)), ("fever", 2, ("hot",))}
+
+
+def test_binomial_tail_equals_whole_numbers_and_is_quick_for_large_counts():
+    whole = lambda k, n: min(1.0, float((2 * sum(math.comb(n, i) for i in range(min(k, n - k) + 1)) * 10**18) // 2**n) / 1e18)
+    for n in (0, 1, 7, 999, 1000, 1001, 3000):
+        for k in {0, n // 3, max(0, n // 2 - 30), n // 2, n - n // 2, n}:
+            assert binomial_tail(k, n) == pytest.approx(whole(k, n), abs=1e-9)
+    start = time.monotonic()
+    assert binomial_tail(299_000, 600_000) == pytest.approx(math.erfc((1000 - 0.5) / math.sqrt(600_000 / 2)), abs=1e-6)
+    assert time.monotonic() - start < 1
