@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandmill.operators import dataset as D
-from strandmill.operators import ml
+from strandmill.operators import logistic, ml
 from strandmill.operators import rules as R
 from strandmill.plans import scalars
 
@@ -215,3 +215,34 @@ def test_all_heads_equal_single_heads_in_one_scan(spark, tmp_path):
     for (i, h), r in got.items():
         single = df.where(f"id = {i}").select(ml.linear_heads(F.col("v"), *heads[h])).first()[0]
         assert r.scores == pytest.approx(single) and r.truth == rows[i][2][h] and r.predicted == max(range(3), key=lambda k: (single[k], -k))
+
+
+def test_fits_gather_no_vocabulary_and_equal_the_optimum(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 30))) for _ in range(60)] + [None, "", "w1 w2", "w1 w2"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")
+    placed, size = logistic.placed_texts(df, "text")
+    rows = {r.text: r.row for r in placed.collect()}
+    assert size == len(rows) == len({t or "" for t in texts}) and sorted(rows.values()) == list(range(size))
+    at = np.array([rows[t or ""] for t in texts])
+    train = np.arange(len(texts)) % 4 > 0
+    trained = np.stack([np.bincount(at[train], minlength=size), np.bincount(at, minlength=size)])
+    products = logistic.Products(ml.term_counts(placed, "row"), trained, 2)
+    given = rng.normal(size=(3, size))
+    ordered = sorted(rows, key=rows.get)
+    kernels = []
+    for own in ([t for t, m in zip(texts, train) if m], texts):
+        x = tfidf_rows(own, ordered)
+        kernels.append(x @ x.T)
+    assert products(given, [0, 1, 0]) == pytest.approx(np.stack([given[0] @ kernels[0], given[1] @ kernels[1], given[2] @ kernels[0]]))
+    labels = rng.integers(0, 3, len(texts))
+    runs = [(0, at[train], labels[train], 3), (1, at, labels % 2, 2)]
+    for (group, own, y, classes), margins in zip(runs, logistic.fitted(runs, products, size)):
+        z = margins if classes == 3 else np.stack([np.zeros(size), margins[0]])
+        p = (np.exp(z) / np.exp(z).sum(0))[:, own]
+        pull = np.stack([np.bincount(own, weights=w, minlength=size) for w in np.eye(classes)[y].T - p])
+        # At the optimum intercepts balance, and the weights are what the residuals pull them to.
+        assert pull.sum(1) == pytest.approx(0, abs=1e-3)
+        bias = z - pull @ kernels[group] if classes == 3 else z[1:] - pull[1:] @ kernels[group]
+        assert np.ptp(bias, axis=1).max() < 1e-2
