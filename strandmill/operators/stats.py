@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandmill.functions.numbers import argmax_with_margin
 from strandmill.functions.text import hash_int
@@ -193,11 +198,11 @@ DRAWS = 16
 COPIES = [math.floor(65536 * sum(math.exp(-1) / math.factorial(k) for k in range(n + 1))) for n in range(8)]
 
 
-def multiplicities(unit: Column, block: Column, seed: str) -> list[Column]:
-    """How often ``unit`` counts in each of the ``DRAWS`` resamples of a block; a hash decides, so no units need numbers and reruns agree."""
-    digest = F.sha2(F.concat_ws("|", F.lit(seed), unit, block), 256)
-    drawn = [F.conv(F.substring(digest, 4 * i + 1, 4), 16, 10).cast("int") for i in range(DRAWS)]
-    return [sum(((d >= F.lit(c)).cast("int") for c in COPIES[1:]), (d >= F.lit(COPIES[0])).cast("int")) for d in drawn]
+def multiplicities(units: Iterable[str], resamples: int) -> np.ndarray:
+    """(units, resamples): how often each unit, named with its seed, counts; a hash of unit and block of resamples decides, so no units need numbers and reruns agree."""
+    digests = b"".join(hashlib.sha256(f"{u}|{k}".encode()).digest() for u in units for k in range(-(-resamples // DRAWS)))
+    drawn = np.searchsorted(COPIES, np.arange(65536), side="right").astype("f8")[np.frombuffer(digests, ">u2")]
+    return drawn.reshape(-1, -(-resamples // DRAWS) * DRAWS)[:, :resamples]
 
 
 def grouped_bootstrap(preds: DataFrame, by: list[str], resamples: int, statistic: Column, unit: str = "unit", seed: str = "b") -> DataFrame:
@@ -205,16 +210,32 @@ def grouped_bootstrap(preds: DataFrame, by: list[str], resamples: int, statistic
 
     A unit's predictions shrink to nine counts, which every resample takes as often as a draw by hash
     says: on average once, so a resample has about as many units as its group (a Poisson bootstrap).
-    Draws need neither the number of units nor each other, so they are summed before they are
-    shuffled: a task passes on one row a group and resample. A unit is drawn alike in all groups.
-    A resample without any unit has no row.
+    Draws need neither the number of units nor each other, so a batch of units is one product of matrices,
+    copies by counts, and a task passes on one row a group and resample of each batch. A unit is drawn
+    alike in all groups. A resample without any unit has no row.
     """
     names = [f"c{t}{p}" for t in CLASSES for p in CLASSES]
-    units = preds.groupBy(*by, unit).agg(*cells())
-    blocks = units.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // DRAWS))))
-    times = F.array(*[F.struct((F.col("_block") * DRAWS + i).cast("int").alias("resample"), m.alias("_times")) for i, m in enumerate(multiplicities(F.col(unit), F.col("_block"), seed))])
-    drawn = blocks.select(*by, *names, F.inline(times)).where((F.col("_times") > 0) & (F.col("resample") < resamples))
-    sums = drawn.groupBy(*by, "resample").agg(*[F.sum(F.col(c) * F.col("_times")).alias(c) for c in names])
+    keyed = preds.groupBy(*by, unit).agg(*cells()).withColumn("_unit", F.concat_ws("|", F.lit(seed), unit)).drop(unit)
+    units = keyed.select(F.to_json(F.struct(*by), {"ignoreNullFields": "false"}).alias("_group"), *by, "_unit", *names)
+    kept = T.StructType([units.schema[c] for c in ("_group", *by)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums, firsts = {}, {}
+        for batch in batches:
+            codes, own = pd.factorize(batch["_unit"])
+            copies, counts = multiplicities(own, resamples), batch[names].to_numpy("f8")
+            for group, at in batch.groupby("_group", sort=False).indices.items():
+                drawn = copies[codes[at]]
+                found = np.column_stack([(drawn > 0).sum(0), drawn.T @ counts[at]])
+                sums[group] = sums[group] + found if group in sums else found
+                firsts.setdefault(group, batch.iloc[at[:1]][["_group", *by]])
+        for group, found in sums.items():
+            told = pd.DataFrame(found[:, 1:], columns=names).assign(resample=np.arange(resamples, dtype="i4"))[found[:, 0] > 0]
+            yield firsts[group].merge(told, how="cross")
+
+    drawn = units.mapInPandas(run, T.StructType([*kept, *(T.StructField(c, T.DoubleType()) for c in names), T.StructField("resample", T.IntegerType())]))
+    # Sums of whole numbers below 2^53 are exact in doubles.
+    sums = drawn.groupBy("_group", *by, "resample").agg(*[F.sum(c).cast("long").alias(c) for c in names])
     return sums.select(*by, "resample", statistic.alias("value"))
 
 

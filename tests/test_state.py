@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandmill.operators import holdout, stats, versions
 from strandmill.streaming import state
@@ -229,3 +230,15 @@ def test_interval_bounds_are_checked(spark):
 def test_groups_without_values_have_null_bounds(spark):
     found = stats.grouped_interval(spark.createDataFrame([(1, None), (2, 0.5)], "g int, value double"), ["g"]).orderBy("g").collect()
     assert [(r.low, r.high, r.used) for r in found] == [(None, None, 0), (0.5, 0.5, 1)]
+
+
+def test_grouped_bootstrap_makes_no_row_for_each_draw(spark):
+    preds = spark.range(20_000).selectExpr("'s' AS signal", "id % 2 AS fold", "id AS unit", "cast(id % 3 AS int) AS truth", "cast(id % 5 % 3 AS int) AS predicted")
+    values = stats.grouped_bootstrap(preds, ["signal", "fold"], 200, stats.accuracy())
+    shown = values._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in shown
+    assert values.count() == 400
+    # A null unit is one, named by the seed alone.
+    alone = stats.grouped_bootstrap(preds.limit(1).withColumn("unit", F.lit(None).cast("long")), ["signal"], 40, stats.accuracy()).collect()
+    drawn = [int(hashlib.sha256(f"b|{i // 16}".encode()).hexdigest()[4 * (i % 16) :][:4], 16) >= math.floor(65536 / math.e) for i in range(40)]
+    assert {r.resample for r in alone} == {i for i, d in enumerate(drawn) if d}
