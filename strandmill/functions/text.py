@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import difflib
+import re
 import unicodedata
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,11 +24,21 @@ def normalise_text(text: Column) -> Column:
     return F.regexp_replace(F.trim(F.regexp_replace(plain, r"(?U)\s+", " ")), r"[.!?\s]+$", "")
 
 
-@F.pandas_udf(T.StringType())
-def normalise_unicode(text: pd.Series) -> pd.Series:
-    """The same with NFKC and full case folding, for which Spark has no expression."""
-    form = lambda t: None if t is None else unicodedata.normalize("NFKC", t).translate(str.maketrans(CURLY, STRAIGHT)).casefold()
-    return text.map(form).str.replace(r"\s+", " ", regex=True).str.strip().str.replace(r"[.!?\s]+$", "", regex=True)
+#: Rows of a batch that are Python strings at one time.
+AT_ONCE = 64
+
+
+@F.arrow_udf(T.StringType())
+def normalise_unicode(text: pa.Array) -> pa.Array:
+    """The same with NFKC and full case folding, for which Spark has no expression. Of a batch, few texts at a time are Python strings."""
+    straight = str.maketrans(CURLY, STRAIGHT)
+
+    def form(t: str) -> str:
+        plain = unicodedata.normalize("NFKC", t).translate(straight).casefold()
+        return re.sub(r"[.!?\s]+$", "", re.sub(r"\s+", " ", plain).strip())
+
+    pieces = (text.slice(i, AT_ONCE) for i in range(0, len(text), AT_ONCE))
+    return pa.concat_arrays([pa.array([None if t is None else form(t) for t in p.to_pylist()], pa.string()) for p in pieces] or [pa.array([], pa.string())])
 
 
 @F.pandas_udf(T.DoubleType())

@@ -4,10 +4,12 @@ import datetime
 import difflib
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 from types import SimpleNamespace
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,3 +266,17 @@ def test_shared_folder_must_be_named_on_a_cluster():
         shared_dir(unset)
     unset.sparkContext.master = "local[2]"
     assert shared_dir(unset) == shared_dir(unset)
+
+
+def test_unicode_forms_hold_few_texts_as_strings():
+    texts = [None, "", "ﬁne “Straße” — ①!? \n", "Ａ b c ...", "x" * 70_000] + [f"É{i} {'ŷ' * 20_000}." for i in range(600)]
+    given, form = pa.array(texts), X.normalise_unicode.func
+    assert form(given.slice(0, 4)).to_pylist() == [None, "", 'fine "strasse" - 1', "a b c"]
+    assert len(form(given.slice(0, 0))) == 0
+    tracemalloc.start()
+    found = form(given)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All of them are 24 MB as strings.
+    assert most < 10_000_000
+    assert found.to_pylist()[5:7] == [f"é{i} {'ŷ' * 20_000}" for i in (0, 1)]
