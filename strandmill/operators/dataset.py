@@ -43,26 +43,36 @@ def pool_role(signal: str) -> Column:
     return F.when(own & F.col("kind").isin("positive", "negative"), F.col("kind")).when(own, "ambiguous").when(F.col("signal_key").isNull() & silent, "filler").when(silent, "companion")
 
 
-def label_vectors(parts: DataFrame, fragments: DataFrame, signals: list[str], decided: DataFrame | None = None) -> DataFrame:
+def label_vectors(parts: DataFrame, fragments: DataFrame, signals: list[str], decided: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """(example_id, labels map): no key where some fragment says nothing about the signal, null where all are declared silent, else what one asserts.
 
     ``parts`` has example_id, fragment_id; ``fragments`` fragment_id, signal_key, asserts (boolean),
     null_on (array). Two fragments of an example that assert one signal raise an error, whether they
     agree or not. ``decided`` (example_id, signal, expected) tells what an example's own signal must come
     out as; a vector without that key, or with another value, raises one too.
+    ``tasks`` says how many tasks share the parts; by default Spark does, whatever their number.
     """
-    joined = parts.join(fragments, "fragment_id").withColumn("signal", F.explode(F.array(*map(F.lit, signals))))
-    own = F.col("signal_key").eqNullSafe(F.col("signal"))
-    per = joined.groupBy("example_id", "signal").agg(F.every(own | F.array_contains("null_on", F.col("signal"))).alias("declared"), F.max(F.when(own, F.col("asserts"))).alias("value"), F.count_if(own).alias("asserting"))
-    sound = F.when(F.col("asserting") > 1, F.raise_error(F.lit("two fragments assert a signal")).cast("boolean")).otherwise(F.col("value"))
+    dealt = lambda df, key: df.repartition(tasks, key) if tasks else df
+    own = lambda s: F.col("signal_key").eqNullSafe(F.lit(s))
+    # One row an example holds all signals, in columns of fixed width.
+    told = [F.struct(F.every(own(s) | F.array_contains("null_on", s)).alias("declared"), F.max(F.when(own(s), F.col("asserts"))).alias("value"), (F.count_if(own(s)) > 1).alias("several")).alias(f"_s{i}") for i, s in enumerate(signals)]
+    met = dealt(parts, "fragment_id").join(dealt(fragments, "fragment_id"), "fragment_id")
+    per = dealt(met, "example_id").groupBy("example_id").agg(*told)
     if decided is not None:
-        per = per.join(decided.withColumn("_told", F.lit(True)), ["example_id", "signal"], "left")
-        amiss = F.col("_told") & ~(F.col("declared") & F.col("value").eqNullSafe(F.col("expected")))
-        sound = F.when(F.coalesce(amiss, F.lit(False)), F.raise_error(F.lit("a label vector differs from what was decided")).cast("boolean")).otherwise(sound)
-    # Soundness is looked at for masked signals too.
-    every = F.array_sort(F.collect_list(F.struct("signal", sound.alias("value"), "declared")))
-    entries = F.transform(F.filter(every, lambda e: e["declared"]), lambda e: F.struct(e["signal"], e["value"]))
-    return per.groupBy("example_id").agg(F.map_from_entries(entries).alias("labels"))
+        known = decided.where(F.col("signal").isin(*signals)).groupBy("example_id").agg(F.collect_list(F.struct("signal", "expected")).alias("_told"))
+        per = per.join(known, "example_id", "left")
+    entries = []
+    for i, s in enumerate(signals):
+        at = F.col(f"_s{i}")
+        # Soundness is looked at for masked signals too.
+        sound = F.when(at["several"], F.raise_error(F.lit("two fragments assert a signal")).cast("boolean")).otherwise(at["value"])
+        if decided is not None:
+            amiss = F.exists("_told", lambda t: (t["signal"] == s) & ~(at["declared"] & at["value"].eqNullSafe(t["expected"])))
+            sound = F.when(F.coalesce(amiss, F.lit(False)), F.raise_error(F.lit("a label vector differs from what was decided")).cast("boolean")).otherwise(sound)
+        entries.append(F.struct(F.lit(s).alias("signal"), sound.alias("value"), at["declared"].alias("declared")))
+    order = sorted(range(len(signals)), key=lambda i: signals[i])
+    found = per.select("example_id", F.transform(F.filter(F.array(*[entries[i] for i in order]), lambda e: e["declared"]), lambda e: F.struct(e["signal"], e["value"])).alias("_entries"))
+    return found.select("example_id", F.map_from_entries("_entries").alias("labels"))
 
 
 def label_mode(draw: Column, ambiguous: Column, shares: tuple[float, float] = (0.35, 0.35), ambiguous_share: float = 0.5) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandmill.functions import text as X
@@ -11,7 +12,7 @@ from strandmill.plans.book import query, sql_hash
 from strandmill.plans.scalars import EDGE, NORM
 from strandmill.sources import files
 from strandmill.sources.shared import fresh_path, written
-from strandmill.sources.tables import table
+from strandmill.sources.tables import table, tasks_for
 
 SPLIT = f"CASE WHEN {sql_hash('doc_id::VARCHAR')} % 100 < 70 THEN 'train' WHEN {sql_hash('doc_id::VARCHAR')} % 100 < 85 THEN 'val' ELSE 'test' END"
 
@@ -159,13 +160,14 @@ def label_vector(spark, d):
     """Orders as examples of all their parts; a part is one fragment where it asserts its signal and another where it is a filler."""
     claim = lambda key: F.when(key % 3 == 0, "a").when(key % 3 == 1, "b")
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("example_id"), F.col("l_partkey").alias("key"))
-    first = F.min(F.struct("key")).alias("_first")
-    asserting = lines.where(claim(F.col("key")).isNotNull()).groupBy("example_id", claim(F.col("key")).alias("claim")).agg(first).select("example_id", F.col("_first.key").alias("key"), F.lit(1).alias("own"))
-    parts = lines.distinct().join(asserting, ["example_id", "key"], "left").select("example_id", (F.col("key") * 2 + F.coalesce("own", F.lit(0))).alias("fragment_id"))
+    tasks = tasks_for(lines)
+    first = F.min("key").over(Window.partitionBy("example_id", claim(F.col("key"))))
+    parts = lines.repartition(tasks, "example_id").distinct().withColumn("own", (claim(F.col("key")).isNotNull() & (F.col("key") == first)).cast("int"))
+    parts = parts.select("example_id", (F.col("key") * 2 + F.coalesce("own", F.lit(0))).alias("fragment_id"))
     key = F.col("p_partkey")
     kinds = table(spark, d, "part").withColumn("own", F.explode(F.array(F.lit(0), F.lit(1))))
     fragments = kinds.select((key * 2 + F.col("own")).alias("fragment_id"), F.when(F.col("own") == 1, claim(key)).alias("signal_key"), (key % 3 == 0).alias("asserts"), F.when(key % 7 != 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array()).cast("array<string>").alias("null_on"))
-    vectors = D.label_vectors(parts, fragments, ["a", "b"])
+    vectors = D.label_vectors(parts, fragments, ["a", "b"], tasks=tasks)
     shown = lambda s: F.when(F.map_contains_key("labels", s), F.coalesce(F.element_at("labels", s).cast("string"), F.lit("null"))).otherwise("masked")
     return vectors.select("example_id", shown("a").alias("a"), shown("b").alias("b"))
 

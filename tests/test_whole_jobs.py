@@ -19,6 +19,7 @@ from strandmill.operators.dataset import add_noise, companion_count, generate, l
 from strandmill.operators.lint import near_duplicates
 from strandmill.plans import registry
 from strandmill.sources.shared import shared_dir
+from strandmill.sources.tables import tasks_for
 from strandmill.streaming import jobs
 
 
@@ -280,3 +281,13 @@ def test_unicode_forms_hold_few_texts_as_strings():
     # All of them are 24 MB as strings.
     assert most < 10_000_000
     assert found.to_pylist()[5:7] == [f"é{i} {'ŷ' * 20_000}" for i in (0, 1)]
+
+
+def test_tables_are_dealt_to_tasks_by_their_rows(spark, tmp_path):
+    assert tasks_for(spark.range(1000), 10) == 100 and tasks_for(spark.range(0)) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fragments = spark.createDataFrame([(1, "a", True, ["b"]), (2, None, None, ["a", "b"])], "fragment_id long, signal_key string, asserts boolean, null_on array<string>")
+    parts = spark.createDataFrame([(i, 1 + i % 2) for i in range(50)], "example_id long, fragment_id long")
+    found = label_vectors(parts, fragments, ["a", "b"], tasks=7)
+    assert {r.example_id: r.labels for r in found.collect()} == {i: {"a": None if i % 2 else True, "b": None} for i in range(50)}
+    shown = found._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("RepartitionByExpression") == 3 and "Generate" not in shown and "collect_list" not in shown
