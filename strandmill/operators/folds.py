@@ -56,13 +56,18 @@ def partition_violations(fragments: DataFrame) -> DataFrame:
     )
 
 
-def example_violations(examples: DataFrame, fragments: DataFrame) -> DataFrame:
-    """Checks of (split, example_id, fragment_ids array): ids are unique in a split, every example has fragments, and the sidecar's ``fragments`` (split, fragment_id) knows each of them."""
+def example_violations(examples: DataFrame, fragments: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Checks of (split, example_id, fragment_ids array): ids are unique in a split, every example has fragments, and the sidecar's ``fragments`` (split, fragment_id) knows each of them.
+
+    ``tasks`` says how many tasks share what examples use; by default Spark does, whatever its size.
+    """
+    at = ["split", "fragment_id"]
+    dealt = lambda df, *key: df.repartition(tasks, *key) if tasks else df
     used = examples.select("split", "example_id", F.explode("fragment_ids").alias("fragment_id"))
     return _union(
-        _named(examples.groupBy("split", "example_id").count().where("count > 1"), "example_repeats", "split", "example_id"),
+        _named(dealt(examples.select("split", "example_id"), "split", "example_id").groupBy("split", "example_id").count().where("count > 1"), "example_repeats", "split", "example_id"),
         _named(examples.where(F.coalesce(F.size("fragment_ids"), F.lit(0)) < 1), "example_without_fragments", "split", "example_id"),
-        _named(used.join(fragments.select("split", "fragment_id").distinct(), ["split", "fragment_id"], "left_anti").distinct(), "fragment_unknown", "split", "example_id", "fragment_id"),
+        _named(dealt(dealt(used, *at).join(dealt(fragments.select(*at), *at).distinct(), at, "left_anti"), "split", "example_id", "fragment_id").distinct(), "fragment_unknown", "split", "example_id", "fragment_id"),
     )
 
 

@@ -18,7 +18,7 @@ from strandmill.operators import stats
 from strandmill.plans.book import query, sql_hash
 from strandmill.plans.evaluation import ACCURACY, CELLS, MACRO, SUMMARY
 from strandmill.sources.shared import fresh_path
-from strandmill.sources.tables import table
+from strandmill.sources.tables import table, tasks_for
 from strandmill.sources.tree import load_tree, read_sidecars, tree_violations, write_tree
 
 FOLDS = 5
@@ -114,10 +114,12 @@ def scan_folds(spark, d):
 )
 def scan_split(spark, d):
     """Orders as examples of fold 0's training split: those with parts that its sidecar does not know are named."""
-    parts = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("fragment_ids"))
+    lines = table(spark, d, "lineitem")
+    tasks = tasks_for(lines)
+    parts = lines.select("l_orderkey", "l_partkey").repartition(tasks, "l_orderkey").groupBy("l_orderkey").agg(F.collect_set("l_partkey").alias("fragment_ids"))
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
-    examples = orders.join(parts, "l_orderkey", "left").select(F.lit("train").alias("split"), F.col("l_orderkey").alias("example_id"), "fragment_ids")
-    return L.example_violations(examples, _fragments(spark, d).where("fold = 0"))
+    examples = orders.repartition(tasks, "l_orderkey").join(parts, "l_orderkey", "left").select(F.lit("train").alias("split"), F.col("l_orderkey").alias("example_id"), "fragment_ids")
+    return L.example_violations(examples, _fragments(spark, d).where("fold = 0"), tasks)
 
 
 @query(
