@@ -50,11 +50,13 @@ def draw_picks(wanted: DataFrame, pool: DataFrame, salt: str, keep: list[str]) -
     # Libraries are declared by hand, so an array holds those of a group.
     libraries = written(sizes.groupBy(*at[:3]).agg(F.array_sort(F.collect_list(F.struct("library", "many"))).alias("libraries")), "libraries")
     placed = written(numbered(pool.withColumn("_pool", F.concat_ws("/", *at)), "_pool", [F.col("fragment_id")], "place").select(*at, "place", "fragment_id"), "pool")
-    draws = wanted.select("scope", "example_id", *keep, F.inline("picks")).join(libraries, at[:3], "left")
-    own = F.concat(F.lit(salt), "kind")
+    own = lambda p, what: _draw(F.concat(F.lit(salt), p["kind"]), F.lit(what), p["group"])
+    # Hashed inside the array, which the outer form takes apart: Spark copies what lies below an inner one, or a join's key, into filters, and would hash it several times.
+    hashed = F.transform("picks", lambda p: F.struct(p["kind"].alias("kind"), p["group"].alias("group"), own(p, "library").alias("_library"), own(p, "fragment").alias("_fragment")))
+    draws = wanted.select("scope", "example_id", *keep, F.inline_outer(hashed)).where("kind is not null").join(libraries, at[:3], "left")
     some = F.coalesce("libraries", F.raise_error(F.concat(F.lit("no fragments of "), "scope", F.lit("/"), "group")).cast(libraries.schema["libraries"].dataType))
-    picked = F.element_at(some, (_draw(own, F.lit("library"), F.col("group")) % F.size(some) + 1).cast("int"))
-    draws = draws.select("scope", "example_id", *keep, "kind", "group", picked.alias("p")).select("scope", "example_id", *keep, "kind", "group", F.col("p.library").alias("library"), (_draw(own, F.lit("fragment"), F.col("group")) % F.col("p.many") + 1).alias("place"))
+    picked = F.element_at(some, (F.col("_library") % F.size(some) + 1).cast("int"))
+    draws = draws.select("scope", "example_id", *keep, "kind", "group", "_fragment", picked.alias("p")).select("scope", "example_id", *keep, "kind", "group", F.col("p.library").alias("library"), (F.col("_fragment") % F.col("p.many") + 1).alias("place"))
     return draws.join(placed, [*at, "place"]).drop("place")
 
 

@@ -291,3 +291,12 @@ def test_tables_are_dealt_to_tasks_by_their_rows(spark, tmp_path):
     assert {r.example_id: r.labels for r in found.collect()} == {i: {"a": None if i % 2 else True, "b": None} for i in range(50)}
     shown = found._jdf.queryExecution().optimizedPlan().toString()
     assert shown.count("RepartitionByExpression") == 3 and "Generate" not in shown and "collect_list" not in shown
+
+
+def test_select_fragments_hashes_each_draw_once(spark, tmp_path):
+    stored(spark, tmp_path, "orders", [(i,) for i in range(300)], "o_orderkey long")
+    d = stored(spark, tmp_path, "part", [(i, f"Brand#{i % 25 + 1}") for i in range(500)], "p_partkey long, p_brand string")
+    df = registry.QUERIES["select_fragments"](spark, d)
+    filters = [line for line in plan(df).splitlines() if "Filter " in line.split("(")[0]]
+    assert filters and not [line for line in filters if "sha2" in line]
+    assert df.count() == 300
