@@ -242,3 +242,18 @@ def test_grouped_bootstrap_makes_no_row_for_each_draw(spark):
     alone = stats.grouped_bootstrap(preds.limit(1).withColumn("unit", F.lit(None).cast("long")), ["signal"], 40, stats.accuracy()).collect()
     drawn = [int(hashlib.sha256(f"b|{i // 16}".encode()).hexdigest()[4 * (i % 16) :][:4], 16) >= math.floor(65536 / math.e) for i in range(40)]
     assert {r.resample for r in alone} == {i for i, d in enumerate(drawn) if d}
+
+
+def test_version_stream_stores_sessions_with_commands_alone(spark, tmp_path):
+    source, sink, check = (f"file://{tmp_path}/{n}" for n in ("in", "out", "check"))
+    sessions = spark.range(5000).select(F.col("id").alias("key"), F.lit(0).cast("long").alias("version"), F.lit(False).alias("closed"))
+    add(spark, source, [(7, at(1), 1, 0, False), (7, at(2), 2, 1, True), (8, at(1), 3, 4, False), (9000, at(1), 4, 0, False)], COMMANDS)
+    state.version_stream(streamed(spark, source, COMMANDS), sessions, sink, check)
+    # Another state before the first batch, which is not read any more.
+    add(spark, source, [(7, at(3), 5, 2, False), (8, at(3), 6, 0, False), (9000, at(3), 7, 0, False)], COMMANDS)
+    outputs = state.version_stream(streamed(spark, source, COMMANDS), spark.createDataFrame([(9000, 0, False)], SESSIONS), sink, check)
+    found = {r.command: (r.outcome, r.version) for n in outputs for r in outputs[n].collect()}
+    assert found == {1: ("accepted", 1), 2: ("accepted", 2), 3: ("conflict", 0), 4: ("unknown", None), 5: ("closed", 2), 6: ("accepted", 1), 7: ("unknown", None)}
+    with state.settings(spark, state.STATE):
+        held = spark.read.format("statestore").option("path", check).option("stateVarName", "session").load()
+    assert {r.key.key for r in held.collect()} == {7, 8}
