@@ -37,12 +37,14 @@ def _placed(bucket):
 
 def _tree(spark, d):
     """A written tree: orders as examples, their customers as fragments; the path."""
-    orders = table(spark, d, "orders").select("*", _placed(hash_int(F.col("o_custkey").cast("string")) % FOLDS).alias("at")).select("*", "at.*")
+    placed = lambda rows: rows.select("*", _placed(hash_int(F.col("o_custkey").cast("string")) % FOLDS).alias("at")).select("*", "at.*")
+    given = table(spark, d, "orders")
+    orders = placed(given)
     labels = F.create_map(F.lit("urgent"), F.when(F.col("o_orderpriority") != "3-MEDIUM", F.col("o_orderpriority") < "3"), F.lit("open"), F.col("o_orderstatus") == "O")
     labels = F.when(F.col("o_orderstatus") == "P", F.map_filter(labels, lambda k, v: k == "urgent")).otherwise(labels)
     text = lambda c: F.col(c).cast("string")
     examples = orders.select("fold", "split", text("o_orderkey").alias("example_id"), F.col("o_orderpriority").alias("text"), labels.alias("labels"), F.array(text("o_custkey")).alias("fragment_ids"))
-    fragments = orders.select("fold", "split", text("o_custkey").alias("fragment_id"), text("o_custkey").alias("cluster_key")).distinct()
+    fragments = placed(given.select("o_custkey").distinct()).select("fold", "split", text("o_custkey").alias("fragment_id"), text("o_custkey").alias("cluster_key"))
     root = fresh_path(spark, "fold-tree")
     write_tree(examples, fragments, root, CONFIGURATION, ["urgent", "open"], FOLDS)
     return root

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from strandmill.operators.folds import SPLITS, example_violations, partition_violations, sidecar_violations
 from strandmill.operators.relational import violations
+from strandmill.sources.shared import written
 
 # Keys that every sidecar has.
 REQUIRED = ("generator_version", "signal", "folds", "fold_index", "split_salt", "split", "count", "labels")
@@ -97,23 +98,36 @@ def line_errors(spark: SparkSession, path: str) -> DataFrame:
     ranges = read.groupBy("file", "start").agg(F.count("*").alias("lines"), F.min("id").alias("first"))
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     placed = ranges.withColumn("before", F.coalesce(F.sum("lines").over(before), F.lit(0)))
-    kind = F.schema_of_variant(F.try_parse_json("value"))
-    error = F.when(F.trim("value") == "", None).when(kind.isNull(), "not valid JSON").when(~kind.startswith("OBJECT"), "not a JSON object")
-    wrong = read.withColumn("error", error).where("error is not null").select("file", "start", "id", "error")
+    wrong = read.withColumn("error", _line_error()).where("error is not null").select("file", "start", "id", "error")
     return wrong.join(placed, ["file", "start"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "error")
 
 
+def _line_error() -> Column:
+    """What is wrong with the line ``value``, or null."""
+    told = lambda kind: F.when(kind.isNull(), "not valid JSON").when(~kind.startswith("OBJECT"), "not a JSON object")
+    # The array's one element is computed once, however often the function names it.
+    once = F.transform(F.array(F.schema_of_variant(F.try_parse_json("value"))), told)
+    return F.when(F.trim("value") != "", F.element_at(once, 1))
+
+
+def _checked_lines(spark: SparkSession, root: str) -> DataFrame:
+    """(fold, split, error, example_id, fragment_ids) of the examples' lines that are not blank: all that the checks look at, from one pass over the files."""
+    lines = spark.read.schema("value string, fold int, split string").text(f"{root}/examples").where(F.col("value").rlike(r"[^ \t\r]"))
+    parsed = F.from_json("value", "example_id string, fragment_ids array<string>")
+    return written(lines.select("fold", "split", _line_error().alias("error"), parsed.alias("x")).select("fold", "split", "error", "x.*"), "checked-lines")
+
+
 def tree_violations(spark: SparkSession, root: str, folds: int) -> DataFrame:
     """(check, key) of everything that is wrong with a tree: its lines, sidecars, splits and examples."""
     named = lambda df: df.select(F.col("rule").alias("check"), F.concat_ws("/", "key", F.when(F.col("detail") != "", F.col("detail"))).alias("key"))
-    sidecars, examples, fragments = read_sidecars(spark, root), read_examples(spark, root), read_fragments(spark, root)
+    sidecars, examples, fragments = read_sidecars(spark, root), _checked_lines(spark, root), read_fragments(spark, root)
     at = lambda p: F.get_json_object("stats", f"$.{p}")
     recorded = sidecars.where(F.json_object_keys("stats").isNotNull()).select(
         "fold", "split", at("fold_index").cast("int").alias("recorded_fold"), at("split").alias("recorded_split"), at("folds").cast("int").alias("recorded_folds"), at("split_salt").alias("salt"), F.to_json(F.struct(at("generator_version").alias("v"), at("signal").alias("s"))).alias("version"), at("count").cast("long").alias("count"),
     )
     sized = examples.groupBy("fold", "split").agg(F.count("*").alias("n"))
     miscounted = recorded.join(sized, ["fold", "split"], "left").where("not (count <=> coalesce(n, 0))")
-    lines = line_errors(spark, f"{root}/examples").select(F.lit("line").alias("check"), F.concat(F.regexp_extract("file", r"(fold=\d+/split=\w+)/", 1), F.lit(": "), "error").alias("key"))
+    lines = examples.where("error is not null").select(F.lit("line").alias("check"), F.concat(F.lit("fold="), "fold", F.lit("/split="), "split", F.lit(": "), "error").alias("key"))
     return (
         named(sidecar_key_violations(sidecars))
         .unionByName(sidecar_violations(recorded, folds))

@@ -100,3 +100,15 @@ def test_tables_of_a_tree_are_read_with_their_types(spark, tmp_path):
     tree.write_tree(*frames(spark), root, SETTINGS, ["a"], 2)
     assert dict(tree.read_fragments(spark, root).dtypes)["fold"] == "int"
     assert {r.labels["a"] for r in tree.read_examples(spark, root).collect()} == {True, False, None}
+
+
+def test_checks_parse_the_examples_once(spark, tmp_path):
+    root = f"file://{tmp_path}/tree"
+    tree.write_tree(*frames(spark), root, SETTINGS, ["a", "b"], 2)
+    for line in ("", "  ", "{", "[1]", '{"example_id": "n", "example_id": "m", "fragment_ids": ["0val0"]}', '{"example_id": "o", "labels": 3, "fragment_ids": ["0val1"]}'):
+        (tmp_path / f"tree/examples/fold=0/split=val/more{len(line)}.json").write_text(line + "\n")
+    wrong = tree.tree_violations(spark, root, 2)
+    assert sorted((r["check"], r["key"]) for r in wrong.collect()) == [("count_differs", "0/val"), ("line", "fold=0/split=val: not a JSON object"), *[("line", "fold=0/split=val: not valid JSON")] * 2]
+    # The examples' own files are not opened again.
+    opened = wrong.inputFiles()
+    assert not [f for f in opened if "/tree/examples/" in f] and [f for f in opened if "/tree/stats/" in f]
