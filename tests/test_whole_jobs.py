@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandmill.functions import text as X
-from strandmill.operators import ml, stats
+from strandmill.operators import lint, ml, stats
 from strandmill.operators.dataset import add_noise, companion_count, generate, label_vectors, running_sum
 from strandmill.operators.lint import near_duplicates
 from strandmill.plans import registry
@@ -60,6 +60,51 @@ def test_near_duplicates_of_one_word_lines(spark):
         assert len(got) == len(alike(normal, least)) > 0
 
 
+def test_near_duplicates_with_blocks_of_no_lines(spark):
+    lines = [(i, "a", ("train", "val")[i % 2], f"line {i // 2} of few") for i in range(14)]
+    df = spark.createDataFrame(lines, "line_id long, library string, split string, text string")
+    got = near_duplicates(df, 0.9, block_rows=1).collect()
+    want = alike(lines, 0.9)
+    assert {(r.library, r.left, r.right): r.ratio for r in got} == want
+    assert len(got) == len(want) > 0
+
+
+def prose(rng, words):
+    syllables = ["the", "of", "and", "tion", "er", "ing", "ou", "en", "re", "at", "ly", "qua", "zi", "ble", "wh", "edge", "xa", "jo", "pf", "k"]
+    return " ".join("".join(rng.choice(syllables[: rng.randint(3, 20)]) for _ in range(rng.randint(1, 4))) + "," * (rng.random() < 0.05) for _ in range(words))
+
+
+def test_long_lines_that_share_few_runs_are_not_compared(monkeypatch):
+    rng, compared = random.Random(8), []
+    texts = [prose(rng, rng.randint(60, 120)) for _ in range(24)]
+    for t in texts[:16]:
+        words = t.split(" ")
+        for at in rng.sample(range(len(words)), rng.randint(1, 20)):
+            words[at] = prose(rng, 1)
+        texts.append(" ".join(words))
+    texts += texts[:5] + ["", "", "#$%&" * 60, "#$%&" * 55 + "zq", "".join(chr(rng.randint(0x4E00, 0x4E80)) for _ in range(300))]
+    rng.shuffle(texts)
+
+    class Counted(difflib.SequenceMatcher):
+        def set_seq1(self, a):
+            compared.append(a)
+            super().set_seq1(a)
+
+    lines = [(i, "a", rng.choice(("train", "val", "test")), t) for i, t in enumerate(texts)]
+    want = {least: alike(lines, least) for least in (0.6, 0.9)}
+    monkeypatch.setattr(lint.difflib, "SequenceMatcher", Counted)
+    block = pd.DataFrame(lines, columns=["line_id", "library", "split", "norm"]).assign(meeting=0, alone=True, end=0)
+    for least, pairs in want.items():
+        compared.clear()
+        got = lint._alike(block, least)
+        assert {(r.library, r.left, r.right): r.ratio for r in got.itertuples()} == pairs
+        assert len(got) == len(pairs) > 5 and len(compared) <= len(lines)
+    two = block.assign(alone=False, end=[rng.randrange(2) for _ in lines])
+    ends = two["end"].tolist()
+    got = {(r.library, r.left, r.right): r.ratio for r in lint._alike(two, 0.6).itertuples()}
+    assert got == {k: v for k, v in want[0.6].items() if ends[k[1]] != ends[k[2]]}
+
+
 def test_near_dup_pairs_takes_documents_by_source(spark, tmp_path):
     docs = [(i, f"src{i % 2}", t) for i, t in enumerate(["headache", "headache", "headaches", "headaches", "sore throat", "sore throats"] * 6)]
     d = stored(spark, tmp_path, "documents", docs, "doc_id long, source string, text string")
