@@ -3,9 +3,11 @@ import math
 import pickle
 import random
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +170,53 @@ def test_blocks_below_the_threshold_are_not_scored(spark, monkeypatch):
     assert len(scored) == 2  # neither the block with b alone nor the one without a term
 
 
+def test_a_task_holds_a_few_blocks_at_a_time(spark, monkeypatch, tmp_path):
+    """The size of what a task has in hand does not follow that of the index, here above 30 MB in one task."""
+    hashed = F.expr("concat_ws(' ', transform(sequence(0, 9999), x -> hex(xxhash64(id, x))))")
+    docs = spark.range(0, 200, 1, 1).select(F.col("id").alias("doc_id"), hashed.alias("text"))
+    asked = docs.where("doc_id in (7, 150)").select(F.col("doc_id").alias("item_id"), F.substring("text", 1, 300).alias("text"))
+    rows_of, built, build = ranking._index_rows, [], ranking.build_index
+
+    def rows(batches):
+        for batch in batches:
+            (tmp_path / f"{uuid.uuid4()}").write_text(f"{batch.nbytes}")
+            yield from rows_of([batch])
+
+    monkeypatch.setattr(ranking, "_index_rows", rows)
+    monkeypatch.setattr(ranking, "build_index", lambda *args: built.append(build(*args)) or built[0])
+    found = ranking.rank(docs, asked, 1)
+    assert sorted((r.item_id, r["rank"], r.doc_id) for r in found.collect()) == [(7, 1, 7), (150, 1, 150)]
+    files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in built[0].inputFiles()]
+    groups = [m.row_group(i).total_byte_size for m in files for i in range(m.num_row_groups)]
+    assert sum(groups) > 30 << 20 and max(groups) < 16 << 20
+    assert max(int(f.read_text()) for f in tmp_path.iterdir()) < 12 << 20
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b"  # the session's own is put back
+
+
+def test_a_block_is_scored_for_few_queries_at_a_time(spark, monkeypatch):
+    """The numbers in hand do not follow the number of queries that meet a block."""
+    rows, sizes, kept = ranked_docs(), [], ranking.np.bincount
+
+    def bincount(x, weights=None, minlength=0):
+        sizes.append(len(x))
+        return kept(x, weights, minlength)
+
+    docs = [(i, t) for i, t in rows if ranking.terms_of((t or "").encode())][-400:]
+    counts = [Counter(ranking.terms_of(t.encode())) for _, t in docs]
+    row = ranking.block_of([i for i, _ in docs], ranking.np.full(len(docs), 100), counts)
+    queries = [(q, {f"w{i}".encode() for i in range(q % 50, 60)}) for q in range(300)]
+    own = ranking.Slice(queries, len(docs), Counter(t for c in counts for t in c))
+    match, reached = own.matches(row["terms"].to_pylist()), ranking.np.arange(300) % 7 > 0
+    whole, parts = (ranking.Best(20, ranking.np.zeros(300)) for _ in range(2))
+    monkeypatch.setattr(ranking, "MEETINGS", 1 << 40, raising=False)
+    ranking.score_block(own, match, reached, row, whole)
+    monkeypatch.setattr(ranking, "MEETINGS", 20_000, raising=False)
+    monkeypatch.setattr(ranking.np, "bincount", bincount)
+    ranking.score_block(own, match, reached, row, parts)
+    assert parts.rows == whole.rows and len(whole.rows) == int(reached.sum())
+    assert max(sizes) <= 20_000
+
+
 def test_ranking_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
