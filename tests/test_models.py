@@ -246,3 +246,27 @@ def test_fits_gather_no_vocabulary_and_equal_the_optimum(spark):
         assert pull.sum(1) == pytest.approx(0, abs=1e-3)
         bias = z - pull @ kernels[group] if classes == 3 else z[1:] - pull[1:] @ kernels[group]
         assert np.ptp(bias, axis=1).max() < 1e-2
+
+
+def test_products_of_frequent_terms_and_outputs_that_add_up_to_zero(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(["the"] * rng.integers(1, 4) + list(rng.choice([f"w{i}" for i in range(20)], rng.integers(1, 9))) + [f"own{i}"]) for i in range(700)]
+    placed, size = logistic.placed_texts(spark.createDataFrame([(t,) for t in texts], "text string"), "text")
+    counts = ml.term_counts(placed, "row")
+    assert "Exchange" not in counts.drop("row")._jdf.queryExecution().executedPlan().toString().split("Scan parquet")[0]
+    rows = {r.text: r.row for r in placed.collect()}
+    ordered, asked = sorted(rows, key=rows.get), []
+    x, trained = tfidf_rows(texts, ordered), np.bincount([rows[t] for t in texts], minlength=size)[None, :]
+    products = logistic.Products(counts, trained, 2)
+    given = rng.normal(size=(2, size))
+    assert products(given, [0, 0]) == pytest.approx(given @ x @ x.T)
+
+    def told(v, groups):
+        asked.append(len(v))
+        return v @ x @ x.T
+
+    labels = rng.integers(0, 3, size)
+    margins = logistic.fitted([(0, np.arange(size), labels, 3)], told, size)[0]
+    assert set(asked) == {2}
+    p = np.exp(margins) / np.exp(margins).sum(0)
+    assert np.ptp(margins - (np.eye(3)[labels].T - p) @ x @ x.T, axis=1).max() < 1e-2
